@@ -31,12 +31,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint: the rows are computed once and survive the loss of an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -84,3 +78,10 @@ class Words:
         self.unique: list[str] = coded.dictionary.to_pylist()
         self.index = np.asarray(coded.indices, dtype=np.int64) if len(flat) else np.zeros(0, np.int64)
         self.offsets = offsets
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: computed once, and no executor's loss brings it to nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

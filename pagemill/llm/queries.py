@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import documents
+from .neardup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,5 +17,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), keep=False)
 
 
-QUERIES: dict[str, Query] = {"op2_bpe": op2_bpe}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_bpe, op9_near_dedup)}
 ORACLES: dict[str, str] = {}
