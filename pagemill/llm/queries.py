@@ -8,18 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import documents
+from .fingerprints import edited_fingerprints
+from .langid import predict_language
 from .neardup import near_duplicates
+from .packing import pack_documents
+from .tokenfile import token_file_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), keep=False)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(documents(spark, sf_dir))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), keep=False)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_bpe, op9_near_dedup)}
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_bpe, op5_language_id, op6_packing, op9_near_dedup, op10_token_file)}
 ORACLES: dict[str, str] = {}
