@@ -13,6 +13,7 @@ from .langid import predict_language
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .tokenfile import token_file_digest
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), keep=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(documents(spark, sf_dir))
 
@@ -41,5 +46,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_bpe, op5_language_id, op6_packing, op9_near_dedup, op10_token_file)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_bpe, op3_toxicity, op5_language_id, op6_packing, op9_near_dedup, op10_token_file)}
 ORACLES: dict[str, str] = {}
