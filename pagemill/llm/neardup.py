@@ -212,3 +212,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, hot: int =
     by_fp = distinct.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     joined = marked.join(by_fp, "fp", "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """One row of docs for each component, the one with the smallest doc_id, all columns as they are; rows without doc_id stay."""
+    found = near_duplicates(docs, words, radius)
+    first = found.filter("component_id is not null").select(F.col("component_id").alias("_first")).distinct()
+    named = docs.filter("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))

@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import documents
 from .fingerprints import edited_fingerprints
 from .langid import predict_language
+from .media import media_round_trip
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .pii import replace_private
 from .tokenfile import token_file_digest
 from .toxicity import score_toxicity
+from .warc import AUDIT_SQL, audit, damaged_replica, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +34,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return audit(records(pages), records(damaged_replica(pages)))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(documents(spark, sf_dir))
 
@@ -38,6 +47,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), keep=False)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_round_trip(documents(spark, sf_dir), keep=False)
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replace_private(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("_pii_entities").alias("n_entities"), F.col("_pii_entities").alias("entities"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -46,5 +64,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_bpe, op3_toxicity, op5_language_id, op6_packing, op9_near_dedup, op10_token_file)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_bpe, op3_toxicity, op4_warc_audit, op5_language_id, op6_packing, op7_media, op8_surrogates, op9_near_dedup, op10_token_file)}
+ORACLES: dict[str, str] = {"op4_warc_audit": AUDIT_SQL}
