@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables, each with its SQL twin where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus, terms, quality, layout_plans, pages_plans, lines_plans, work, requests_plans  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
