@@ -42,6 +42,7 @@ blocks AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY bi) AS idx, title, paragraphs FROM drafts WHERE len(paragraphs) > 0
 ), chapters AS (
   SELECT doc_id, idx::INT AS idx, coalesce(title, 'Chapter ' || idx) AS title, paragraphs FROM kept
+  UNION ALL SELECT doc_id, 1, 'Chapter 1', p FROM (SELECT DISTINCT doc_id, {PARAS % "t"} AS p FROM blocks WHERE doc_id NOT IN (SELECT doc_id FROM kept)) WHERE len(p) > 0
 )"""
 
 
