@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Words, slices
 
 ORDER = 4
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 600
 HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"
 CACHE_WORDS = 400_000
 LETTERS = regex.compile(r"\p{L}+|\n")

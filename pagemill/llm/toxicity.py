@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, ragged, slices
 
 DECAY, SPAN = 0.6, 6
-PER_LABEL = 3000
+PER_LABEL = 1500
 STEMS, COMMON = 40, 24
 LEAST, MOST = 3, 9  # characters of a landmark
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -39,6 +39,8 @@ LEAST_GAIN = 0.004
 #: Similarities below it count as none.
 FAINT = 0.45
 CLOSE = 0.9
+#: Words near to a landmark that are compared at once.
+ROWS = 100_000
 #: Log odds beyond which a landmark tells no more.
 TELLING = 3.0
 CACHE_WORDS = 500_000
@@ -135,42 +137,62 @@ class Kernel:
             rows = np.flatnonzero(grid.any(1))
             out[a + rows] = grid[rows] @ self.weights
         out /= self.norm
-        return np.where(out < FAINT, 0, np.minimum(out, 1))
+        out[out < FAINT] = 0
+        return np.minimum(out, 1, out=out)
+
+
+def beginnings(names: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the first LEAST to MOST characters of each word, offsets by word, and for each number a word and a length."""
+    size = np.fromiter((min(MOST, len(w)) for w in names), np.int64, len(names))
+    codes = np.frombuffer("".join(w[:MOST].ljust(MOST, "\0") for w in names).encode("utf-32-le"), np.uint32).reshape(-1, MOST)
+    value = np.zeros(len(names), np.uint64)
+    keys = np.zeros((len(names), MOST - LEAST + 1), np.uint64)
+    for k in range(MOST):
+        value = (value ^ codes[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(32)
+        if k + 1 >= LEAST:
+            keys[:, k + 1 - LEAST] = value
+    here = np.arange(LEAST, MOST + 1) <= size[:, None]
+    word, column = np.nonzero(here)
+    _, first, number = np.unique(keys[here], return_index=True, return_inverse=True)
+    return number.astype(np.int32), np.r_[0, np.cumsum(here.sum(1))], (word[first], column[first] + LEAST)
 
 
 def choose_landmarks(names: list[str], index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> list[str]:
     """Word beginnings that tell toxic texts from clean ones, then common words of clean texts."""
-    begins: dict[str, int] = {}
-    of_word = [[begins.setdefault(w[:k], len(begins)) for k in range(LEAST, min(MOST, len(w)) + 1)] for w in names]
-    sizes = np.fromiter(map(len, of_word), np.int64, len(of_word))
-    flat = np.fromiter((b for own in of_word for b in own), np.int64, sizes.sum())
-    starts = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(toxic)), np.diff(offsets))
-    per = sizes[index]
-    at = np.repeat(starts[index] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-    pairs = np.unique(np.repeat(doc, per) * len(begins) + flat[at]) if len(begins) else np.zeros(0, np.int64)
-    doc, begin = pairs // max(1, len(begins)), pairs % max(1, len(begins))
-    texts = list(begins)
-    clean_df = np.bincount(begin[~toxic[doc]], minlength=len(begins))
-    mine, own_doc = begin[toxic[doc]], doc[toxic[doc]]
-    weight, chosen = np.ones(len(toxic)), []
+    flat, starts, texts = beginnings(names)
+    clean_df, of_toxic = np.zeros(len(texts[0]), np.int64), []
+    for k in range(len(toxic)):  # one text at a time: only toxic texts' beginnings are kept
+        own = np.unique(index[offsets[k] : offsets[k + 1]])
+        own = np.unique(ragged(flat, starts, own)[0]) if len(own) else flat[:0]
+        if toxic[k]:
+            of_toxic.append((k, own))
+        else:
+            clean_df[own] += 1
+    mine = np.concatenate([own for _, own in of_toxic]) if of_toxic else flat[:0]
+    own_doc = np.repeat(np.array([k for k, _ in of_toxic], np.int64), [len(own) for _, own in of_toxic])
     clean_n, toxic_n = max(1, (~toxic).sum()), max(1, toxic.sum())
-    length = np.fromiter(map(len, texts), np.int64, len(texts))
-    open_ = np.ones(len(texts), bool)
-    raw = np.bincount(mine, minlength=len(begins))
+    raw = np.bincount(mine, minlength=len(clean_df))
     odds = np.log((raw / toxic_n + 0.5 / toxic_n) / (clean_df / clean_n + 1 / clean_n))
-    telling = (raw >= 4) & (odds > 1.2)
-    while len(chosen) < STEMS and len(texts):
-        df = np.bincount(mine, weights=weight[own_doc], minlength=len(begins)) / toxic_n
-        gain = df * np.minimum(odds, TELLING) * telling * (1 + 0.01 * length) * open_
+    telling = np.flatnonzero((raw >= 4) & (odds > 1.2))
+    place = np.full(len(raw), -1)
+    place[telling] = np.arange(len(telling))
+    here = place[mine] >= 0
+    mine, own_doc, raw, odds = place[mine[here]], own_doc[here], raw[telling], np.minimum(odds[telling], TELLING)
+    said = [names[w][:n] for w, n in zip(texts[0][telling].tolist(), texts[1][telling].tolist(), strict=True)]
+    odds = odds * (1 + 0.01 * np.fromiter(map(len, said), np.int64, len(said)))
+    weight, chosen, open_ = np.ones(len(toxic)), [], np.ones(len(said), bool)
+    while len(chosen) < STEMS and open_.any():
+        df = np.bincount(mine, weights=weight[own_doc], minlength=len(said)) / toxic_n
+        gain = df * odds * open_
         k = int(gain.argmax())
         if gain[k] < LEAST_GAIN:
             break
-        longer = [j for j in np.flatnonzero(open_ & (raw >= 0.9 * raw[k])).tolist() if texts[j].startswith(texts[k])]
-        k = max(longer, key=lambda j: len(texts[j]))
-        chosen.append(texts[k])
+        longer = [j for j in np.flatnonzero(open_ & (raw >= 0.9 * raw[k])).tolist() if said[j].startswith(said[k])]
+        k = max(longer, key=lambda j: len(said[j]))
+        chosen.append(said[k])
         weight[own_doc[mine == k]] *= 0.4
-        open_ &= np.fromiter((not (t.startswith(texts[k]) or texts[k].startswith(t)) for t in texts), bool, len(texts))
+        open_ &= np.fromiter((not (t.startswith(said[k]) or said[k].startswith(t)) for t in said), bool, len(said))
     taken = set(chosen)
     common = Counter(dict(zip(names, np.bincount(index[~np.repeat(toxic, np.diff(offsets))], minlength=len(names)).tolist(), strict=True)))
     return chosen + [w for w, n in common.most_common() if LEAST <= len(w) <= MOST and w not in taken][:COMMON]
@@ -231,12 +253,17 @@ def closest(similarity: np.ndarray, index: np.ndarray, offsets: np.ndarray) -> n
     width = similarity.shape[1]
     out = np.zeros((len(offsets) - 1, 2 * width), np.float32)
     some = similarity.any(1)[index] if len(index) else np.zeros(0, bool)
-    doc = np.repeat(np.arange(len(out)), np.diff(offsets))[some]
-    if len(doc):
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        near = similarity[index[some]]
-        out[doc[first], :width] = np.maximum.reduceat(near, first, axis=0)
-        out[doc[first], width:] = np.log1p(np.add.reduceat((near > CLOSE).astype(np.float32), first, axis=0))
+    ends = np.r_[0, np.cumsum(some)][offsets]
+    rows = index[some]
+    edges = np.searchsorted(ends, np.arange(0, len(rows) + ROWS, ROWS)).clip(max=len(out))
+    for lo, hi in zip(edges, np.r_[edges[1:], len(out)]):  # some texts at a time
+        size = np.diff(ends[lo : hi + 1])
+        docs = lo + np.flatnonzero(size)
+        if len(docs):
+            near = similarity[rows[ends[lo] : ends[hi]]]
+            first = ends[docs] - ends[lo]
+            out[docs, :width] = np.maximum.reduceat(near, first, axis=0)
+            out[docs, width:] = np.log1p(np.add.reduceat((near > CLOSE).astype(np.float32), first, axis=0))
     return out
 
 
