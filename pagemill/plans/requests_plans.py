@@ -1 +1,208 @@
+"""Requests, responses and sources over `documents`, `conversations`, `benchmark` and `events`."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import glossary, requests, segment
+from ..sources import files
+from .corpus import NONSPACE, PARAS, STRIP
+from .registry import query, table
+from .terms import ENTRIES_SQL, entries_of
+
+LINE = r"\n"
+THRESHOLD = 400
+
+
+def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", segment.paragraphs(F.col("text"), LINE).alias("paragraphs"))
+    return requests.chunk(rows, key=["doc_id"], threshold=THRESHOLD)
+
+
+CHUNK_SQL = f"""para AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS n FROM (SELECT doc_id, {PARAS % 'text'} AS p FROM documents)),
+sized AS (SELECT *, {NONSPACE % 't'}::BIGINT AS s FROM para),
+walk AS (SELECT doc_id, n, t, s, 0::BIGINT AS chunk_no, s AS size FROM sized WHERE n = 1
+  UNION ALL SELECT z.doc_id, z.n, z.t, z.s, CASE WHEN w.size + z.s > {THRESHOLD} THEN w.chunk_no + 1 ELSE w.chunk_no END, CASE WHEN w.size + z.s > {THRESHOLD} THEN z.s ELSE w.size + z.s END FROM walk w JOIN sized z ON z.doc_id = w.doc_id AND z.n = w.n + 1),
+chunks AS (SELECT doc_id, chunk_no::INT AS chunk_no, list(t ORDER BY n) AS paragraphs FROM walk GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {CHUNK_SQL} SELECT doc_id, chunk_no, len(paragraphs)::BIGINT AS n, sha256(array_to_string(paragraphs, chr(10))) AS body FROM chunks")
+def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks_of(spark, sf_dir).select("doc_id", "chunk_no", F.size("paragraphs").cast("long").alias("n"), F.sha2(F.array_join("paragraphs", "\n"), 256).alias("body"))
+
+
+REQUEST_SQL = f"""{CHUNK_SQL}, resp AS (SELECT doc_id, chunk_no, 'a' || chr(10) || 'b' || doc_id || chr(10) || 'c' || chunk_no || chr(10) || 'd' AS t FROM chunks WHERE doc_id % 2 = 0 AND chunk_no < doc_id % 4),
+{ENTRIES_SQL}, rel AS (SELECT doc_id, string_agg(DISTINCT english, chr(10) ORDER BY english) AS terms FROM documents d JOIN spelled s ON contains(d.text, s.spelling) JOIN entries e USING (item_id) GROUP BY doc_id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {REQUEST_SQL} SELECT c.doc_id, c.chunk_no, sha256(array_to_string(paragraphs, chr(10) || chr(10))) AS body, coalesce(terms, '') AS terms, CASE WHEN b.t IS NULL THEN '' ELSE 'b' || c.doc_id || chr(10) || 'c' || b.chunk_no || chr(10) || 'd' END AS tail
+FROM chunks c LEFT JOIN resp b ON b.doc_id = c.doc_id AND b.chunk_no = c.chunk_no - 1 LEFT JOIN rel ON rel.doc_id = c.doc_id
+WHERE NOT EXISTS (FROM resp r WHERE r.doc_id = c.doc_id AND r.chunk_no = c.chunk_no) AND (c.chunk_no = 0 OR b.t IS NOT NULL)"""
+)
+def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that can go out now, with their relevant terms and the tail before them."""
+    chunks = chunks_of(spark, sf_dir)
+    text = F.concat(F.lit("a\nb"), F.col("doc_id").cast("string"), F.lit("\nc"), F.col("chunk_no").cast("string"), F.lit("\nd"))
+    responses = chunks.filter("doc_id % 2 = 0 and chunk_no < doc_id % 4").select("doc_id", "chunk_no", text.alias("text"))
+    entries = entries_of(spark, sf_dir)
+    names = glossary.spellings(entries, ["item_id"]).select("item_id", "spelling")
+    hits = glossary.relevant(table(spark, sf_dir, "documents"), names, key=["doc_id"], entry=["item_id"]).join(entries.select("item_id", F.col("english").alias("term")), "item_id")
+    due = requests.due_requests(chunks, responses, hits.select("doc_id", "term"), key=["doc_id"])
+    return due.withColumn("body", F.sha2("body", 256))
+
+
+@query("SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
+def continuity_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.continuity_tail(table(spark, sf_dir, "conversations"), key=["conv_id"], order="turn").select("conv_id", "turn")
+
+
+@query("SELECT conv_id, arg_min(turn, (length(text) % 4) * 1000000 + turn) AS attempt, min(length(text) % 4)::INT AS n_failures FROM conversations GROUP BY conv_id")
+def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("attempt"), (F.length("text") % 4).alias("n_failures"))
+    return requests.best_attempt(rows, key=["conv_id"])
+
+
+def records_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Responses as tab-separated rows: some of two fields, blank, repeated, unexpected, or without a tab."""
+    rows = table(spark, sf_dir, "conversations")
+    t, english = F.col("turn"), F.substring(F.regexp_replace("text", "[\n\r]", " "), 1, 20)
+    name = F.concat(F.lit("l"), t.cast("string"))
+    row = F.when(t % 6 == 4, F.concat_ws("\t", name, english)).when(t % 6 == 5, F.concat_ws("\t", name, "role", F.lit(" "))).when(t % 6 == 3, F.concat(F.lit("so "), english)).when(t % 6 == 2, F.concat_ws("\t", F.lit("zz"), "role", english)).otherwise(F.concat(F.concat_ws("\t", name, "role", english), F.lit("\textra")))
+    again = F.when(t % 6 == 0, F.concat_ws("\t", name, "role", F.lit("again")))
+    made = rows.select("conv_id", t.alias("k"), F.concat_ws("\n", row, again).alias("r")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda s: s["r"]), "\r\n").alias("raw"))
+    expected = rows.select("conv_id", name.alias("id"))
+    return made, expected
+
+
+@query(f"SELECT conv_id, 'l' || turn AS id, CASE WHEN turn % 6 = 4 THEN '' ELSE role END AS speaker, {STRIP % '''(left(regexp_replace(text, '[\n\r]', ' ', 'g'), 20) || CASE WHEN turn % 6 = 4 THEN '' ELSE chr(9) || 'extra' END)'''} AS english FROM conversations WHERE turn % 6 IN (0, 1, 4)")
+def parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab-separated records back to lines."""
+    return requests.parse_records(*records_of(spark, sf_dir), key=["conv_id"])[0]
+
+
+@query("SELECT conv_id, count(*) FILTER (turn % 6 = 2) AS unexpected, count(*) FILTER (turn % 6 = 0) AS duplicate, count(*) FILTER (turn % 6 = 3) AS ignored, count(*) FILTER (turn % 6 IN (2, 3, 5)) AS missing FROM conversations GROUP BY conv_id")
+def expected_vs_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects of each response."""
+    return requests.parse_records(*records_of(spark, sf_dir), key=["conv_id"])[1]
+
+
+@query("SELECT conv_id, count(*) FILTER (turn % 6 IN (0, 1, 4)) = 0 OR count(*) FILTER (turn % 6 IN (2, 3, 5)) / count(*) > 0.4 AS retry FROM conversations GROUP BY conv_id")
+def retry_worthy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses worth a second attempt."""
+    raw, expected = records_of(spark, sf_dir)
+    lines, defects = requests.parse_records(raw, expected, key=["conv_id"])
+    n = expected.groupBy("conv_id").agg(F.count("*").alias("expected")).join(lines.groupBy("conv_id").agg(F.count("*").alias("received")), "conv_id", "left").join(defects, "conv_id")
+    return n.select("conv_id", requests.should_retry(F.col("missing"), F.col("expected"), F.coalesce("received", F.lit(0)), 0.4).alias("retry"))
+
+
+@query("SELECT conv_id, 'l' || turn AS id, CASE WHEN turn % 2 = 0 THEN 'second' ELSE 'first' END AS english FROM conversations WHERE turn % 5 <> 4 OR turn % 2 = 0")
+def retry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second attempt over a first."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("l"), F.col("turn").cast("string")).alias("id"))
+    first = rows.filter("turn % 5 <> 4").select("conv_id", "id", F.lit("first").alias("english"))
+    return requests.retry_union(first, rows.filter("turn % 2 = 0").select("conv_id", "id", F.lit("second").alias("english")), key=["conv_id"])
+
+
+@query(
+    f"""SELECT item_id, {STRIP % 'text'} AS body, CASE WHEN item_id % 4 = 0 THEN 1 WHEN item_id % 4 = 1 THEN 1 ELSE 0 END AS terms,
+  list_filter([CASE WHEN item_id % 4 = 3 THEN 'no-terms-mark' END, CASE WHEN item_id % 4 = 2 THEN 'terms-unreadable' END, CASE WHEN item_id % 4 = 1 THEN 'blank-term' END], lambda x: x IS NOT NULL) AS warnings FROM benchmark"""
+)
+def parse_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose responses with their terms, unreadable terms, and none."""
+    one = F.concat(F.lit('[{"source":"s'), F.col("item_id").cast("string"), F.lit('","english":"E"}'))
+    k = F.col("item_id") % 4
+    raw = F.concat(F.lit("\n"), "text", F.when(k == 3, "\n").otherwise("\n===NEW_TERMS===\n"), F.when(k == 0, F.concat(one, F.lit("] "))).when(k == 1, F.concat(one, F.lit(',{"source":" "}]'))).when(k == 2, "[{").otherwise(""))
+    found = requests.parse_prose(table(spark, sf_dir, "benchmark").select("item_id", raw.alias("raw")), key=["item_id"])
+    return found.withColumn("terms", F.size("terms"))
+
+
+@query("SELECT doc_id, text IS NOT NULL AND length(text) % 3 <> 0 AS readable, count(*) OVER () AS audited FROM documents WHERE length(text) % 3 <> 0")
+def accepted_and_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid rows for readers beside the number of audited rows."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") % 3 != 0).alias("ok"))
+    accepted, _ = requests.route(rows)
+    count = accepted.agg(F.count("*").alias("audited"))
+    return accepted.select("doc_id", F.col("ok").alias("readable")).crossJoin(F.broadcast(count))  # one row
+
+
+@query("SELECT doc_id, 'validated' AS status FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND n_chars >= 100")
+def accept_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed texts that a person accepts."""
+    audit = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") >= 100, F.col("text")).otherwise(" ").alias("text"))
+    said = table(spark, sf_dir, "labels").filter("quality = 1")
+    return requests.accept(audit, said, key=["doc_id"])[0].select("doc_id", "status")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'ok ' || turn WHEN turn % 3 = 1 THEN 'audit' END AS text, turn % 3 = 1 AS from_audit, lag(turn) OVER w AS previous, lead(turn) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def reader_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees: accepted text, else the audited one."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    accepted = rows.filter("turn % 3 = 0").withColumn("text", F.concat(F.lit("ok "), F.col("turn").cast("string")))
+    return requests.reader(rows, accepted, rows.filter("turn % 3 <> 2").withColumn("text", F.lit("audit")), key=["conv_id", "turn"], order="turn")
+
+
+@query("SELECT conv_id, turn AS version FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 2")
+def previous_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.previous_version(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("version")), key=["conv_id"])
+
+
+@query("SELECT event_id, (props::JSON->>'k')::INT AS k FROM events WHERE event_id % 10 <> 3")
+def parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that parse (S13); one in ten is cut off."""
+    raw = F.when(F.col("event_id") % 10 == 3, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    good, _ = files.parse_or_quarantine(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "k int")
+    return good.select("event_id", "record.k")
+
+
+@query("SELECT DISTINCT sha256(left(props, length(props) - 1)) AS hash, left(props, length(props) - 1) AS raw FROM events WHERE event_id % 10 = 3")
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What does not parse, kept under its hash."""
+    raw = F.when(F.col("event_id") % 10 == 3, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    return files.parse_or_quarantine(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "k int")[1]
+
+
+@query("SELECT CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-bom' ELSE CASE WHEN regexp_matches(text, '[^\\x00-\\x7f]') THEN 'other' ELSE 'utf-8' END END AS encoding, count(*) AS files, sum(length(text)) FILTER (doc_id % 3 <> 2)::BIGINT AS chars FROM documents GROUP BY ALL")
+def encoding_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by encoding (S6): texts as UTF-8, with a mark, and in a one-byte encoding."""
+    k = F.col("doc_id") % 3
+    data = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "é"), "ISO-8859-1"))
+    found = files.decoded(table(spark, sf_dir, "documents").select("doc_id", data.alias("content")))
+    name = F.when(F.col("encoding").isin("utf-8", "utf-8-bom"), F.col("encoding")).otherwise("other")
+    return found.groupBy(name.alias("encoding")).agg(F.count("*").alias("files"), F.sum(F.when(k != 2, F.length("text"))).alias("chars"))
+
+
+@query(
+    """SELECT conv_id, turn + 1 AS idx, CASE WHEN turn % 3 = 0 THEN 'Export ' || conv_id ELSE role END AS title, [left(text, 9), 'cell ' || turn, 'child'] AS paragraphs FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, regexp_replace(text, '[\\s]', '_', 'g') AS text FROM conversations)"""
+)
+def flatten_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported documents with tabs, tables and child tabs to chapters."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    rows = table(spark, sf_dir, "conversations").select("conv_id", place.alias("turn"), "role", F.regexp_replace("text", r"[\s]", "_").alias("text"))
+    run = lambda c: F.struct(F.array(F.struct(F.struct(c.alias("content")).alias("textRun"))).alias("elements"))
+    para = lambda c: F.to_json(F.struct(run(c).alias("paragraph")))
+    cell = F.concat(F.lit('{"table":{"tableRows":[{"tableCells":[{"content":['), para(F.concat(F.lit("cell "), F.col("turn").cast("string"))), F.lit("]}]}]}}"))
+    body = F.concat(F.lit('"documentTab":{"body":{"content":['), F.concat_ws(",", para(F.concat(F.lit(" "), F.substring("text", 1, 9), F.lit("\n"))), cell, para(F.lit(" "))), F.lit("]}}"))
+    child = F.concat(F.lit('"childTabs":[{"documentTab":{"body":{"content":['), para(F.lit("child")), F.lit("]}}}]"))
+    tab = F.concat(F.lit('{"tabProperties":{"title":"'), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")), F.lit('"},'), body, F.lit(","), child, F.lit("}"))
+    tabs = rows.select("conv_id", "turn", tab.alias("t")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda s: s["t"]), ",").alias("tabs"))
+    raw = F.concat(F.lit('{"title":"Export '), F.col("conv_id").cast("string"), F.lit('","tabs":['), "tabs", F.lit("]}"))
+    return files.flatten_documents(tabs.select("conv_id", raw.alias("raw")), key=["conv_id"]).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(
+    """SELECT doc_id, ['png', 'gif', 'jpeg', 'pdf', 'unknown'][doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 5 > 2 THEN 0 ELSE n_chars % 60000 * (n_chars % 60000 <= 50000)::INT END AS width, CASE WHEN doc_id % 5 > 2 OR n_chars % 60000 > 50000 OR n_chars % 60000 = 0 THEN 0 ELSE doc_id % 999 + 1 END AS height,
+  CASE WHEN doc_id % 5 IN (0, 2) THEN NULL WHEN doc_id % 5 = 3 THEN 'not-an-image' ELSE 'unsupported' END AS refused FROM documents"""
+)
+def image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds and sizes from image headers (S8); headers carry the sizes of documents."""
+    w, h = F.col("n_chars") % 60000, F.col("doc_id") % 999 + 1
+    be = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    le = lambda c: F.concat(F.substring(be(c, 2), 3, 2), F.substring(be(c, 2), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), be(w, 4), be(h, 4))
+    jpeg = F.concat(F.lit("FFD8FFE000040000FFC0000B08"), be(h, 2), be(w, 2), F.lit("03000000"))
+    raw = F.element_at(F.array(png, F.concat(F.lit("474946383961"), le(w), le(h)), jpeg, F.lit("255044462D312E34"), F.lit("00010203")), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.unhex(raw).alias("content"))
+    return files.image_inventory(rows, key="doc_id")
