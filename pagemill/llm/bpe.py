@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Words, doc_text, ragged, slices
+from .common import Words, doc_text, held, ragged, slices
 
 #: Distinct words that a worker keeps; the table is emptied beyond that.
 CACHE_WORDS = 600_000
@@ -348,10 +348,9 @@ def pieces(texts: pa.Array) -> Words:
     return words
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    return Encoder(path)
+    """One for each worker process."""
+    return held(path, lambda: Encoder(path))
 
 
 def vocabulary(name: str) -> str:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Only where a session names no shared folder (tests on one machine).
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
 #: Characters of text that a task turns into words at once; bounds the memory of a batch.
-SLICE_CHARS = 16_000_000
+SLICE_CHARS = 10_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,20 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_CHARS)
         yield batch.slice(a, b - a)
 
 
+_held: tuple[str, object] = ("", None)
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """One large object (a model with its word table) for each worker process; asking for another one frees it."""
+    global _held
+    if _held[0] != key:
+        _held = ("", None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held = (key, make())
+    return _held[1]
+
+
 def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[offsets[r]:offsets[r + 1]] for each of rows, one after another, and the offsets of the result."""
     start = offsets[rows]

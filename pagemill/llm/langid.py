@@ -14,7 +14,6 @@ language first in order. Rows are handled one by one; an empty table gives an em
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, held, slices
 
 ORDER = 4
 PER_LANGUAGE = 600
@@ -157,10 +156,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     lang = np.array(chosen["lang"].to_pylist(), dtype=object)
     words, index, offsets = letter_words(chosen["text"].combine_chunks())
     doc = np.repeat(np.arange(len(lang)), np.diff(offsets))
-    held = np.arange(len(lang)) % 5 == 4
+    apart = np.arange(len(lang)) % 5 == 4
     tables = []
     for name in languages:
-        count = np.bincount(index[((lang == name) & ~held)[doc]], minlength=len(words))
+        count = np.bincount(index[((lang == name) & ~apart)[doc]], minlength=len(words))
         if not count.any():
             count = np.bincount(index[(lang == name)[doc]], minlength=len(words))
         seen = np.flatnonzero(count)
@@ -171,7 +170,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     size = np.fromiter(map(len, words), np.int64, len(words))
     ce = model.entropies(index, offsets, model.word_scores(words), size)
     truth = np.array([languages.index(x) for x in lang])
-    fine = np.isfinite(ce).all(1) & (held if held.any() else True)
+    fine = np.isfinite(ce).all(1) & (apart if apart.any() else True)
     for k in range(len(languages)):
         own = ce[fine & (truth == k), k]
         if len(own):
@@ -219,17 +218,12 @@ class Judge:
         return np.where(none, -1, best), score, none | (ce[np.arange(len(ce)), best] > self.model.limits[best])
 
 
-@functools.lru_cache(maxsize=2)
-def _judge(key: str, model) -> Judge:
-    return Judge(model.value)
-
-
 def _judges(spark, model: Model | None):
     """What a worker calls to judge texts: the model goes out once as a broadcast of bounded size."""
     if model is None:
         return None, ["und"]
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-    return (lambda: _judge(key, sent)), model.languages
+    return (lambda: held(key, lambda: Judge(sent.value))), model.languages
 
 
 def predict_language(docs: DataFrame, per_language: int = PER_LANGUAGE, model: Model | None = None) -> DataFrame:
@@ -240,7 +234,7 @@ def predict_language(docs: DataFrame, per_language: int = PER_LANGUAGE, model: M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=6_000_000):
                 n = part.num_rows
                 which, score, rejected = judge().judge(part.column("text")) if judge else (np.full(n, -1), np.zeros(n), np.ones(n, bool))
                 pred = names.take(pa.array(np.where(which < 0, len(names) - 1, which)))
@@ -256,7 +250,7 @@ def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=6_000_000):
                 yield part.filter(pa.array(~judge().judge(part.column("text"))[2] if judge else np.zeros(part.num_rows, bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,6 @@ a label is missing, all scores are the share of toxic labels (0 without labels).
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ragged, slices
+from .common import Words, held, ragged, slices
 
 DECAY, SPAN = 0.6, 6
 PER_LABEL = 1500
@@ -315,17 +314,12 @@ class Judge:
         return self.model.scores(closest(self.near[: self.used], rows[index] if len(index) else index, offsets))
 
 
-@functools.lru_cache(maxsize=2)
-def _judge(key: str, model) -> Judge:
-    return Judge(model.value)
-
-
 def _scorer(spark, model: Model | float):
     """What a worker calls to score texts; the model goes out once as a broadcast of bounded size."""
     if isinstance(model, float):
         return lambda texts: np.full(len(texts), model)
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-    return lambda texts: _judge(key, sent).scores(texts)
+    return lambda texts: held(key, lambda: Judge(sent.value)).scores(texts)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
@@ -334,7 +328,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=6_000_000):
                 score = scores(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -348,7 +342,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=6_000_000):
                 yield part.filter(pa.array(scores(part.column("text")) < CUT))
 
     return docs.mapInArrow(run, docs.schema)
