@@ -58,7 +58,10 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return decoded(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
-TAB = "struct<tabProperties:struct<title:string>,documentTab:struct<body:struct<content:array<struct<paragraph:struct<elements:array<struct<textRun:struct<content:string>>>>,table:struct<tableRows:array<struct<tableCells:array<struct<content:array<struct<paragraph:struct<elements:array<struct<textRun:struct<content:string>>>>>>>>>>>>>>>"
+PARAGRAPH = "struct<elements:array<struct<textRun:struct<content:string>>>>"
+CELL_ROWS = f"array<struct<tableCells:array<struct<content:array<struct<paragraph:{PARAGRAPH}>>>>>>"
+CONTENT = f"array<struct<paragraph:{PARAGRAPH},table:struct<tableRows:{CELL_ROWS}>>>"
+TAB = f"struct<tabProperties:struct<title:string>,documentTab:struct<body:struct<content:{CONTENT}>>>"
 
 
 def nested_schema(depth: int) -> str:
