@@ -223,6 +223,7 @@ def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with text replaced, all other columns as they are, and _pii_entities: the kinds, places and surrogates."""
     values = save(found_values(docs, key), "values")
     again = redraws(values.select("kind", "value", "surrogate").distinct(), key)
+    drawn = again is not None
     if again is not None:
         own = values.select("doc_id", "kind", "value").join(again, ["kind", "value"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "surrogate"))).alias("_pii_again"))
         docs = docs.join(own.withColumnRenamed("doc_id", "_pii_doc"), F.col("doc_id").eqNullSafe(F.col("_pii_doc")), "left").drop("_pii_doc")
@@ -234,7 +235,7 @@ def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 texts, entities = part.column("text").to_pylist(), [[] for _ in range(part.num_rows)]
-                changed = dict(enumerate(part.column("_pii_again").to_pylist())) if again is not None else {}
+                changed = dict(enumerate(part.column("_pii_again").to_pylist())) if drawn else {}
                 for k, hint in enumerate(hinted(part.column("text"))):
                     if not hint:
                         continue

@@ -133,13 +133,13 @@ def audit(first: DataFrame, second: DataFrame, per_file: int = PER_FILE) -> Data
         a, b = one[k], two[k]
         key = [c for c in ("file", "slot") if c in a.columns]
         if bad is not None:
-            child = key[-1] if "slot" in key and "slot" in bad.columns else "file"
-            wanted = bad.select(*bad.columns)
+            divided = "slot" if "slot" in bad.columns else "file"  # what the level above numbers by FAN
+            above = bad.select(*[F.col(c).alias(f"up_{c}") for c in bad.columns])
+            names = bad.columns
 
             def below(level: DataFrame) -> DataFrame:
-                names = [c for c in bad.columns]
-                up = [F.floor(F.col(c) / FAN).cast("long") if c == child and (child == "slot" or "slot" not in level.columns) else F.col(c) for c in names]
-                return level.join(wanted.select(*[F.col(c).alias(f"up_{c}") for c in names]), [u == F.col(f"up_{c}") for u, c in zip(up, names)], "left_semi")
+                up = [F.floor(F.col(c) / FAN).cast("long") if c == divided else F.col(c) for c in names]
+                return level.join(above, [u == F.col(f"up_{c}") for u, c in zip(up, names)], "left_semi")
 
             a, b = below(a), below(b)
         marked = a.select(*key, F.col("hash").alias("ha")).join(b.select(*key, F.col("hash").alias("hb")), key, "full")
