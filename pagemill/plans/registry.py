@@ -23,5 +23,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+#: Tables whose rows are long texts or are worked on row by row.
+HEAVY = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; heavy ones in fewer splits than there are cores (one small file) are dealt out, so that every core has work."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in HEAVY and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
