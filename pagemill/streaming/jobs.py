@@ -1,6 +1,6 @@
 """The same over streams: windows with watermarks, keyed state in Arrow batches, and merges in foreachBatch.
 
-Keyed state holds one row for each work (or item) and is dropped by time-out. Offsets and state live in the query's
+Keyed state holds one row for each work (or item); a time-out, where one is set, drops it. Offsets and state live in the query's
 checkpoint folder, which must be one that all executors share.
 """
 
@@ -27,12 +27,13 @@ def queued(stream: DataFrame, *, key: list[str], late: str = "10 minutes") -> Da
     return stream.filter("type = 'queued'").withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def _stateful(stream: DataFrame, step: Callable, out: str, state: str) -> DataFrame:
-    return stream.groupBy("work_id").applyInPandasWithState(step, out, state, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def _stateful(stream: DataFrame, step: Callable, out: str, state: str, idle_ms: int | None) -> DataFrame:
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy("work_id").applyInPandasWithState(step, out, state, "update", timeout)
 
 
-def strikes(stream: DataFrame, *, pause_at: int = PAUSE_AT, idle_ms: int = 3_600_000) -> DataFrame:
-    """Failures in a row for each work; forgotten after an idle hour (T-5)."""
+def strikes(stream: DataFrame, *, pause_at: int = PAUSE_AT, idle_ms: int | None = None) -> DataFrame:
+    """Failures in a row for each work (T-5); with idle_ms a work that is still for so long is forgotten, and the query never rests."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -43,13 +44,14 @@ def strikes(stream: DataFrame, *, pause_at: int = PAUSE_AT, idle_ms: int = 3_600
         for kind in rows["type"]:
             count = count + 1 if kind == "failed" else 0 if kind == "item" else count
         state.update((count,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"work_id": [key[0]], "strikes": [count], "pause": [count >= pause_at]})
 
-    return _stateful(stream, step, "work_id long, strikes int, pause boolean", "strikes int")
+    return _stateful(stream, step, "work_id long, strikes int, pause boolean", "strikes int", idle_ms)
 
 
-def live_text(stream: DataFrame, *, idle_ms: int = 3_600_000) -> DataFrame:
+def live_text(stream: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
     """The text of each work so far: committed and open parts as state (T-4)."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,10 +69,11 @@ def live_text(stream: DataFrame, *, idle_ms: int = 3_600_000) -> DataFrame:
             elif kind == "clear":
                 done, open_ = "", ""
         state.update((done, open_))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"work_id": [key[0]], "text": [done + open_]})
 
-    return _stateful(stream, step, "work_id long, text string", "done string, open string")
+    return _stateful(stream, step, "work_id long, text string", "done string, open string", idle_ms)
 
 
 def merge_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):

@@ -185,9 +185,8 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     last = {r.work_id: r.strikes for r in E.strikes(log).groupBy("work_id").agg(F.max_by("strikes", "event_id").alias("strikes")).collect()}
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
     for name, job in (("texts", jobs.live_text), ("strikes", jobs.strikes)):
-        q = job(stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
+        q = job(stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
     seen = spark.sql("SELECT work_id, max_by(text, length(text)) AS text FROM texts GROUP BY work_id").collect()
     assert {r.work_id for r in seen} == {1, 2}
     assert spark.sql("SELECT count(*) AS n FROM strikes WHERE work_id = 1 AND strikes = 0").first().n >= 1 and last == {1: 0, 2: 2}
