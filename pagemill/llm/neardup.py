@@ -9,6 +9,11 @@ edges per component of its own, never all pairs. Stars become components by alte
 Null texts are empty texts; texts without words have the fingerprint zero, linked like any other. Rows without doc_id
 have a fingerprint and no component, and link nothing. Repeated rows and equal texts share one fingerprint. Other
 columns are not read, whatever their names. An empty table gives an empty table.
+
+`near_copies` is for similarity instead: pairs whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Such
+pairs differ by about ten of 64 bits, too many for blocks of bits, so that candidates are texts that share one of BANDS
+bands of ROWS minima (MinHash); each candidate is decided by the exact similarity of its texts. A band's group gives a star
+first; then only pairs of its members that the stars have not brought together are tried.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, save, slices
+from .common import doc_text, ragged, save, slices
 
 BITS, SEED = 64, 42
 #: Members of a group beyond which it is dealt again.
@@ -29,21 +34,28 @@ HOT_GROUP = 4096
 FAN = 8
 #: Query-member pairs that a task holds at once.
 PAIRS = 4_000_000
+#: Bands and minima in each: a pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9992.
+BANDS, ROWS = 18, 5
 
 
-def shingle_fingerprint(text: str, words: int) -> int:
-    """The majority of each bit over the XXH64 values of all shingles, repeats included; a tie is 0."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The XXH64 values of all shingles in order, repeats included; a text with fewer words is one shingle."""
     import xxhash
 
     parts = text.encode().lower().split()  # bytes: A-Z only, and white space 9-13 and 32
     if not parts:
-        return 0
+        return np.zeros(0, ">u8")
     line = b" ".join(parts)
     ends = [*accumulate(len(p) + 1 for p in parts)]
     starts = [0, *ends[: max(0, len(parts) - words)]]
     ends = ends[min(words, len(parts)) - 1 :]
     one = xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(line[a : b - 1], SEED) for a, b in zip(starts, ends, strict=True)), ">u8", len(starts))
+    return np.fromiter((one(line[a : b - 1], SEED) for a, b in zip(starts, ends, strict=True)), ">u8", len(starts))
+
+
+def shingle_fingerprint(text: str, words: int) -> int:
+    """The majority of each bit over the XXH64 values of all shingles, repeats included; a tie is 0."""
+    hashes = shingle_hashes(text, words)
     votes = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         votes += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
@@ -160,22 +172,29 @@ def groups_to_stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[
         yield stars(*(np.ascontiguousarray(x) for x in kept))
 
 
+def block_edges(parts: int, bits: range) -> list[int]:
+    """Where `parts` runs of `bits`, as equal as they can be, begin, and where the last one ends."""
+    if not 1 < parts <= len(bits):
+        raise ValueError(f"{len(bits)} bits do not make {parts} blocks")
+    return [bits.start + len(bits) * k // parts for k in range(parts + 1)]
+
+
 def blocks(fp: Column, parts: int, bits: range) -> list[Column]:
-    """The bits of each of `parts` equal runs of `bits` (0: lowest), as numbers."""
-    step = -(-len(bits) // parts)
-    return [F.shiftrightunsigned(fp, a).bitwiseAND((1 << min(step, bits.stop - a)) - 1) for a in range(bits.start, bits.stop, step)]
+    """The bits of each of `parts` runs of `bits` (0: lowest), as numbers."""
+    edges = block_edges(parts, bits)
+    return [F.shiftrightunsigned(fp, a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def link_stars(fps: DataFrame, radius: int = 3, hot: int = HOT_GROUP) -> DataFrame:
     """fps(fp, id), distinct -> edges (u, v) between ids: every pair of fingerprints within the radius is connected by them."""
     parts = radius + 1
-    step = BITS // parts
+    step = -(-BITS // parts)  # the longest block
     keyed = fps.select("fp", "id", F.posexplode(F.array(*blocks(F.col("fp"), parts, range(BITS)))).alias("block", "value"))
     crowded = keyed.groupBy("block", "value").agg(F.count("*").alias("members")).filter(F.col("members") > hot)
     keyed = keyed.join(crowded, ["block", "value"], "left")
     # the remaining bits of a block's group: the fingerprint turned so that the block is at its top
-    turn = (F.col("block") + 1) * step
-    turned = F.when(turn == BITS, F.col("fp")).otherwise(F.expr(f"shiftrightunsigned(fp, cast((block + 1) * {step} as int)) | shiftleft(fp, cast({BITS} - (block + 1) * {step} as int))"))
+    turn = f"array({', '.join(map(str, block_edges(parts, range(BITS))[1:]))})[block]"
+    turned = F.expr(f"if({turn} = {BITS}, fp, shiftrightunsigned(fp, {turn}) | shiftleft(fp, {BITS} - {turn}))")
     again = F.array(*[F.concat_ws(",", "block", "value", F.lit(i), b) for i, b in enumerate(blocks(turned, parts, range(BITS - step)))])
     once = F.array(F.concat_ws(",", "block", "value"))
     dealt = keyed.select("fp", "id", F.explode(F.when(F.col("members").isNull(), once).otherwise(again)).alias("name"))
@@ -214,9 +233,137 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, hot: int =
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """One row of docs for each component, the one with the smallest doc_id, all columns as they are; rows without doc_id stay."""
-    found = near_duplicates(docs, words, radius)
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs for each component of found, the one with the smallest doc_id, all columns as they are; rows without doc_id stay."""
     first = found.filter("component_id is not null").select(F.col("component_id").alias("_first")).distinct()
     named = docs.filter("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+
+
+def keep_representatives(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """The first row of each component of near duplicates by fingerprint."""
+    return keep_first(docs, near_duplicates(docs, words, radius))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of distinct hashes under each of BANDS x ROWS orders."""
+    rng = np.random.default_rng(SEED)
+    factor, shift = rng.integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        part = hashes[k : k + 4096, None] * (factor | np.uint64(1)) + shift
+        np.minimum(low, part.min(0), out=low)
+    return low
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fp (hash of the set of shingles), keys (one for each band)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for part in slices(batch):
+                fps, keys = [], []
+                for text in part.column("text").to_pylist():
+                    own = np.unique(shingle_hashes(text, words).astype(np.uint64))
+                    low = minima(own)
+                    fps.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                    keys.append([xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)] if len(own) else [])
+                signed = [np.array(k, np.uint64).view(np.int64) for k in keys]
+                cols = [part.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(signed, schema.field("keys").type)]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return doc_text(docs).mapInArrow(run, "doc_id long, fp long, keys array<long>")
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, distinct) have this Jaccard similarity or more."""
+    least, most = sorted((len(a), len(b)))
+    if least < similarity * most - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of doc_ids whose texts are alike, by their whole sets of shingles."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    texts = save(doc_text(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None  # rows come by v, so its set is made once
+        for batch in batches:
+            good = []
+            for v, a, b in zip(*(batch.column(c).to_pylist() for c in ("v", "a", "b")), strict=True):
+                if own is None or v != last:
+                    last, own = v, np.unique(shingle_hashes(b, words))
+                good.append(alike(np.unique(shingle_hashes(a, words)), own, similarity))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def group_links(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, label, text) sorted by key, whole keys in a task -> links (u, v) between members of a key with different labels whose texts are alike."""
+
+    def links(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        size = np.array([len(x) for x in sets])
+        start = np.r_[0, np.cumsum(size)]
+        used, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        label, u, v = np.array(labels), [], []
+        here = np.zeros(len(used), bool)
+        for k in range(len(ids) - 1):
+            rest = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+            rest = rest[np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k]) - 1e-9]
+            if not len(rest):
+                continue
+            here[flat[start[k] : start[k + 1]]] = True
+            found, at = ragged(flat, start, rest)
+            both = np.add.reduceat(here[found].astype(np.int64), at[:-1])
+            here[flat[start[k] : start[k + 1]]] = False
+            for j in rest[both >= similarity * (size[rest] + size[k] - both) - 1e-9]:
+                if label[j] != label[k]:
+                    u, v = [*u, ids[k]], [*v, ids[j]]
+                    label[label == label[j]] = label[k]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    key, kept = None, ([], [], [])
+    for batch in batches:
+        for one, id_, label, text in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "label", "text")), strict=True):
+            if one != key and kept[0]:
+                yield links(*kept)
+                kept = ([], [], [])
+            key = one
+            for own, x in zip(kept, (id_, label, np.unique(shingle_hashes(text, words))), strict=True):
+                own.append(x)
+    if kept[0]:
+        yield links(*kept)
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, component_id (the smallest doc_id that pairs of alike texts reach)."""
+    marked = save(sketches(docs, words).filter("doc_id is not null"), "sketches")
+    distinct = save(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "distinct")
+    keyed = distinct.select("id", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    groups = save(keyed.join(heads, "key"), "groups")
+    stars = save(groups.filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), "stars")
+    edges = save(verified(stars, docs, words, similarity), "links")
+    label = connected_components(edges).select("id", F.col("component").alias("label"))
+    tagged = save(groups.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "tagged")
+    apart = tagged.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
+    rest = save(tagged.join(apart, "key"), "rest")
+    texts = doc_text(docs).withColumnRenamed("doc_id", "id").join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    rows = rest.join(texts, "id").select("key", "id", "label", "text").repartition("key").sortWithinPartitions("key")
+    more = rows.mapInArrow(lambda it: group_links(it, words, similarity), "u long, v long").distinct()
+    found = connected_components(edges.unionByName(more))
+    by_fp = distinct.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return marked.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", "component_id")
+
+
+def keep_unlike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The first row of each component of near copies."""
+    return keep_first(docs, near_copies(docs, words, similarity))

@@ -128,6 +128,69 @@ def test_dense_groups_are_linked_whole():
     assert (label == neardup.components(len(codes), a, b)).all()
 
 
+@pytest.mark.parametrize("radius", [3, 4, 8, 11])
+@pytest.mark.parametrize("hot", [neardup.HOT_GROUP, 3])
+def test_blocks_of_any_radius_lose_no_pair(spark, radius, hot):
+    assert len(neardup.blocks(F.lit(0), radius + 1, range(64))) == radius + 1
+    rng = np.random.default_rng(radius)
+    codes = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    bits = [rng.choice(64, radius, replace=False) for _ in codes]
+    bits[0] = np.array([64 * k // (radius + 1) for k in range(radius)])  # one difference in each block but the last
+    codes = np.r_[codes, [c ^ np.uint64(sum(1 << int(x) for x in b)) for c, b in zip(codes, bits)]]
+    fps = spark.createDataFrame([(int(c), k) for k, c in enumerate(codes.view(np.int64))], "fp long, id long")
+    edges = neardup.link_stars(fps, radius, hot).collect()
+    label = neardup.components(len(codes), np.array([e.u for e in edges]), np.array([e.v for e in edges]))
+    assert (label[:60] == label[60:]).all()
+
+
+def similar_pairs(rows, least=0.8):
+    """All pairs of rows (id, text) whose sets of 5-word shingles have this similarity, by brute force."""
+    sets, holders, found = {}, {}, set()
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset([None])
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    for own in holders.values():
+        found |= {(a, b) for a in own for b in own if a < b}
+    return {(a, b) for a, b in found if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+
+
+def test_near_copies_are_all_pairs_at_four_fifths(spark, docs, odd):
+    """Copies with edited words, from nearly equal to just below the limit, and a chain whose ends are unlike."""
+    rng = np.random.default_rng(8)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10_000).alias("doc_id"), "text")).filter("doc_id is not null").distinct().collect()]
+    for k in range(300):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(20, 400)))]
+        edited = list(w)
+        for at in rng.choice(len(w), max(1, int(len(w) * rng.choice([0.005, 0.01, 0.02, 0.025]))), replace=False):
+            edited[at] = "edited"
+        rows += [(20_000 + 2 * k, " ".join(w)), (20_001 + 2 * k, " ".join(edited))]
+    chain = [f"c{x}" for x in range(100)]
+    rows += [(30_000 + k, " ".join([*chain[4 * k :], *(f"d{x}" for x in range(4 * k))])) for k in range(6)]
+    want = sorted(similar_pairs(rows))
+    assert len(want) > 200
+    got = {r.doc_id: r.component_id for r in neardup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    place = {i: k for k, i in enumerate(sorted(i for i, _ in rows))}
+    label = neardup.components(len(rows), *(np.array([place[p[j]] for p in want]) for j in (0, 1)))
+    ids = sorted(place)
+    linked = sum(got[a] == got[b] for a, b in want)
+    assert linked == len(want), f"recall {linked / len(want)}"
+    assert [got[i] for i in ids] == [ids[k] for k in label]  # nothing else is linked
+    assert neardup.near_copies(empty(odd)).count() == 0
+
+
+def test_the_stage_drops_near_copies(spark, odd):
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = odd.limit(0).unionByName(odd.limit(1).withColumns({"doc_id": F.lit(1).cast("long"), "text": F.lit(text)})).unionByName(odd.limit(1).withColumns({"doc_id": F.lit(2).cast("long"), "text": F.lit(re.sub(r"w(40|90|150)\b", "x", text))}))
+    assert {(1, 2)} == similar_pairs([(r.doc_id, r.text) for r in rows.collect()])
+    assert neardup.keep_representatives(rows).count() == 2  # beyond 3 bits
+    kept = corpus_pipeline.near_dedup(spark, rows, SF)
+    assert [r.doc_id for r in kept.collect()] == [1] and kept.columns == odd.columns
+
+
 def test_keep_representatives(odd):
     kept = neardup.keep_representatives(odd)
     assert kept.columns == odd.columns
