@@ -19,6 +19,8 @@ import functools
 import hashlib
 import random
 import re
+import sys
+import unicodedata
 import warnings
 from collections.abc import Iterator
 
@@ -40,8 +42,12 @@ FIRST_NAMES = {
     "cyrillic f": "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
     "cyrillic m": "Иван Сергей Алексей Дмитрий Андрей Михаил Николай Павел".split(),
 }
+#: The zeros of all scripts: \d finds them and the nine after each.
+ZEROS = [k for k in range(sys.maxunicode) if unicodedata.category(chr(k)) == "Nd" and unicodedata.digit(chr(k)) == 0]
+DIGIT = "[" + "".join(rf"\x{{{z:x}}}-\x{{{z + 9:x}}}" for z in ZEROS) + "]"
 #: Letters and digits that stand in for each other.
 ALPHABETS = [a for base in ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæ", "èéêë", "ìíîï", "òóôõöø", "ùúûü", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ") for a in dict.fromkeys([base, base.upper()])]
+ALPHABETS += ["".join(chr(z + k) for k in range(10)) for z in ZEROS if z != ord("0")]
 SET_OF = {c: a for a in ALPHABETS for c in a}
 HEX = {"lower": "0123456789abcdef", "upper": "0123456789ABCDEF"}
 
@@ -58,8 +64,10 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? (?=[^\W\d_a-zß-ÿ])|(?=(?:{NAMES}) [^\W\d_a-zß-ÿ]))(?!(?P<again>{WORD})(?: (?P=again)){{1}}){WORD}(?: [^\W\d_a-zß-ÿ]{WORD}){{0,2}}",
 }
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-#: A text without any of these has nothing to find; RE2 runs it over whole columns.
-HINT = rf"@|\d{{3}}|\d\.\d|[0-9a-fA-F]{{32}}|token|secret|password|api_?key|(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? \p{{Lu}}|(?:{NAMES}) \p{{Lu}}"
+#: After a title or first name: nothing that PATTERNS["name"] rules out.
+CAPITAL = r"[^\x00-@\[-`a-zß-ÿ]"
+#: A text without any of these has nothing to find (every branch of PATTERNS asks for one); RE2 runs it over whole columns.
+HINT = rf"@|{DIGIT}{{3}}|{DIGIT}\.{DIGIT}|\+{DIGIT}|[A-Z]{{2}}{DIGIT}{{2}} ?[A-Z0-9]{{4}}|[0-9a-fA-F]{{32}}|token|secret|password|api_?key|(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? {CAPITAL}|(?:{NAMES}) {CAPITAL}"
 
 
 def keyed(key: str, *what: object) -> int:
@@ -156,7 +164,8 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
                 return value[: len(value) - len(word)] + shuffled_text(word, key, tweak, dict.fromkeys(sets, sets))
         return value[: len(value) - len(word)] + shuffled_text(word, key, tweak)
     if kind == "card":
-        digits = re.sub(r"\D", "", value)
+        own = [SET_OF[c] for c in value if c.isdigit()]
+        digits = "".join(str(int(c)) for c in value if c.isdigit())
         right = check_digit(digits[:-1]) == digits[-1]
         new = digits
         while True:
@@ -167,7 +176,7 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
             new = shuffled_text(new, key, tweak)
             if check_digit(new[:-1]) != new[-1]:
                 break
-        rest = iter(new)
+        rest = iter(a[int(d)] for a, d in zip(own, new, strict=True))
         return "".join(next(rest) if c.isdigit() else c for c in value)
     if kind == "phone" and (head := re.match(r"\+\d{1,3}(?=[ .(-])", value)):
         return head[0] + shuffled_text(value[head.end() :], key, (tweak, head[0]))

@@ -350,6 +350,46 @@ def test_surrogates_are_permutations_and_clashes_are_redrawn(spark):
     assert got[99] == got[values.index(clash)] if clash in values else got[99] not in list(got.values())[:-1]
 
 
+def generated_values(rng, count):
+    """Values of every kind and shape that the patterns allow, also with digits and letters of other scripts."""
+    digits = ["0123456789"] * 4 + ["".join(chr(z + k) for k in range(10)) for z in pii.ZEROS]
+
+    def d(least, most=None):
+        return "".join(rng.choice(list(own), int(rng.integers(least, (most or least) + 1))))
+
+    for _ in range(count):
+        own = digits[int(rng.integers(len(digits)))]
+        sep = lambda: str(rng.choice(["", " ", ".", "-"]))
+        letters = lambda n: "".join(rng.choice(list("ABCDEFGHXYZ"), n))
+        title, first = str(rng.choice("Mr Mrs Ms Dr. Herr Frau Mme Sr Sra.".split())), str(rng.choice(pii.NAMES.split("|")))
+        last = str(rng.choice(["Miller", "Élan", "Ωmega", "ωmega", "иванов", "田中", "Ǆabc", "ªb", "ıb", "ĀB", "Āb", "²b"]))
+        yield from (
+            f"+{d(1, 3)}" + "".join(sep() + d(2, 4) for _ in range(int(rng.integers(2, 6)))),
+            f"({d(2, 4)}){sep()}{d(3)}-{d(4)}", f"{d(3)} {d(3)}.{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", ".".join(str(x) for x in rng.integers(0, 256, 4)), f"{d(1)}.{d(1)}.{d(1)}.{d(1)}",
+            f"{letters(2)}{d(2)} {letters(4)} {letters(4)} {letters(4)}", f"{letters(2)}{d(2)}{letters(4)}{d(4)}{letters(4)}{letters(1)}", d(13, 19), f"{d(4)}-{d(4)}-{d(4)}-{d(4)}",
+            f"a{d(0, 2)}@b.ñ", f"token{sep()}={letters(9)}", f"secret: {last * 8}", f"api_key={letters(8)}", f"apikey={letters(8)}", f"password = '{letters(8)}", "ab12" * 8, "AB12" * 9,
+            f"{title} {last}", f"{title} {first} {last}", f"{first} {last}", f"{first} {last} {last}x",
+        )
+
+
+def test_hint_leaves_out_no_text_with_private_data():
+    values = ["+45 12 34 56 78", "+47 22-33-44-55", "+49 30 12 34 56 78", "DE12 ABCD EFGH IJKL", "Herr иванов", "٣.٣.٣.٣", *generated_values(np.random.default_rng(4), 500)]
+    texts = [t for v in values for t in (v, f"so {v} it is", f"so {v[:-1]}", f"{v[1:]} so")]
+    found = [pii.find(t) for t in texts]
+    assert {k for own in found for k, _, _ in own} == set(pii.PATTERNS) and all(pii.find(v) for v in values[:6])
+    missed = [t for t, own, hint in zip(texts, found, pii.hinted(pa.array(texts)), strict=True) if own and not hint]
+    assert not missed
+
+
+def test_values_in_other_digits_and_without_other_hints_are_replaced(spark):
+    values = ["+45 12 34 56 78", "٠١٢-٣٤٥-٦٧٨٩", "४५३९५७८७६३६२१४८६", "٣.٤.٥.٦", "DE12 ABCD EFGH IJKL"]
+    rows = spark.createDataFrame([(k, f"so {v} it is") for k, v in enumerate(values)] + [(90 + k, f"so {v} it is, 123456") for k, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_private(rows).collect()}
+    assert all(v not in got[k] and got[90 + k] == f"{got[k]}, 123456" for k, v in enumerate(values))
+    card = got[2].split()[1]
+    assert {ord(c) - 0x966 for c in card} <= set(range(10)) and len(card) == 16
+
+
 def test_token_files(spark, odd, docs, tmp_path):
     manifest = tokenfile.write_tokens(docs, f"file://{tmp_path}/a", files=5)
     assert len(manifest) == 5
