@@ -8,7 +8,9 @@ kind (private, public), first names their gender and script. A permutation gives
 and the same value always the same one, in every document.
 
 Collision check: a surrogate that is itself a value found in the corpus, or that two values share, is drawn again with
-the next tweak until none is left; such draws reach their documents by a join. Null texts stay null, and texts without
+the next tweak until none is left; such draws reach their documents by a join. Where a format has too few unused values,
+its permutation gives way after MOST_DRAWS draws to longer surrogates of the same kind, drawn for each value by itself;
+what clashes after all LONGER_DRAWS fails the job, so no two values of a kind ever share a surrogate. Null texts stay null, and texts without
 personal data stay as they are. Repeated rows are handled alike; all other columns stay, whatever their names, except that
 they may not begin with `_pii`. An empty table gives an empty table.
 """
@@ -21,7 +23,6 @@ import random
 import re
 import sys
 import unicodedata
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .common import save, slices
 KEY = "surrogates"
 ROUNDS = 8
 MOST_DRAWS = 8
+#: Draws of longer surrogates after those; each is longer than the one before.
+LONGER_DRAWS = 8
 
 #: First names by script and gender; a surrogate comes from the same list.
 FIRST_NAMES = {
@@ -45,6 +48,7 @@ FIRST_NAMES = {
 #: The zeros of all scripts: \d finds them and the nine after each.
 ZEROS = [k for k in range(sys.maxunicode) if unicodedata.category(chr(k)) == "Nd" and unicodedata.digit(chr(k)) == 0]
 DIGIT = "[" + "".join(rf"\x{{{z:x}}}-\x{{{z + 9:x}}}" for z in ZEROS) + "]"
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Mme", "Sr", "Sra")
 #: Letters and digits that stand in for each other.
 ALPHABETS = [a for base in ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæ", "èéêë", "ìíîï", "òóôõöø", "ùúûü", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ") for a in dict.fromkeys([base, base.upper()])]
 ALPHABETS += ["".join(chr(z + k) for k in range(10)) for z in ZEROS if z != ord("0")]
@@ -131,14 +135,70 @@ def first_name_cycle(key: str, group: str, tweak: object) -> dict[str, str]:
 GROUP_OF = {n: g for g, own in FIRST_NAMES.items() for n in own}
 
 
+def invented(like: str, size: int, *what: object) -> str:
+    """Keyed letters (or digits, for a number) in the script of a word, capitalised like it."""
+    if like.isdecimal():
+        sets = ["0123456789"]
+    else:
+        sets = ["бвгджзклмнпрст", "аеиоу"] if re.search("[а-яА-Я]", like) else ["bcdfghjklmnprstvz", "aeiou"]
+    n, out = keyed(*what), ""
+    for k in range(size):
+        n, place = divmod(n, len(sets[k % len(sets)]))
+        out += sets[k % len(sets)][place]
+    return out[:1].upper() + out[1:] if like[:1].isupper() else out
+
+
+def longer_surrogate(kind: str, value: str, key: str, draw: int) -> str:
+    """A surrogate of the same kind beyond the value's format, drawn for this value alone; addresses keep to four numbers."""
+    more, what = 2 * (draw - MOST_DRAWS), (key, kind, draw, value)
+    if kind == "name":
+        words = value.split(" ")
+        titles = 1 if words[0].rstrip(".") in TITLES else 0
+        out = words[:titles]
+        for k, w in enumerate(words[titles:]):
+            out.append(first_name_cycle(key, GROUP_OF[w], draw)[w] if w in GROUP_OF else invented(w, max(len(w), 4) + more, *what, k))
+        if words[-1] in GROUP_OF:
+            out.append(invented(words[-1], 4 + more, *what))
+        return " ".join(out)
+    if kind == "email":
+        local, _, domain = value.rpartition("@")
+        host, _, top = domain.rpartition(".")
+        hosts = (shuffled_text(x, key, ("host", draw)) for x in host.split("."))
+        return f"{invented('a', max(len(local), 4) + more, *what)}@{'.'.join(hosts)}.{top}"
+    if kind == "ip":
+        parts = [int(x) for x in value.split(".")]
+        new, like = parts, ip_kind(parts)
+        while True:
+            new = permuted(new, [256] * 4, key, (kind, draw, value))
+            if ip_kind(new) == like:
+                return ".".join(map(str, new))
+    if kind == "secret":
+        head = re.match(r"\s*[=:]\s*[\"']?", value)
+        head = head[0] if head else ""
+        size = len(value) - len(head) + more
+        digits = f"{keyed(*what):064x}"
+        if not head and value == value.upper():
+            digits = digits.upper()
+        return head + (digits * (size // 64 + 1))[:size]
+    if kind == "card":
+        digits = "".join(str(int(c)) for c in value if c.isdigit())
+        new = invented("1", len(digits) - 1 + more, *what)
+        return new + check_digit(new)
+    head = re.match(r"\+\d{1,3}(?=[ .(-])", value) if kind == "phone" else None
+    head = head[0] if head else ""
+    return head + shuffled_text(value[len(head) :], key, (kind, draw, value)) + invented("1", more, *what)
+
+
 @functools.lru_cache(maxsize=200_000)
 def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
-    """The surrogate of a value; another draw gives another permutation."""
+    """The surrogate of a value; another draw gives another permutation, and draws beyond MOST_DRAWS longer surrogates."""
+    if draw > MOST_DRAWS:
+        return longer_surrogate(kind, value, key, draw)
     tweak = (kind, draw)
     if kind == "name":
         out = []
         for w in value.split(" "):
-            if w.rstrip(".") in ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Mme", "Sr", "Sra"):
+            if w.rstrip(".") in TITLES:
                 out.append(w)
             elif w in GROUP_OF:
                 out.append(first_name_cycle(key, GROUP_OF[w], draw)[w])
@@ -213,19 +273,21 @@ def redraws(values: DataFrame, key: str = KEY) -> DataFrame | None:
     draw_again = F.udf(lambda kind, value, draw: surrogate(kind, value, key, draw), "string")  # few rows
     settled, originals = values, values.select("kind", F.col("value").alias("surrogate"))
     changed = None
-    for draw in range(1, MOST_DRAWS + 1):
-        taken = settled.join(originals, ["kind", "surrogate"], "left_semi")
+    for draw in range(1, MOST_DRAWS + LONGER_DRAWS + 2):
+        taken = settled.join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value", F.lit("taken").alias("why"))
         shared = settled.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-        clash = save(taken.unionByName(settled.join(shared, ["kind", "surrogate"], "left_semi")).select("kind", "value").distinct(), "clashes")
+        shared = settled.join(shared, ["kind", "surrogate"], "left_semi").select("kind", "value", F.lit("shared").alias("why"))
+        clash = save(taken.unionByName(shared).groupBy("kind", "value").agg(F.max(F.col("why") == "taken").alias("taken"), F.max(F.col("why") == "shared").alias("shared")), "clashes")
         if clash.isEmpty():
             return changed
+        if draw > MOST_DRAWS + LONGER_DRAWS:
+            both = clash.agg(F.count_if("taken"), F.count_if("shared")).first()
+            raise RuntimeError(f"after {draw - 1} draws {both[0]} surrogates equal other values and {both[1]} are shared; raise LONGER_DRAWS")
+        clash = clash.select("kind", "value")
         new = save(clash.select("kind", "value", draw_again("kind", "value", F.lit(draw)).alias("surrogate")), "draws")
         settled = settled.join(clash, ["kind", "value"], "left_anti").unionByName(new)
         changed = new if changed is None else changed.join(clash, ["kind", "value"], "left_anti").unionByName(new)
-    left = settled.join(originals, ["kind", "surrogate"], "left_semi").count()
-    if left:
-        warnings.warn(f"{left} surrogates equal other values after {MOST_DRAWS} draws: most values of their format are in use", stacklevel=2)
-    return changed
+    raise AssertionError("the last round returns or fails")
 
 
 def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:

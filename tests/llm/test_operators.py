@@ -350,6 +350,26 @@ def test_surrogates_are_permutations_and_clashes_are_redrawn(spark):
     assert got[99] == got[values.index(clash)] if clash in values else got[99] not in list(got.values())[:-1]
 
 
+def test_full_formats_get_longer_surrogates(spark):
+    """Every value of a format is in the corpus, so none of its permutations is free of clashes."""
+    names = [f"Dr {n}" for n in pii.FIRST_NAMES["cyrillic m"] + pii.FIRST_NAMES["latin f"]] + [f"Иван {a}{b}" for a in "БВГДЖЗКЛМНПРСТФХЦЧШЩ" for b in "аеиоуыэюя"]
+    mails = [f"{a}@b.org" for a in "aeiou"] + [f"{a}@{b}.org" for a in "aeiou" for b in "cdfghjklmnpqrstvwxyz"]
+    values = [*names, *mails, "1.2.3.4", "01.2.3.4", "Dr 田中"] + [f"+1 {a:02d} {b:02d}" for a in range(100) for b in range(100)]
+    rows = spark.createDataFrame([(k, f"so ; {v} ; it is @") for k, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r.text.split(" ; ")[1] for r in pii.replace_private(rows).collect()}
+    assert len(set(got.values())) == len(values) and not set(got.values()) & set(values)
+    assert all(got[k].startswith("Dr ") for k in range(8)) and "田" not in "".join(got.values())
+
+
+def test_clashes_that_stay_fail_the_job(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda kind, value, key=pii.KEY, draw=0: "Dr Same")
+    same = spark.createDataFrame([("name", "Dr A", "Dr Same"), ("name", "Dr B", "Dr Same")], "kind string, value string, surrogate string")
+    monkeypatch.setattr(pii, "MOST_DRAWS", 1)
+    monkeypatch.setattr(pii, "LONGER_DRAWS", 1, raising=False)
+    with pytest.raises(RuntimeError, match="0 surrogates equal other values and 2 are shared"):
+        pii.redraws(same)
+
+
 def generated_values(rng, count):
     """Values of every kind and shape that the patterns allow, also with digits and letters of other scripts."""
     digits = ["0123456789"] * 4 + ["".join(chr(z + k) for k in range(10)) for z in pii.ZEROS]
