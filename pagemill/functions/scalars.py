@@ -12,6 +12,27 @@ def tolerant_bool(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c)).isin("true", "1", "yes"), F.lit(False))
 
 
+def tolerant_notes(c: Column) -> Column:
+    """A JSON array of notes, or one note, as an array of strings without blanks; whatever else there is gives none."""
+    one = F.array(strip(c))
+    many = F.transform(F.from_json(c, "array<string>"), lambda n: strip(n))
+    found = F.when(c.rlike(r"\A\s*\["), many).when(c.isNotNull() & ~c.rlike(r"\A\s*\{"), one)
+    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda n: n != "")
+
+
+def tolerant_box(c: Column) -> Column:
+    """Four numbers as struct(x, y, w, h); anything else is the empty box."""
+    sides = [F.try_element_at(c, F.lit(k + 1)).try_cast("double") for k in range(4)]
+    fine = F.size(c) == 4
+    for s in sides:
+        fine = fine & s.isNotNull()
+    return F.struct(*[F.when(F.coalesce(fine, F.lit(False)), s).otherwise(0.0).alias(n) for n, s in zip("xywh", sides, strict=True)])
+
+
+def tolerant_int(c: Column, default: Column) -> Column:
+    return F.coalesce(c.try_cast("double").cast("long"), default)
+
+
 def normal_pronoun(c: Column) -> Column:
     word = F.lower(strip(F.coalesce(c, F.lit(""))))
     return F.when(word.isin("she", "her", "female", "f"), "she").when(word.isin("he", "him", "male", "m"), "he").when(word.isin("they", "them"), "they").otherwise("")
@@ -37,6 +58,16 @@ def pixels_to_box(x: Column, y: Column, w: Column, h: Column, width: Column, hei
     return F.struct(*[F.when(fine, v / size).otherwise(zero).alias(n) for n, v, size in (("x", x, width), ("y", y, height), ("w", w, width), ("h", h, height))])
 
 
+def box_to_pixels(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """The box on a picture of this size."""
+    return F.struct(*[(v * size).alias(n) for n, v, size in (("x", x, width), ("y", y, height), ("w", w, width), ("h", h, height))])
+
+
+def box_percent(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """The box in percent of the page, as it is drawn."""
+    return F.struct(*[(v * 100).alias(n) for n, v in (("left", x), ("top", y), ("width", w), ("height", h))])
+
+
 def box_inside(x: Column, y: Column, w: Column, h: Column, eps: float = 1e-6) -> Column:
     numbers = ~(F.isnan(x) | F.isnan(y) | F.isnan(w) | F.isnan(h))
     return F.coalesce(numbers & (w >= 0) & (h >= 0) & (x >= -eps) & (y >= -eps) & (x + w <= 1 + eps) & (y + h <= 1 + eps), F.lit(False))

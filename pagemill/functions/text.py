@@ -5,6 +5,8 @@ Classes are explicit code points, so that Java, RE2 and Python mean the same by
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,7 +25,7 @@ ENDS_SENTENCE = rf"[。！？.!?」』”)）][{SPACE}]*\z"
 STARTS_ON = rf"\A[{SPACE}]*[」』、，をがにへとのもは]"
 ELLIPSIS_RUN = r"(?:\A|[^.])\.\.(?:[^.]|\z)|\.{4,}"
 
-#: A heading: a numbered counter, a kind word, or one of the two English kind words; folded to plain width, without a full stop.
+# Headings are a numbered counter, a kind word, or an English one; folded to plain width, without a full stop.
 NUMERAL = "0-9〇一二三四五六七八九十百千"
 AFTER = rf"(?:\z|[{SPACE}:：.\-–—「『（(【・])"
 HEADING = "|".join(
@@ -38,14 +40,17 @@ HEADING = rf"(?i)\A[{SPACE}]*(?:{HEADING})"
 FULL_STOP = rf"[。．.][{SPACE}]*\z"
 SENTENCE_END = rf"[。．！？.!?][{SPACE}]*\z"
 
+# Fixed value: the dashes that stand round a printed page number.
 DASHES = "-‐‑‒–—―ー~〜"
 PAGE_NUMBER = rf"\A[{DASHES.replace('-', chr(92) + '-')}]+[{SPACE}]*[0-9]{{1,4}}[{SPACE}]*[{DASHES.replace('-', chr(92) + '-')}]+\z"
 #: Fixed value: endings of bare web addresses.
-TOP_LEVELS = "com|net|org|jp|io|co|me|info|site|xyz|app|tv|cc|to|ru|link|online|club"
+TOP_LEVELS = "com|net|org|jp|io|co|me|info|site|xyz|app|tv|cc|to|ru|link|online|club|top|biz|us|uk|kr|cn|fun|moe|blog|page|web"
 WEB_ADDRESS = rf"\A(?:https?://)?(?:www\.)?(?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?\.)+(?:{TOP_LEVELS})(?:/[^{SPACE}]*)?\z"
 
-FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-PLAIN_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+#: Characters whose compatibility form (NFKC) is another single character, and those that become several, each with its form.
+COMPATIBLE = {c: n for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000)]) if (n := unicodedata.normalize("NFKC", c)) != c and n}
+SINGLE = {c: n for c, n in COMPATIBLE.items() if len(n) == 1}
+SEVERAL = {c: n for c, n in COMPATIBLE.items() if len(n) > 1}
 
 
 def strip(c: Column) -> Column:
@@ -70,8 +75,23 @@ def strip_format(c: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Full-width ASCII as plain ASCII, for decisions only."""
-    return F.translate(F.coalesce(c, F.lit("")), FULL_WIDTH, PLAIN_WIDTH)
+    """Compatibility forms as plain ones (NFKC character by character; marks of their own are not joined to letters), for decisions only."""
+    text = F.coalesce(c, F.lit(""))
+    plain = F.replace(F.replace(F.translate(text, "".join(SINGLE), "".join(SINGLE.values())), F.lit("…"), F.lit("...")), F.lit("‥"), F.lit(".."))
+    table = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(plain.rlike(f"[{_class(SEVERAL.keys() - {'…', '‥'})}]"), spelled).otherwise(plain)
+
+
+def _class(chars: Iterable[str]) -> str:
+    """The body of a bracket expression for characters, neighbours as ranges."""
+    runs: list[list[int]] = []
+    for k in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == k - 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
 
 
 def unix_lines(c: Column) -> Column:

@@ -1,19 +1,25 @@
 """Glossary entries, their spellings, and which of them a text uses.
 
-Entries: source, english, variants (array), type, reading and further columns. A spelling is found by an equality join:
-texts give their distinct grams of at most ANCHOR characters, spellings their first ones, and only pairs that share one
-are searched. So the work is the text's length and the true candidates, not texts times terms.
+Entries: source, english, variants (array), type, reading and further columns. A spelling is found by an equality join of
+grams. Of the grams of up to ANCHOR characters that a spelling holds, its anchor is the one that the fewest texts have, so
+that names which begin alike with common letters don't meet every text. Texts give only grams that are someone's anchor.
+So the work is the text's length and the true candidates, not texts times terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_pronoun
 from ..functions.text import KANJI, strip
+from .ranks import numbered
 
 ANCHOR = 4
+#: One text of this many says how common grams are.
+SAMPLED = 16
+#: Anchors (of at most ANCHOR characters each) that may go out to all tasks.
+SENT_OUT = 500_000
 
 
 def spellings(entries: DataFrame, key: list[str]) -> DataFrame:
@@ -23,29 +29,58 @@ def spellings(entries: DataFrame, key: list[str]) -> DataFrame:
     return entries.select(*key, F.posexplode(clean).alias("rank", "spelling"))
 
 
-def relevant(chapters: DataFrame, names: DataFrame, *, key: list[str], text: str = "text", entry: list[str], boundary: str = KANJI) -> DataFrame:
-    """chapters x entries whose spelling occurs in the text; one character alone only away from the boundary class."""
-    anchored = names.select(*entry, "spelling", F.substring("spelling", 1, ANCHOR).alias("__gram"), F.least(F.length("spelling"), F.lit(ANCHOR)).alias("__n"))
-    used = anchored.select("__n").distinct()  # at most ANCHOR rows
-    texts = chapters.select(*key, F.col(text).alias("__text")).crossJoin(F.broadcast(used.agg(F.collect_set("__n").alias("__used"))))
-    chars = texts.select(*key, "__used", F.split("__text", "").alias("__c"))
+def grams(c: Column, n: int) -> Column:
+    """All runs of n characters of a text, in order."""
+    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))
 
-    def of_length(n: int) -> F.Column:
-        starts = F.when(F.size("__c") >= n, F.sequence(F.lit(0), F.size("__c") - n)).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(starts, lambda i: F.concat(*[F.get("__c", i + k) for k in range(n)]))
-        return F.when(F.array_contains("__used", n), F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
-    grams = F.concat(*[of_length(n) for n in range(1, ANCHOR + 1)])
-    found = chars.select(*key, F.explode(grams).alias("__gram")).join(anchored, "__gram").select(*key, *entry, "spelling").distinct()
-    held = found.join(chapters.select(*key, F.col(text).alias("__text")), key)
-    alone = F.regexp_like("__text", F.concat(F.lit(f"(?<![{boundary}])\\Q"), F.col("spelling"), F.lit(f"\\E(?![{boundary}])")))
-    fits = F.when(F.length("spelling") == 1, alone).otherwise(F.expr("contains(__text, spelling)"))
+def anchors(texts: DataFrame, names: DataFrame, text: str) -> DataFrame:
+    """names(spelling) with gram: of its grams of min(ANCHOR, length) characters the one in the fewest of a share of the texts, the first of equals."""
+    own = names.select("spelling").distinct().filter("spelling <> ''")
+    size = F.least(F.length("spelling"), F.lit(ANCHOR))
+    every = F.when(size < ANCHOR, F.array("spelling")).otherwise(grams(F.col("spelling"), ANCHOR))
+    held = own.select("spelling", F.posexplode(every).alias("at", "gram"))
+    # how common a gram is only decides the plan, so a sample of texts will do
+    sample = texts.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0).select(F.explode(F.array_distinct(grams(F.col(text), ANCHOR))).alias("gram"))
+    common = sample.join(held.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+    ranked = held.join(common, "gram", "left").groupBy("spelling").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "at")).alias("gram"))
+    return names.join(ranked, "spelling")
+
+
+def relevant(chapters: DataFrame, names: DataFrame, *, key: list[str], text: str = "text", entry: list[str], boundary: str | None = KANJI) -> DataFrame:
+    """chapters x entries whose spelling occurs in the text; one character alone only away from the boundary class (None: anywhere).
+
+    names: entry columns and spelling.
+    """
+    anchored = anchors(chapters.select(text).filter(F.col(text).isNotNull()), names, text).select(*dict.fromkeys([*entry, "spelling", "gram"]))
+    chars = chapters.select(*key, F.col(text).alias("__text"))
+    lengths = F.array_distinct(F.concat(*[grams(F.col("__text"), n) for n in range(1, ANCHOR)]))
+    known = anchored.select("gram").distinct()
+    if known.count() <= SENT_OUT:  # a proven bound; beyond it grams are dealt by hash
+        known = F.broadcast(known)
+    short = chars.select(*key, F.explode(lengths).alias("gram")).join(known.filter(F.length("gram") < ANCHOR), "gram", "left_semi")
+    long = chars.select(*key, F.explode(F.array_distinct(grams(F.col("__text"), ANCHOR))).alias("gram")).join(known.filter(F.length("gram") == ANCHOR), "gram", "left_semi")
+    pairs = long.unionByName(short).join(anchored, "gram").select(*key, *dict.fromkeys([*entry, "spelling"]))
+    held = pairs.join(chars, key)
+    alone = F.lit(True) if boundary is None else F.regexp_like("__text", F.concat(F.lit(f"(?<![{boundary}])\\Q"), F.col("spelling"), F.lit(f"\\E(?![{boundary}])")))
+    fits = F.when(F.length("spelling") == 1, alone & F.contains("__text", "spelling")).otherwise(F.contains("__text", "spelling"))
     return held.filter(fits).select(*key, *entry).distinct()
 
 
-def ordered(entries: DataFrame) -> DataFrame:
-    """All entries by type, then English or source."""
-    return entries.orderBy("type", F.coalesce(F.nullif("english", F.lit("")), F.col("source")))
+def listing(entry: str = "") -> list[Column]:
+    """The order of entries: type, then English or else source, in code-point order."""
+    return [F.col(f"{entry}type"), F.coalesce(F.nullif(F.col(f"{entry}english"), F.lit("")), F.col(f"{entry}source"))]
+
+
+def ordered(entries: DataFrame, *, ties: list[str], by: list[str] | None = None) -> DataFrame:
+    """All entries with their place in the listing (of each group `by`), ties by these columns (L1)."""
+    return numbered(entries, by=by or [], order=[*listing(), *map(F.col, ties)])
+
+
+def canonical(entries: DataFrame, *, ties: list[str]) -> DataFrame:
+    """Entries that have an English name but no source, by type and English, with their place (L1)."""
+    return numbered(entries.filter("source = '' and english <> ''"), by=[], order=[F.col("type"), F.col("english"), *map(F.col, ties)])
 
 
 def admit(proposed: DataFrame, pending: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,12 +129,23 @@ def add_variants(entries: DataFrame, variants: DataFrame) -> DataFrame:
     return joined.withColumn("variants", F.array_union(F.coalesce("variants", F.array().cast("array<string>")), F.coalesce("__new", F.array().cast("array<string>")))).drop("__of", "__new")
 
 
-def report(entries: DataFrame) -> DataFrame:
-    """A block of text for each type: its entries in order, one to a line."""
+def report(entries: DataFrame, *, ties: list[str]) -> DataFrame:
+    """The listing as lines: section (the type), place, line; place 0 is the section's heading.
+
+    One row for each line, so that no section has to fit into one task; written in order of section and place it is the report.
+    """
     line = F.concat(F.lit("- "), F.coalesce("source", F.lit("")), F.lit(": "), F.coalesce("english", F.lit("")))
-    rank = F.coalesce(F.nullif("english", F.lit("")), F.col("source"))
-    rows = entries.groupBy("type").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), line.alias("l")))).alias("__l"))
-    return rows.select("type", F.concat(F.lit("## "), F.col("type"), F.lit("\n"), F.array_join(F.transform("__l", lambda s: s["l"]), "\n")).alias("block"))
+    rows = ordered(entries, ties=ties, by=["type"]).select(F.col("type").alias("section"), "place", line.alias("line"))
+    heads = entries.select("type").distinct().select(F.col("type").alias("section"), F.lit(0).cast("long").alias("place"), F.concat(F.lit("## "), "type").alias("line"))
+    return heads.unionByName(rows)
+
+
+def get(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(spelling) -> the entry of each: the one with this source, else the first in order with it among its spellings."""
+    names = spellings(entries, ["source", "type", "english"]).withColumn("__own", (F.col("source") == F.col("spelling")).cast("int"))
+    order = Window.partitionBy("spelling").orderBy(F.desc("__own"), *listing(), "rank")
+    best = asked.select("spelling").distinct().join(names, "spelling").withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    return asked.join(best.drop("__n", "__own", "rank"), "spelling", "left")
 
 
 def unknown_speakers(lines: DataFrame, entries: DataFrame) -> DataFrame:

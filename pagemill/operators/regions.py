@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import box_inside
+from ..functions.scalars import box_inside, tolerant_bool, tolerant_notes
 from ..functions.text import furniture_kind, strip
 
 # The kinds of regions, joins, glue, confidence and who set an order.
@@ -17,8 +17,24 @@ TRANSLATED = tuple(k for k in KINDS if k not in (*FURNITURE, "furigana"))
 JOINS = ("sentence", "paragraph", "chapter", "gap")
 GLUES = ("space", "none")
 CONFIDENCE = ("high", "medium", "low")
+TURNED = "stored size and read size are each other turned"
 
-READ = "width double, height double, confidence string, regions array<struct<text string, kind string, box array<double>, order double, join_prev string, join_glue string>>"
+FIELDS = ("text", "kind", "order", "join_prev", "join_glue")
+
+
+def read_json(c: Column) -> Column:
+    """The outermost JSON object of a text as a variant; null where there is none or it does not parse."""
+    found = F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+    return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+
+
+def entry_fields(entry: Column) -> Column:
+    """A region entry of any shape as texts; what it does not have is null."""
+    return F.struct(*[F.try_variant_get(entry, f"$.{c}", "string").alias(c) for c in ("id", *FIELDS)], F.try_variant_get(entry, "$.box", "array<string>").alias("box"))
+
+
+def entries(found: Column) -> Column:
+    return F.transform(F.try_variant_get(found, "$.regions", "array<variant>"), entry_fields)
 
 
 def kind_table(spark) -> DataFrame:
@@ -28,35 +44,55 @@ def kind_table(spark) -> DataFrame:
 def parse_reads(responses: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """responses(page_id, raw), sizes(page_id, width, height) -> (regions, page_meta, rejects).
 
-    The outermost JSON object counts. Regions without text go; ids are places; boxes in pixels become fractions of the size
-    said, boxes in fractions stay; unknown words take defaults; orders are renumbered from 0. A page whose said size is the
-    measured one turned is marked.
+    The outermost JSON object counts. Regions without text go; ids are places in the response; boxes are pixels of the size
+    measured, of the size said where none is, and empty without either; unknown words take defaults, `watermark` is never
+    believed; orders are renumbered from 0; furniture is marked. A page whose said size is the measured one turned gets
+    low confidence and a note. page_meta: width, height, confidence, heading, the three flags, notes, turned.
     """
-    parsed = responses.withColumn("__r", F.from_json(F.regexp_extract("raw", r"(?s)\{.*\}", 0), READ, {"mode": "PERMISSIVE"}))
-    good = F.col("__r.regions").isNotNull()
-    rejects = parsed.filter(~F.coalesce(good, F.lit(False))).select("page_id", "raw")
-    pages = parsed.filter(good).join(sizes.select("page_id", F.col("width").alias("__w"), F.col("height").alias("__h")), "page_id", "left")
-    said_w, said_h = F.coalesce("__r.width", "__w"), F.coalesce("__r.height", "__h")
-    turned = F.coalesce((F.col("__r.width") == F.col("__h")) & (F.col("__r.height") == F.col("__w")) & (F.col("__w") != F.col("__h")), F.lit(False))
-    confidence = F.when(F.col("__r.confidence").isin(*CONFIDENCE), F.col("__r.confidence")).otherwise("low")
-    meta = pages.select("page_id", F.coalesce("__w", "__r.width").alias("width"), F.coalesce("__h", "__r.height").alias("height"), confidence.alias("confidence"), turned.alias("turned"))
-    own = F.filter("__r.regions", lambda r: strip(F.coalesce(r["text"], F.lit(""))) != "")
-    rows = pages.select("page_id", said_w.alias("__sw"), said_h.alias("__sh"), F.posexplode(own).alias("list_pos", "r"))
-    pixels = F.exists("r.box", lambda v: v > 1.5)
-    box = F.when(F.size("r.box") == 4, F.col("r.box")).otherwise(F.array(*[F.lit(0.0)] * 4))
-
-    def side(k: int, size: str) -> Column:
-        return F.when(F.coalesce(pixels, F.lit(False)), F.when(F.col(size) > 0, F.get(box, F.lit(k)) / F.col(size)).otherwise(0.0)).otherwise(F.coalesce(F.get(box, F.lit(k)), F.lit(0.0)))
+    parsed = responses.withColumn("__r", read_json(F.col("raw")))
+    rejects = parsed.filter("__r is null").select("page_id", "raw")
+    get = lambda path: F.try_variant_get("__r", f"$.{path}", "string")
+    pages = parsed.filter("__r is not null").join(sizes.select("page_id", F.col("width").alias("__w"), F.col("height").alias("__h")), "page_id", "left")
+
+    def said(side: str) -> Column:
+        return F.greatest(F.lit(0), F.coalesce(get(side).try_cast("double").cast("long"), F.lit(0)))
+
+    def size(measured: str, side: str) -> Column:
+        return F.when(F.col(measured) > 0, F.col(measured).cast("double")).otherwise(said(side).cast("double"))
+
+    both = (F.col("__w") > 0) & (F.col("__h") > 0) & (F.col("__w") != F.col("__h"))
+    turned = F.coalesce(both & (said("width") == F.col("__h")) & (said("height") == F.col("__w")), F.lit(False))
+    pages = pages.withColumns({"width": size("__w", "width"), "height": size("__h", "height"), "turned": turned})
+    trust = F.lower(strip(F.coalesce(get("meta.confidence"), F.lit("low"))))
+    notes = tolerant_notes(get("meta.notes"))
+    meta = pages.select(
+        "page_id", "width", "height", F.when(F.col("turned") | ~trust.isin(*CONFIDENCE), "low").otherwise(trust).alias("confidence"), F.nullif(strip(get("meta.heading")), F.lit("")).alias("heading"),
+        *[tolerant_bool(F.coalesce(get(f"meta.{c}"), F.lit(""))).alias(c) for c in ("starts_mid_sentence", "ends_mid_sentence", "ends_mid_word")],
+        F.when(F.col("turned"), F.array_append(notes, F.lit(TURNED))).otherwise(notes).alias("notes"), "turned",
+    )
+    rows = pages.select("page_id", "width", "height", F.posexplode(entries(F.col("__r"))).alias("list_pos", "r")).withColumn("text", strip(F.coalesce("r.text", F.lit("")))).filter("text <> ''")
+    sides = [F.try_element_at("r.box", F.lit(k + 1)).try_cast("double") for k in range(4)]
+    whole = (F.size("r.box") == 4) & F.col("width").__gt__(0) & F.col("height").__gt__(0)
+    for s in sides:
+        whole = whole & s.isNotNull()
 
     def one_of(c: str, allowed: tuple, default: str) -> Column:
         return F.when(F.col(c).isin(*allowed), F.col(c)).otherwise(default)
 
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.coalesce("r.order", F.lit(1e9)), "list_pos")) - 1
+    order = F.coalesce(F.col("r.order").try_cast("double").cast("long"), F.col("list_pos"))
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(order, "list_pos")) - 1
+    boxes = [F.when(F.coalesce(whole, F.lit(False)), s / F.col(by)).otherwise(0.0).alias(n) for n, s, by in zip("xywh", sides, ("width", "height") * 2, strict=True)]
+    kinds = tuple(k for k in KINDS if k != "watermark")
     regions = rows.select(
-        "page_id", "list_pos", F.concat(F.lit("r"), F.col("list_pos").cast("string")).alias("region_id"), side(0, "__sw").alias("x"), side(1, "__sh").alias("y"), side(2, "__sw").alias("w"), side(3, "__sh").alias("h"),
-        F.col("r.text").alias("text"), one_of("r.kind", KINDS, "body").alias("kind"), rank.alias("ord"), one_of("r.join_prev", JOINS, "").alias("join_prev"), one_of("r.join_glue", GLUES, "none").alias("join_glue"),
+        "page_id", "list_pos", F.concat(F.lit("r"), F.col("list_pos").cast("string")).alias("region_id"), *boxes, "text",
+        one_of("r.kind", kinds, "body").alias("kind"), rank.alias("ord"), one_of("r.join_prev", JOINS, "").alias("join_prev"), one_of("r.join_glue", GLUES, "none").alias("join_glue"),
     )
-    return regions, meta, rejects
+    return mark_furniture(regions).drop("changed"), meta, rejects
+
+
+def gaps(regions: DataFrame) -> DataFrame:
+    """Regions before which text may be missing, in reading order."""
+    return with_orders(regions).filter("join_prev = 'gap'").select("page_id", "region_id", "ord")
 
 
 def mark_furniture(regions: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ENDS_SENTENCE, QUOTE_PAIRS, STARTS_ON, blank, first_visible, looks_like_heading, strip, unclosed_quote
+from ..functions.text import ENDS_SENTENCE, STARTS_ON, blank, first_visible, looks_like_heading, strip, unclosed_quote
+from .ranks import numbered
 from .regions import JOINS, PROSE
 
-OPENERS = [o for o, _ in QUOTE_PAIRS]
+#: Fixed value: what a page may begin with that opens a quotation or bracket of its own.
+OPENERS = tuple("\"'“‘「『（([【《〈〝")
 APPROVED = ("ok", "edited")
 
 
@@ -123,15 +125,17 @@ def summary(pages: DataFrame) -> DataFrame:
 def append(pages: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """incoming(work_id, name, sha256, arrival) -> (new pages with the next seq, duplicates with the seq they repeat).
 
-    A hash already in the work, or earlier in the batch, is a duplicate. Numbers are never used again.
+    A hash already in the work, or earlier in the batch, is a duplicate; arrivals are told apart by their number. Numbers are
+    never used again, and a work of any size is numbered in ranges.
     """
     known = pages.groupBy("work_id", "sha256").agg(F.min("seq").alias("seq"))
-    first = Window.partitionBy("work_id", "sha256").orderBy("arrival")
-    marked = incoming.withColumn("__n", F.row_number().over(first)).join(known, ["work_id", "sha256"], "left")
-    fresh = marked.filter("seq is null and __n = 1").drop("seq", "__n")
+    heads = incoming.groupBy("work_id", "sha256").agg(F.min_by(F.struct("arrival"), "arrival").alias("first"))
+    marked = incoming.join(known, ["work_id", "sha256"], "left").join(heads, ["work_id", "sha256"])
+    is_first = F.col("arrival") == F.col("first.arrival")
+    fresh = marked.filter(F.col("seq").isNull() & is_first).drop("seq", "first")
     top = pages.groupBy("work_id").agg(F.max("seq").alias("__top"))
-    place = F.row_number().over(Window.partitionBy("work_id").orderBy("arrival"))
-    new = fresh.join(top, "work_id", "left").withColumn("seq", (F.coalesce("__top", F.lit(0)) + place).cast("long")).drop("__top")
+    placed = numbered(fresh, by=["work_id"], order=[F.col("arrival")], name="__place")
+    new = placed.join(top, "work_id", "left").withColumn("seq", (F.coalesce("__top", F.lit(0)) + F.col("__place")).cast("long")).drop("__top", "__place")
     every = known.unionByName(new.select("work_id", "sha256", "seq"))
-    again = marked.filter("seq is not null or __n > 1").drop("seq", "__n").join(every, ["work_id", "sha256"])
+    again = marked.filter(F.col("seq").isNotNull() | ~is_first).drop("seq", "first").join(every, ["work_id", "sha256"])
     return new, again

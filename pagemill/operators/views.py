@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import box_drawable, normal_pronoun, tolerant_bool
+from ..functions.scalars import box_drawable, normal_pronoun, tolerant_bool, tolerant_box, tolerant_int, tolerant_notes
 from ..functions.text import blank, sha
 from . import layout, lines, regions, requests, seams
 from .regions import TRANSLATED
 
-STORED = "regions array<struct<id string, box array<string>, text string, kind string, order string, join_prev string, join_glue string>>, order_source string, confidence string, starts_mid_sentence string, ends_mid_sentence string"
-
-
 def load_pages(stored: DataFrame, *, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """Stored readings (JSON) with defaults for whatever has the wrong type -> (regions with furniture marked anew, page flags)."""
-    parsed = stored.select("page_id", F.from_json(raw, STORED, {"mode": "PERMISSIVE"}).alias("d"))
-    rows = parsed.select("page_id", F.posexplode("d.regions").alias("list_pos", "r"))
-    side = [F.coalesce(F.try_element_at("r.box", F.lit(k + 1)).try_cast("double"), F.lit(0.0)) for k in range(4)]
-    one_of = lambda c, allowed, default: F.when(F.col(c).isin(*allowed), F.col(c)).otherwise(default)
+    """Stored readings (JSON) with defaults for whatever has the wrong type -> (regions with furniture marked anew, page meta).
+
+    Words that the contract does not know stay as they are, for `violations` to find; only glue takes its default.
+    """
+    parsed = stored.select("page_id", F.try_parse_json(raw).alias("d"))
+    rows = parsed.select("page_id", F.posexplode(regions.entries(F.col("d"))).alias("list_pos", "r")).withColumn("box", tolerant_box(F.col("r.box")))
+    text = lambda c, default: F.coalesce(F.nullif(f"r.{c}", F.lit("")), default)
     loaded = rows.select(
-        "page_id", "list_pos", F.coalesce("r.id", F.concat(F.lit("r"), F.col("list_pos").cast("string"))).alias("region_id"), *[s.alias(n) for s, n in zip(side, "xywh")], F.coalesce("r.text", F.lit("")).alias("text"),
-        one_of("r.kind", regions.KINDS, "body").alias("kind"), F.coalesce(F.col("r.order").try_cast("int"), F.col("list_pos")).alias("ord"), one_of("r.join_prev", regions.JOINS, "").alias("join_prev"), one_of("r.join_glue", regions.GLUES, "none").alias("join_glue"),
+        "page_id", "list_pos", text("id", F.concat(F.lit("r"), F.col("list_pos").cast("string"))).alias("region_id"), *[F.col(f"box.{n}").alias(n) for n in "xywh"], F.coalesce("r.text", F.lit("")).alias("text"),
+        text("kind", F.lit("body")).alias("kind"), tolerant_int(F.col("r.order"), F.col("list_pos")).cast("int").alias("ord"), F.coalesce("r.join_prev", F.lit("")).alias("join_prev"), F.when(F.col("r.join_glue").isin(*regions.GLUES), F.col("r.join_glue")).otherwise("none").alias("join_glue"),
+    )
+    get = lambda path: F.try_variant_get("d", f"$.{path}", "string")
+    meta = parsed.select(
+        "page_id", F.when(get("order_source") == "user", "user").otherwise("model").alias("order_source"), F.coalesce(F.nullif(get("meta.confidence"), F.lit("")), F.lit("low")).alias("confidence"), F.nullif(get("meta.heading"), F.lit("")).alias("heading"),
+        *[tolerant_bool(F.coalesce(get(f"meta.{c}"), F.lit(""))).alias(c) for c in ("starts_mid_sentence", "ends_mid_sentence", "ends_mid_word")], tolerant_notes(get("meta.notes")).alias("notes"),
     )
-    flags = parsed.select("page_id", F.when(F.col("d.order_source") == "user", "user").otherwise("model").alias("order_source"), one_of("d.confidence", regions.CONFIDENCE, "low").alias("confidence"), tolerant_bool(F.coalesce("d.starts_mid_sentence", F.lit(""))).alias("starts_mid_sentence"), tolerant_bool(F.coalesce("d.ends_mid_sentence", F.lit(""))).alias("ends_mid_sentence"))
-    return regions.mark_furniture(loaded).drop("changed"), flags
+    return regions.mark_furniture(loaded).drop("changed"), meta
 
 
 def merge_orders(rows: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

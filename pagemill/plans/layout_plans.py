@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.scalars import box_drawable, box_inside, document_id, pixels_to_box, safe_label
+from ..functions.scalars import box_drawable, box_inside, box_percent, box_to_pixels, document_id, pixels_to_box, safe_label
 from ..operators import layout, regions
 from .registry import query, table
 
@@ -140,12 +140,12 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.violations(rows, meta)
 
 
-FURNITURE_TEXT = "CASE page_id % 6 WHEN 0 THEN '- ' || page_id || ' -' WHEN 1 THEN split_part(split_part(url, '://', 2), '/', 1) WHEN 2 THEN 'www.' || split_part(split_part(url, '://', 2), '/', 1) || '/a' WHEN 3 THEN '' || page_id WHEN 4 THEN ' ～' || (page_id % 10) || '～ ' ELSE url END"
+FURNITURE_TEXT = f"CASE page_id % 7 WHEN 6 THEN 'scans.' || split_part('{T.TOP_LEVELS}', '|', cast(page_id % {len(T.TOP_LEVELS.split('|'))} + 1 AS int))" + " WHEN 0 THEN '- ' || page_id || ' -' WHEN 1 THEN split_part(split_part(url, '://', 2), '/', 1) WHEN 2 THEN 'www.' || split_part(split_part(url, '://', 2), '/', 1) || '/a' WHEN 3 THEN 'Ｎｏ．' || page_id WHEN 4 THEN ' ～' || (page_id % 10) || '～ ' ELSE url END"
 
 
 @query(
     f"""WITH t AS (SELECT page_id, {FURNITURE_TEXT} AS text, ['body', 'watermark', 'page-number'][page_id % 3 + 1] AS kind FROM pages),
-f AS (SELECT *, {'regexp_replace(translate(text, %s, %s), %s, %s, %s)' % (f"'{T.FULL_WIDTH}'", "'" + T.PLAIN_WIDTH.replace("'", "''") + "'", f"'\\A[{T.SPACE}]+|[{T.SPACE}]+\\z'", "''", "'g'")} AS plain FROM t),
+f AS (SELECT *, {'regexp_replace(translate(text, %s, %s), %s, %s, %s)' % ("'" + "".join(T.SINGLE).replace("'", "''") + "'", "'" + "".join(T.SINGLE.values()).replace("'", "''") + "'", f"'\\A[{T.SPACE}]+|[{T.SPACE}]+\\z'", "''", "'g'")} AS plain FROM t),
 g AS (SELECT *, CASE WHEN plain = '' THEN NULL WHEN regexp_matches(plain, '{T.PAGE_NUMBER}') THEN 'page-number' WHEN regexp_matches(lower(plain), '{T.WEB_ADDRESS}') THEN 'watermark' END AS found FROM f),
 k AS (SELECT *, CASE WHEN kind = 'watermark' AND found IS DISTINCT FROM 'watermark' THEN 'body' WHEN kind IN {regions.FURNITURE} THEN kind ELSE coalesce(found, kind) END AS new FROM g)
 SELECT page_id, text, new AS kind, new <> kind AS changed FROM k"""
@@ -162,22 +162,73 @@ def kind_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions_of(spark, sf_dir).join(F.broadcast(kinds), "kind").groupBy("kind", "is_furniture", "is_translated").agg(F.count("*").alias("n"))
 
 
+READS_SQL = f"""{REGIONS_SQL}, p AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 900 ELSE 450 END AS pw, CASE WHEN page_id % 2 = 0 THEN 1200 ELSE 600 END AS ph FROM regions WHERE page_id % 4 <> 3)"""
+
+
+def page_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Responses (JSON amid other words, boxes in pixels of 900 x 1200, one page in four unusable) and measured sizes, of which every second is missing; pages say half that size, some of them turned."""
+    rows = regions_of(spark, sf_dir)
+    box = F.array(F.col("x") * 900 + 0.0, F.col("y") * 1200, F.col("w") * 900, F.col("h") * 1200)
+    one = F.struct(F.when(F.col("list_pos") % 5 == 4, " ").otherwise(F.concat(F.lit(" "), F.col("text"), F.lit("\n"))).alias("text"), "kind", box.alias("box"), F.col("ord").cast("string").alias("order"), "join_prev", "join_glue")
+    page = rows.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("list_pos", one.alias("r")))), lambda s: s["r"]).alias("regions"))
+    k = F.col("page_id")
+    turned = k % 6 == 0
+    meta = F.struct(F.when(k % 5 == 0, "sure").otherwise(" High").alias("confidence"), F.when(k % 7 == 0, F.concat(F.lit(" Part "), k.cast("string"))).alias("heading"), (k % 3 == 0).alias("ends_mid_sentence"), F.when(k % 3 == 1, "yes").alias("starts_mid_sentence"), F.array(F.lit("n"), F.lit(" ")).alias("notes"))
+    text = F.to_json(F.struct(F.when(turned, 1200).otherwise(450).alias("width"), F.when(turned, 900).otherwise(600).alias("height"), meta.alias("meta"), "regions"))
+    raw = F.when(k % 4 == 3, "I can't read this {page").otherwise(F.concat(F.lit("Here it is:\n```json\n"), text, F.lit("\n```")))
+    sizes = page.filter("page_id % 2 = 0").select("page_id", F.lit(900.0).alias("width"), F.lit(1200.0).alias("height"))
+    return page.select("page_id", raw.alias("raw")), sizes
+
+
 @query(
-    f"""WITH {REGIONS_SQL}, p AS (SELECT * FROM regions WHERE page_id % 4 <> 3 AND list_pos % 5 <> 4)
-SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY list_pos) - 1)::INT AS list_pos, text, round(x, 6) AS x, round(h, 6) AS h, CASE WHEN kind = 'odd' THEN 'body' ELSE kind END AS kind,
-  (row_number() OVER (PARTITION BY page_id ORDER BY ord, list_pos) - 1)::INT AS ord, CASE WHEN join_prev = 'never' THEN '' ELSE join_prev END AS join_prev FROM p"""
+    f"""WITH {READS_SQL} SELECT page_id, list_pos, 'r' || list_pos AS region_id, text, round(x * 900 / pw, 6) AS x, round(h * 1200 / ph, 6) AS h, CASE WHEN kind IN ('odd', 'watermark') THEN 'body' ELSE kind END AS kind,
+  (row_number() OVER (PARTITION BY page_id ORDER BY ord, list_pos) - 1)::INT AS ord, CASE WHEN join_prev = 'never' THEN '' ELSE join_prev END AS join_prev FROM p WHERE list_pos % 5 <> 4"""
 )
 def parse_page_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page-read responses (JSON amid other words, boxes in pixels, one page in four unusable) back to regions."""
+    """Page-read responses back to regions (S9); the size measured counts, the size said only where there is none."""
+    found, _, _ = regions.parse_reads(*page_reads(spark, sf_dir))
+    return found.select("page_id", "list_pos", "region_id", "text", F.round("x", 6).alias("x"), F.round("h", 6).alias("h"), "kind", "ord", "join_prev")
+
+
+@query(
+    f"""WITH {READS_SQL} SELECT DISTINCT page_id, pw::DOUBLE AS width, page_id % 6 = 0 AS turned, CASE WHEN page_id % 6 = 0 OR page_id % 5 = 0 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN page_id % 7 = 0 THEN 'Part ' || page_id END AS heading,
+  page_id % 3 = 0 AS ends_mid_sentence, page_id % 3 = 1 AS starts_mid_sentence, CASE WHEN page_id % 6 = 0 THEN 2 ELSE 1 END AS notes FROM (SELECT * REPLACE (CASE WHEN page_id % 2 = 0 THEN 900 WHEN page_id % 6 = 0 THEN 1200 ELSE 450 END AS pw) FROM p)"""
+)
+def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What responses say of their pages (S9): heading, flags, notes, and confidence that a turned page loses."""
+    _, meta, _ = regions.parse_reads(*page_reads(spark, sf_dir))
+    return meta.select("page_id", "width", "turned", "confidence", "heading", "ends_mid_sentence", "starts_mid_sentence", F.size("notes").alias("notes"))
+
+
+@query(f"WITH {READS_SQL}, bad AS (SELECT page_id FROM (SELECT DISTINCT page_id, pw FROM p) WHERE page_id % 10 = 0) SELECT DISTINCT page_id, CASE WHEN page_id % 6 = 0 OR page_id % 5 = 0 OR page_id % 4 = 1 THEN 'low' ELSE 'high' END AS confidence FROM p")
+def distrusted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that break the contract keep their rows at low confidence (P8); here some boxes lie outside."""
+    found, meta, _ = regions.parse_reads(*page_reads(spark, sf_dir))
+    k = F.col("page_id") % 4 == 1
+    inside = found.withColumns({c: F.lit(0.1) for c in "xyw"}).withColumn("h", F.when(k, 2.0).otherwise(0.1))
+    return regions.distrust(meta, regions.violations(inside, meta)).select("page_id", "confidence")
+
+
+@query(f"WITH {REGIONS_SQL} SELECT page_id, list_pos, (row_number() OVER (PARTITION BY page_id ORDER BY ord // 2, list_pos) - 1)::INT AS ord FROM regions")
+def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with repeats and holes to 0 .. n - 1, ties in list order."""
+    rows = regions_of(spark, sf_dir).withColumn("ord", F.expr("ord div 2"))
+    return regions.with_orders(rows).select("page_id", "list_pos", "ord")
+
+
+@query(f"WITH {REGIONS_SQL}, o AS (SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY ord, list_pos) - 1)::INT AS place FROM regions) SELECT page_id, region_id, place AS ord FROM o WHERE join_prev = 'chapter'")
+def region_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions before which text may be missing (W9); here chapter seams say so."""
     rows = regions_of(spark, sf_dir)
-    box = F.array(F.col("x") * 900 + 0.0, F.col("y") * 1200, F.col("w") * 900, F.col("h") * 1200)
-    one = F.struct(F.when(F.col("list_pos") % 5 == 4, " ").otherwise(F.col("text")).alias("text"), "kind", F.concat(box, F.array().cast("array<double>")).alias("box"), F.col("ord").alias("order"), "join_prev", "join_glue")
-    page = rows.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("list_pos", one.alias("r")))), lambda s: s["r"]).alias("regions"))
-    text = F.to_json(F.struct(F.lit(900.0).alias("width"), F.lit(1200.0).alias("height"), F.lit("high").alias("confidence"), "regions"))
-    raw = F.when(F.col("page_id") % 4 == 3, "I can't read this {page").otherwise(F.concat(F.lit("Here it is:\n```json\n"), text, F.lit("\n```")))
-    sizes = page.select("page_id", F.lit(900.0).alias("width"), F.lit(1200.0).alias("height"))
-    found, _, _ = regions.parse_reads(page.select("page_id", raw.alias("raw")), sizes)
-    return found.select("page_id", "list_pos", "text", F.round("x", 6).alias("x"), F.round("h", 6).alias("h"), "kind", "ord", "join_prev")
+    return regions.gaps(rows.withColumn("join_prev", F.when(F.col("join_prev") == "chapter", "gap").otherwise(""))).select("page_id", "region_id", "ord")
+
+
+@query(f"WITH {REGIONS_SQL} SELECT page_id, list_pos, x * 800 AS px, y * 600 AS py, x * 100 AS pleft, h * 100 AS pheight FROM regions")
+def drawn_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as pixels of a picture and in percent."""
+    sides = [F.col(c) for c in "xywh"]
+    rows = regions_of(spark, sf_dir).select("page_id", "list_pos", box_to_pixels(*sides, F.lit(800.0), F.lit(600.0)).alias("p"), box_percent(*sides).alias("c"))
+    return rows.select("page_id", "list_pos", F.col("p.x").alias("px"), F.col("p.y").alias("py"), F.col("c.left").alias("pleft"), F.col("c.height").alias("pheight"))
 
 
 @query(

@@ -18,7 +18,7 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("turn") % 11 == 5, "  ").otherwise(F.concat("text", F.when(F.col("turn") % 4 == 1, " “").otherwise("")))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("work_id"), F.col("turn").alias("ord"), "role", text.alias("text"), (F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"))
     return rows.select(
-        "work_id", "ord", "page_id", (F.col("ord") + 1).alias("seq"), "text", F.when(F.col("role") == "system", F.substring("text", 1, 12)).alias("heading"),
+        "work_id", "ord", "page_id", (F.col("ord") + 1).alias("seq"), "text", F.when(F.col("role") == "system", F.col("text")).alias("heading"),
         F.when(F.col("ord") % 9 == 7, "skipped").when(F.col("ord") % 5 == 3, "edited").when(F.col("ord") % 13 == 12, "needs-check").otherwise("ok").alias("status"),
         (F.col("page_id") % 7 == 3).alias("ends_mid_word"), (F.length("text") % 3 == 0).alias("ends_mid_sentence"), (F.length("text") % 2 == 0).alias("starts_mid_sentence"),
         F.element_at(F.array(F.lit("sentence"), F.lit("paragraph"), F.lit("chapter"), F.lit("gap"), F.lit("")), (F.col("page_id") % 5 + 1).cast("int")).alias("join_prev"),
@@ -27,7 +27,7 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGES_SQL = """p0 AS (SELECT *, conv_id * 1000 + turn AS page_id, CASE WHEN turn % 11 = 5 THEN '  ' ELSE text || CASE WHEN turn % 4 = 1 THEN ' “' ELSE '' END END AS t FROM conversations),
-pages_ AS (SELECT conv_id AS work_id, turn AS ord, page_id, turn + 1 AS seq, t AS text, CASE WHEN role = 'system' THEN left(t, 12) END AS heading,
+pages_ AS (SELECT conv_id AS work_id, turn AS ord, page_id, turn + 1 AS seq, t AS text, CASE WHEN role = 'system' THEN t END AS heading,
   CASE WHEN turn % 9 = 7 THEN 'skipped' WHEN turn % 5 = 3 THEN 'edited' WHEN turn % 13 = 12 THEN 'needs-check' ELSE 'ok' END AS status,
   page_id % 7 = 3 AS ends_mid_word, length(t) % 3 = 0 AS ends_mid_sentence, length(t) % 2 = 0 AS starts_mid_sentence,
   ['sentence', 'paragraph', 'chapter', 'gap', ''][page_id % 5 + 1] AS join_prev, CASE WHEN page_id % 2 = 0 THEN 'space' ELSE 'none' END AS join_glue FROM p0)"""

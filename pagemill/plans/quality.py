@@ -14,7 +14,7 @@ from ..operators import glossary
 
 LINE = r"\n"
 RESIDUE = leaks.ResidueRules(
-    script=ACCENTED, glue="a-z .,", edge=" .,", hard_end=r"[.!?]", shape=("[éèöü]", "[a-z]"), predicate=r"(?:en|er|ment|ción)\z", particle=r"[es]\z",
+    script=ACCENTED, measured=ACCENTED, glue="a-z .,", edge=" .,", hard_end=r"[.!?]", shape=("[éèöü]", "[a-z]"), predicate=r"(?:en|er|ment|ción)\z", particle=r"[es]\z",
     bind="[ñç]", topic="[a-z]ä[a-z]", clause=",", blanked=(r"https?://[^ \n]+|[a-z]+\.[0-9]+@[a-z0-9.]+", r"<[^>\n]{1,120}>|\$\$\$|%%%"), kept=("réêen", "einer"), flag_at=4,
 )
 
@@ -60,7 +60,7 @@ TERMS_SQL = f"{ENTRIES_SQL}, terms AS (SELECT spelling, min(item_id * 100 + r -
 def allow_list_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without addresses, markup, set phrases and every glossary spelling, in order."""
     names = glossary.spellings(entries_of(spark, sf_dir), ["item_id"]).groupBy("spelling").agg(F.min(F.col("item_id") * 100 + F.col("rank")).alias("rank"))
-    clean = leaks.subtract(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=RESIDUE, terms=names)
+    clean = leaks.subtract(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=RESIDUE, terms=names, key=["doc_id"])
     return clean.select("doc_id", F.sha2("clean", 256).alias("clean_sha256"), F.length("clean").cast("long").alias("n"))
 
 
@@ -101,7 +101,8 @@ judged AS (
 @query(f"WITH {verdict_sql('documents', 'doc_id', 'text')} SELECT doc_id, coalesce(string_agg(b, chr(10) ORDER BY place) FILTER (verdict <> 'remove'), '') AS clean, count(*) FILTER (verdict = 'remove') AS removed, count(*) FILTER (verdict = 'report') AS suspicious FROM judged GROUP BY doc_id")
 def chatter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.strip_chatter(table(spark, sf_dir, "documents"), key=["doc_id"], rules=CHATTER, between=LINE, glue="\n")
-    return found.select("doc_id", "clean", F.size("removed").cast("long").alias("removed"), F.size("suspicious").cast("long").alias("suspicious"))
+    some = (F.col("clean") != "") | (F.size("removed") > 0)  # texts with a block
+    return found.filter(some).select("doc_id", "clean", F.size("removed").cast("long").alias("removed"), F.size("suspicious").cast("long").alias("suspicious"))
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 #: Tables whose rows are long texts or are worked on row by row.
 HEAVY = ("documents", "conversations", "pages")
+#: A session over a few small files may ask for heavy tables in so many partitions; unset, a table comes as its files do.
+PARTITIONS = "spark.pagemill.inputPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; heavy ones in fewer splits than there are cores (one small file) are dealt out, so that every core has work."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in HEAVY and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores)
-    return rows
+    asked = spark.conf.get(PARTITIONS, None)
+    return rows.repartition(int(asked)) if asked and name in HEAVY else rows

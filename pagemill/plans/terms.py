@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import glossary
+from ..operators.ranks import numbered
 from .registry import query, table
 
 KINDS = ("person", "place", "thing", "title")
@@ -139,18 +140,33 @@ def glossary_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.upsert(kept, approved).select("item_id", "source", "english")
 
 
-@query(f"WITH {ENTRIES_SQL} SELECT type, '## ' || type || chr(10) || string_agg('- ' || source || ': ' || english, chr(10) ORDER BY english, '- ' || source || ': ' || english) AS block FROM entries GROUP BY type")
+@query(
+    f"""WITH {ENTRIES_SQL} SELECT type AS section, row_number() OVER (PARTITION BY type ORDER BY coalesce(nullif(english, ''), source), item_id) AS place, '- ' || source || ': ' || english AS line FROM entries
+UNION ALL SELECT DISTINCT type, 0, '## ' || type FROM entries"""
+)
 def glossary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glossary.report(entries_of(spark, sf_dir))
+    return glossary.report(entries_of(spark, sf_dir), ties=["item_id"])
 
 
-@query(f"WITH {ENTRIES_SQL} SELECT item_id, row_number() OVER (ORDER BY type, english, item_id) AS place FROM entries QUALIFY place <= 100")
+@query(f"WITH {ENTRIES_SQL} SELECT item_id, row_number() OVER (ORDER BY type, coalesce(nullif(english, ''), source), item_id) AS place FROM entries")
 def glossary_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred entries in listing order (L1)."""
-    first = entries_of(spark, sf_dir).orderBy("type", "english", "item_id").limit(100)
-    from pyspark.sql import Window
+    """All entries in listing order (L1)."""
+    return glossary.ordered(entries_of(spark, sf_dir), ties=["item_id"]).select("item_id", "place")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT item_id, row_number() OVER (ORDER BY type, english, item_id) AS place FROM entries WHERE source = '' AND english <> ''")
+def glossary_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without a source, in order (L1)."""
+    return glossary.canonical(entries_of(spark, sf_dir), ties=["item_id"]).select("item_id", "place")
 
-    return first.select("item_id", F.row_number().over(Window.orderBy("type", "english", "item_id")).cast("long").alias("place"))
+
+@query(f"WITH {ENTRIES_SQL}, hits AS (SELECT DISTINCT doc_id, item_id FROM documents d JOIN spelled s ON contains(d.text, s.spelling)) SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY type, source, item_id) AS place FROM hits JOIN entries USING (item_id) WHERE source <> ''")
+def glossary_relevant_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that a text uses, by type and source (L1)."""
+    entries = entries_of(spark, sf_dir).filter("source <> ''")
+    names = glossary.spellings(entries, ["item_id"]).select("item_id", "spelling")
+    hits = glossary.relevant(table(spark, sf_dir, "documents"), names, key=["doc_id"], entry=["item_id"]).join(entries.select("item_id", "type", "source"), "item_id")
+    return numbered(hits, by=["doc_id"], order=[F.col("type"), F.col("source"), F.col("item_id")]).select("doc_id", "item_id", "place")
 
 
 @query("SELECT conv_id, turn, role AS speaker FROM conversations WHERE role NOT IN ('user', 'system')")
@@ -160,9 +176,16 @@ def unknown_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.unknown_speakers(lines, names).select("conv_id", "turn", "speaker")
 
 
-@query(f"WITH {ENTRIES_SQL} SELECT asked, item_id FROM (SELECT item_id AS asked, array_to_string(w[5:6], ' ') AS spelling FROM words) JOIN spelled USING (spelling)")
+@query(
+    f"""WITH {ENTRIES_SQL}, asked AS (SELECT item_id AS asked, array_to_string(w[5:6], ' ') AS spelling FROM words UNION ALL SELECT item_id + 1000000, array_to_string(w[1:4], ' ') FROM words),
+found AS (SELECT s.spelling, e.source, e.english FROM (SELECT source, spelling, min(r) AS r, any_value(type) AS type, any_value(english) AS english FROM spelled JOIN entries USING (item_id, source) GROUP BY source, spelling, type, english) s JOIN entries e USING (source, type, english)
+  QUALIFY row_number() OVER (PARTITION BY s.spelling ORDER BY (e.source = s.spelling)::INT DESC, e.type, coalesce(nullif(e.english, ''), e.source), s.r) = 1)
+SELECT asked, spelling, source, english FROM asked LEFT JOIN found USING (spelling)"""
+)
 def lookup_by_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point look-ups of entries by any spelling (P16): an equality join."""
-    names = glossary.spellings(entries_of(spark, sf_dir), ["item_id"])
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("asked"), F.array_join(F.slice(F.split("text", " "), 5, 2), " ").alias("spelling"))
-    return asked.join(names, "spelling").select("asked", "item_id")
+    """Look-ups of entries by any spelling, a source of its own first (P16): an equality join."""
+    words = F.split("text", " ")
+    rows = table(spark, sf_dir, "benchmark")
+    asked = rows.select(F.col("item_id").alias("asked"), F.array_join(F.slice(words, 5, 2), " ").alias("spelling"))
+    asked = asked.unionByName(rows.select((F.col("item_id") + 1_000_000).alias("asked"), F.array_join(F.slice(words, 1, 4), " ").alias("spelling")))
+    return glossary.get(entries_of(spark, sf_dir), asked).select("asked", "spelling", "source", "english")

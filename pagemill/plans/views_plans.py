@@ -15,7 +15,7 @@ from .terms import ENTRIES_SQL, entries_of
 
 
 @query(
-    f"""WITH {L.REGIONS_SQL} SELECT page_id, list_pos, CASE WHEN list_pos % 3 = 0 THEN 'r' || list_pos ELSE region_id END AS region_id, CASE WHEN list_pos % 4 = 0 THEN 0 ELSE list_pos / 10 END AS x, CASE WHEN kind = 'odd' OR kind = 'watermark' THEN 'body' ELSE kind END AS kind,
+    f"""WITH {L.REGIONS_SQL} SELECT page_id, list_pos, CASE WHEN list_pos % 3 = 0 THEN 'r' || list_pos ELSE region_id END AS region_id, CASE WHEN list_pos % 4 = 0 THEN 0 ELSE list_pos / 10 END AS x, CASE WHEN kind = 'watermark' THEN 'body' ELSE kind END AS kind,
   CASE WHEN list_pos % 5 = 0 THEN list_pos ELSE ord END AS ord FROM regions"""
 )
 def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

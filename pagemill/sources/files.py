@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -9,16 +11,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import INVISIBLE
+
 LEGACY = ("cp932", "euc_jp")
-HALF_KANA = range(0xFF61, 0xFFA0)
+INVISIBLE_RUN = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), INVISIBLE) + "]")
+# What plain text is made of, and the half-width kana that give away a wrong decoding.
+PLAUSIBLE = re.compile(r"[\u3000-\u303f\u3041-\u309f\u30a0-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff5e\x00-\x7f\s]")
+HALF_KANA = re.compile(r"[\uff61-\uff9f]")
 
 
 def plausible(text: str) -> float:
-    """How much of a text is ordinary script: half-width kana in numbers and private or odd characters count against it."""
-    if not text:
-        return 0.0
-    good = sum(0x3041 <= (c := ord(ch)) <= 0x30FF or 0x4E00 <= c <= 0x9FFF or 0x20 <= c < 0x7F or ch in "\n\r\t、。「」『』！？…ー　" for ch in text)
-    return (good - 2 * sum(ord(ch) in HALF_KANA for ch in text)) / len(text)
+    """The share of ordinary characters less twice that of half-width kana; 0 for nothing."""
+    return (len(PLAUSIBLE.findall(text)) - 2 * len(HALF_KANA.findall(text))) / len(text) if text else 0.0
 
 
 def decode(data: bytes) -> tuple[str, str]:
@@ -58,45 +62,61 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return decoded(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
-PARAGRAPH = "struct<elements:array<struct<textRun:struct<content:string>>>>"
-CELL_ROWS = f"array<struct<tableCells:array<struct<content:array<struct<paragraph:{PARAGRAPH}>>>>>>"
-CONTENT = f"array<struct<paragraph:{PARAGRAPH},table:struct<tableRows:{CELL_ROWS}>>>"
-TAB = f"struct<tabProperties:struct<title:string>,documentTab:struct<body:struct<content:{CONTENT}>>>"
+CHAPTERS = "array<struct<idx int, title string, paragraphs array<string>>>"
+
+
+def body_paragraphs(content: list) -> list[str]:
+    """Paragraphs of a body in order, those of table cells and of tables in them where the table stands."""
+    out, stack = [], [iter(content or [])]
+    while stack:
+        for element in stack[-1]:
+            if "paragraph" in element:
+                runs = (e.get("textRun") or {} for e in element["paragraph"].get("elements", []))
+                text = INVISIBLE_RUN.sub("", "".join(r.get("content") or "" for r in runs)).strip("\n")
+                if text.strip():
+                    out.append(text)
+            elif "table" in element:
+                cells = [c for row in element["table"].get("tableRows", []) for c in row.get("tableCells", [])]
+                stack.append(iter([x for c in cells for x in c.get("content", [])]))
+                break
+        else:
+            stack.pop()
+    return out
 
 
-def nested_schema(depth: int) -> str:
-    tab = TAB
-    for _ in range(depth):
-        tab = TAB[:-1] + f",childTabs:array<{tab}>>"
-    return f"struct<title:string,tabs:array<{tab}>>"
+def tab_paragraphs(tab: dict) -> list[str]:
+    """Paragraphs of a tab and of all tabs below it, however deep."""
+    out, waiting = [], [tab]
+    while waiting:
+        now = waiting.pop()
+        out += body_paragraphs(((now.get("documentTab") or {}).get("body") or {}).get("content", []))
+        waiting += reversed(now.get("childTabs") or [])
+    return out
 
 
-def flatten_documents(docs: DataFrame, *, key: list[str], raw: str = "raw", depth: int = 2) -> DataFrame:
-    """Exported documents (JSON) -> a chapter per top tab: key, idx, title, paragraphs; child tabs down to `depth` follow their parent."""
-    def runs(p: Column) -> Column:
-        return F.array_join(F.transform(p["elements"], lambda e: F.coalesce(e["textRun"]["content"], F.lit(""))), "")
+def flatten_documents(docs: DataFrame, *, key: list[str], raw: str = "raw", children: bool = True) -> DataFrame:
+    """Exported documents (JSON) -> a chapter per top tab: key, idx, title, paragraphs; tabs of any depth follow their parent.
 
-    def of_tab(tab: Column, left: int) -> Column:
-        own = F.coalesce(of_body_raw(tab["documentTab"]["body"]["content"]), F.array().cast("array<string>"))
-        if not left:
-            return own
-        below = F.flatten(F.transform(tab["childTabs"], lambda t: of_tab(t, left - 1)))
-        return F.concat(own, F.coalesce(below, F.array().cast("array<string>")))
+    Nesting has no bound, so the JSON is walked in Python, Arrow batch by batch; what is no JSON object has no chapters.
+    """
+    @F.pandas_udf(CHAPTERS)
+    def chapters(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[dict]:
+            try:
+                tabs = json.loads(text or "").get("tabs") or []
+            except (ValueError, AttributeError):
+                return []
+            own = tab_paragraphs if children else lambda t: tab_paragraphs({**t, "childTabs": []})
+            return [{"idx": k, "title": (t.get("tabProperties") or {}).get("title", "").strip() or f"Chapter {k}", "paragraphs": own(t)} for k, t in enumerate(tabs, 1)]
 
-    def of_body_raw(content: Column) -> Column:
-        cells = lambda c: F.flatten(F.flatten(F.transform(c["table"]["tableRows"], lambda r: F.transform(r["tableCells"], lambda cell: F.transform(cell["content"], lambda x: runs(x["paragraph"]))))))
-        return F.flatten(F.transform(content, lambda c: F.coalesce(F.when(c["paragraph"].isNotNull(), F.array(runs(c["paragraph"]))), cells(c), F.array().cast("array<string>"))))
+        return texts.map(of)
 
-    parsed = docs.select(*key, F.from_json(raw, nested_schema(depth)).alias("d"))
-    tabs = parsed.select(*key, F.col("d.title").alias("__doc"), F.posexplode("d.tabs").alias("__k", "t"))
-    paras = F.filter(F.transform(of_tab(F.col("t"), depth), lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", "")), lambda p: p != "")
-    rows = tabs.select(*key, (F.col("__k") + 1).alias("idx"), F.coalesce(F.nullif("t.tabProperties.title", F.lit("")), F.nullif("__doc", F.lit("")), F.concat(F.lit("Chapter "), (F.col("__k") + 1).cast("string"))).alias("title"), paras.alias("paragraphs"))
-    return rows
+    return docs.select(*key, F.explode(chapters(raw)).alias("c")).select(*key, "c.*")
 
 
 #: How files of each kind begin.
 MAGIC = (("png", "89504E470D0A1A0A"), ("jpeg", "FFD8FF"), ("gif", "474946383761"), ("gif", "474946383961"), ("pdf", "255044462D"))
-MOST_PIXELS = 50_000
+MOST_PIXELS = 200_000
 
 
 def image_kind(content: Column) -> Column:
@@ -133,7 +153,7 @@ def jpeg_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def image_inventory(files: DataFrame, key: str = "path") -> DataFrame:
     """files(key, content) -> key, kind, width, height, refused (why a kind is not taken); sizes out of reason are 0."""
-    rows = files.select(key, F.substring("content", 1, 65536).alias("c")).withColumn("kind", image_kind(F.col("c")))
+    rows = files.select(key, F.col("content").alias("c")).withColumn("kind", image_kind(F.col("c")))
     c, kind = F.col("c"), F.col("kind")
     form = F.hex(F.substring(c, 13, 4))
     v8x = lambda a: _number(c, a, 3, True) + 1
@@ -163,9 +183,25 @@ def previous_version(versions: DataFrame, *, key: list[str], version: str = "ver
     return versions.withColumn("__n", F.row_number().over(order)).filter("__n = 2").drop("__n")
 
 
+def write_version(rows: DataFrame, path: str, *, version: int) -> None:
+    """A snapshot under its version; a version that is written again is replaced whole."""
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def keep_two_versions(spark: SparkSession, path: str, *, key: list[str]) -> DataFrame:
+    """All versions of a sink -> the newest and the one before of each key, `slot` current or previous; older ones are not kept."""
+    order = Window.partitionBy(*key).orderBy(F.desc("version"))
+    rows = spark.read.parquet(path).withColumn("__n", F.row_number().over(order)).filter("__n <= 2")
+    return rows.withColumn("slot", F.when(F.col("__n") == 1, "current").otherwise("previous")).drop("__n")
+
+
+def library(records: DataFrame) -> DataFrame:
+    """Work records with an id, by creation time."""
+    return records.filter("id is not null and id <> ''").orderBy("created_at", "id")
+
+
 def read_library(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All work records with an id, by creation time."""
-    return spark.read.schema(schema).json(path).filter("id is not null and id <> ''").orderBy("created_at", "id")
+    return library(spark.read.schema(schema).json(path))
 
 
 def write_accepted(rows: DataFrame, readable: str, audit: str, by: str = "work_id") -> None:

@@ -1,5 +1,6 @@
 """Rules on small made-up rows: text, segments, leaks, layout, seams, lines, responses, files, streams."""
 
+import json
 import struct
 
 import pytest
@@ -14,16 +15,21 @@ from pagemill.streaming import events as E
 from pagemill.streaming import jobs
 
 
+def column_of(spark, column, values):
+    """The column for each of the texts, in one job."""
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, x string").withColumn("v", column)
+    return [r.v for r in rows.orderBy("k").collect()]
+
+
 def one(spark, column, **values):
     return spark.createDataFrame([Row(**values)]).select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize(
-    ("line", "heading"),
-    [("第3話 朝の駅", True), ("第１２話", True), ("三回目の告白も失敗した", False), ("第三回目の会議は、荒れに荒れた。", False), ("Chapter 3", True), ("Chapters of my life", False), ("プロローグ", True), ("一部の人は", False), ("epilogue", True), ("", False), ("5回", True)],
-)
-def test_headings(spark, line, heading):
-    assert one(spark, T.looks_like_heading(F.col("x")), x=line) is heading
+HEADINGS = {"第7話 冬の橋": True, "第４５話": True, "五回目の手紙も届かない": False, "第四回目の検査は、長かった。": False, "Chapter 3": True, "Chapters of my life": False, "プロローグ": True, "一部の人は": False, "epilogue": True, "": False, "5回": True, "第⑫話": True, "第3話…": False}
+
+
+def test_headings(spark):
+    assert dict(zip(HEADINGS, column_of(spark, T.looks_like_heading(F.col("x")), HEADINGS))) == HEADINGS
 
 
 def test_text_expressions(spark):
@@ -67,7 +73,7 @@ def test_residue(spark):
     flags = {r.k: (r.flagged, r.worst_line) for r in per.collect()}
     assert flags[1][0] and flags[1][1] == 2 and flags[2] == (False, None) and flags[3] == (False, None)
     terms = spark.createDataFrame([(0, "彼は駅で待っていた")], "rank int, spelling string")
-    assert not leaks.report(leaks.subtract(rows, terms=terms), key=["k"])[1].filter("flagged and worst_line = 2").count()
+    assert not leaks.report(leaks.subtract(rows, terms=terms, key=["k"]), key=["k"])[1].filter("flagged and worst_line = 2").count()
     rules = leaks.ResidueRules()
     assert max(w for _, w, _, _ in rules.signals()) < rules.flag_at
 
@@ -109,16 +115,102 @@ def test_reversed(spark):
 
 
 def test_reads_and_furniture(spark):
-    raw = 'Sure: ```json\n{"width": 100, "height": 200, "confidence": "sure", "regions": [{"text": "a", "kind": "odd", "box": [10, 20, 30, 40], "order": 5}, {"text": " "}, {"text": "b", "kind": "sfx", "box": [0.1, 0.1, 0.2, 0.2], "order": 1, "join_prev": "gap"}]}\n```'
-    rows = spark.createDataFrame([(1, raw), (2, "no"), (3, None)], "page_id int, raw string")
-    sizes = spark.createDataFrame([(1, 200.0, 100.0)], "page_id int, width double, height double")
+    """The measured size wins, ids are places in the response, watermark is not believed, a turned page is distrusted."""
+    one = '{"text": " a ", "kind": "odd", "box": [10, 20, 30, 40], "order": 5}, {"text": " "}, {"text": "b", "kind": "sfx", "box": ["20", 10, 20, 20], "order": "1", "join_prev": "gap"}, {"text": "sign", "kind": "watermark"}, {"text": "-7-"}, "no region"'
+    raw = f'Sure: ```json\n{{"width": 100, "height": 200, "meta": {{"confidence": "High ", "heading": " 第1話 ", "starts_mid_sentence": "Yes", "ends_mid_word": true, "notes": ["n1", " "]}}, "regions": [{one}]}}\n```'
+    plain = '{"width": 50, "height": 10, "meta": {"confidence": "sure", "notes": "one"}, "regions": [{"text": "x", "box": [5, 5, 5, 5]}]}'
+    rows = spark.createDataFrame([(1, raw), (2, "no"), (3, None), (4, plain), (5, '{"cut": ["off'), (6, raw)], "page_id int, raw string")
+    sizes = spark.createDataFrame([(1, 200.0, 100.0), (4, 0.0, 0.0), (6, 400.0, 100.0)], "page_id int, width double, height double")
     found, meta, rejects = regions.parse_reads(rows, sizes)
-    got = [(r.region_id, round(r.x, 3), r.kind, r.ord, r.join_prev) for r in found.orderBy("list_pos").collect()]
-    assert got == [("r0", 0.1, "body", 1, ""), ("r1", 0.1, "sfx", 0, "gap")]
-    assert meta.first().turned and meta.first().confidence == "low" and rejects.count() == 2
+    got = [(r.page_id, r.region_id, round(r.x, 3), r.text, r.kind, r.ord, r.join_prev) for r in found.orderBy("page_id", "list_pos").collect()]
+    assert got[:4] == [(1, "r0", 0.05, "a", "body", 3, ""), (1, "r2", 0.1, "b", "sfx", 0, "gap"), (1, "r3", 0.0, "sign", "body", 1, ""), (1, "r4", 0.0, "-7-", "page-number", 2, "")]
+    assert got[4] == (4, "r0", 0.1, "x", "body", 0, "") and got[5][2] == 0.025
+    flags = {r.page_id: r for r in meta.collect()}
+    assert flags[1].turned and flags[1].confidence == "low" and flags[1].notes == ["n1", regions.TURNED] and flags[1].heading == "第1話"
+    assert (flags[1].starts_mid_sentence, flags[1].ends_mid_sentence, flags[1].ends_mid_word) == (True, False, True)
+    assert (flags[6].turned, flags[6].confidence, flags[6].width) == (False, "high", 400.0)
+    assert (flags[4].confidence, flags[4].notes, flags[4].width) == ("low", ["one"], 50.0) and sorted(r.page_id for r in rejects.collect()) == [2, 3, 5]
+    assert [(r.page_id, r.region_id) for r in regions.gaps(found).collect()] == [(1, "r2"), (6, "r2")]
+    assert [r.ord for r in regions.with_orders(found.withColumn("ord", F.lit(9) - F.col("list_pos"))).filter("page_id = 1").orderBy("list_pos").collect()] == [3, 2, 1, 0]
     marked = regions.mark_furniture(spark.createDataFrame([(1, "x", "watermark"), (2, "― 7 ―", "body"), (3, "x", "page-number")], "k int, text string, kind string"))
     assert {r.k: (r.kind, r.changed) for r in marked.collect()} == {1: ("body", True), 2: ("page-number", True), 3: ("page-number", False)}
     assert regions.mark_furniture(marked.drop("changed")).filter("changed").count() == 0
+    wrong = regions.violations(found.withColumn("kind", F.when(F.col("page_id") == 6, "odd").otherwise(F.col("kind"))), meta)
+    assert {r.page_id: r.confidence for r in regions.distrust(meta, wrong).collect()}[6] == "low"
+
+
+ADDRESSES = [f"scans.{t}" for t in "com net org jp io co me info site xyz app tv cc to ru link online club top biz us uk kr cn fun moe blog page web".split()] + ["www.read.top", "ＲＥＡＤ．ｃｏｍ", "my\nscans.\nmoe", "https://a.b-c.blog/x?y"]
+NUMBERS = ["－２６－", "—9—", "~ 1234 ~", "-②-"]
+NO_FURNITURE = ["visit scans.moe", "mr.tanaka", "a..com", "1−1", "26", "-12345-", "- a -", "", None]
+
+
+def test_furniture_both_ways(spark):
+    got = column_of(spark, T.furniture_kind(F.col("x")), ADDRESSES + NUMBERS + NO_FURNITURE)
+    assert got == ["watermark"] * len(ADDRESSES) + ["page-number"] * len(NUMBERS) + [None] * len(NO_FURNITURE)
+
+
+STAYS = [  # prose that speaks like an announcement
+    "Let us go home and start over.", "“Let me translate that for you,” said Ren.", "Let me write you a letter, Aya decided.", "I will give you the best version of myself.", "Let's redecorate.", "I apologise. Let me check the map.",
+    "The translation exam was hard, and the text even harder.", "Here is the key to the attic.", "I'll carefully provide an answer.", "Let me gently rewrite history.", "Let me quietly translate.",
+]
+GOES = [
+    "Let me translate.", "I'll now translate!", "let's render…", "Let me redo this.", "Let's re-do it.", "Let me carefully re-read it.", "Let me go ahead and start over.", "I will now provide the full translation.", "I'll just give you the rest of the chapter.",
+    "Here's your translation:", "Here is the translated text", "Below is the translation.", "The translation follows.", "The translation is as follows", "Translated chapter:", "===NEW_TERMS===", "As an AI, I can not say.", "translator's note: a pun", "* * *", "___",
+]
+LOOKED_AT = [
+    "Aya looked the word up in the glossary.", "Re-reading the passage, Kei frowned at the window.", "They argued about romanization all night.", "Let me redo this line. The rain had not let up since the morning bell.",
+    "I'll translate the chapter. Meanwhile, Kei ran across the wet platform.", "The original Japanese was ambiguous, the clerk said.",
+]
+
+
+def test_commentary_both_ways(spark):
+    blocks = {**dict.fromkeys(STAYS, "keep"), **dict.fromkeys(GOES, "remove"), **dict.fromkeys(LOOKED_AT, "report")}
+    assert dict(zip(blocks, column_of(spark, leaks.verdict(F.col("x")), blocks))) == blocks
+
+
+LEAKS = ["彼女は窓の外を見ていた。", "何してるの、君は。", "The door shut.　明日また来ますから、待っていてください。", "https://a.jp/x彼は何も言わなかった。", "ｶﾀｶﾅは読めないのだ。", "彼\u200bは\u200b駅\u200bへ行った。", "そんなことは言っていない", "草原を走る彼が見えた。"]
+NO_LEAKS = ["The sign read 本日休業.", "Tanaka・Sato・田中・佐藤・鈴木", "もったいない! she said.", "She left.", "令和三年五月", "東京・大阪・名古屋", "草 草草 lol", "お好み焼き", "もういい", "www www", "！？。", "", "see `彼は行った。` and <b title=彼は行った。>x</b>"]
+
+
+def test_residue_both_ways(spark):
+    texts = spark.createDataFrame(list(enumerate(LEAKS + NO_LEAKS)), "k int, text string")
+    got = [r.flagged for r in leaks.reported(leaks.subtract(texts)).orderBy("k").collect()]
+    wrong = [t for t, flag, want in zip(LEAKS + NO_LEAKS, got, [True] * len(LEAKS) + [False] * len(NO_LEAKS)) if flag != want]
+    assert wrong == []
+
+
+def test_middle_dot_is_glue(spark):
+    """A middle dot starts no run, is no topic's neighbour and is cut from the ends."""
+    found = spark.createDataFrame([(1, "・彼は・行く・")], "k int, clean string").select(leaks.findings(F.col("clean"), leaks.ResidueRules(flag_at=0)).alias("f")).first().f
+    assert [(x.run, "topic" in x.reasons) for x in found] == [("彼は・行く・", False)]
+
+
+def test_residue_of_a_long_line_is_fast(spark):
+    import time
+
+    began = time.perf_counter()
+    row = leaks.reported(spark.createDataFrame([(1, "「あい」" * 20_000)], "k int, clean string")).first()
+    assert row.findings == 0 and time.perf_counter() - began < 20
+
+
+def test_openers_of_pages(spark):
+    """What opens a quotation or bracket of its own does not go on with an open one; straight quotes too."""
+    cases = [("「今日は雨だ。", first + "続き", "finished-sentence") for first in "\"'“‘「『（([【《〈〝"]
+    cases += [("「今日は雨だ。", "彼は言った", "open-quotation"), ("〝今日は", "続き", "open-quotation"), ("〝今日は〞", "続き", "no-signal"), ("終わった。", "次", "finished-sentence"), ("続く", "次", "no-signal"), ("「開いた", "  ", "no-signal"), ("a", "b", "chapter")]
+    rows = [(k, side, 2 * k + side, text, "第2話" if side and reason == "chapter" else None) for k, (before, after, reason) in enumerate(cases) for side, text in enumerate((before, after))]
+    pages = spark.createDataFrame(rows, "work_id int, ord int, page_id int, text string, heading string").withColumns({c: F.lit(False) for c in ("ends_mid_word", "ends_mid_sentence", "starts_mid_sentence")})
+    got = [r.reason for r in seams.propose(pages).filter("ord = 1").orderBy("work_id").collect()]
+    assert got == [reason if reason != "chapter" else "heading" for *_, reason in cases]
+
+
+def test_tolerant_casts(spark):
+    cell = lambda c, x: one(spark, c(F.col("x")), x=x)
+    assert [cell(scalars.tolerant_notes, x) for x in ('["a", " ", 3]', " one ", "", "{}")] == [["a", "3"], ["one"], [], []]
+    assert tuple(cell(scalars.tolerant_box, ["1", "2.5", "3", "4"])) == (1.0, 2.5, 3.0, 4.0) and tuple(cell(scalars.tolerant_box, ["1", "x", "3", "4"])) == (0.0,) * 4 and tuple(cell(scalars.tolerant_box, ["1"])) == (0.0,) * 4
+    sides = [F.lit(v) for v in (0.25, 0.5, 0.1, 0.2)]
+    assert tuple(one(spark, scalars.box_to_pixels(*sides, F.lit(800), F.lit(600)), x=1)) == (200.0, 300.0, 80.0, 120.0)
+    assert tuple(one(spark, scalars.box_percent(*sides), x=1)) == (25.0, 50.0, 10.0, 20.0)
+    assert one(spark, T.folded(F.col("x")), x="第１２話…㊤ﾊ①") == "第12話...上ハ1"
 
 
 def test_assembly(spark):
@@ -165,13 +257,47 @@ def test_files(spark):
     got = {r.k: (r.encoding, r.text) for r in files.decoded(spark.createDataFrame(rows, "k int, content binary")).collect()}
     assert got[1] == ("utf-8", "日本語") and got[2] == ("utf-8-bom", "abc") and got[3] == ("cp932", "彼は駅で待っていた。") and got[4] == ("euc_jp", "彼は駅で待っていた。")
     assert got[5][0] == "replaced" and got[6] == (None, None)
-    jpeg = b"\xff\xd8" + b"\xff\xe1" + struct.pack(">H", 40_000) + b"x" * 39_998 + b"\xff\xc2" + struct.pack(">HBHH", 17, 8, 600, 800) + b"0" * 20
+    jpeg = b"\xff\xd8" + (b"\xff\xe1" + struct.pack(">H", 60_000) + b"x" * 59_998) * 2 + b"\xff\xc2" + struct.pack(">HBHH", 17, 8, 600, 800) + b"0" * 20
     webp = b"RIFF\0\0\0\0WEBPVP8X" + struct.pack("<I", 10) + b"\0" * 4 + (639).to_bytes(3, "little") + (479).to_bytes(3, "little")
     images = spark.createDataFrame([("a", jpeg), ("b", webp), ("c", b"\0\0\0\x18ftypheic"), ("d", b""), ("e", jpeg[:100])], "path string, content binary")
     got = {r.path: (r.kind, r.width, r.height, r.refused) for r in files.image_inventory(images).collect()}
+    png = lambda w: b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", w, 9)
+    big = {r.path: r.width for r in files.image_inventory(spark.createDataFrame([("f", png(199_999)), ("g", png(200_001))], "path string, content binary")).collect()}
+    assert big == {"f": 199_999, "g": 0}
     assert got["a"] == ("jpeg", 800, 600, None) and got["b"] == ("webp", 640, 480, None) and got["c"][3] == "convert-first" and got["d"][0] == "unknown" and got["e"][:3] == ("jpeg", 0, 0)
 
 
+def test_exports_of_any_depth(spark):
+    para = lambda t: {"paragraph": {"elements": [{"textRun": {"content": t}}]}}
+    table = lambda *content: {"table": {"tableRows": [{"tableCells": [{"content": list(content)}]}]}}
+    tab = {"tabProperties": {"title": " "}, "documentTab": {"body": {"content": [para("a\u200b\n"), para(" \n"), table(para("b"), table(para("c")), para("d")), para("e")]}}}
+    deep = {"documentTab": {"body": {"content": [para("leaf")]}}}
+    for k in range(6):
+        deep = {"documentTab": {"body": {"content": [para(f"level {k}")]}}, "childTabs": [deep]}
+    raw = json.dumps({"title": "T", "tabs": [{**tab, "childTabs": [deep, {"documentTab": {}}]}, {"tabProperties": {"title": "Two"}}]})
+    got = files.flatten_documents(spark.createDataFrame([(1, raw), (2, "[]"), (3, None), (4, "{")], "k int, raw string"), key=["k"]).collect()
+    assert [(r.idx, r.title, r.paragraphs) for r in got] == [(1, "Chapter 1", ["a", "b", "c", "d", "e", *(f"level {k}" for k in reversed(range(6))), "leaf"]), (2, "Two", [])]
+
+
+def test_plausible_decoding(spark):
+    """Text with marks beyond kana and kanji: the right decoding has more of them."""
+    for text in ("※「〈ＡＢＣ〉～々〆」ー！", "〔第３章〕　彼は言った…ｱｲ", "㈱", "①②③"):
+        data = text.encode("cp932")
+        assert files.decode(data) == (text, "cp932")
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("w1", 1, True, "a"), ("w1", 2, False, "b"), ("w2", 1, True, "c")], "work_id string, idx int, ok boolean, text string")
+    files.write_accepted(rows, str(tmp_path / "read"), str(tmp_path / "audit"))
+    files.write_accepted(rows.filter("work_id = 'w1'").withColumn("text", F.lit("z")), str(tmp_path / "read"), str(tmp_path / "audit"))
+    assert {(r.work_id, r.idx, r.text) for r in spark.read.parquet(str(tmp_path / "read")).collect()} == {("w1", 1, "z"), ("w2", 1, "c")} and spark.read.parquet(str(tmp_path / "audit")).count() == 3
+    for version, text in ((1, "a"), (2, "b"), (3, "c"), (3, "d")):
+        files.write_version(spark.createDataFrame([(1, text)], "idx int, text string"), str(tmp_path / "v"), version=version)
+    assert {r.slot: r.text for r in files.keep_two_versions(spark, str(tmp_path / "v"), key=["idx"]).collect()} == {"current": "d", "previous": "b"}
+    spark.createDataFrame([("b", "t2", 2), ("a", "t1", 1), ("", "no", 0), (None, "no", 0)], "id string, title string, created_at int").write.json(str(tmp_path / "works"))
+    assert [r.id for r in files.read_library(spark, str(tmp_path / "works"), "id string, title string, created_at int").collect()] == ["a", "b"]
+
+
 LOG = [(1, 1, "delta", "a"), (1, 2, "chunk", ""), (1, 3, "delta", "b"), (1, 4, "reset", ""), (1, 5, "delta", "c"), (2, 6, "delta", "x"), (2, 7, "failed", ""), (2, 8, "clear", ""), (2, 9, "delta", "y"), (2, 10, "failed", ""), (1, 11, "failed", ""), (1, 12, "item", "")]
 
 
