@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,30 +13,69 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where a session names no shared folder (tests on one machine).
-LOCAL_SHARED_DIR = "/tmp/checkpoints"
 #: Characters of text that a task turns into words at once; bounds the memory of a batch.
 SLICE_CHARS = 10_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a session on one machine gets a new one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = LOCAL_SHARED_DIR
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Paths under the shared folder that this driver has made and not deleted, in order.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """A mark for `discard`: how many paths there are so far."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the paths made after the mark, but for the last `keep`; only once nothing lazy reads them any more."""
+    upto = len(_made) - keep
+    gone, _made[since:upto] = _made[since:upto], []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, lengthened until none of the frames has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of text that one partition of ordered output is meant to hold.
+PART_BYTES = 256 << 20
+
+
+def parts_for(docs: DataFrame, bytes_each: int = PART_BYTES) -> int:
+    """How many partitions give each about `bytes_each` of text, one for each core or shuffle partition at least; reads `text` once."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each))
+
+
 def doc_text(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty); other columns go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
