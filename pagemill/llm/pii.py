@@ -7,18 +7,27 @@ consonants consonants, case and script and punctuation as they are; card numbers
 kind (private, public), first names their gender and script. A permutation gives different values different surrogates,
 and the same value always the same one, in every document.
 
+Letters and digits beyond the listed sets go to others of their own category in their own block of code points, so that
+every script keeps its script.
+
 Collision check: a surrogate that is itself a value found in the corpus, or that two values share, is drawn again with
-the next tweak until none is left; such draws reach their documents by a join. Where a format has too few unused values,
-its permutation gives way after MOST_DRAWS draws to longer surrogates of the same kind, drawn for each value by itself;
-what clashes after all LONGER_DRAWS fails the job, so no two values of a kind ever share a surrogate. Null texts stay null, and texts without
-personal data stay as they are. Repeated rows are handled alike; all other columns stay, whatever their names, except that
-they may not begin with `_pii`. An empty table gives an empty table.
+the next tweak until none is left; such draws reach their documents by a join. What is drawn again is a word: of a name its
+surnames, which are also checked by themselves, so that all names with a surname go on sharing one; of other values (and of first names alone) the whole value.
+Where a format has too few unused values, its permutation gives way after MOST_DRAWS draws to longer surrogates of the same
+kind, drawn for each word by itself; what clashes after all LONGER_DRAWS fails the job, so no two values of a kind ever
+share a surrogate.
+
+The key decides all surrogates and undoes them for those who know it; it is a required argument. Values that wait in the
+shared folder for the collision check are sealed with it. Null texts stay null, and texts without personal data stay as
+they are. Repeated rows are handled alike; all other columns stay, whatever their names, except that they may not begin
+with `_pii`. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import logging
 import random
 import re
 import sys
@@ -32,7 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import save, slices
 
-KEY = "surrogates"
+#: The setting that names the key of the registered queries; where it is unset they use a public one, fit for tests only.
+KEY_SETTING, TEST_KEY = "spark.pagemill.surrogates.key", "surrogates"
 ROUNDS = 8
 MOST_DRAWS = 8
 #: Draws of longer surrogates after those; each is longer than the one before.
@@ -99,16 +109,29 @@ def permuted(places: list[int], sizes: list[int], key: str, tweak: object) -> li
     return out
 
 
-def shuffled_text(text: str, key: str, tweak: object, sets: dict[str, str] = SET_OF) -> str:
-    """All letters and digits of known sets permuted; other characters stay."""
-    at = [i for i, c in enumerate(text) if c in sets]
-    own = [sets[text[i]] for i in at]
+@functools.cache
+def set_of(c: str) -> str:
+    """Characters that stand in for c: its listed set, or those of its category in its block of 64 code points (or of 256, 1024, 4096 where it is alone); empty for what is neither letter nor digit."""
+    if c in SET_OF or not c.isalnum():
+        return SET_OF.get(c, "")
+    for width in (64, 256, 1024, 4096):
+        low = ord(c) // width * width
+        own = [x for x in map(chr, range(low, low + width)) if x not in SET_OF and unicodedata.category(x) == unicodedata.category(c) and unicodedata.normalize("NFC", x) == x]
+        if len(own) > 1 and c in own:
+            return "".join(own)
+    return ""
+
+
+def shuffled_text(text: str, key: str, tweak: object, one_set: str = "") -> str:
+    """All letters and digits permuted within their sets (or all characters within one set); other characters stay."""
+    own = [one_set or set_of(c) for c in text]
+    at = [i for i, a in enumerate(own) if a]
     if not at:
         return text
-    new = permuted([a.index(text[i]) for i, a in zip(at, own)], [len(a) for a in own], key, (tweak, "".join("\0" if c in sets else c for c in text)))
+    new = permuted([own[i].index(text[i]) for i in at], [len(own[i]) for i in at], key, (tweak, "".join("\0" if a else c for a, c in zip(own, text))))
     out = list(text)
-    for i, a, k in zip(at, own, new):
-        out[i] = a[k]
+    for i, k in zip(at, new):
+        out[i] = own[i][k]
     return "".join(out)
 
 
@@ -148,18 +171,19 @@ def invented(like: str, size: int, *what: object) -> str:
     return out[:1].upper() + out[1:] if like[:1].isupper() else out
 
 
+def surnames(value: str) -> list[str]:
+    """The words of a name that are neither titles nor listed first names."""
+    return list(dict.fromkeys(w for w in value.split(" ") if w.rstrip(".") not in TITLES and w not in GROUP_OF))
+
+
+def words_of(kind: str, value: str) -> list[str]:
+    """What is drawn by itself: a name's surnames, else the whole value."""
+    return (surnames(value) if kind == "name" else []) or [value]
+
+
 def longer_surrogate(kind: str, value: str, key: str, draw: int) -> str:
     """A surrogate of the same kind beyond the value's format, drawn for this value alone; addresses keep to four numbers."""
     more, what = 2 * (draw - MOST_DRAWS), (key, kind, draw, value)
-    if kind == "name":
-        words = value.split(" ")
-        titles = 1 if words[0].rstrip(".") in TITLES else 0
-        out = words[:titles]
-        for k, w in enumerate(words[titles:]):
-            out.append(first_name_cycle(key, GROUP_OF[w], draw)[w] if w in GROUP_OF else invented(w, max(len(w), 4) + more, *what, k))
-        if words[-1] in GROUP_OF:
-            out.append(invented(words[-1], 4 + more, *what))
-        return " ".join(out)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
@@ -189,22 +213,34 @@ def longer_surrogate(kind: str, value: str, key: str, draw: int) -> str:
     return head + shuffled_text(value[len(head) :], key, (kind, draw, value)) + invented("1", more, *what)
 
 
+def name_surrogate(value: str, key: str, draws: dict[str, int]) -> str:
+    """Titles stay, first names go round their list, surnames are drawn each by itself; first names alone get a surname where their list is full."""
+    own, out = surnames(value), []
+    whole = 0 if own else draws.get(value, 0)
+    for w in value.split(" "):
+        draw = draws.get(w, 0)
+        if w.rstrip(".") in TITLES:
+            out.append(w)
+        elif w in GROUP_OF:
+            out.append(first_name_cycle(key, GROUP_OF[w], min(whole, MOST_DRAWS))[w])
+        elif draw > MOST_DRAWS:
+            out.append(invented(w, max(len(w), 4) + 2 * (draw - MOST_DRAWS), key, "name", draw, w))
+        else:
+            out.append(shuffled_text(w, key, ("name", draw)))
+    if whole > MOST_DRAWS:
+        out.append(invented(value.split(" ")[-1], 4 + 2 * (whole - MOST_DRAWS), key, "name", whole, value))
+    return " ".join(out)
+
+
 @functools.lru_cache(maxsize=200_000)
-def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
-    """The surrogate of a value; another draw gives another permutation, and draws beyond MOST_DRAWS longer surrogates."""
+def surrogate(kind: str, value: str, key: str, draws: tuple[int, ...] = ()) -> str:
+    """The surrogate of a value; draws: the number of each of words_of's draws (none: 0). Beyond MOST_DRAWS surrogates get longer."""
+    if kind in ("name", "surname"):
+        return name_surrogate(value, key, dict(zip(words_of(kind, value), draws)))
+    draw = draws[0] if draws else 0
     if draw > MOST_DRAWS:
         return longer_surrogate(kind, value, key, draw)
     tweak = (kind, draw)
-    if kind == "name":
-        out = []
-        for w in value.split(" "):
-            if w.rstrip(".") in TITLES:
-                out.append(w)
-            elif w in GROUP_OF:
-                out.append(first_name_cycle(key, GROUP_OF[w], draw)[w])
-            else:
-                out.append(shuffled_text(w, key, tweak))
-        return " ".join(out)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
@@ -219,9 +255,9 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
     if kind == "secret":
         head = re.match(r"\s*[=:]\s*[\"']?", value)
         word = value[head.end() :] if head else value
-        for sets in HEX.values():
-            if len(word) >= 32 and all(c in sets for c in word):
-                return value[: len(value) - len(word)] + shuffled_text(word, key, tweak, dict.fromkeys(sets, sets))
+        for digits in HEX.values():
+            if len(word) >= 32 and all(c in digits for c in word):
+                return value[: len(value) - len(word)] + shuffled_text(word, key, tweak, digits)
         return value[: len(value) - len(word)] + shuffled_text(word, key, tweak)
     if kind == "card":
         own = [SET_OF[c] for c in value if c.isdigit()]
@@ -243,6 +279,23 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
     return shuffled_text(value, key, tweak)
 
 
+def sealed(value: str, key: str) -> bytes:
+    """The value hidden under the key, the same for equal values: a keyed digest, then the bytes with that digest's key stream."""
+    raw = value.encode()
+    tag = hashlib.blake2b(raw, key=key.encode()[:64], digest_size=16, person=b"seal").digest()
+    return tag + bytes(a ^ b for a, b in zip(raw, key_stream(tag, key, len(raw))))
+
+
+def key_stream(tag: bytes, key: str, size: int) -> bytes:
+    blocks = (hashlib.blake2b(tag + k.to_bytes(8, "big"), key=key.encode()[:64], person=b"stream").digest() for k in range(-(-size // 64)))
+    return b"".join(blocks)[:size]
+
+
+def opened(data: bytes, key: str) -> str:
+    tag, rest = data[:16], data[16:]
+    return bytes(a ^ b for a, b in zip(rest, key_stream(tag, key, len(rest)))).decode()
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all personal data, left to right."""
     return [(m.lastgroup, m.start(), m.end()) for m in FIND.finditer(text)] if text else []
@@ -252,52 +305,76 @@ def hinted(texts: pa.Array) -> list[bool]:
     return pc.fill_null(pc.match_substring_regex(texts, HINT), False).to_pylist()
 
 
-def found_values(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """A row for each place: doc_id, kind, value, surrogate."""
+def found_values(docs: DataFrame, key: str) -> DataFrame:
+    """A row for each place, and one of kind surname for each surname there: doc_id, kind, value, surrogate, words; the last three sealed."""
+    types = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seal = functools.lru_cache(maxsize=200_000)(lambda text: sealed(text, key))
         for batch in batches:
             for part in slices(batch):
                 hint = pa.array(hinted(part.column("text")))
                 rows = []
                 for doc_id, text in zip(part.column("doc_id").filter(hint).to_pylist(), part.column("text").filter(hint).to_pylist(), strict=True):
-                    rows += [(doc_id, kind, text[a:b], surrogate(kind, text[a:b], key)) for kind, a, b in find(text)]
-                types = [pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["doc_id", "kind", "value", "surrogate"])
+                    for kind, a, b in find(text):
+                        own = [("surname", w) for w in surnames(text[a:b])] if kind == "name" else []
+                        for k, value in [(kind, text[a:b]), *own]:
+                            rows.append((doc_id, k, seal(value), seal(surrogate(k, value, key)), [seal(w) for w in words_of(k, value)]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["doc_id", "kind", "value", "surrogate", "words"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind string, value binary, surrogate binary, words array<binary>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind string, value string, surrogate string")
+def redraws(values: DataFrame, key: str) -> DataFrame | None:
+    """values(kind, value, surrogate, words), distinct, sealed -> (kind, value, draws) of those that had to be drawn again; None: none had to."""
 
+    @F.udf("binary")  # few rows
+    def draw_again(kind, value, draws):
+        return sealed(surrogate(kind, opened(bytes(value), key), key, tuple(draws)), key)
 
-def redraws(values: DataFrame, key: str = KEY) -> DataFrame | None:
-    """values(kind, value, surrogate), distinct -> (kind, value, surrogate) of those that had to be drawn again; None: none had to."""
-    draw_again = F.udf(lambda kind, value, draw: surrogate(kind, value, key, draw), "string")  # few rows
-    settled, originals = values, values.select("kind", F.col("value").alias("surrogate"))
-    changed = None
+    originals = values.select("kind", F.col("value").alias("surrogate"))
+    settled = values.withColumn("draws", F.transform("words", lambda _: F.lit(0)))
+    changed = False
     for draw in range(1, MOST_DRAWS + LONGER_DRAWS + 2):
         taken = settled.join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value", F.lit("taken").alias("why"))
         shared = settled.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
         shared = settled.join(shared, ["kind", "surrogate"], "left_semi").select("kind", "value", F.lit("shared").alias("why"))
         clash = save(taken.unionByName(shared).groupBy("kind", "value").agg(F.max(F.col("why") == "taken").alias("taken"), F.max(F.col("why") == "shared").alias("shared")), "clashes")
         if clash.isEmpty():
-            return changed
+            return settled.filter(F.exists("draws", lambda d: d > 0)).select("kind", "value", "draws") if changed else None
         if draw > MOST_DRAWS + LONGER_DRAWS:
             both = clash.agg(F.count_if("taken"), F.count_if("shared")).first()
             raise RuntimeError(f"after {draw - 1} draws {both[0]} surrogates equal other values and {both[1]} are shared; raise LONGER_DRAWS")
-        clash = clash.select("kind", "value")
-        new = save(clash.select("kind", "value", draw_again("kind", "value", F.lit(draw)).alias("surrogate")), "draws")
-        settled = settled.join(clash, ["kind", "value"], "left_anti").unionByName(new)
-        changed = new if changed is None else changed.join(clash, ["kind", "value"], "left_anti").unionByName(new)
+        pool = F.when(F.col("kind") == "surname", "name").otherwise(F.col("kind")).alias("pool")  # a surname and the names with it are drawn together
+        words = settled.join(clash, ["kind", "value"], "left_semi").select(pool, F.explode("words").alias("word")).distinct()
+        each = settled.select("kind", "value", pool, F.posexplode("words").alias("k", "word")).join(words, ["pool", "word"])
+        again = each.groupBy("kind", "value").agg(F.collect_set("k").alias("again"))  # every value with such a word
+        own = settled.join(again, ["kind", "value"]).withColumn("draws", F.transform("draws", lambda d, k: F.when(F.array_contains("again", k), F.lit(draw)).otherwise(d))).drop("again")
+        own = own.withColumn("surrogate", draw_again("kind", "value", "draws"))
+        settled = save(settled.join(again, ["kind", "value"], "left_anti").unionByName(own), "draws")
+        changed = True
     raise AssertionError("the last round returns or fails")
 
 
-def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark) -> str:
+    """The key that the session names, or the public one of tests."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        logging.getLogger(__name__).warning("%s is not set: surrogates are made with a public key", KEY_SETTING)
+    return found or TEST_KEY
+
+
+def replace_private(docs: DataFrame, key: str) -> DataFrame:
     """docs with text replaced, all other columns as they are, and _pii_entities: the kinds, places and surrogates."""
+    if not key:
+        raise ValueError("a key is needed")
     values = save(found_values(docs, key), "values")
-    again = redraws(values.select("kind", "value", "surrogate").distinct(), key)
+    again = redraws(values.select("kind", "value", "surrogate", "words").distinct(), key)
     drawn = again is not None
     if again is not None:
-        own = values.select("doc_id", "kind", "value").join(again, ["kind", "value"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "surrogate"))).alias("_pii_again"))
-        docs = docs.join(own.withColumnRenamed("doc_id", "_pii_doc"), F.col("doc_id").eqNullSafe(F.col("_pii_doc")), "left").drop("_pii_doc")
+        own = values.filter("kind <> 'surname'").select("doc_id", "kind", "value").distinct().join(again, ["kind", "value"])
+        own = own.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "value", "draws")).alias("_pii_again"))
+        docs = docs.join(own.withColumnRenamed("doc_id", "_pii_doc"), F.col("doc_id").cast("long").eqNullSafe(F.col("_pii_doc")), "left").drop("_pii_doc")
     columns = [f for f in docs.schema if f.name != "_pii_again"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", _pii_entities array<struct<kind string, start int, end int, surrogate string>>"
     found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
@@ -306,13 +383,14 @@ def replace_private(docs: DataFrame, key: str = KEY) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 texts, entities = part.column("text").to_pylist(), [[] for _ in range(part.num_rows)]
-                changed = dict(enumerate(part.column("_pii_again").to_pylist())) if drawn else {}
+                changed = part.column("_pii_again").to_pylist() if drawn else None
                 for k, hint in enumerate(hinted(part.column("text"))):
                     if not hint:
                         continue
-                    text, own, out, at = texts[k], dict(changed.get(k) or ()), [], 0
+                    text, out, at = texts[k], [], 0
+                    own = {(r["kind"], opened(r["value"], key)): tuple(r["draws"]) for r in (changed[k] or ())} if changed else {}
                     for kind, a, b in find(text):
-                        new = own.get(f"{kind}:{text[a:b]}") or surrogate(kind, text[a:b], key)
+                        new = surrogate(kind, text[a:b], key, own.get((kind, text[a:b]), ()))
                         out += [text[at:a], new]
                         at = b
                         entities[k].append({"kind": kind, "start": a, "end": b, "surrogate": new})
