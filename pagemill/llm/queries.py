@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import documents
-from .fingerprints import edited_fingerprints
+from .fingerprints import fingerprint_report
 from .langid import predict_language
 from .media import media_round_trip
 from .neardup import near_duplicates
 from .packing import pack_documents
-from .pii import replace_private
+from .pii import replace_private, session_key
 from .tokenfile import token_file_digest
 from .toxicity import score_toxicity
 from .warc import AUDIT_SQL, audit, damaged_replica, records
@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir))
+    return fingerprint_report(documents(spark, sf_dir))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = replace_private(documents(spark, sf_dir).select("doc_id", "text"))
+    found = replace_private(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark))
     return found.select("doc_id", "text", F.size("_pii_entities").alias("n_entities"), F.col("_pii_entities").alias("entities"))
 
 
