@@ -14,10 +14,14 @@ columns are not read, whatever their names. An empty table gives an empty table.
 pairs differ by about ten of 64 bits, too many for blocks of bits, so that candidates are texts that share one of BANDS
 bands of ROWS minima (MinHash); each candidate is decided by the exact similarity of its texts. A band's group gives a star
 first; then only pairs of its members that the stars have not brought together are tried.
+
+`keep_representatives` and `keep_unlike` keep one row of each component and every row without doc_id. Different texts under
+one doc_id are judged each by itself; of rows alike in doc_id and text one stays. Ties go to the smallest doc_id.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, ragged, save, slices
+from .common import discard, doc_text, made, ragged, save, slices, unused
 
 BITS, SEED = 64, 42
 #: Members of a group beyond which it is dealt again.
@@ -36,6 +40,8 @@ FAN = 8
 PAIRS = 4_000_000
 #: Bands and minima in each: a pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9992.
 BANDS, ROWS = 18, 5
+#: Members of a band's group beyond which it is compared as pairs of blocks.
+SPLIT = 512
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -62,16 +68,20 @@ def shingle_fingerprint(text: str, words: int) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
 
 
-def shingle_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (the 64 bits as a signed long)."""
+def shingle_fingerprints(docs: DataFrame, words: int = 3, rows: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fp (the 64 bits as a signed long), with rows also hash (xxhash64 of the text)."""
+    texts = doc_text(docs)
+    if rows:
+        texts = texts.withColumn("hash", F.xxhash64("text"))
+    names = ["hash"] if rows else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 fps = [shingle_fingerprint(t, words) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64()), *(part.column(c) for c in names)], names=["doc_id", "fp", *names])
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts.mapInArrow(run, "doc_id long, fp long" + ", hash long" * rows)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -185,26 +195,44 @@ def blocks(fp: Column, parts: int, bits: range) -> list[Column]:
     return [F.shiftrightunsigned(fp, a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def deal(fps: DataFrame, parts: int, width: int) -> DataFrame:
+    """fps(key, rest, fp, id) -> a row for each of `parts` blocks of the low `width` bits of rest; key then also names the block and its bits.
+
+    rest becomes the other bits, less so many that all blocks leave alike: bits that two fingerprints agree on in all but
+    `parts` - 1 places they agree on after any are left out.
+    """
+    edges, step = block_edges(parts, range(width)), -(-width // parts)
+    keyed = fps.select("key", "rest", "fp", "id", F.posexplode(F.array(*blocks(F.col("rest"), parts, range(width)))).alias("block", "value"))
+    top = f"array({', '.join(map(str, edges[1:]))})[block]"  # where the block ends; what is above it comes down to the bottom
+    turned = F.expr(f"if({top} = {width}, rest, shiftrightunsigned(rest, {top}) | shiftleft(rest, {width} - {top}))")
+    left = turned.bitwiseAND((1 << width - step) - 1)
+    return keyed.select(F.xxhash64("key", "block", "value").alias("key"), left.alias("rest"), "fp", "id")  # keys that fall together cost time, not results
+
+
 def link_stars(fps: DataFrame, radius: int = 3, hot: int = HOT_GROUP) -> DataFrame:
-    """fps(fp, id), distinct -> edges (u, v) between ids: every pair of fingerprints within the radius is connected by them."""
-    parts = radius + 1
-    step = -(-BITS // parts)  # the longest block
-    keyed = fps.select("fp", "id", F.posexplode(F.array(*blocks(F.col("fp"), parts, range(BITS)))).alias("block", "value"))
-    crowded = keyed.groupBy("block", "value").agg(F.count("*").alias("members")).filter(F.col("members") > hot)
-    keyed = keyed.join(crowded, ["block", "value"], "left")
-    # the remaining bits of a block's group: the fingerprint turned so that the block is at its top
-    turn = f"array({', '.join(map(str, block_edges(parts, range(BITS))[1:]))})[block]"
-    turned = F.expr(f"if({turn} = {BITS}, fp, shiftrightunsigned(fp, {turn}) | shiftleft(fp, {BITS} - {turn}))")
-    again = F.array(*[F.concat_ws(",", "block", "value", F.lit(i), b) for i, b in enumerate(blocks(turned, parts, range(BITS - step)))])
-    once = F.array(F.concat_ws(",", "block", "value"))
-    dealt = keyed.select("fp", "id", F.explode(F.when(F.col("members").isNull(), once).otherwise(again)).alias("name"))
-    dealt = dealt.select(F.xxhash64("name").alias("key"), "fp", "id")  # keys that fall together cost time, not results
-    sorted_ = dealt.repartition("key").sortWithinPartitions("key")
+    """fps(fp, id), distinct -> edges (u, v) between ids: every pair of fingerprints within the radius is connected by them.
+
+    Groups above `hot` members are dealt again by blocks of their remaining bits, and so on until none is or too few bits
+    remain to tell more than 2 ** radius members apart.
+    """
+    parts, width, done = radius + 1, BITS, []
+    dealt = fps.select(F.lit(0).alias("key"), F.col("fp").alias("rest"), "fp", "id")
+    while True:
+        dealt = deal(dealt, parts, width)
+        width -= -(-width // parts)
+        crowded = save(dealt.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > hot).select("key"), "crowded")
+        if width < parts or crowded.isEmpty():
+            done.append(dealt)
+            break
+        done.append(dealt.join(crowded, "key", "left_anti"))
+        dealt = save(dealt.join(crowded, "key"), "dealt")
+    sorted_ = functools.reduce(DataFrame.unionByName, done).select("key", "fp", "id").repartition("key").sortWithinPartitions("key")
     return sorted_.mapInArrow(lambda it: groups_to_stars(it, radius), "u long, v long")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (u, v) of longs -> (id, component): the smallest id that each id of an edge can reach."""
+    spark, mark = edges.sparkSession, made()
     edges = save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(most_rounds):
@@ -215,6 +243,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         pairs = large.join(low, "u")
         small = pairs.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v")
         edges = save(small.distinct(), "edges")
+        discard(spark, mark, keep=1)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -222,27 +251,52 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle; raise most_rounds")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, hot: int = HOT_GROUP) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    marked = save(shingle_fingerprints(docs, words), "fingerprints")
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, hot: int = HOT_GROUP, rows: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable); with rows also hash, xxhash64 of the text."""
+    marked = save(shingle_fingerprints(docs, words, rows), "fingerprints")
     named = marked.filter("doc_id is not null")
     distinct = save(named.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    found = connected_components(link_stars(distinct, radius, hot))
-    by_fp = distinct.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # ids of components are places among distinct fingerprints, not doc_ids: one doc_id may have several texts
+    found = connected_components(link_stars(distinct.select("fp", F.col("fp").alias("id")), radius, hot))
+    reached = distinct.join(found.withColumnRenamed("id", "node"), F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = reached.groupBy("component").agg(F.min("id").alias("component_id"))
+    by_fp = reached.join(least, "component").select("fp", "component_id")
     joined = marked.join(by_fp, "fp", "left")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    hash_ = ["hash"] if rows else []
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *hash_)
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of docs for each component of found, the one with the smallest doc_id, all columns as they are; rows without doc_id stay."""
-    first = found.filter("component_id is not null").select(F.col("component_id").alias("_first")).distinct()
-    named = docs.filter("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One row of docs for each component of found(doc_id, hash, component_id): that of the smallest doc_id, of equal ones that of the smallest hash.
+
+    hash is xxhash64 of the text, so that different texts under one doc_id are rows of their own; of rows alike in both one
+    stays. Rows without doc_id stay. All columns stay as they are, whatever their names. Only rows that go, and rows that
+    occur more than once, are joined to the texts.
+    """
+    named = found.filter("doc_id is not null")
+    rows = save(named.groupBy("doc_id", "hash").agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "rows")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    judged = rows.join(first, "component_id").withColumn("goes", F.struct("doc_id", "hash") != F.col("first"))
+    judged = save(judged.filter("goes or copies > 1").select("doc_id", "hash", "goes"), "judged")
+    own_id, own_hash, doc_id = unused("own_id", docs), unused("own_hash", docs), unused("judged_id", docs)
+    marked = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64(F.coalesce("text", F.lit("")))})
+
+    def among(goes: bool) -> tuple[DataFrame, Column]:
+        few = judged.filter(F.col("goes") == goes).select(F.col("doc_id").alias(doc_id), F.col("hash").alias(f"{doc_id}_hash"))
+        return few, (F.col(own_id) == F.col(doc_id)) & (F.col(own_hash) == F.col(f"{doc_id}_hash"))
+
+    going, same = among(True)
+    kept = marked.join(going.hint("merge"), same, "left_anti")  # the same plan at every size
+    repeated, same = among(False)
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([own_id, own_hash]))
+    return kept.drop(own_id, own_hash)
 
 
 def keep_representatives(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """The first row of each component of near duplicates by fingerprint."""
-    return keep_first(docs, near_duplicates(docs, words, radius))
+    found = near_duplicates(docs, words, radius, rows=True)
+    return keep_first(docs, found)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -257,25 +311,25 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (hash of the set of shingles), keys (one for each band)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """docs(doc_id, text) -> doc_id, hash (xxhash64 of the text), node (hash of the set of shingles), keys (one for each band)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for part in slices(batch):
-                fps, keys = [], []
+                nodes, keys = [], []
                 for text in part.column("text").to_pylist():
                     own = np.unique(shingle_hashes(text, words).astype(np.uint64))
                     low = minima(own)
-                    fps.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                    nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                     keys.append([xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)] if len(own) else [])
                 signed = [np.array(k, np.uint64).view(np.int64) for k in keys]
-                cols = [part.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(signed, schema.field("keys").type)]
+                cols = [part.column("doc_id"), part.column("hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(signed, schema.field("keys").type)]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, fp long, keys array<long>")
+    return doc_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, node long, keys array<long>")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -287,81 +341,115 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose texts are alike, by their whole sets of shingles."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = save(doc_text(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+def star_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, split: int) -> DataFrame:
+    """The pairs (u, v), v a head, whose texts(node, text) are alike, by their whole sets of shingles. A head with more than `split` members is held against them in several tasks."""
+    sizes = pairs.groupBy("v").agg(F.ceil(F.count("*") / split).cast("int").alias("parts"))
+    salted = pairs.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"))
+    heads = salted.select(F.col("v").alias("u"), "v", "salt").distinct()
+    rows = salted.unionByName(heads).join(texts.hint("merge").withColumnRenamed("node", "u"), "u").select("v", "salt", (F.col("u") != F.col("v")).alias("member"), "u", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None  # rows come by v, so its set is made once
+        own = None
         for batch in batches:
             good = []
-            for v, a, b in zip(*(batch.column(c).to_pylist() for c in ("v", "a", "b")), strict=True):
-                if own is None or v != last:
-                    last, own = v, np.unique(shingle_hashes(b, words))
-                good.append(alike(np.unique(shingle_hashes(a, words)), own, similarity))
+            for member, text in zip(batch.column("member").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = np.unique(shingle_hashes(text, words))
+                if not member:  # a head comes before its members
+                    own = found
+                good.append(member and alike(found, own, similarity))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    ordered = rows.repartition("v", "salt").sortWithinPartitions("v", "salt", "member")
+    return ordered.mapInArrow(run, "u long, v long")
+
+
+def links(members: list[tuple[int, int, int, np.ndarray]], similarity: float) -> tuple[list[int], list[int]]:
+    """Members (side, node, label, set) -> ends of links between alike members of different labels: of different sides where there are two, else any."""
+    side, ids, label = (np.array(x) for x in zip(*((s, i, k) for s, i, k, _ in members)))
+    size = np.array([len(own) for *_, own in members])
+    start = np.r_[0, np.cumsum(size)]
+    used, flat = np.unique(np.concatenate([own for *_, own in members]), return_inverse=True)
+    two, u, v = side.max() > side.min(), [], []
+    here = np.zeros(len(used), bool)
+    for k in range(len(ids) - 1):
+        rest = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+        if two:
+            rest = rest[side[rest] != side[k]]
+        rest = rest[np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k]) - 1e-9]
+        if not len(rest):
+            continue
+        here[flat[start[k] : start[k + 1]]] = True
+        found, at = ragged(flat, start, rest)
+        both = np.add.reduceat(here[found].astype(np.int64), at[:-1])
+        here[flat[start[k] : start[k + 1]]] = False
+        for j in rest[both >= similarity * (size[rest] + size[k] - both) - 1e-9]:
+            if label[j] != label[k]:
+                u, v = [*u, ids[k]], [*v, ids[j]]
+                label[label == label[j]] = label[k]
+    return u, v
 
 
 def group_links(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, label, text) sorted by key, whole keys in a task -> links (u, v) between members of a key with different labels whose texts are alike."""
-
-    def links(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        size = np.array([len(x) for x in sets])
-        start = np.r_[0, np.cumsum(size)]
-        used, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        label, u, v = np.array(labels), [], []
-        here = np.zeros(len(used), bool)
-        for k in range(len(ids) - 1):
-            rest = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
-            rest = rest[np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k]) - 1e-9]
-            if not len(rest):
-                continue
-            here[flat[start[k] : start[k + 1]]] = True
-            found, at = ragged(flat, start, rest)
-            both = np.add.reduceat(here[found].astype(np.int64), at[:-1])
-            here[flat[start[k] : start[k + 1]]] = False
-            for j in rest[both >= similarity * (size[rest] + size[k] - both) - 1e-9]:
-                if label[j] != label[k]:
-                    u, v = [*u, ids[k]], [*v, ids[j]]
-                    label[label == label[j]] = label[k]
+    """Rows (key, side, node, label, text) sorted by key, whole keys in a task -> links (u, v)."""
+    key, kept = None, []
+
+    def close() -> pa.RecordBatch:
+        u, v = links(kept, similarity) if kept else ([], [])
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    key, kept = None, ([], [], [])
     for batch in batches:
-        for one, id_, label, text in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "label", "text")), strict=True):
-            if one != key and kept[0]:
-                yield links(*kept)
-                kept = ([], [], [])
-            key = one
-            for own, x in zip(kept, (id_, label, np.unique(shingle_hashes(text, words))), strict=True):
-                own.append(x)
-    if kept[0]:
-        yield links(*kept)
-
-
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, component_id (the smallest doc_id that pairs of alike texts reach)."""
-    marked = save(sketches(docs, words).filter("doc_id is not null"), "sketches")
-    distinct = save(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "distinct")
-    keyed = distinct.select("id", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
+        for one, side, node, label, text in zip(*(batch.column(c).to_pylist() for c in ("key", "side", "node", "label", "text")), strict=True):
+            if one != key:
+                yield close()
+                key, kept = one, []
+            kept.append((side, node, label, np.unique(shingle_hashes(text, words))))
+    yield close()
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, split: int = SPLIT) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, hash, component_id (the smallest doc_id that pairs of alike texts reach); rows without doc_id have none.
+
+    What is linked are distinct sets of shingles (nodes). A node is held against the head (first member) that most of its
+    bands' groups have; then against the heads of its other groups that this has not brought it together with; only groups
+    left in several components are compared pair by pair, of groups with the same members one, those above `split`
+    members as pairs of blocks of about that many at most, each in a task of its own.
+    """
+    marked = save(sketches(docs, words), "sketches")
+    named = marked.filter("doc_id is not null")
+    distinct = save(named.groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("keys").alias("keys")).select("node", "own.*", "keys"), "distinct")
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).filter("members > 1")
     groups = save(keyed.join(heads, "key"), "groups")
-    stars = save(groups.filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), "stars")
-    edges = save(verified(stars, docs, words, similarity), "links")
-    label = connected_components(edges).select("id", F.col("component").alias("label"))
-    tagged = save(groups.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "tagged")
-    apart = tagged.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-    rest = save(tagged.join(apart, "key"), "rest")
-    texts = doc_text(docs).withColumnRenamed("doc_id", "id").join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    rows = rest.join(texts, "id").select("key", "id", "label", "text").repartition("key").sortWithinPartitions("key")
+    wanted = distinct.join(groups.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "hash")
+    # the same plan at every size: texts are dealt by doc_id, not held against a list that may be small enough to go out
+    texts = doc_text(docs).withColumn("hash", F.xxhash64("text")).join(wanted.hint("merge"), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])
+    texts = save(texts.select("node", "text"), "texts")
+    stars = groups.filter("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
+    best = stars.groupBy("node").agg(F.max(F.struct("n", "head")).alias("best")).select(F.col("node").alias("u"), F.col("best.head").alias("v"))
+    edges = save(star_links(best, texts, words, similarity, split), "links")
+
+    def label(found: DataFrame) -> DataFrame:
+        return save(connected_components(found).select(F.col("id").alias("node"), F.col("component").alias("label")), "labels")
+
+    def labelled(frame: DataFrame, node: str, name: str, labels: DataFrame) -> DataFrame:
+        return frame.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    labels = label(edges)
+    others = labelled(labelled(stars.select("node", "head"), "node", "a", labels), "head", "b", labels).filter("a <> b").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    edges = save(edges.unionByName(star_links(others, texts, words, similarity, split)), "links")
+    tagged = labelled(groups, "node", "label", label(edges))
+    apart = tagged.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("members").alias("members"), F.first("who").alias("who")).filter("a <> b")
+    apart = apart.groupBy("members", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / split).cast("int").alias("parts"))
+    block = tagged.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = block.select(pair.alias("key"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label")
+    rows = dealt.join(texts.hint("merge"), "node").select("key", "side", "node", "label", "text").repartition("key").sortWithinPartitions("key")
     more = rows.mapInArrow(lambda it: group_links(it, words, similarity), "u long, v long").distinct()
-    found = connected_components(edges.unionByName(more))
-    by_fp = distinct.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return marked.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", "component_id")
+    found = connected_components(edges.unionByName(more)).withColumnRenamed("id", "node")
+    reached = distinct.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_node = reached.join(least, "component").select("node", "component_id")
+    return marked.join(by_node, "node", "left").select("doc_id", "hash", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_unlike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
