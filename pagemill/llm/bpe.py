@@ -3,7 +3,8 @@
 Each distinct word is first cut by greedy longest match. A cut is the one that the merges give if and only if every
 pair of adjacent tokens is compatible: undoing both tokens merge by merge, from the latest to the first, at no time do
 the two symbols that touch at the border have a merge that comes before the ones that took them inside. All new pairs
-of a batch are tested at once in numpy and verdicts are kept. Only words with a pair that fails go through the merges.
+of a batch are tested at once in numpy and verdicts are kept. Only words with a pair that fails go through the merges, and
+so do words beyond LONG letters, whose proposal would save nothing: those by a queue, in n log n.
 
 Null texts are empty texts and give no ids; words of any length and any characters are encoded whole. Rows are handled
 one by one, so repeated rows and ids give repeated results, and an empty table gives an empty table.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -39,6 +41,10 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = "\x1f"
 IRREGULAR = r"[ \n][ \n]|[ \n]\z|[\t\x0b\f\r\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NEVER = np.iinfo(np.int64).max
+#: Longer words (in letters) go to the exact merges at once: their proposal would advance one letter at a time.
+LONG = 512
+#: The low bits of a queue entry, which hold a place.
+PLACE = (1 << 40) - 1
 
 
 @functools.cache
@@ -196,6 +202,37 @@ class Merges:
         out[live] = ids
         return out
 
+    def merge_long(self, form: str) -> np.ndarray:
+        """The merges on one word of any length, the lowest rank first and of equal ones the leftmost, in n log n."""
+        letters = np.frombuffer(form.encode("utf-16-le"), np.uint16)
+        ids = self.base[letters]
+        if self.suffix:
+            ids = np.append(ids[:-2], self.base_end[letters[-2]])
+        n = len(ids)
+        rank, _ = self._pair_rank(ids[:-1], ids[1:])
+        open_ = np.flatnonzero(rank < NEVER)
+        queue = np.sort((rank[open_] << 40) + open_).tolist()  # sorted, so a heap
+        own, before, after, pairs = ids.tolist(), list(range(-1, n - 1)), [*range(1, n), -1], self.ranks
+        while queue:
+            entry = heapq.heappop(queue)
+            at = entry & PLACE
+            right = after[at]
+            if own[at] < 0 or right < 0:
+                continue
+            found = pairs.get((own[at], own[right]))
+            if found is None or found[0] != entry >> 40:
+                continue  # what stood there has been merged since
+            own[at], own[right] = found[1], -1
+            after[at] = follows = after[right]
+            if follows >= 0:
+                before[follows] = at
+                if new := pairs.get((own[at], own[follows])):
+                    heapq.heappush(queue, (new[0] << 40) + at)
+            if (left := before[at]) >= 0 and (new := pairs.get((own[left], own[at]))):
+                heapq.heappush(queue, (new[0] << 40) + left)
+        out = np.array(own, np.int64)
+        return out[out >= 0]
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of whole words, one after another, and their sizes: proposals where all adjacent pairs are compatible, merges elsewhere."""
         end = END if self.suffix else ""
@@ -204,7 +241,11 @@ class Merges:
         counts = np.zeros(len(forms), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         top = 0
-        while top < size.max(initial=0):  # words of like length share a matrix
+        for k in np.flatnonzero(size > LONG).tolist():
+            own = self.merge_long(forms[k])
+            counts[k] = len(own)
+            found.append((np.array([k]), own[None]))
+        while top < min(LONG, size.max(initial=0)):  # words of like length share a matrix
             low, top = top, max(8, 2 * top)
             rows = np.flatnonzero((size > low) & (size <= top))
             step = max(1, 4_000_000 // top)
