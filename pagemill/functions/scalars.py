@@ -91,7 +91,8 @@ def resume_seconds(strikes: Column, reset_in: Column, most_wait: int = 12 * 3600
     return F.when((reset_in >= 0) & (reset_in <= most_wait), (reset_in + 60).cast("double")).otherwise(backoff)
 
 
-#: First match wins: (code, retryable, status, condition as SQL over name, module, message, http). The vendor's own failures come before the texts of rate limits.
+#: Codes, which this library names itself; what must be as it is are the conditions, their order, and what can be tried again.
+# Fixed values: (code, retryable, status, condition as SQL over name, module, message, http). The vendor's own failures come before the texts of rate limits.
 TRIAGE = [
     ("stopped", True, 409, "name = 'TaskAborted'"),
     ("refused", False, 409, "name = 'TaskRefused'"),
@@ -101,7 +102,7 @@ TRIAGE = [
     ("vendor-error", True, 502, "vendor"),
     ("rate-limited", False, 429, "name = 'RateLimited' OR low LIKE '%usage limit%' OR low LIKE '%rate limit%'"),
     ("start-timeout", True, 503, "low LIKE '%control request timeout%' OR low LIKE '%initialize timeout%'"),
-    ("engine-missing", False, 503, "name = 'CLINotFoundError' OR low LIKE '%enoent%'"),
+    ("engine-missing", False, 503, "name = 'CLINotFoundError' OR low LIKE '%code not found%' OR low LIKE '%enoent%'"),
     ("engine-connection", True, 502, "name IN ('CLIConnectionError', 'ProcessError') OR low LIKE '%cli connection%'"),
     ("disk-full", True, 507, "name IN ('OSError', 'IOError', 'PermissionError') AND (low LIKE '%no space%' OR low LIKE '%errno 28%')"),
     ("file-locked", True, 500, "name = 'PermissionError' OR low LIKE '%winerror 32%' OR low LIKE '%being used by another%'"),
@@ -112,6 +113,6 @@ TRIAGE = [
 ]
 
 
-def triage_code() -> Column:
-    """The code for columns name, low (message in lower case), vendor, http."""
-    return F.expr("CASE " + " ".join(f"WHEN {cond} THEN '{code}'" for code, _, _, cond in TRIAGE) + " ELSE 'unknown' END")
+def triage_code(ladder: list = TRIAGE) -> Column:
+    """The code for columns name, low (message in lower case), vendor, http: that of the first rule that holds."""
+    return F.expr("CASE " + " ".join(f"WHEN {cond} THEN '{code}'" for code, _, _, cond in ladder) + " ELSE 'unknown' END")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import box_drawable
 from ..functions.text import blank, furniture_kind, sha, strip
+from . import layout
 from .regions import FURNITURE, TRANSLATED
 
 
@@ -100,6 +101,50 @@ def apply_corrections(regions: DataFrame, corrections: DataFrame) -> tuple[DataF
     return marked, lost
 
 
+def correct_headings(meta: DataFrame, marked: DataFrame) -> DataFrame:
+    """page_meta's heading follows the correction of the heading region that says it; an emptied one is none (J10). marked: apply_corrections' regions."""
+    same = marked.filter("corrected and kind = 'heading'").select(F.col("page_id").alias("__p"), F.col("list_pos").alias("__k"), strip(F.col("original")).alias("__was"), F.nullif(strip(F.col("text")), F.lit("")).alias("__is"))
+    both = meta.join(same, (F.col("page_id") == F.col("__p")) & (strip(F.col("heading")) == F.col("__was")), "left")
+    first = both.withColumn("__n", F.row_number().over(Window.partitionBy("page_id").orderBy("__k"))).filter("__n = 1")
+    return first.withColumn("heading", F.when(F.col("__was").isNotNull(), F.col("__is")).otherwise(F.col("heading"))).select(*meta.columns)
+
+
+def effective(regions: DataFrame, meta: DataFrame, saved: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A reading as it should be read: the saved order first, matched on the machine's words, then the corrections -> (regions, meta, notes: page_id, note)."""
+    ordered, bad = apply_order(regions, saved)
+    marked, lost = apply_corrections(ordered, corrections)
+    notes = bad.select("page_id", F.lit("order-lost").alias("note")).unionByName(lost.select("page_id", F.lit("correction-lost").alias("note")).distinct())
+    return marked, correct_headings(meta, marked), notes
+
+
+def correct_pages(pages: DataFrame, stored: DataFrame, decisions: DataFrame, regions: DataFrame, busy: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A person's corrections -> (corrections, pages, refused: page_id, region_id, why).
+
+    Refused are pages whose read is in flight (busy: page_id), pages never read (has_read) and regions that aren't there. A
+    page with a real correction is edited unless it is skipped; corrected_at moves when a correction is made, changed or taken back.
+    """
+    asked = decisions.join(pages.select("page_id", "has_read"), "page_id", "left").join(busy.select("page_id").distinct().withColumn("__busy", F.lit(True)), "page_id", "left")
+    there = regions.select("page_id", "region_id", F.lit(True).alias("__there"), F.col("text").alias("__original"))
+    asked = asked.join(there, ["page_id", "region_id"], "left")
+    why = F.when(F.col("__busy"), "in-flight").when(~F.coalesce("has_read", F.lit(False)), "not-read").when(F.col("__there").isNull(), "no-region")
+    asked = asked.withColumn("why", why)
+    taken = asked.filter("why is null")
+    after = set_corrections(stored, taken.select("page_id", "region_id", "to_text"), regions, now)
+    before = stored.select("page_id", "region_id", F.col("to_text").alias("__had"))
+    told = taken.join(before, ["page_id", "region_id"], "left").withColumn("__real", strip(F.col("to_text")) != strip(F.coalesce("__original", F.lit(""))))
+    moved = ~F.when(F.col("__real"), F.col("to_text")).eqNullSafe(F.col("__had"))
+    marks = told.groupBy("page_id").agg(F.bool_or("__real").alias("__real"), F.bool_or(moved).alias("__moved"))
+    both = pages.join(marks, "page_id", "left")
+    status = F.when(F.coalesce("__real", F.lit(False)) & (F.col("status") != "skipped"), "edited").otherwise(F.col("status"))
+    both = both.withColumns({"status": status, "corrected_at": F.when(F.col("__moved"), now).otherwise(F.col("corrected_at"))})
+    return after, both.drop("__real", "__moved"), asked.filter("why is not null").select("page_id", "region_id", "why")
+
+
+def needs_translating(counts: DataFrame) -> DataFrame:
+    """Chapters with a line that has no English, whatever their status says."""
+    return counts.withColumn("due", F.col("untranslated") > 0)
+
+
 def set_corrections(stored: DataFrame, decisions: DataFrame, regions: DataFrame, now: Column) -> DataFrame:
     """decisions(page_id, region_id, to_text) into stored corrections: the machine's own text takes one back, the stamp moves only on a change."""
     asked = decisions.join(regions.select("page_id", "region_id", F.col("text").alias("__original")), ["page_id", "region_id"])
@@ -140,6 +185,26 @@ def merge_pages(current: DataFrame, results: DataFrame) -> DataFrame:
     return both.withColumn("status", F.when((F.col("status") != "skipped") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("status"))).drop("__new")
 
 
+def apply_reads(pages: DataFrame, results: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Finished reads (page_id, work_id, status, usage, cost_usd) with their regions -> (pages with status and order check, ledger rows).
+
+    A page skipped meanwhile stays skipped, but its read is kept and paid for; deleted pages count for nothing. The order check
+    is made anew for every page that was read.
+    """
+    done = results.join(pages.select("page_id"), "page_id", "left_semi")
+    checked = layout.check(rows.join(done.select("page_id"), "page_id", "left_semi")).select("page_id", F.col("reversed").alias("looks_reversed"), "disagreement")
+    merged = merge_pages(pages, done.select("page_id", "status")).drop("looks_reversed", "disagreement").join(checked, "page_id", "left")
+    return merged, done.select("work_id", "usage", "cost_usd")
+
+
+def rest_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """Where stopped or failed work (page_id, status, error) leaves a page: only the worker's own marks give way, and a reason is kept except on a skipped page."""
+    both = pages.join(results.select("page_id", F.col("status").alias("__new"), F.col("error").alias("__why")), "page_id", "left")
+    own = F.col("status").isin("queued", "reading") & F.col("__new").isNotNull()
+    error = F.when((F.col("status") != "skipped") & F.col("__why").isNotNull(), F.col("__why")).otherwise(F.col("error"))
+    return both.withColumns({"error": error, "status": F.when(own, F.col("__new")).otherwise(F.col("status"))}).drop("__new", "__why")
+
+
 def decide_pages(pages: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """decisions(page_id, status) of a person -> (pages, refused): `new` on a page that has been read means it needs a check."""
     allowed = F.col("status").isin("edited", "ok", "skipped", "new")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, nonspace_length, strip
+from .ledger import MONEY, usage_by_key
 
 TERMS_MARK = "===NEW_TERMS==="
 TERM = "array<struct<source string, english string, type string>>"
@@ -15,17 +16,20 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 def chunk(chapters: DataFrame, *, key: list[str], paragraphs: str = "paragraphs", threshold: int = 12_000) -> DataFrame:
     """Paragraphs filled into chunks in order up to `threshold` characters that are no white space; a longer one stands alone.
 
-    The sum starts anew with each chunk, so it is a fold over the ordered paragraphs, not a window.
+    The sum starts anew with each chunk, so it is a fold over the ordered paragraphs, not a window. The fold keeps the size
+    of the open chunk and where chunks begin, the paragraphs are cut out afterwards.
     """
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("own"), F.lit(0).cast("long").alias("size"))
+    sizes = F.transform(paragraphs, nonspace_length)
+    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
 
-    def step(s: Column, p: Column) -> Column:
-        n = nonspace_length(p)
-        over = (F.size(s["own"]) > 0) & (s["size"] + n > threshold)
-        return F.struct(F.when(over, F.concat(s["done"], F.array(s["own"]))).otherwise(s["done"]).alias("done"), F.when(over, F.array(p)).otherwise(F.concat(s["own"], F.array(p))).alias("own"), F.when(over, n).otherwise(s["size"] + n).alias("size"))
+    def step(s: Column, n: Column) -> Column:
+        over = (s["at"] == 0) | (s["size"] + n > threshold)
+        return F.struct(F.when(over, n).otherwise(s["size"] + n).alias("size"), (s["at"] + 1).alias("at"), F.when(over, F.array_append(s["begins"], s["at"])).otherwise(s["begins"]).alias("begins"))
 
-    filled = F.aggregate(paragraphs, start, step, lambda s: F.when(F.size(s["own"]) > 0, F.concat(s["done"], F.array(s["own"]))).otherwise(s["done"]))
-    return chapters.select(*key, F.posexplode(filled).alias("chunk_no", "paragraphs"))
+    held = chapters.select(*key, F.col(paragraphs).alias("__p"), F.aggregate(sizes, start, step).alias("__f"))
+    begins = F.col("__f.begins")
+    cuts = F.zip_with(begins, F.array_append(F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0))), F.col("__f.at")), lambda a, b: F.slice(F.col("__p"), a + 1, b - a))
+    return held.filter(F.size("__p") > 0).select(*key, F.posexplode(cuts).alias("chunk_no", "paragraphs"))
 
 
 def continuity_tail(lines: DataFrame, *, key: list[str], order: str, n: int = 3) -> DataFrame:
@@ -92,6 +96,19 @@ def retry_union(first: DataFrame, again: DataFrame, *, key: list[str]) -> DataFr
     return again.unionByName(first.join(again, [*key, "id"], "left_anti"))
 
 
+def retry_totals(*attempts: DataFrame, key: list[str]) -> DataFrame:
+    """attempts(key, usage, cost_usd, terms, chunks, warnings), in order -> their sums, all terms, and warnings, those of later ones marked."""
+    every = None
+    for n, one in enumerate(attempts):
+        said = F.transform("warnings", lambda w: w) if not n else F.transform("warnings", lambda w: F.concat(F.lit("retry: "), w))
+        rows = one.select(*key, F.lit(n).alias("__n"), "usage", "cost_usd", "terms", "chunks", said.alias("warnings"))
+        every = rows if every is None else every.unionByName(rows)
+    in_order = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__n", c))), lambda s: s[c]))
+    joined = every.groupBy(*key).agg(F.sum(F.col("cost_usd").cast(MONEY)).cast(MONEY).alias("cost_usd"), in_order("terms").alias("terms"), F.sum("chunks").alias("chunks"), in_order("warnings").alias("warnings"))
+    used = usage_by_key(every, key=key).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "amount")))).alias("usage"))
+    return joined.join(used, key, "left")
+
+
 def route(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows(ok, ...) -> (accepted, audit): every row is audited, only valid ones are readable."""
     return rows.filter("ok"), rows
@@ -104,13 +121,47 @@ def accept(audit: DataFrame, decisions: DataFrame, *, key: list[str]) -> tuple[D
     return asked.filter(~empty).withColumns({"status": F.lit("validated"), "accepted": F.lit(True)}), asked.filter(empty).select(*key)
 
 
-def reader(chapters: DataFrame, accepted: DataFrame, audit: DataFrame, *, key: list[str], order: str) -> DataFrame:
-    """Chapters with the accepted text, or else the audited one, and their neighbours."""
+def reader(chapters: DataFrame, accepted: DataFrame, audit: DataFrame, *, key: list[str], order: str, state: DataFrame | None = None) -> DataFrame:
+    """Chapters with the accepted text, or else the audited one, and their neighbours.
+
+    With state(key, status, source_hash, accepted) and chapters' content_hash also status, accepted, and stale: the text was
+    made from other words than those shown beside it.
+    """
     a = accepted.select(*key, F.col("text").alias("__a"))
     b = audit.select(*key, F.col("text").alias("__b"))
     work = Window.partitionBy(*[k for k in key if k != order]).orderBy(order)
     rows = chapters.join(a, key, "left").join(b, key, "left")
-    return rows.withColumns({"text": F.coalesce("__a", "__b"), "from_audit": F.col("__a").isNull() & F.col("__b").isNotNull(), "previous": F.lag(order).over(work), "next": F.lead(order).over(work)}).drop("__a", "__b")
+    out = rows.withColumns({"text": F.coalesce("__a", "__b"), "from_audit": F.col("__a").isNull() & F.col("__b").isNotNull(), "previous": F.lag(order).over(work), "next": F.lead(order).over(work)}).drop("__a", "__b")
+    if state is None:
+        return out
+    held = out.join(state.select(*key, F.col("status").alias("__s"), F.col("source_hash").alias("__h"), F.col("accepted").alias("__ok")), key, "left")
+    stale = F.coalesce((F.col("__h") != "") & (F.col("__h") != F.col("content_hash")), F.lit(False))
+    return held.withColumns({"status": F.coalesce("__s", F.lit("")), "stale": stale, "accepted": F.coalesce("__ok", F.lit(False))}).drop("__s", "__h", "__ok")
+
+
+#: What goes round a request's words; every text of a request is a parameter of `user_message`.
+WORDS = {
+    "chunk": "This is part {index} of {total}. Part {previous} came before.", "tail": "For context, the end of the part before:", "title": "Chapter title: ",
+    "notes": "Additional instructions for this work: ", "body": "Translate the following:",
+}
+
+
+def user_message(body: Column, *, title: Column, index: Column, total: Column, tail: Column, notes: Column, words: dict[str, str] = WORDS) -> Column:
+    """The text of one request (C14): note on its part, tail, title (first part only), notes of the work, body; blank parts don't appear."""
+    place = F.replace(F.replace(F.replace(F.lit(words["chunk"]), F.lit("{index}"), index.cast("string")), F.lit("{total}"), total.cast("string")), F.lit("{previous}"), F.greatest(F.lit(1), index - 1).cast("string"))
+    some = lambda c: F.when(~blank(c), strip(c))
+    parts = [F.when(total > 1, place), F.concat(F.lit(words["tail"] + "\n\n"), some(tail)), F.when(index == 1, F.concat(F.lit(words["title"]), some(title))), F.concat(F.lit(words["notes"]), some(notes)), F.concat(F.lit(words["body"] + "\n\n"), body)]
+    return F.array_join(F.array_compact(F.array(*parts)), "\n\n")
+
+
+#: What an answer has to look like where a request does not say.
+CONTRACT = f"Answer with the translation alone, then {TERMS_MARK} and a JSON array of new terms."
+
+
+def system_message(*, block: Column, contract: Column | None = None, voice: Column | None = None, notes: Column | None = None) -> Column:
+    """Voice, notes of the work, glossary block and output contract of a request; any contract may stand in for the usual one."""
+    some = lambda c: F.when(~blank(c), strip(c))
+    return F.array_join(F.array_compact(F.array(*[some(c) for c in (voice, notes, block) if c is not None], F.lit(CONTRACT) if contract is None else F.coalesce(contract, F.lit(CONTRACT)))), "\n\n")
 
 
 def due_requests(chunks: DataFrame, responses: DataFrame, relevant: DataFrame, *, key: list[str], tail: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,22 @@ def flatten(regions: DataFrame, *, kinds: tuple[str, ...] = PROSE) -> DataFrame:
     return rows.groupBy("page_id").agg(parts.alias("__p")).select("page_id", joined.alias("text"))
 
 
-def propose(pages: DataFrame, *, ends: str = ENDS_SENTENCE, continues: str = STARTS_ON) -> DataFrame:
+Extractor = Callable[[DataFrame], Column]
+
+
+def extracted(pages: DataFrame, text_of: Extractor | None, heading_of: Extractor | None) -> DataFrame:
+    """Pages with text and heading as the extractors give them (X1); without one the columns of these names count."""
+    asked = {name: of(pages) for name, of in (("text", text_of), ("heading", heading_of)) if of}
+    return pages.withColumns(asked) if asked else pages
+
+
+def propose(pages: DataFrame, *, ends: str = ENDS_SENTENCE, continues: str = STARTS_ON, text_of: Extractor | None = None, heading_of: Extractor | None = None) -> DataFrame:
     """Adds proposed, glue, confidence, reason for the seam before each page; null for the first of a work.
 
     The first rule that holds decides: a heading; a split word; a sentence that both sides leave open; an open quotation; a
     sentence that only the page before leaves open (a gap, unless this page opens with a continuation); a finished sentence.
     """
+    pages = extracted(pages, text_of, heading_of)
     order = Window.partitionBy("work_id").orderBy("ord")
     before = {c: F.lag(c).over(order) for c in ("text", "ends_mid_word", "ends_mid_sentence")}
     rows = pages.withColumns({f"__{c}": v for c, v in before.items()}).withColumn("__n", F.row_number().over(order))
@@ -62,9 +74,9 @@ def merge(current: DataFrame, proposed: DataFrame) -> DataFrame:
     return both.withColumns({c: F.when(take, v).otherwise(F.col(c)) for c, v in new.items()}).drop("proposed", "__g")
 
 
-def chapters(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def chapters(pages: DataFrame, *, text_of: Extractor | None = None, heading_of: Extractor | None = None) -> tuple[DataFrame, DataFrame]:
     """Approved pages -> (chapters: work_id, idx, title, text, pages; warnings: the pages before which one may be missing)."""
-    rows = pages.filter(F.col("status").isin(*APPROVED)).withColumn("text", strip(F.coalesce("text", F.lit("")))).filter("text <> ''")
+    rows = extracted(pages, text_of, heading_of).filter(F.col("status").isin(*APPROVED)).withColumn("text", strip(F.coalesce("text", F.lit("")))).filter("text <> ''")
     order = Window.partitionBy("work_id").orderBy("ord")
     rows = rows.withColumn("__first", F.row_number().over(order) == 1).withColumn("__join", F.coalesce(F.nullif("join_prev", F.lit("")), F.lit("paragraph")))
     begins = F.col("__first") | (F.col("__join") == "chapter")
@@ -80,9 +92,9 @@ def chapters(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done, rows.filter(~F.col("__first") & (F.col("__join") == "gap")).select("work_id", "page_id", "seq")
 
 
-def spans(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def spans(pages: DataFrame, *, heading_of: Extractor | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages that are not skipped -> (runs: work_id, idx, title, start_seq, end_seq, page_ids; warnings)."""
-    rows = pages.filter(~F.col("status").eqNullSafe(F.lit("skipped")))
+    rows = extracted(pages, None, heading_of).filter(~F.col("status").eqNullSafe(F.lit("skipped")))
     order = Window.partitionBy("work_id").orderBy("ord")
     begins = (F.row_number().over(order) == 1) | F.coalesce(F.col("join_prev") == "chapter", F.lit(False))
     rows = rows.withColumn("__b", begins)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import HEADING, SENTENCE_END, SPACE, blank, looks_like_heading, strip, strip_invisibles, unix_lines
+from .ranks import numbered
 
 BLANK_LINE = rf"\n[{SPACE}]*\n+"
 RULE_LINE = r"-{3,}|={3,}|\*{3,}|#{3,}|_{3,}"
@@ -70,5 +71,13 @@ def single(docs: DataFrame, *, key: list[str], text: str = "text", between: str
     return _chapters(docs, key, F.array().cast("array<struct<title:string,body:string>>"), unix_lines(F.col(text)), between)
 
 
+def from_records(records: DataFrame, *, key: list[str], order: str) -> DataFrame:
+    """Stored records (title, paragraphs) back to chapters (W17): null records go, places are counted anew from 1, missing titles are `Chapter n`."""
+    rows = records.filter(F.col("title").isNotNull() | F.col("paragraphs").isNotNull())
+    placed = numbered(rows, by=key, order=[F.col(order)], name="__place").withColumn("idx", F.col("__place").cast("int"))
+    title = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Chapter "), F.col("idx").cast("string")))
+    return placed.select(*key, "idx", title.alias("title"), F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs"))
+
+
 def long_paragraphs(chapters: DataFrame, key: list[str]) -> DataFrame:
     return chapters.select(*key, F.posexplode("paragraphs").alias("para_no", "text"))

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import box_drawable, normal_pronoun, tolerant_bool, tolerant_box, tolerant_int, tolerant_notes
 from ..functions.text import blank, sha
-from . import layout, lines, regions, requests, seams
+from . import glossary, incremental, layout, lines, regions, requests, seams
 from .regions import TRANSLATED
 
+# How the two parts of a glossary block begin.
+LOCKED = "Locked terms — use these English spellings exactly:"
+KNOWN = "Names already established in English — match these spellings:"
+
 def load_pages(stored: DataFrame, *, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Stored readings (JSON) with defaults for whatever has the wrong type -> (regions with furniture marked anew, page meta).
 
@@ -30,16 +34,21 @@ def load_pages(stored: DataFrame, *, raw: str = "raw") -> tuple[DataFrame, DataF
     return regions.mark_furniture(loaded).drop("changed"), meta
 
 
-def merge_orders(rows: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """decisions(page_id, ids) -> (regions in the decided order, refused pages): the ids must be the page's own, each once; null clears."""
+def merge_orders(rows: DataFrame, decisions: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """decisions(page_id, ids) -> (regions in the decided order, refused pages, saved orders): the ids must be the page's own, each once; null clears.
+
+    A saved order holds the words in their new order, which survive a new reading, and the ids, which tell equal words apart in this one.
+    """
     own = rows.groupBy("page_id").agg(F.array_sort(F.collect_list("region_id")).alias("__own"))
-    asked = decisions.filter("ids is not null").join(own, "page_id")
-    fits = F.array_sort("ids") == F.col("__own")
+    asked = decisions.filter("ids is not null").join(own, "page_id", "left")
+    fits = F.coalesce(F.array_sort("ids") == F.col("__own"), F.lit(False))
     ranks = asked.filter(fits).select("page_id", F.posexplode("ids").alias("__rank", "region_id"))
     placed = rows.join(ranks, ["page_id", "region_id"], "left")
     cleared = decisions.filter("ids is null").select("page_id", F.lit(True).alias("__clear"))
     ord_ = F.when(F.col("__clear"), F.col("list_pos")).otherwise(F.coalesce("__rank", "ord"))
-    return placed.join(cleared, "page_id", "left").withColumn("ord", ord_).drop("__rank", "__clear"), asked.filter(~fits).select("page_id")
+    placed = placed.join(cleared, "page_id", "left")
+    words = placed.filter("__rank is not null").select("page_id", F.col("__rank").alias("rank"), "text", F.col("region_id").alias("region_id_hint"), F.lit("user").alias("source"), (F.current_timestamp() if now is None else now).alias("at"))
+    return placed.withColumn("ord", ord_).drop("__rank", "__clear"), asked.filter(~fits).select("page_id"), words
 
 
 def order_notice(stored: DataFrame, rows: DataFrame) -> DataFrame:
@@ -74,11 +83,15 @@ def script_lines(rows: DataFrame, **how) -> DataFrame:
     return ordered.select("page_id", "region_id", "kind", "text", "number", place.alias("place"), lines.region_hash(F.col("text")).alias("source_hash"))
 
 
-def check_view(pages: DataFrame, rows: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Pages for checking: regions with corrections laid over and the machine's words beside, neighbours in the work."""
+def check_view(pages: DataFrame, rows: DataFrame, corrections: DataFrame, builds: DataFrame | None = None) -> DataFrame:
+    """Pages for checking: regions with corrections laid over and the machine's words beside, neighbours, and with builds(work_id, built_at) whether the work was built before the page's last correction."""
     marked, _ = lines.apply_corrections(rows, corrections)
-    around = seams.neighbours(pages).select("page_id", "previous", "next")
-    return marked.join(around, "page_id").select("page_id", "region_id", "ord", "text", "original", "corrected", "previous", "next")
+    around = seams.neighbours(pages)
+    if builds is None:
+        return marked.join(around.select("page_id", "previous", "next"), "page_id").select("page_id", "region_id", "ord", "text", "original", "corrected", "previous", "next")
+    around = around.join(builds.select("work_id", "built_at"), "work_id", "left").select("page_id", "previous", "next", "corrected_at", "built_at")
+    seen = marked.join(around, "page_id").withColumn("rebuild", F.coalesce(F.col("corrected_at") > F.col("built_at"), F.lit(False)))
+    return seen.select("page_id", "region_id", "ord", "text", "original", "corrected", "previous", "next", "corrected_at", "built_at", "rebuild")
 
 
 def resting_status(status: Column, before: Column, has_read: Column) -> Column:
@@ -88,34 +101,75 @@ def resting_status(status: Column, before: Column, has_read: Column) -> Column:
 
 
 def prompt_block(entries: DataFrame, hits: DataFrame, *, key: list[str], entry: list[str]) -> DataFrame:
-    """The glossary lines of each text in canonical order (C14)."""
-    pronoun = normal_pronoun(F.coalesce("pronoun", F.lit("")))
-    line = F.concat(F.col("source"), F.lit(" = "), F.col("english"), F.when(pronoun != "", F.concat(F.lit(" ("), pronoun, F.lit(")"))).otherwise(""))
-    rows = hits.join(entries.select(*entry, "type", line.alias("__l")), entry)
-    return rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "__l"))), lambda s: s["__l"]), "\n").alias("block"))
+    """The glossary block of each text: its terms by type and source with all spellings and hints, then, for every text, the names that have no source (C14).
 
-
-def merge_responses(attempts: DataFrame, *, key: list[str], judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """attempts(key, attempt, raw), judged(key, attempt, n_failures) -> (accepted, audit, terms of accepted ones) (R2)."""
+    hits: key x entry. A text with terms gets both parts; texts without any get the names alone where they are joined.
+    """
+    hint = F.array_compact(F.array(F.nullif(normal_pronoun(F.coalesce("pronoun", F.lit(""))), F.lit("")), *[F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(said), F.col(c))) for c, said in (("first_person", "refers to self as "), ("register", "")) if c in entries.columns]))
+    named = glossary.spellings(entries, entry).groupBy(*entry).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "spelling"))), lambda s: s["spelling"]), " / ").alias("__s"))
+    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("  ("), "note", F.lit(")"))).otherwise("") if "note" in entries.columns else F.lit("")
+    line = F.concat(F.lit("  "), "__s", F.lit(" = "), "english", F.when(F.size(hint) > 0, F.concat(F.lit("  ["), F.array_join(hint, "; "), F.lit("]"))).otherwise(""), note)
+    own = entries.filter("source <> ''").join(named, entry).select(*entry, "type", "source", line.alias("__l"))
+    rows = hits.join(own, entry)
+    block = rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "source", "__l"))), lambda s: s["__l"]), "\n").alias("__terms"))
+    names = entries.filter("source = '' and english <> ''").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "english", F.concat(F.lit("  "), F.col("english"), note).alias("l")))), lambda s: s["l"]), "\n").alias("__names"))
+    both = block.crossJoin(F.broadcast(names))  # one row
+    parts = F.array_compact(F.array(F.concat(F.lit(LOCKED + "\n"), "__terms"), F.when(F.col("__names") != "", F.concat(F.lit(KNOWN + "\n"), "__names"))))
+    return both.select(*key, F.array_join(parts, "\n\n").alias("block"))
+
+
+def merge_responses(attempts: DataFrame, *, key: list[str], judged: DataFrame, state: DataFrame | None = None, pending: DataFrame | None = None, entries: DataFrame | None = None, now: Column | None = None) -> dict[str, DataFrame]:
+    """attempts(key, attempt, raw, usage, cost_usd, content_hash), judged(key, attempt, n_failures) -> accepted, audit, terms, ledger, state, pending (R2).
+
+    The best attempt counts, every attempt is paid for. Only accepted ones are readable and give terms; new terms wait in
+    pending (source, english, type, pronoun, seq). State gets status, attempts and hash over what it had.
+    """
     best = requests.best_attempt(judged, key=key)
     parsed = requests.parse_prose(attempts.join(best, [*key, "attempt"]), key=[*key, "attempt", "n_failures"])
     audit = parsed.withColumn("ok", F.col("n_failures") == 0)
     accepted, _ = requests.route(audit)
-    return accepted.drop("ok", "terms"), audit.drop("terms"), accepted.select(*key, F.explode("terms").alias("t")).select(*key, "t.source", "t.english")
-
-
-def reconcile(rows: DataFrame, stored: DataFrame, incoming: DataFrame, pages: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A new reading (rows) with stored lines, machine lines and page results -> (lines, pages) of the next snapshot."""
-    carried = lines.carry(rows, stored).drop("from_id", "stored_pos")
-    return lines.merge_machine(carried, incoming), lines.merge_pages(pages, results)
+    terms = accepted.select(*key, F.explode("terms").alias("t")).select(*key, "t.source", "t.english", F.coalesce("t.type", F.lit("thing")).alias("type"))
+    out = {"accepted": accepted.drop("ok", "terms"), "audit": audit.drop("terms"), "terms": terms}
+    if "usage" in attempts.columns:
+        out["ledger"] = attempts.join(judged.select(*key).distinct(), key, "left_semi").select(*key, "usage", "cost_usd")
+    if state is not None:
+        tries = attempts.groupBy(*key).agg(F.count("*").alias("attempts"), F.max_by("content_hash", "attempt").alias("source_hash"))
+        status = F.when(F.col("ok"), "validated").otherwise("needs-review")
+        delta = audit.select(*key, status.alias("status")).join(tries, key)
+        out["state"] = incremental.overlay(state, delta.select(*key, *[c for c in ("status", "source_hash", "attempts") if c in state.columns]), keys=key, now=now)
+    if pending is not None and entries is not None:
+        proposed = terms.withColumns({"pronoun": F.lit(""), "seq": F.monotonically_increasing_id()})
+        queued, variants, _ = glossary.admit(proposed, pending, entries)
+        out |= {"pending": queued, "variants": variants}
+    return out
+
+
+def reconcile(rows: DataFrame, stored: DataFrame, incoming: DataFrame, pages: DataFrame, results: DataFrame, saved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A new reading (rows) with stored lines, machine lines, page results and saved orders -> (lines, pages) of the next snapshot.
+
+    The saved order comes first, so that lines are carried in the order people read; pages get their order check anew.
+    """
+    ordered = rows if saved is None else lines.apply_order(rows, saved)[0]
+    carried = lines.carry(ordered, stored).drop("from_id", "stored_pos")
+    merged = lines.merge_machine(carried, incoming)
+    if not {"x", "y", "w", "h"} <= set(rows.columns):
+        return merged, lines.merge_pages(pages, results)
+    return merged, lines.apply_reads(pages, results.withColumns({c: F.lit(None) for c in ("work_id", "usage", "cost_usd") if c not in results.columns}), ordered)[0]
 
 
 def build_pages(rows: DataFrame, corrections: DataFrame, pages: DataFrame, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Readings to chapters and runs: furniture, corrections, page text, seams, assembly."""
+    """Readings to chapters and runs: furniture, corrections with their headings, page text, seams, assembly."""
     marked, _ = lines.apply_corrections(regions.mark_furniture(rows).drop("changed"), corrections)
     text = seams.flatten(marked)
-    full = pages.join(text, "page_id", "left")
+    full = lines.correct_headings(pages, marked).join(text, "page_id", "left")
     proposed = seams.propose(full.filter("status <> 'skipped'"), **how)
     merged = seams.merge(full, proposed)
     chapters, warnings = seams.chapters(merged)
     return chapters, seams.spans(merged)[0], warnings
+
+
+def find(rows: DataFrame, asked: DataFrame, on: list[str], order: list[str]) -> DataFrame:
+    """Point look-ups by id, number, hash or index (P16): asked(on) -> the first row in order for each; what is not there is not found."""
+    first = Window.partitionBy(*on).orderBy(*order)
+    wanted = rows.join(asked.select(*on).distinct(), on, "left_semi")
+    return asked.join(wanted.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n"), on)

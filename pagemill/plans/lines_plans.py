@@ -1,13 +1,22 @@
-"""Reconciliation queries; a page is ten `documents`, equal languages are equal words."""
+"""Reconciliation queries; a page is ten `documents`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..operators import lines, regions
+from .corpus import STRIP
 from .registry import query, table
 
+def words(d: F.Column) -> F.Column:
+    """A region's words: the whole text of six documents in ten; the others say only their language, so that pages hold equal words."""
+    own = F.nullif(strip(F.coalesce("text", F.lit(""))), F.lit(""))
+    return F.when(d % 10 < 6, F.coalesce(own, "lang")).otherwise(F.col("lang"))
+
+
+WORDS_SQL = f"CASE WHEN doc_id % 10 < 6 THEN coalesce(nullif({STRIP % "coalesce(text, '')"}, ''), lang) ELSE lang END"
 KINDS = ("bubble", "body", "sfx", "furigana", "running-head", "odd")
 
 
@@ -15,14 +24,14 @@ def regions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's new reading: ids have moved by one against the lines' reading."""
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
-        F.floor(d / 10).cast("long").alias("page_id"), (d % 10).cast("int").alias("list_pos"), F.concat(F.lit("r"), ((d + 1) % 10).cast("string")).alias("region_id"), F.concat(F.lit(" "), F.col("lang")).alias("text"),
+        F.floor(d / 10).cast("long").alias("page_id"), (d % 10).cast("int").alias("list_pos"), F.concat(F.lit("r"), ((d + 1) % 10).cast("string")).alias("region_id"), F.concat(F.lit(" "), words(d)).alias("text"),
         F.element_at(F.array(*map(F.lit, KINDS)), (d % len(KINDS) + 1).cast("int")).alias("kind"), ((d * 7) % 10).cast("int").alias("ord"), ((d % 4) / 4.0).alias("x"), F.lit(0.1).alias("y"), F.when(d % 5 == 0, 0.0).otherwise(0.2).alias("w"), F.lit(0.2).alias("h"),
     )
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    stored = F.when(d % 9 == 0, None).when(d % 7 == 0, F.sha2(F.lit("gone"), 256)).otherwise(F.sha2("lang", 256))
+    stored = F.when(d % 9 == 0, None).when(d % 7 == 0, F.sha2(F.lit("gone"), 256)).otherwise(F.sha2(words(d), 256))
     return table(spark, sf_dir, "documents").filter(d % 4 != 0).select(
         F.floor(d / 10).cast("long").alias("page_id"), F.concat(F.lit("r"), (d % 10).cast("string")).alias("region_id"), ((d * 3) % 10).cast("int").alias("stored_pos"),
         F.when(d % 11 == 0, " ").otherwise(F.concat(F.lit("en "), d.cast("string"))).alias("english"), stored.alias("source_hash"), F.when(d % 3 == 0, "user").otherwise("model").alias("english_source"),
@@ -30,8 +39,8 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BASE_SQL = f"""regions AS (SELECT doc_id // 10 AS page_id, (doc_id % 10)::INT AS list_pos, 'r' || ((doc_id + 1) % 10) AS region_id, lang AS text, {list(KINDS)}[doc_id % {len(KINDS)} + 1] AS kind, (doc_id * 7 % 10)::INT AS ord, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 0.2 END AS w FROM documents),
-lines AS (SELECT doc_id // 10 AS page_id, 'r' || (doc_id % 10) AS region_id, (doc_id * 3 % 10)::INT AS stored_pos, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE 'en ' || doc_id END AS english, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN sha256('gone') ELSE sha256(lang) END AS source_hash,
+BASE_SQL = f"""regions AS (SELECT doc_id // 10 AS page_id, (doc_id % 10)::INT AS list_pos, 'r' || ((doc_id + 1) % 10) AS region_id, {WORDS_SQL} AS text, {list(KINDS)}[doc_id % {len(KINDS)} + 1] AS kind, (doc_id * 7 % 10)::INT AS ord, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 0.2 END AS w FROM documents),
+lines AS (SELECT doc_id // 10 AS page_id, 'r' || (doc_id % 10) AS region_id, (doc_id * 3 % 10)::INT AS stored_pos, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE 'en ' || doc_id END AS english, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN sha256('gone') ELSE sha256({WORDS_SQL}) END AS source_hash,
   CASE WHEN doc_id % 3 = 0 THEN 'user' ELSE 'model' END AS english_source, 's' || (doc_id % 5) AS speaker, CASE WHEN doc_id % 5 = 0 THEN 'user' ELSE 'model' END AS speaker_source FROM documents WHERE doc_id % 4 <> 0)"""
 FRESH_SQL = f"""{BASE_SQL}, fresh AS (SELECT r.*, CASE WHEN trim(coalesce(english, '')) = '' THEN 'untranslated' WHEN coalesce(source_hash = sha256(text), FALSE) THEN 'translated' ELSE 'stale' END AS state FROM regions r LEFT JOIN lines USING (page_id, region_id) WHERE kind IN {regions.TRANSLATED}),
 counts AS (SELECT page_id, coalesce(n, 0) AS lines, coalesce(translated, 0) AS translated, coalesce(stale, 0) AS stale, coalesce(untranslated, 0) AS untranslated, coalesce(undrawable, 0) AS undrawable, coalesce(other, 0) AS other FROM (SELECT DISTINCT page_id FROM regions)
@@ -128,19 +137,65 @@ def set_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BASE_SQL}, asked AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY -list_pos)::INT - 1 AS rank FROM regions WHERE page_id % 3 <> 2),
+    f"""WITH {BASE_SQL}, asked AS (SELECT page_id, region_id, text, row_number() OVER (PARTITION BY page_id ORDER BY -list_pos)::INT - 1 AS rank FROM regions WHERE page_id % 3 <> 2),
 a AS (SELECT *, row_number() OVER (PARTITION BY page_id, text ORDER BY rank) AS k FROM asked), t AS (SELECT *, row_number() OVER (PARTITION BY page_id, text ORDER BY list_pos) AS k FROM regions)
-SELECT t.page_id, t.region_id, coalesce(a.rank, t.ord) AS ord FROM t LEFT JOIN a USING (page_id, text, k)"""
+SELECT t.page_id, t.region_id, CASE WHEN t.page_id % 2 = 0 THEN coalesce(o.rank, t.ord) ELSE coalesce(a.rank, t.ord) END AS ord FROM t LEFT JOIN a USING (page_id, text, k) LEFT JOIN asked o ON o.page_id = t.page_id AND o.region_id = t.region_id"""
 )
 def saved_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A saved reading order found again by words (J9); hints are stale here, so equal words go in order."""
+    """A saved reading order found again by words (J9); on every second page the ids still hold, elsewhere equal words go in order."""
     from pyspark.sql import Window
 
     rows = regions_of(spark, sf_dir)
-    saved = rows.filter("page_id % 3 <> 2").select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy(-F.col("list_pos"))) - 1).alias("rank"), "text", F.lit("stale").alias("region_id_hint"))
+    hint = F.when(F.col("page_id") % 2 == 0, F.col("region_id")).otherwise("stale")
+    saved = rows.filter("page_id % 3 <> 2").select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy(-F.col("list_pos"))) - 1).alias("rank"), "text", hint.alias("region_id_hint"))
     return lines.apply_order(rows, saved)[0].select("page_id", "region_id", "ord")
 
 
+HEADED_SQL = f"""{CORRECTED_SQL}, h AS (SELECT page_id, text, list_pos, t FROM regions LEFT JOIN c USING (page_id, region_id) WHERE list_pos = 2)"""
+
+
+@query(f"WITH {HEADED_SQL} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN t ELSE 'other' END AS heading FROM h")
+def corrected_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's heading follows the correction of the region that says it."""
+    rows = regions_of(spark, sf_dir).withColumn("kind", F.when(F.col("list_pos") == 2, "heading").otherwise(F.col("kind")))
+    meta = rows.filter("list_pos = 2").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("text")).otherwise("other").alias("heading"))
+    marked, _ = lines.apply_corrections(rows, _corrections(rows))
+    return lines.correct_headings(meta, marked)
+
+
+@query(
+    f"""WITH {BASE_SQL}, asked AS (SELECT page_id, region_id, text, list_pos, CASE WHEN page_id % 5 = 0 THEN 'in-flight' WHEN page_id % 7 = 0 THEN 'not-read' WHEN list_pos = 3 THEN 'no-region' END AS why FROM regions WHERE list_pos IN (1, 3)),
+real AS (SELECT page_id, bool_or(page_id % 2 = 0) AS r FROM asked WHERE why IS NULL GROUP BY page_id)
+SELECT page_id, CASE WHEN coalesce(r, FALSE) AND page_id % 11 <> 0 THEN 'edited' WHEN page_id % 11 = 0 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN coalesce(r, FALSE) THEN 2 ELSE 1 END AS corrected_at,
+  (SELECT count(*) FROM asked a WHERE a.page_id = p.page_id AND why IS NOT NULL) AS refused FROM (SELECT DISTINCT page_id FROM regions) p LEFT JOIN real USING (page_id)"""
+)
+def corrected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages after a person's corrections (J11): some refused, some only the machine's own words again, which approve nothing."""
+    rows = regions_of(spark, sf_dir)
+    k = F.col("page_id")
+    pages = rows.select("page_id").distinct().select("page_id", F.when(k % 11 == 0, "skipped").otherwise("ok").alias("status"), (k % 7 != 0).alias("has_read"), F.lit(1).alias("corrected_at"))
+    asked = rows.filter("list_pos in (1, 3)").select("page_id", F.when(F.col("list_pos") == 3, "gone").otherwise(F.col("region_id")).alias("region_id"), F.when(k % 2 == 0, "better").otherwise(F.col("text")).alias("to_text"))
+    stored = rows.filter("false").select("page_id", "region_id", F.col("text").alias("from_text"), F.col("text").alias("to_text"), F.lit(1).alias("at"))
+    _, after, refused = lines.correct_pages(pages, stored, asked, rows, pages.filter("page_id % 5 = 0").select("page_id"), F.lit(2))
+    counted = refused.groupBy("page_id").agg(F.count("*").alias("refused"))
+    return after.drop("has_read").join(counted, "page_id", "left").withColumn("refused", F.coalesce("refused", F.lit(0)).cast("long"))
+
+
+@query("SELECT doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 3 = 1 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 1 THEN 'why' END AS error FROM documents")
+def rested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed work rests only the worker's own marks; its reason is kept except on a skipped page."""
+    d = F.col("doc_id")
+    pages = table(spark, sf_dir, "documents").select(d.alias("page_id"), F.when(d % 3 == 0, "reading").when(d % 3 == 1, "skipped").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("error"))
+    return lines.rest_pages(pages, pages.select("page_id", F.lit("new").alias("status"), F.when(F.col("page_id") % 2 == 0, "why").alias("error")))
+
+
+@query(f"WITH {FRESH_SQL}, per AS (SELECT page_id // 6 AS work_id, sum(untranslated) AS u FROM counts GROUP BY 1) SELECT work_id, u > 0 AS due FROM per")
+def needs_translating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works with a line without English, whatever their status says."""
+    counts = lines.line_counts(regions_of(spark, sf_dir), lines_of(spark, sf_dir)).groupBy(F.floor(F.col("page_id") / 6).cast("long").alias("work_id")).agg(F.sum("untranslated").alias("untranslated"))
+    return lines.needs_translating(counts).select("work_id", "due")
+
+
 @query("SELECT page_id, CASE WHEN d IS NULL OR d = 'failed' THEN 'ok' WHEN d = 'new' AND page_id % 2 = 0 THEN 'needs-check' ELSE d END AS status FROM (SELECT doc_id AS page_id, CASE doc_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' WHEN 3 THEN 'edited' END AS d FROM documents)")
 def page_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person decided about pages; unknown words are refused."""

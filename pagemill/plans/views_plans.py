@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import leaks, regions, views
+from ..operators import leaks, lines, regions, views
 from . import layout_plans as L
 from . import lines_plans as P
 from . import pages_plans as G
 from . import quality as Q
-from .registry import query, table
+from .registry import ORACLES, query, table
 from .terms import ENTRIES_SQL, entries_of
 
 
@@ -42,6 +42,14 @@ def order_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.merge_orders(rows, asked)[0].select("page_id", "region_id", "ord")
 
 
+@query(f"WITH {P.BASE_SQL} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY region_id DESC))::INT - 1 AS rank, ' ' || text AS text, region_id AS region_id_hint FROM regions WHERE page_id % 4 = 0")
+def stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as they are stored: words and ids in the order decided."""
+    rows = P.regions_of(spark, sf_dir)
+    asked = rows.groupBy("page_id").agg(F.sort_array(F.collect_list("region_id"), asc=False).alias("ids")).filter("page_id % 4 = 0")
+    return views.merge_orders(rows, asked)[2].select("page_id", "rank", "text", "region_id_hint")
+
+
 @query(f"WITH {P.BASE_SQL}, n AS (SELECT page_id, string_agg(region_id, '|' ORDER BY ord, list_pos) AS a, string_agg(region_id, '|' ORDER BY list_pos) AS b FROM regions GROUP BY page_id) SELECT page_id, a <> b AS moved FROM n")
 def order_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose lines have moved since they were stored."""
@@ -65,13 +73,15 @@ def deleted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False)))
 
 
-PAYLOAD_SQL = f"""{P.FRESH_SQL}, boxed AS (SELECT doc_id // 10 AS page_id, (doc_id % 10)::INT AS list_pos, (doc_id % 4) / 4.0 AS x, 0.1 AS y, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 0.2 END AS w, 0.2 AS h FROM documents)"""
+BOXED_SQL = P.FRESH_SQL.replace("regions AS (SELECT doc_id // 10 AS page_id,", "regions AS (SELECT (doc_id % 4) / 4.0 AS x, 0.1 AS y, 0.2 AS h, doc_id // 10 AS page_id,", 1)
+PAYLOAD_SQL = f"""{BOXED_SQL}, {L.RTL}, firsts AS (SELECT *, min(CASE WHEN kind IN {L.TRANSLATED_SQL} THEN ord END) OVER (PARTITION BY page_id, panel) AS f FROM rtl),
+numbered AS (SELECT *, CASE WHEN f IS NULL THEN 0 ELSE dense_rank() OVER (PARTITION BY page_id ORDER BY f NULLS LAST) END::INT AS number FROM firsts)"""
 
 
-@query(f"WITH {PAYLOAD_SQL} SELECT r.page_id, r.region_id, f.state, r.w > 0 AS drawable FROM regions r LEFT JOIN fresh f USING (page_id, region_id)")
+@query(f"WITH {PAYLOAD_SQL} SELECT r.page_id, r.region_id, r.proposed, r.number, f.state, l.english, r.w > 0 AS drawable FROM numbered r LEFT JOIN fresh f USING (page_id, region_id) LEFT JOIN lines l ON f.state IS NOT NULL AND l.page_id = r.page_id AND l.region_id = r.region_id")
 def page_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as a reader's payload."""
-    return views.page_payload(P.regions_of(spark, sf_dir), P.lines_of(spark, sf_dir)).select("page_id", "region_id", "state", "drawable")
+    """Pages as a reader's payload (J22): order proposed, panel, line and its state, whether it can be drawn."""
+    return views.page_payload(P.regions_of(spark, sf_dir), P.lines_of(spark, sf_dir)).select("page_id", "region_id", "proposed", "number", "state", "english", "drawable")
 
 
 @query(f"WITH {L.NUMBER_SQL} SELECT page_id, region_id, kind, number, (row_number() OVER (PARTITION BY page_id ORDER BY ord, list_pos) - 1)::INT AS place, sha256(text) AS source_hash FROM numbered WHERE kind IN {regions.TRANSLATED}")
@@ -80,12 +90,14 @@ def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.script_lines(L.regions_of(spark, sf_dir)).drop("text")
 
 
-@query(f"WITH {P.CORRECTED_SQL}, w AS (SELECT DISTINCT page_id FROM regions), n AS (SELECT page_id, lag(page_id) OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS previous, lead(page_id) OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS next FROM w) SELECT page_id, region_id, ord, CASE WHEN ok THEN t ELSE ' ' || text END AS text, ' ' || text AS original, ok AS corrected, previous, next FROM (SELECT r.*, t, coalesce(trim(f) = text, FALSE) AS ok FROM regions r LEFT JOIN c USING (page_id, region_id)) JOIN n USING (page_id)")
+@query(f"WITH {P.CORRECTED_SQL}, w AS (SELECT DISTINCT page_id FROM regions), n AS (SELECT page_id, lag(page_id) OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS previous, lead(page_id) OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS next FROM w) SELECT page_id, region_id, ord, CASE WHEN ok THEN t ELSE ' ' || text END AS text, ' ' || text AS original, ok AS corrected, previous, next, page_id % 5 AS corrected_at, CASE WHEN page_id % 7 <> 3 THEN 2 END AS built_at, page_id % 7 <> 3 AND page_id % 5 > 2 AS rebuild FROM (SELECT r.*, t, coalesce(trim(f) = text, FALSE) AS ok FROM regions r LEFT JOIN c USING (page_id, region_id)) JOIN n USING (page_id)")
 def page_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages for checking, with the machine's words beside."""
     rows = P.regions_of(spark, sf_dir)
     pages = rows.select("page_id").distinct().withColumns({"work_id": F.col("page_id") % 7, "ord": F.col("page_id")})
-    return views.check_view(pages, rows, P._corrections(rows))
+    pages = pages.withColumn("corrected_at", F.col("page_id") % 5)
+    builds = pages.select("work_id", F.when(F.col("work_id") != 3, 2).alias("built_at")).distinct()
+    return views.check_view(pages, rows, P._corrections(rows), builds)
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN CASE WHEN doc_id % 3 = 1 THEN 'ok' WHEN doc_id % 2 = 0 THEN 'needs-check' ELSE 'new' END ELSE 'edited' END AS status FROM documents")
@@ -97,21 +109,65 @@ def resting_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", views.resting_status(now, before, d % 2 == 0).alias("status"))
 
 
-@query(f"WITH {ENTRIES_SQL} SELECT item_id % 5 AS k, string_agg(source || ' = ' || english || ' (she)', chr(10) ORDER BY type, source || ' = ' || english || ' (she)') AS block FROM entries GROUP BY ALL")
+@query(
+    f"""WITH {ENTRIES_SQL}, s AS (SELECT item_id, string_agg(spelling, ' / ' ORDER BY r) AS sp FROM spelled GROUP BY item_id),
+l AS (SELECT item_id % 5 AS k, type, source, '  ' || sp || ' = ' || english || '  [she]' AS line FROM entries JOIN s USING (item_id) WHERE source <> ''),
+n AS (SELECT string_agg('  ' || english, chr(10) ORDER BY type, english) AS names FROM entries WHERE source = '')
+SELECT k, '{views.LOCKED}' || chr(10) || string_agg(line, chr(10) ORDER BY type, source, line) || CASE WHEN names IS NULL THEN '' ELSE chr(10) || chr(10) || '{views.KNOWN}' || chr(10) || names END AS block FROM l, n GROUP BY k, names"""
+)
 def glossary_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glossary lines as they go into a request (C14)."""
+    """Glossary blocks as they go into requests (C14)."""
     entries = entries_of(spark, sf_dir)
     hits = entries.select("item_id", (F.col("item_id") % 5).alias("k"))
     return views.prompt_block(entries, hits, key=["k"], entry=["item_id"])
 
 
-@query("SELECT conv_id, arg_min(turn, (length(text) % 3) * 1000000 + turn) AS attempt, min(length(text) % 3) = 0 AS ok FROM conversations GROUP BY conv_id")
-def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best attempt of each conversation, parsed and audited (R2)."""
+def _responses(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rows = table(spark, sf_dir, "conversations").withColumnRenamed("turn", "attempt")
-    attempts = rows.select("conv_id", "attempt", F.concat("text", F.lit('\n===NEW_TERMS===\n[{"source":"a","english":"b"}]')).alias("raw"))
+    term = F.concat(F.lit('[{"source":"s'), (F.col("conv_id") % 40).cast("string"), F.lit('","english":"E'), F.col("conv_id").cast("string"), F.lit('"}]'))
+    usage = F.create_map(F.lit("tokens"), F.length("text").cast("long"))
+    attempts = rows.select("conv_id", "attempt", F.concat("text", F.lit("\n===NEW_TERMS===\n"), term).alias("raw"), usage.alias("usage"), F.lit(0.5).cast("decimal(18,6)").alias("cost_usd"), F.sha2(F.col("conv_id").cast("string"), 256).alias("content_hash"))
     judged = rows.select("conv_id", "attempt", (F.length("text") % 3).alias("n_failures"))
-    return views.merge_responses(attempts, key=["conv_id"], judged=judged)[1].select("conv_id", "attempt", "ok")
+    old = F.lit("2024-01-01").cast("timestamp")
+    state = rows.filter("conv_id % 2 = 0").select("conv_id").distinct().withColumns({"status": F.lit("prepared"), "source_hash": F.lit("old"), "attempts": F.lit(0).cast("long"), "created_at": old, "updated_at": old})
+    entries = spark.createDataFrame([("s3", "Known", [], "thing", "")], "source string, english string, variants array<string>, type string, reading string")
+    pending = spark.createDataFrame([("s5",)], "source string")
+    return views.merge_responses(attempts, key=["conv_id"], judged=judged, state=state, pending=pending, entries=entries, now=F.lit("2024-02-01").cast("timestamp"))
+
+
+BEST_SQL = "best AS (SELECT conv_id, arg_min(turn, (length(text) % 3) * 1000000 + turn) AS attempt, min(length(text) % 3) = 0 AS ok, count(*) AS n FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {BEST_SQL} SELECT conv_id, attempt, ok FROM best")
+def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best attempt of each conversation, parsed and audited (R2)."""
+    return _responses(spark, sf_dir)["audit"].select("conv_id", "attempt", "ok")
+
+
+@query(f"WITH {BEST_SQL} SELECT conv_id, CASE WHEN ok THEN 'validated' ELSE 'needs-review' END AS status, sha256(conv_id::VARCHAR) AS source_hash, n AS attempts, CASE WHEN conv_id % 2 = 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS created_at FROM best")
+def response_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State rows after the merge (R2)."""
+    return _responses(spark, sf_dir)["state"].drop("updated_at")
+
+
+@query("SELECT sum(length(text))::BIGINT AS tokens, (count(*) * 0.5)::DECIMAL(18,6) AS cost_usd FROM conversations")
+def response_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every attempt is paid for (R2)."""
+    return _responses(spark, sf_dir)["ledger"].agg(F.sum(F.col("usage")["tokens"]).alias("tokens"), F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"))
+
+
+@query(f"WITH {BEST_SQL} SELECT DISTINCT 's' || (conv_id % 40) AS source FROM best WHERE ok AND conv_id % 40 NOT IN (3, 5)")
+def response_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New terms of accepted answers wait for a decision; known and waiting ones don't come again (R2)."""
+    return _responses(spark, sf_dir)["pending"].select("source")
+
+
+@query("SELECT doc_id AS asked, (SELECT min(doc_id) FROM documents e WHERE e.text = d.text) AS found FROM documents d WHERE doc_id % 7 = 0 AND text IS NOT NULL")
+def page_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups by hash: the first page with those words."""
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("found"), F.sha2("text", 256).alias("sha256"))
+    asked = rows.filter("found % 7 = 0").select(F.col("found").alias("asked"), "sha256")
+    return views.find(rows, asked, ["sha256"], ["found"]).select("asked", "found")
 
 
 @query(f"WITH {P.CARRY_SQL}, carried AS (SELECT page_id, region_id, english FROM (FROM settled UNION ALL FROM stranded)) SELECT page_id, region_id, CASE WHEN l.english_source = 'user' OR r.list_pos % 2 = 1 OR r.list_pos IS NULL THEN c.english ELSE 'machine' END AS english FROM (SELECT s.*, l0.english_source FROM (FROM settled UNION ALL FROM stranded) s JOIN lines l0 ON l0.page_id = s.page_id AND l0.region_id = s.from_id) l JOIN carried c USING (page_id, region_id) LEFT JOIN regions r USING (page_id, region_id) UNION ALL SELECT page_id, region_id, 'machine' FROM regions r WHERE list_pos % 2 = 0 AND NOT EXISTS (FROM carried c WHERE c.page_id = r.page_id AND c.region_id = r.region_id)")
@@ -126,19 +182,23 @@ def reread_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {Q.clean_sql('documents', 'doc_id', 'text')}, {Q.RUN_SQL % {'key': 'doc_id'}} SELECT doc_id, line, place, score FROM scored WHERE score >= {Q.RESIDUE.flag_at} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, place) <= 4")
 def worst_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four worst findings of each text (L2)."""
-    from pyspark.sql import Window
+    rows = leaks.reported(Q._clean_documents(spark, sf_dir), Q.RESIDUE)
+    worst = F.slice(F.array_sort(F.transform("found", lambda f: F.struct((-f["score"]).alias("s"), f["line"].alias("line"), f["place"].alias("place")))), 1, 4)
+    return rows.select("doc_id", F.explode(worst).alias("f")).select("doc_id", "f.line", "f.place", (-F.col("f.s")).alias("score"))
 
-    found, _ = leaks.report(Q._clean_documents(spark, sf_dir), key=["doc_id"], rules=Q.RESIDUE)
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "line", "place")
-    return found.withColumn("n", F.row_number().over(order)).filter("n <= 4").select("doc_id", "line", "place", "score")
 
+def _named(names: str, kind: str) -> F.Column:
+    return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
 
-@query(f"WITH {Q.clean_sql('documents', 'doc_id', 'text')}, {Q.REPORT_SQL % {'key': 'doc_id'}} SELECT source, count(*) AS texts, count(*) FILTER (flagged) AS flagged, sum(findings)::BIGINT AS findings, max(residual_fraction) AS worst FROM reported JOIN documents USING (doc_id) GROUP BY source")
+
+@query(f"""WITH v AS ({ORACLES['validate_pairs']}), n AS (SELECT 'failure' AS kind, unnest(failures) AS name FROM v UNION ALL SELECT 'warning', unnest(warnings) FROM v UNION ALL SELECT 'status', CASE WHEN ok THEN 'ok' ELSE 'needs-review' END FROM v)
+SELECT kind, name, count(*) AS pairs FROM n GROUP BY ALL""")
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Residue by source."""
-    _, per = leaks.report(Q._clean_documents(spark, sf_dir), key=["doc_id"], rules=Q.RESIDUE)
-    rows = per.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return rows.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("flagged").alias("flagged"), F.sum("findings").alias("findings"), F.max("residual_fraction").alias("worst"))
+    """Residue, commentary, ratio, dialogue and surface over all pairs, and how many are ready."""
+    rows = Q.validate_pairs(spark, sf_dir)
+    status = F.when(F.col("ok"), "ok").otherwise("needs-review")
+    named = F.concat(*[_named(c, kind) for c, kind in (("failures", "failure"), ("warnings", "warning"))], F.array(F.struct(F.lit("status").alias("kind"), status.alias("name"))))
+    return rows.select(F.explode(named).alias("n")).groupBy("n.kind", "n.name").agg(F.count("*").alias("pairs"))
 
 
 @query("SELECT source, count(*) AS pages, count(*) FILTER (quality IS NOT NULL) AS judged FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
@@ -156,10 +216,29 @@ def build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("work_id").agg(F.count("*").alias("pages"), F.count_if(used).alias("used"), F.count_if(F.col("status") == "skipped").alias("skipped"))
 
 
-@query(f"WITH {P.BASE_SQL}, t AS (SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY ord, list_pos) AS text FROM regions WHERE kind IN {regions.PROSE} GROUP BY page_id), p AS (SELECT page_id, page_id // 8 AS work_id, text FROM t WHERE page_id % 9 <> 4) SELECT work_id, string_agg(text, chr(10) || chr(10) ORDER BY page_id) AS text, count(*) AS pages FROM p GROUP BY work_id")
+@query(
+    f"""WITH {P.BASE_SQL}, r AS (SELECT *, CASE WHEN list_pos % 3 = 1 THEN 'right ' || list_pos ELSE text END AS now FROM regions WHERE kind IN {regions.PROSE}),
+t AS (SELECT page_id, string_agg(now, chr(10) || chr(10) ORDER BY ord, list_pos) AS text FROM r GROUP BY page_id),
+p AS (SELECT page_id, page_id // 8 AS work_id, text, page_id % 8 = 4 AS cut FROM t WHERE page_id % 9 <> 4),
+g AS (SELECT *, sum((cut OR n = 1)::INT) OVER (PARTITION BY work_id ORDER BY page_id)::INT AS idx FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY page_id) AS n FROM p))
+SELECT work_id, idx, sha256(string_agg(text, chr(10) || chr(10) ORDER BY page_id)) AS text, count(*) AS pages FROM g GROUP BY work_id, idx"""
+)
 def page_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings to chapters in one plan (R4): here no seam joins pages, so a work is one chapter."""
+    """Readings to chapters in one plan (R4): corrections laid over, seams proposed where no person set one, a user's seam begins a chapter."""
     rows = P.regions_of(spark, sf_dir).withColumns({"join_prev": F.lit(""), "join_glue": F.lit("none")})
-    pages = rows.select("page_id").distinct().select("page_id", F.floor(F.col("page_id") / 8).cast("long").alias("work_id"), F.col("page_id").alias("ord"), F.col("page_id").alias("seq"), F.when(F.col("page_id") % 9 == 4, "skipped").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("heading"), F.lit(False).alias("ends_mid_word"), F.lit(False).alias("ends_mid_sentence"), F.lit(False).alias("starts_mid_sentence"), F.lit("").alias("join_prev"), F.lit("none").alias("join_glue"), F.lit("model").alias("join_prev_source"))
-    none = rows.filter("false").select("page_id", "region_id", F.col("text").alias("from_text"), F.col("text").alias("to_text"))
-    return views.build_pages(rows, none, pages)[0].select("work_id", "text", "pages")
+    k = F.col("page_id")
+    cut = k % 8 == 4
+    flags = {c: F.lit(False) for c in ("ends_mid_word", "ends_mid_sentence", "starts_mid_sentence")}
+    pages = rows.select("page_id").distinct().select("page_id", F.floor(k / 8).cast("long").alias("work_id"), k.alias("ord"), k.alias("seq"), F.when(k % 9 == 4, "skipped").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("heading"), F.when(cut, "chapter").otherwise("").alias("join_prev"), F.lit("none").alias("join_glue"), F.when(cut, "user").otherwise("model").alias("join_prev_source")).withColumns(flags)
+    fixed = rows.filter("list_pos % 3 = 1").select("page_id", "region_id", F.col("text").alias("from_text"), F.concat(F.lit("right "), F.col("list_pos").cast("string")).alias("to_text"))
+    return views.build_pages(rows, fixed, pages)[0].select("work_id", "idx", F.sha2("text", 256).alias("text"), "pages")
+
+
+@query(f"WITH {L.CHECK_SQL} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'skipped' ELSE 'ok' END AS status, disagreement FROM per")
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages after their reads came in (J13, R6): a skip stands, the order check is made anew."""
+    rows = L.regions_of(spark, sf_dir)
+    pages = rows.select("page_id").distinct().withColumn("status", F.when(F.col("page_id") % 3 == 0, "skipped").otherwise("reading"))
+    results = pages.select("page_id", F.lit("ok").alias("status"), F.lit("w").alias("work_id"), F.create_map(F.lit("tokens"), F.lit(1)).alias("usage"), F.lit(0.1).alias("cost_usd"))
+    merged, _ = lines.apply_reads(pages.withColumns({"looks_reversed": F.lit(None).cast("boolean"), "disagreement": F.lit(None).cast("long")}), results, rows)
+    return merged.select("page_id", "status", "disagreement")

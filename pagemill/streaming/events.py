@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import triage_code
+
 PAUSE_AT = 6
 
 
@@ -58,6 +60,28 @@ def replay_tail(events: DataFrame, *, n: int = 1000, leave: tuple[str, ...] = ("
     return events.filter(~F.col("type").isin(*leave)).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n).drop("__n")
 
 
+def evict_finished(jobs: DataFrame, *, over: int = 40, keep: int = 10) -> DataFrame:
+    """jobs(job_id, done, started) that stay in memory: all up to `over`; beyond it the unfinished and the newest `keep` finished ones (L3)."""
+    newest = jobs.filter("done").orderBy(F.desc("started"), F.desc("job_id")).limit(keep).select("job_id")
+    many = jobs.agg((F.count("*") > over).alias("__many"))  # one row
+    kept = jobs.crossJoin(F.broadcast(many)).join(newest.withColumn("__new", F.lit(True)), "job_id", "left")
+    return kept.filter(~F.col("__many") | ~F.col("done") | F.coalesce("__new", F.lit(False))).drop("__many", "__new")
+
+
+def error_codes(failures: DataFrame) -> DataFrame:
+    """failures(work_id, name, low, vendor, http) -> work_id, code, n."""
+    return failures.groupBy("work_id", triage_code().alias("code")).agg(F.count("*").alias("n"))
+
+
+def operations(events: DataFrame, spend: DataFrame, failures: DataFrame) -> DataFrame:
+    """Per work: enqueued, done and failed items, strikes now, spend, and failures by code (R8). spend: work_id, spend."""
+    depth = events.groupBy("work_id").agg(*[F.count_if(F.col("type") == t).alias(n) for n, t in (("queued", "queued"), ("done", "item"), ("failed", "failed"))])
+    last = strikes(events).groupBy("work_id").agg(F.max_by("strikes", "event_id").alias("strikes"))
+    codes = error_codes(failures).groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "n"))), lambda s: F.concat(s["code"], F.lit("="), s["n"].cast("string"))), ",").alias("codes"))
+    rows = depth.join(spend, "work_id", "left").join(last, "work_id", "left").join(codes, "work_id", "left")
+    return rows.withColumns({"strikes": F.coalesce("strikes", F.lit(0)).cast("long"), "codes": F.coalesce("codes", F.lit(""))})
+
+
 def abandoned(events: DataFrame, live: DataFrame, *, key: list[str]) -> DataFrame:
     """Items enqueued and not finished whose work has no live job: they go back to rest (T-7)."""
     order = Window.partitionBy("work_id", *key).orderBy(F.desc("event_id"))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .events import PAUSE_AT
+from ..operators import lines
+from .events import PAUSE_AT, replay_tail
 
 
 def progress(stream: DataFrame, *, every: str = "100 milliseconds", late: str = "10 minutes") -> DataFrame:
@@ -23,7 +24,7 @@ def progress(stream: DataFrame, *, every: str = "100 milliseconds", late: str =
 
 
 def queued(stream: DataFrame, *, key: list[str], late: str = "10 minutes") -> DataFrame:
-    """Enqueued items, repeats within the watermark dropped (T-1); events.queue_dedup is exact about releases."""
+    """Enqueued items, repeats within the watermark dropped (T-1); `queue_dedup` is exact about releases."""
     return stream.filter("type = 'queued'").withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
@@ -76,6 +77,104 @@ def live_text(stream: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
     return _stateful(stream, step, "work_id long, text string", "done string, open string", idle_ms)
 
 
-def merge_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
-    """Each micro-batch to `merge` (T-6, T-8): an append, or a merge in which a later human decision wins; batch ids make a repeat harmless."""
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+def queue_dedup(stream: DataFrame, *, key: list[str]) -> DataFrame:
+    """Enqueued items that are not pending or in flight (T-1), exact: a finished item may be enqueued again. Gives key, event_id."""
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema if f.name in key)
+
+    def step(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (open_,) = state.get if state.exists else (False,)
+        rows = pd.concat(list(parts)).sort_values("event_id")
+        taken = []
+        for kind, event in rows[["type", "event_id"]].itertuples(index=False):
+            if kind == "queued":
+                if not open_:
+                    taken.append(event)
+                open_ = True
+            elif kind == "item":
+                open_ = False
+        if open_:
+            state.update((open_,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({**{k: [v] * len(taken) for k, v in zip(key, own)}, "event_id": taken})
+
+    rows = stream.filter("type in ('queued', 'item')")
+    return rows.groupBy(*key).applyInPandasWithState(step, f"{types}, event_id long", "open boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def current_state(stream: DataFrame, *, item: str = "item") -> DataFrame:
+    """Each work's last event and how many items are enqueued and not finished (T-2). Gives work_id, event_id, type, pending."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        event, kind, open_ = state.get if state.exists else (-1, "", [])
+        held = set(open_)
+        for k, e, i in pd.concat(list(parts)).sort_values("event_id")[["type", "event_id", item]].itertuples(index=False):
+            if k == "queued":
+                held.add(int(i))
+            elif k == "item":
+                held.discard(int(i))
+            if e > event:
+                event, kind = int(e), k
+        state.update((event, kind, sorted(held)))
+        yield pd.DataFrame({"work_id": [key[0]], "event_id": [event], "type": [kind], "pending": [len(held)]})
+
+    return _stateful(stream, step, "work_id long, event_id long, type string, pending long", "event_id long, type string, open array<long>", None)
+
+
+def abandoned(stream: DataFrame, *, idle_ms: int, item: str = "item") -> DataFrame:
+    """Items enqueued and not finished of works that are still for `idle_ms`: a timer gives them back (T-7). Gives work_id, item."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ = set(state.get[0]) if state.exists else set()
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"work_id": [key[0]] * len(open_), "item": sorted(open_)})
+            return
+        for kind, i in pd.concat(list(parts)).sort_values("event_id")[["type", item]].itertuples(index=False):
+            (open_.add if kind == "queued" else open_.discard)(int(i))
+        state.update((sorted(open_),))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"work_id": pd.Series(dtype="int64"), "item": pd.Series(dtype="int64")})
+
+    return _stateful(stream.filter("type in ('queued', 'item')"), step, "work_id long, item long", "open array<long>", idle_ms)
+
+
+def merge_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
+    """Each micro-batch to `merge`; batch ids make a repeat harmless. trigger: availableNow=True or the like."""
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def record(stream: DataFrame, path: str, checkpoint: str, *, leave: tuple[str, ...] = ("progress", "delta"), **trigger):
+    """The event log (T-6): each micro-batch as a partition of its own, so that one that comes again replaces itself; progress and deltas aren't recorded."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.filter(~F.col("type").isin(*leave)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return merge_batches(stream, append, checkpoint, **trigger)
+
+
+def replay(log: DataFrame, *, n: int = 1000, terminal: tuple[str, ...] = ("done", "paused")) -> DataFrame:
+    """What a reader that comes anew is sent: the newest n recorded events of each work, none after the first terminal one (T-6)."""
+    ends = log.filter(F.col("type").isin(*terminal)).groupBy("work_id").agg(F.min("event_id").alias("__end"))
+    open_ = log.join(ends, "work_id", "left").filter(F.col("__end").isNull() | (F.col("event_id") <= F.col("__end"))).drop("__end")
+    return replay_tail(open_, n=n, leave=())
+
+
+def merge_results(stream: DataFrame, decisions: Callable[[], DataFrame], root: str, checkpoint: str, **trigger):
+    """Results of reads (page_id, status) into a table of pages (T-8): each micro-batch makes snapshot `batch` from the newest one before it.
+
+    `decisions` gives what people have decided by then (page_id, status); a page that one of them skipped stays so, however
+    late the result comes. root/batch=-1 is where the table begins. A batch that comes again makes the same snapshot.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(root).filter(F.col("batch") < number)
+        newest = before.agg(F.max("batch")).first()[0]
+        pages = before.filter(F.col("batch") == newest).drop("batch")
+        decided = lines.decide_pages(pages, decisions())[0]
+        last = batch.groupBy("page_id").agg(F.max_by("status", "event_id").alias("status"))
+        lines.merge_pages(decided, last).write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    return merge_batches(stream, merge, checkpoint, **trigger)
