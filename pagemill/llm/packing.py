@@ -1,10 +1,13 @@
 """Best-fit packing into sequences of a fixed length, certified by lower bounds.
 
 Documents become ids plus an end id; only those longer than a sequence are cut, into whole sequences with a shorter
-first piece. Pieces are dealt to groups of a bounded size. Each group packs by best-fit decreasing and takes a lower bound
-on its sequences from dual feasible functions. A group whose count meets its bound is certified; it gives away only
-its emptiest sequence, which rounding left. A group with a gap gives away all pieces of its sequences with room. What is
-given away goes to fewer groups and is packed again, until one group packs the rest or nothing is gained.
+first piece. A piece of full length is a sequence of its own and needs no packing. The others are dealt to groups of a
+bounded size. Each group packs by best-fit decreasing and takes a lower bound on its sequences from dual feasible
+functions. A group whose count meets its bound is certified; it gives away only its emptiest sequence, which rounding left.
+A group with a gap gives away all pieces of its sequences with room. What is given away goes to fewer groups and is packed
+again, until one group packs the rest or PATIENCE further rounds in a row each need no fewer sequences than they were given; such a
+round is undone.
+Each row carries its group's certificate: round, group, the group's sequences and their lower bound.
 
 Null texts are empty texts: one piece with the end id alone. Repeated rows are pieces of their own. Other columns are not
 read. An empty table gives an empty table. Rows without doc_id are packed like others.
@@ -12,22 +15,29 @@ read. An empty table gives an empty table. Rows without doc_id are packed like o
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary
-from .common import doc_text, save, slices
+from .common import doc_text, held, save, slices
 
 CAPACITY = 1024
 #: Pieces that a task packs at once.
 GROUP_PIECES = 100_000
-MOST_ROUNDS = 6
+#: Ids that a task holds at once where pieces carry them.
+GROUP_IDS = 8_000_000
+#: The round that pieces of full length are said to be packed in; its groups are not numbered.
+WHOLE = 127
+#: Rounds in a row without gain, each dealt otherwise, after which packing ends.
+PATIENCE = 3
 
 
 def pieces_of(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, keep: bool = True) -> DataFrame:
@@ -37,17 +47,22 @@ def pieces_of(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 2,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary(name))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=4_000_000):
                 ids, offsets = enc.encode(part.column("text"))
-                rows, docs_of = [], []
-                for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-                    own = np.append(ids[a:b], end_id).astype("<u4")
-                    cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
-                    for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                        docs_of.append(k)
-                        rows.append((i, x, y - x, zlib.crc32(own[x:y]), own[x:y].astype(np.int32) if keep else None))
-                cols = [part.column("doc_id").take(pa.array(docs_of, pa.int64()))]
-                cols += [pa.array([r[j] for r in rows], t) for j, t in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep)]
+                ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
+                starts = offsets + np.arange(len(offsets))  # each document has its end id now
+                size = np.diff(starts)
+                pieces = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = np.where(size % capacity, size % capacity, capacity)[doc]  # the first piece may be shorter
+                begin = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first)
+                at = starts[doc] + begin
+                crc = [zlib.crc32(ids[x:y]) for x, y in zip(at.tolist(), (at + length).tolist())]
+                cols = [part.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(begin), pa.array(length), pa.array(crc, pa.int64())]
+                if keep:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
     return doc_text(docs).mapInArrow(run, schema)
@@ -99,63 +114,82 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.nda
     return out
 
 
-def pack_group(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence of each piece (lengths decreasing) and which pieces are given away."""
+def pack_group(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
+    """The sequence of each piece (lengths decreasing), which pieces are given away, and the lower bound."""
     seq = best_fit_decreasing(lengths, capacity)
     filled = np.bincount(seq, weights=lengths).astype(np.int64)
-    gap = len(filled) - lower_bound(lengths, capacity)
-    if gap > 0:
+    bound = lower_bound(lengths, capacity)
+    if len(filled) > bound:
         give = filled < capacity
     else:
         give = np.zeros(len(filled), bool)
         if len(filled) and filled.min() < capacity:
             give[filled.argmin()] = True
-    return seq, give[seq]
+    return seq, give[seq], bound
+
+
+CERTIFICATE = "sequence_id long, offset long, round int, group_id int, group_sequences long, group_bound long"
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """A table with `length` (1 to capacity) -> its rows with sequence_id and offset, in as few sequences as found."""
-    spark = pieces.sparkSession
-    out_schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long, given boolean"
+    """A table with `length` (1 to capacity) -> its rows with sequence_id, offset and the certificate, in as few sequences as found."""
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
+    schema = f"{', '.join(own)}, {CERTIFICATE}, given boolean"
 
-    def run_round(frame: DataFrame, number: int, groups: int, last: bool) -> DataFrame:
+    def run_round(frame: DataFrame, number: int, groups: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = [b for b in batches if b.num_rows]
             if not kept:
                 return
+            held("packing", lambda: None)  # a worker that encoded before needs its tables no more
             table = pa.Table.from_batches(kept).drop_columns(["group"])
+            del kept
+            part = TaskContext.get().partitionId()
             keys = [("length", "descending")] + [(c, "ascending") for c in ("doc_id", "piece") if c in table.column_names]
-            table = table.sort_by(keys)
-            lengths = np.asarray(table["length"])
-            seq, give = pack_group(lengths, capacity)
-            if last:
-                give[:] = False
-            order = np.argsort(seq, kind="stable")
-            table, lengths, seq, give = table.take(pa.array(order)), lengths[order], seq[order], give[order]
+            order = np.asarray(pc.sort_indices(table, keys))
+            lengths = np.asarray(table["length"])[order]
+            seq, give, bound = pack_group(lengths, capacity)
+            by_seq = np.argsort(seq, kind="stable")
+            order, lengths, seq, give = order[by_seq], lengths[by_seq], seq[by_seq], give[by_seq]
             ends = np.cumsum(lengths)
             first = np.r_[True, seq[1:] != seq[:-1]]
             offset = ends - lengths
             offset -= np.maximum.accumulate(np.where(first, offset, 0))
-            base = (number << 56) + (TaskContext.get().partitionId() << 28)
-            table = table.append_column("sequence_id", pa.array(base + seq)).append_column("offset", pa.array(offset)).append_column("given", pa.array(give))
-            yield from table.to_batches(max_chunksize=10_000)
-
-        grouped = frame.withColumn("group", (F.monotonically_increasing_id() % groups).cast("int"))
-        return save(grouped.repartitionById(groups, "group").mapInArrow(run, out_schema), "packed")
-
-    rest, done, number, before = pieces, None, 0, None
+            base, count = (number << 56) + (part << 28), int(seq[-1]) + 1
+            for a in range(0, len(seq), 10_000):
+                at = slice(a, a + 10_000)
+                rows = table.take(pa.array(order[at])).combine_chunks()
+                n = rows.num_rows
+                more = [base + seq[at], offset[at], np.full(n, number, np.int32), np.full(n, part, np.int32), np.full(n, count), np.full(n, bound), give[at]]
+                cols = [c.chunk(0) for c in rows.columns] + [pa.array(x) for x in more]
+                yield pa.RecordBatch.from_arrays(cols, names=[*rows.column_names, *(c.split()[0] for c in CERTIFICATE.split(", ")), "given"])
+
+        grouped = frame.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(groups)).cast("int"))
+        return save(grouped.repartitionById(groups, "group").mapInArrow(run, schema), "packed")
+
+    whole = F.col("length") == capacity
+    names = [*pieces.columns, *(c.split()[0] for c in CERTIFICATE.split(", "))]
+    alone = {"sequence_id": F.lit(WHOLE << 56) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "round": F.lit(WHOLE), "group_id": F.lit(-1), "group_sequences": F.lit(1).cast("long"), "group_bound": F.lit(1).cast("long")}
+    done = [pieces.filter(whole).withColumns(alone).select(*names)]
+    rest, number, before, fallback, missed = pieces.filter(~whole), 0, None, None, 0
     while True:
-        left = rest.count()
-        groups = max(1, -(-left // GROUP_PIECES))
-        last = groups == 1 and number > 0 or number + 1 == MOST_ROUNDS or left == before
-        packed = run_round(rest, number, groups, last or groups == 1)
-        kept = packed.filter(~F.col("given")).drop("given")
-        done = kept if done is None else done.unionByName(kept)
-        if last or groups == 1:
-            return done
-        rest, before, number = packed.filter("given").select(*pieces.columns), left, number + 1
+        left, ids = rest.agg(F.count("*"), F.sum("length")).first()
+        by_ids = -(-int(ids or 0) // GROUP_IDS) if "ids" in pieces.columns else 1
+        groups = max(1, by_ids, -(-left // GROUP_PIECES))
+        packed = run_round(rest, number, groups)
+        used, given = packed.agg(F.expr("count_if(offset = 0)"), F.expr("count_if(offset = 0 and given)")).first()
+        if before is not None and used >= before:  # nothing gained: as it was, and dealt otherwise
+            missed, number = missed + 1, number + 1
+            if missed > PATIENCE:
+                return functools.reduce(DataFrame.unionByName, [*done, fallback])
+            continue
+        if groups == 1 or not given:
+            return functools.reduce(DataFrame.unionByName, [*done, packed.select(*names)])
+        done.append(packed.filter("not given").select(*names))
+        gone = packed.filter("given")
+        rest, before, fallback, number, missed = gone.select(*pieces.columns), given, gone.select(*names), number + 1, 0
 
 
 def pack_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, keep: bool = True) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids with keep."""
+    """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset, the certificate, and ids with keep."""
     return pack(save(pieces_of(docs, name, end_id, capacity, keep), "pieces"), capacity)
