@@ -163,11 +163,11 @@ SELECT after.doc_id, after.idx, before.content_hash <> after.content_hash AS sta
 )
 def replace_source_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source replaced without its second chapter: chapters are their positions, so the later ones are stale."""
-    from pyspark.sql import Window
-
-    before = measured(spark, sf_dir).select("doc_id", "idx", "content_hash")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))
-    after = before.filter("idx <> 2").select("doc_id", place.alias("idx"), "content_hash")
+    chapters = measured(spark, sf_dir)
+    before = chapters.select("doc_id", "idx", "content_hash")
+    kept = chapters.filter("idx <> 2").select("doc_id", "idx", "title", "paragraphs")
+    again = segment.from_records(kept.withColumnRenamed("idx", "old"), key=["doc_id"], order="old")
+    after = metrics.chapter_metrics(again, script=ACCENTED).select("doc_id", "idx", "content_hash")
     stored = before.select("doc_id", "idx", F.lit("prepared").alias("status"), F.col("content_hash").alias("source_hash"))
     return incremental.with_state(after, stored, ["doc_id", "idx"]).select("doc_id", "idx", "stale")
 

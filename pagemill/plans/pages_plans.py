@@ -164,13 +164,6 @@ def first_to_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("source").alias("work_id")).agg(F.min(F.when(wanted, F.col("doc_id"))).alias("first_to_check"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 20000 THEN 'too-long' WHEN n_chars < 50 THEN 'too-short' WHEN source = 'src0' AND lang <> 'en' THEN 'wrong-pairing' END AS refused FROM documents""")
-def intake_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows refused on intake, with the reason."""
-    reason = F.when(F.length(F.coalesce("text", F.lit(""))) > 20000, "too-long").when(F.col("n_chars") < 50, "too-short").when((F.col("source") == "src0") & (F.col("lang") != "en"), "wrong-pairing")
-    return table(spark, sf_dir, "documents").select("doc_id", reason.alias("refused"))
-
-
 @query("SELECT doc_id, n % 2 = 1 AS open FROM (SELECT doc_id, len(regexp_extract_all(text, 'q')) AS n FROM (SELECT doc_id, replace(replace(text, 'qu', 'q'), 'ß', 'q') AS text FROM documents))")
 def unclosed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts whose last quotation stays open (C4); here every other q opens, the next closes."""

@@ -27,11 +27,12 @@ def _blank_sql(x: str, pattern: str) -> str:
 _CLEAN = "regexp_replace(coalesce(%s, ''), '[" + T.FORMAT + "]', '', 'g')"
 
 
-def clean_sql(source: str, key: str, text: str, terms: str | None = None) -> str:
+def clean_sql(source: str, key: str, text: str, terms: str | None = None, rules: leaks.ResidueRules = RESIDUE) -> str:
+    """The cleaning as CTEs; the first two patterns only (a third would need to look behind)."""
     fold = "list_reduce([c2] || {t}, lambda a, t: replace(a, t, repeat(' ', length(t))))"
-    kept = list(RESIDUE.kept)
+    kept = list(rules.kept)
     out = f"""c0 AS (SELECT {key}, {_CLEAN % text} AS t FROM {source}),
-c1 AS (SELECT {key}, {_blank_sql('t', RESIDUE.blanked[0])} AS c1 FROM c0), c2 AS (SELECT {key}, {_blank_sql('c1', RESIDUE.blanked[1])} AS c2 FROM c1),
+c1 AS (SELECT {key}, {_blank_sql('t', rules.blanked[0])} AS c1 FROM c0), c2 AS (SELECT {key}, {_blank_sql('c1', rules.blanked[1])} AS c2 FROM c1),
 cleaned AS (SELECT {key}, {fold.format(t=kept if terms is None else f'{kept} || (SELECT list(spelling ORDER BY rank, spelling) FROM {terms})')} AS clean FROM c2)"""
     return out
 
@@ -40,15 +41,20 @@ def _case(name: str, weight: int, cond: str) -> str:
     return f"CASE WHEN {cond} THEN {weight} ELSE 0 END"
 
 
-RUN_SQL = f"""lined AS (SELECT %(key)s, unnest(string_split(clean, chr(10))) AS l, generate_subscripts(string_split(clean, chr(10)), 1) AS line FROM cleaned),
-ran AS (SELECT %(key)s, line::INT AS line, unnest(rs) AS run, (generate_subscripts(rs, 1) - 1)::INT AS place FROM (SELECT *, regexp_extract_all(l, '[{RESIDUE.script}][{RESIDUE.script}{RESIDUE.glue}]*') AS rs FROM lined)),
-cored AS (SELECT *, regexp_replace(run, '\\A[{RESIDUE.edge}]+|[{RESIDUE.edge}]+\\z', '', 'g') AS core FROM ran),
+def run_sql(key: str, rules: leaks.ResidueRules = RESIDUE) -> str:
+    a, b = rules.shape
+    signals = " + ".join(_case(n, w, f"regexp_matches({'core' if c else 'run'}, '{p}')") for n, w, p, c in rules.signals())
+    return f"""lined AS (SELECT {key}, unnest(string_split(clean, chr(10))) AS l, generate_subscripts(string_split(clean, chr(10)), 1) AS line FROM cleaned),
+ran AS (SELECT {key}, line::INT AS line, unnest(rs) AS run, (generate_subscripts(rs, 1) - 1)::INT AS place FROM (SELECT *, regexp_extract_all(l, '[{rules.script}][{rules.script}{rules.glue}]*') AS rs FROM lined)),
+cored AS (SELECT *, regexp_replace(run, '\\A[{rules.edge}]+|[{rules.edge}]+\\z', '', 'g') AS core FROM ran),
 scored AS (
-  SELECT *, (CASE WHEN length(core) >= {RESIDUE.shape_chars} AND regexp_matches(core, '{RESIDUE.shape[0]}') AND regexp_matches(core, '{RESIDUE.shape[1]}') THEN 2 ELSE 0 END
-    + {' + '.join(_case(n, w, f"regexp_matches({'core' if c else 'run'}, '{p}')") for n, w, p, c in RESIDUE.signals())})::INT AS score FROM cored WHERE core <> ''
+  SELECT *, (CASE WHEN length(core) >= {rules.shape_chars} AND regexp_matches(core, '{a}') AND regexp_matches(core, '{b}') THEN 2 ELSE 0 END + {signals})::INT AS score FROM cored WHERE core <> ''
 )"""
 
 
+RUN_SQL = run_sql("%(key)s").replace("%", "%%").replace("%%(key)s", "%(key)s")
+
+
 def _clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.subtract(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=RESIDUE)
 
@@ -69,14 +75,18 @@ def leak_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.report(_clean_documents(spark, sf_dir), key=["doc_id"], rules=RESIDUE)[0].drop("reasons")
 
 
-REPORT_SQL = f"""{RUN_SQL}, found AS (SELECT * FROM scored WHERE score >= {RESIDUE.flag_at}),
+def report_sql(key: str, rules: leaks.ResidueRules = RESIDUE) -> str:
+    return f"""{run_sql(key, rules)}, found AS (SELECT * FROM scored WHERE score >= {rules.flag_at}),
 reported AS (
-  SELECT %(key)s, round_even(CASE WHEN {NONSPACE % 'clean'} = 0 THEN 0 ELSE len(regexp_extract_all(clean, '[{RESIDUE.script}]')) / {NONSPACE % 'clean'} END, 4) AS residual_fraction,
+  SELECT {key}, round_even(CASE WHEN {NONSPACE % 'clean'} = 0 THEN 0 ELSE len(regexp_extract_all(clean, '[{rules.measured}]')) / {NONSPACE % 'clean'} END, 4) AS residual_fraction,
     coalesce(n, 0) AS findings, coalesce(n, 0) > 0 AS flagged, worst, worst_line
-  FROM cleaned LEFT JOIN (SELECT %(key)s, count(*) AS n, first(run ORDER BY score DESC, line, place) AS worst, first(line ORDER BY score DESC, line, place) AS worst_line FROM found GROUP BY ALL) USING (%(key)s)
+  FROM cleaned LEFT JOIN (SELECT {key}, count(*) AS n, first(run ORDER BY score DESC, line, place) AS worst, first(line ORDER BY score DESC, line, place) AS worst_line FROM found GROUP BY ALL) USING ({key})
 )"""
 
 
+REPORT_SQL = report_sql("%(key)s").replace("%", "%%").replace("%%(key)s", "%(key)s")
+
+
 @query(f"WITH {clean_sql('documents', 'doc_id', 'text')}, {REPORT_SQL % {'key': 'doc_id'}} SELECT * FROM reported")
 def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.report(_clean_documents(spark, sf_dir), key=["doc_id"], rules=RESIDUE)[1]
@@ -86,11 +96,11 @@ CHATTER = leaks.ChatterRules(notation=r"%%%|###", phrases=r"(?:\A|[ ,.])(?:[Tt]h
 _SENT = f"string_split(regexp_replace(b, '([.!?。！？])[{T.SPACE}]+', '\\1' || chr(1), 'g'), chr(1))"
 
 
-def verdict_sql(source: str, key: str, text: str) -> str:
-    c = CHATTER
+def verdict_sql(source: str, key: str, text: str, c: leaks.ChatterRules = CHATTER, quotes: str = '"') -> str:
+    c = leaks.ChatterRules(**{n: getattr(c, n).replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''") for n in ("notation", "phrases", "announcement", "rule")}, substantial=c.substantial)
     return f"""split AS (SELECT {key}, unnest(string_split(coalesce({text}, ''), chr(10))) AS b, generate_subscripts(string_split(coalesce({text}, ''), chr(10)), 1) - 1 AS place FROM {source}),
 judged AS (
-  SELECT {key}, place, b, CASE WHEN NOT (notation OR phrase OR (said AND NOT regexp_matches(b, '"'))) THEN 'keep' WHEN notation THEN 'remove' WHEN phrase AND NOT said THEN 'report' WHEN prose >= {c.substantial} THEN 'report' ELSE 'remove' END AS verdict
+  SELECT {key}, place, b, CASE WHEN NOT (notation OR phrase OR (said AND NOT regexp_matches(b, '[{quotes}]'))) THEN 'keep' WHEN notation THEN 'remove' WHEN phrase AND NOT said THEN 'report' WHEN prose >= {c.substantial} THEN 'report' ELSE 'remove' END AS verdict
   FROM (
     SELECT *, regexp_matches(b, '{c.notation}') OR regexp_matches(b, '{c.rule}') AS notation, regexp_matches(b, '{c.phrases}') AS phrase, regexp_matches(b, '{c.announcement}') AS said,
       coalesce(list_sum(list_transform(list_filter({_SENT}, lambda s: NOT (regexp_matches(s, '{c.announcement}') OR regexp_matches(s, '{c.notation}') OR regexp_matches(s, '{c.phrases}'))), lambda s: length({STRIP % 's'}))), 0) AS prose

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import glossary, requests, segment
+from ..operators import glossary, intake, requests, segment
 from ..sources import files
 from .corpus import NONSPACE, PARAS, STRIP
 from .registry import query, table
@@ -65,10 +65,13 @@ def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.best_attempt(rows, key=["conv_id"])
 
 
+CONTROLS = r"[\x00-\x1f\x{85}\x{2028}\x{2029}]"
+
+
 def records_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Responses as tab-separated rows: some of two fields, blank, repeated, unexpected, or without a tab."""
     rows = table(spark, sf_dir, "conversations")
-    t, english = F.col("turn"), F.substring(F.regexp_replace("text", "[\n\r]", " "), 1, 20)
+    t, english = F.col("turn"), F.regexp_replace("text", CONTROLS, " ")
     name = F.concat(F.lit("l"), t.cast("string"))
     row = F.when(t % 6 == 4, F.concat_ws("\t", name, english)).when(t % 6 == 5, F.concat_ws("\t", name, "role", F.lit(" "))).when(t % 6 == 3, F.concat(F.lit("so "), english)).when(t % 6 == 2, F.concat_ws("\t", F.lit("zz"), "role", english)).otherwise(F.concat(F.concat_ws("\t", name, "role", english), F.lit("\textra")))
     again = F.when(t % 6 == 0, F.concat_ws("\t", name, "role", F.lit("again")))
@@ -77,7 +80,7 @@ def records_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return made, expected
 
 
-@query(f"SELECT conv_id, 'l' || turn AS id, CASE WHEN turn % 6 = 4 THEN '' ELSE role END AS speaker, {STRIP % '''(left(regexp_replace(text, '[\n\r]', ' ', 'g'), 20) || CASE WHEN turn % 6 = 4 THEN '' ELSE chr(9) || 'extra' END)'''} AS english FROM conversations WHERE turn % 6 IN (0, 1, 4)")
+@query(f"SELECT conv_id, 'l' || turn AS id, CASE WHEN turn % 6 = 4 THEN '' ELSE role END AS speaker, {STRIP % '''(regexp_replace(text, '[\\x00-\\x1f\\x{85}\\x{2028}\\x{2029}]', ' ', 'g') || CASE WHEN turn % 6 = 4 THEN '' ELSE chr(9) || 'extra' END)'''} AS english FROM conversations WHERE turn % 6 IN (0, 1, 4)")
 def parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab-separated records back to lines."""
     return requests.parse_records(*records_of(spark, sf_dir), key=["conv_id"])[0]
@@ -106,6 +109,35 @@ def retry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.retry_union(first, rows.filter("turn % 2 = 0").select("conv_id", "id", F.lit("second").alias("english")), key=["conv_id"])
 
 
+@query("SELECT conv_id, (count(*) * 0.25 + count(*) FILTER (turn % 2 = 0) * 0.5)::DECIMAL(18,6) AS cost_usd, sum(length(text))::BIGINT + coalesce(sum(turn) FILTER (turn % 2 = 0), 0)::BIGINT AS tokens, (count(*) + 2 * count(*) FILTER (turn % 2 = 0))::BIGINT AS chunks, count(*) + count(*) FILTER (turn % 2 = 0) AS terms, count(*) FILTER (turn % 2 = 0) AS retries FROM conversations GROUP BY conv_id")
+def retry_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spend, terms, chunks and warnings of both attempts."""
+    rows = table(spark, sf_dir, "conversations")
+
+    def attempt(frame: DataFrame, tokens: F.Column, cost: float, chunks: int) -> DataFrame:
+        return frame.select("conv_id", F.create_map(F.lit("tokens"), tokens.cast("long")).alias("usage"), F.lit(cost).alias("cost_usd"), F.array("role").alias("terms"), F.lit(chunks).alias("chunks"), F.array(F.lit("w")).alias("warnings"))
+
+    found = requests.retry_totals(attempt(rows, F.length("text"), 0.25, 1), attempt(rows.filter("turn % 2 = 0"), F.col("turn"), 0.5, 2), key=["conv_id"])
+    retries = F.size(F.filter("warnings", lambda w: w == "retry: w")).cast("long")
+    return found.select("conv_id", "cost_usd", F.col("usage")["tokens"].alias("tokens"), "chunks", F.size("terms").cast("long").alias("terms"), retries.alias("retries"))
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNK_SQL}, n AS (SELECT doc_id, count(*) AS total FROM chunks GROUP BY doc_id)
+SELECT doc_id, chunk_no, sha256(CASE WHEN total > 1 THEN 'This is part ' || (chunk_no + 1) || ' of ' || total || '. Part ' || greatest(1, chunk_no) || ' came before.' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN chunk_no % 2 = 1 THEN 'For context, the end of the part before:' || chr(10) || chr(10) || 't' || chunk_no || chr(10) || chr(10) ELSE '' END || CASE WHEN chunk_no = 0 THEN 'Chapter title: T' || doc_id || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 3 = 0 THEN 'Additional instructions for this work: keep names' || chr(10) || chr(10) ELSE '' END || 'Translate the following:' || chr(10) || chr(10) || array_to_string(paragraphs, chr(10) || chr(10))) AS message,
+  CASE WHEN doc_id % 5 = 0 THEN 'only text' ELSE '{requests.CONTRACT}' END AS contract FROM chunks JOIN n USING (doc_id)"""
+)
+def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of requests (C14), some under another contract for the answer."""
+    chunks = chunks_of(spark, sf_dir)
+    rows = chunks.join(chunks.groupBy("doc_id").agg(F.count("*").alias("total")), "doc_id")
+    d, k = F.col("doc_id"), F.col("chunk_no")
+    message = requests.user_message(F.array_join("paragraphs", "\n\n"), title=F.concat(F.lit(" T"), d.cast("string")), index=k + 1, total=F.col("total"), tail=F.when(k % 2 == 1, F.concat(F.lit("t"), k.cast("string"))).otherwise(" "), notes=F.when(d % 3 == 0, " keep names "))
+    return rows.select("doc_id", "chunk_no", F.sha2(message, 256).alias("message"), requests.system_message(block=F.lit(""), contract=F.when(d % 5 == 0, "only text")).alias("contract"))
+
+
 @query(
     f"""SELECT item_id, {STRIP % 'text'} AS body, CASE WHEN item_id % 4 = 0 THEN 1 WHEN item_id % 4 = 1 THEN 1 ELSE 0 END AS terms,
   list_filter([CASE WHEN item_id % 4 = 3 THEN 'no-terms-mark' END, CASE WHEN item_id % 4 = 2 THEN 'terms-unreadable' END, CASE WHEN item_id % 4 = 1 THEN 'blank-term' END], lambda x: x IS NOT NULL) AS warnings FROM benchmark"""
@@ -136,12 +168,49 @@ def accept_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.accept(audit, said, key=["doc_id"])[0].select("doc_id", "status")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'ok ' || turn WHEN turn % 3 = 1 THEN 'audit' END AS text, turn % 3 = 1 AS from_audit, lag(turn) OVER w AS previous, lead(turn) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'ok ' || turn WHEN turn % 3 = 1 THEN 'audit' END AS text, turn % 3 = 1 AS from_audit, lag(turn) OVER w AS previous, lead(turn) OVER w AS next,
+  CASE WHEN turn % 4 = 3 THEN '' WHEN turn % 2 = 0 THEN 'validated' ELSE 'needs-review' END AS status, turn % 4 <> 3 AND turn % 5 = 0 AS stale, turn % 4 <> 3 AND turn % 2 = 0 AS accepted FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def reader_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reader sees: accepted text, else the audited one."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    accepted = rows.filter("turn % 3 = 0").withColumn("text", F.concat(F.lit("ok "), F.col("turn").cast("string")))
-    return requests.reader(rows, accepted, rows.filter("turn % 3 <> 2").withColumn("text", F.lit("audit")), key=["conv_id", "turn"], order="turn")
+    """What a reader sees: accepted text, else the audited one, with its state and whether it is of other words."""
+    t = F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("content_hash"))
+    accepted = rows.filter("turn % 3 = 0").withColumn("text", F.concat(F.lit("ok "), t.cast("string")))
+    state = rows.filter("turn % 4 <> 3").select("conv_id", "turn", F.when(t % 2 == 0, "validated").otherwise("needs-review").alias("status"), F.when(t % 5 == 0, "old").otherwise(F.col("content_hash")).alias("source_hash"), (t % 2 == 0).alias("accepted"))
+    return requests.reader(rows, accepted, rows.filter("turn % 3 <> 2").withColumn("text", F.lit("audit")), key=["conv_id", "turn"], order="turn", state=state).drop("content_hash")
+
+
+@query("SELECT doc_id AS id, lang AS title FROM documents WHERE doc_id % 9 <> 0")
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works with an id, by creation."""
+    rows = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("title"), (-F.col("doc_id")).alias("created_at"))
+    return files.library(rows).select(F.col("id").cast("long").alias("id"), "title")
+
+
+@query("SELECT doc_id, paragraphs, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::INT AS idx FROM (SELECT doc_id, lang, length(text) AS paragraphs FROM documents WHERE doc_id % 4 <> 1)")
+def reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored records without the bad ones, counted anew."""
+    bad = F.col("doc_id") % 4 == 1
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", F.when(~bad, F.col("doc_id").cast("string")).alias("title"), F.when(~bad, F.array("text")).alias("paragraphs"))
+    found = segment.from_records(rows, key=["lang"], order="doc_id")
+    return found.select(F.col("title").cast("long").alias("doc_id"), F.length(F.get("paragraphs", F.lit(0))).cast("long").alias("paragraphs"), "idx")
+
+
+@query("""WITH u AS (SELECT source AS work_id, doc_id, CASE WHEN strlen(coalesce(text, '')) = 0 THEN 'empty' WHEN strlen(text) > 8000 THEN 'too-large' END AS r FROM documents),
+n AS (SELECT *, count(*) FILTER (r IS NULL) OVER (PARTITION BY work_id ORDER BY doc_id) AS k FROM u) SELECT doc_id, CASE WHEN r IS NULL AND k + 20 > 60 THEN 'too-many-pages' ELSE r END AS refused FROM n""")
+def intake_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads refused for their size or because the work is full."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("work_id"), F.col("doc_id").alias("arrival"), F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    there = rows.select("work_id").distinct().withColumn("pages", F.lit(20))
+    return intake.check_pages(rows, there, most_bytes=8000, most_pages=60).select(F.col("arrival").alias("doc_id"), "refused")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'unknown-kind' WHEN doc_id % 3 = 2 THEN 'unknown-ingest' WHEN doc_id % 4 = 0 AND doc_id % 3 = 0 THEN 'manga-needs-images' END AS refused, CASE WHEN coalesce(strlen(text), 0) = 0 THEN 'empty' WHEN strlen(text) > 20971520 THEN 'too-large' END AS refused_text FROM documents""")
+def intake_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works refused for what they are, and texts for their size."""
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(d % 4 == 3, "poem").when(d % 4 == 0, "manga").otherwise("novel").alias("kind"), F.when(d % 3 == 2, "fax").when(d % 3 == 0, "text").otherwise("images").alias("ingest"))
+    works = intake.check_works(rows).drop("kind", "ingest")
+    return intake.check_texts(works.withColumnRenamed("refused", "r")).select("doc_id", F.col("r").alias("refused"), F.col("refused").alias("refused_text"))
 
 
 @query("SELECT conv_id, turn AS version FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 2")
@@ -175,7 +244,7 @@ def encoding_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, turn + 1 AS idx, CASE WHEN turn % 3 = 0 THEN 'Export ' || conv_id ELSE role END AS title, [left(text, 9), 'cell ' || turn, 'child'] AS paragraphs FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, regexp_replace(text, '[\\s]', '_', 'g') AS text FROM conversations)"""
+    """SELECT conv_id, (turn + 1)::INT AS idx, CASE WHEN turn % 3 = 0 THEN 'Chapter ' || (turn + 1) ELSE role END AS title, [' ' || text, 'cell ' || turn, 'inner', 'child', 'grandchild', 'leaf'] AS paragraphs FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, regexp_replace(text, '[\\s]', '_', 'g') AS text FROM conversations)"""
 )
 def flatten_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exported documents with tabs, tables and child tabs to chapters."""
@@ -183,26 +252,34 @@ def flatten_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", place.alias("turn"), "role", F.regexp_replace("text", r"[\s]", "_").alias("text"))
     run = lambda c: F.struct(F.array(F.struct(F.struct(c.alias("content")).alias("textRun"))).alias("elements"))
     para = lambda c: F.to_json(F.struct(run(c).alias("paragraph")))
-    cell = F.concat(F.lit('{"table":{"tableRows":[{"tableCells":[{"content":['), para(F.concat(F.lit("cell "), F.col("turn").cast("string"))), F.lit("]}]}]}}"))
-    body = F.concat(F.lit('"documentTab":{"body":{"content":['), F.concat_ws(",", para(F.concat(F.lit(" "), F.substring("text", 1, 9), F.lit("\n"))), cell, para(F.lit(" "))), F.lit("]}}"))
-    child = F.concat(F.lit('"childTabs":[{"documentTab":{"body":{"content":['), para(F.lit("child")), F.lit("]}}}]"))
+    inner = F.concat(F.lit('{"table":{"tableRows":[{"tableCells":[{"content":['), para(F.lit("inner")), F.lit("]}]}]}}"))
+    cell = F.concat(F.lit('{"table":{"tableRows":[{"tableCells":[{"content":['), para(F.concat(F.lit("cell "), F.col("turn").cast("string"))), F.lit(","), inner, F.lit("]}]}]}}"))
+    body = F.concat(F.lit('"documentTab":{"body":{"content":['), F.concat_ws(",", para(F.concat(F.lit(" "), F.col("text"), F.lit("\n"))), cell, para(F.lit(" "))), F.lit("]}}"))
+    child = F.lit("")
+    for name in ("leaf", "grandchild", "child"):
+        child = F.concat(F.lit('"childTabs":[{"documentTab":{"body":{"content":['), para(F.lit(name)), F.lit("]}}"), F.when(child != "", F.concat(F.lit(","), child)).otherwise(""), F.lit("}]"))
     tab = F.concat(F.lit('{"tabProperties":{"title":"'), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")), F.lit('"},'), body, F.lit(","), child, F.lit("}"))
     tabs = rows.select("conv_id", "turn", tab.alias("t")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda s: s["t"]), ",").alias("tabs"))
     raw = F.concat(F.lit('{"title":"Export '), F.col("conv_id").cast("string"), F.lit('","tabs":['), "tabs", F.lit("]}"))
-    return files.flatten_documents(tabs.select("conv_id", raw.alias("raw")), key=["conv_id"]).withColumn("idx", F.col("idx").cast("long"))
+    return files.flatten_documents(tabs.select("conv_id", raw.alias("raw")), key=["conv_id"])
 
 
 @query(
-    """SELECT doc_id, ['png', 'gif', 'jpeg', 'pdf', 'unknown'][doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 5 > 2 THEN 0 ELSE n_chars % 60000 * (n_chars % 60000 <= 50000)::INT END AS width, CASE WHEN doc_id % 5 > 2 OR n_chars % 60000 > 50000 OR n_chars % 60000 = 0 THEN 0 ELSE doc_id % 999 + 1 END AS height,
-  CASE WHEN doc_id % 5 IN (0, 2) THEN NULL WHEN doc_id % 5 = 3 THEN 'not-an-image' ELSE 'unsupported' END AS refused FROM documents"""
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars * 37 % 260000 ELSE n_chars % 60000 END AS w, doc_id % 999 + 1 AS h FROM documents)
+SELECT doc_id, ['png', 'gif', 'jpeg', 'pdf', 'unknown'][doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 5 > 2 OR w > 200000 THEN 0 ELSE w END AS width, CASE WHEN doc_id % 5 > 2 OR w > 200000 OR w = 0 THEN 0 ELSE h END AS height,
+  CASE WHEN doc_id % 5 IN (0, 2) THEN NULL WHEN doc_id % 5 = 3 THEN 'not-an-image' ELSE 'unsupported' END AS refused FROM d"""
 )
 def image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds and sizes from image headers (S8); headers carry the sizes of documents."""
-    w, h = F.col("n_chars") % 60000, F.col("doc_id") % 999 + 1
+    """Kinds and sizes from image headers (S8); headers carry the sizes of documents, and a JPEG's comes after its text in long segments."""
+    d = F.col("doc_id")
+    w, h = F.when(d % 5 == 0, F.col("n_chars") * 37 % 260_000).otherwise(F.col("n_chars") % 60_000), d % 999 + 1
     be = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
     le = lambda c: F.concat(F.substring(be(c, 2), 3, 2), F.substring(be(c, 2), 1, 2))
     png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), be(w, 4), be(h, 4))
-    jpeg = F.concat(F.lit("FFD8FFE000040000FFC0000B08"), be(h, 2), be(w, 2), F.lit("03000000"))
-    raw = F.element_at(F.array(png, F.concat(F.lit("474946383961"), le(w), le(h)), jpeg, F.lit("255044462D312E34"), F.lit("00010203")), (F.col("doc_id") % 5 + 1).cast("int"))
+    text = F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    parts = F.sequence(F.lit(0), F.expr("octet_length(coalesce(text, '')) div 60000"))
+    notes = F.array_join(F.transform(parts, lambda k: F.concat(F.lit("FFFE"), be(F.octet_length(F.unhex(F.substring(text, k * 120_000 + 1, F.lit(120_000)))) + 2, 2), F.substring(text, k * 120_000 + 1, F.lit(120_000)))), "")
+    jpeg = F.concat(F.lit("FFD8"), notes, F.lit("FFC0000B08"), be(h, 2), be(w, 2), F.lit("03000000"))
+    raw = F.element_at(F.array(png, F.concat(F.lit("474946383961"), le(w), le(h)), jpeg, F.lit("255044462D312E34"), F.lit("00010203")), (d % 5 + 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.unhex(raw).alias("content"))
     return files.image_inventory(rows, key="doc_id")
