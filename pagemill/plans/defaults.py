@@ -104,7 +104,7 @@ LAST = ("「", "。", "", "」", "〝あ〞", "『", "!", "”")
     f"""WITH p AS (SELECT conv_id AS work_id, turn AS ord, list_extract({_list(FIRST)}, ((conv_id + turn) % {len(FIRST)} + 1)::INT) || regexp_replace(text, '[“”‘’「」『』《》〈〉〝〟〞]', '', 'g') || list_extract({_list(LAST)}, ((conv_id + 3 * turn) % {len(LAST)} + 1)::INT) AS text, turn % 5 = 2 AS ms, turn % 7 = 1 AS st FROM conversations),
 l AS (SELECT *, lag(text) OVER w AS before, coalesce(lag(ms) OVER w, FALSE) AS mid, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY work_id ORDER BY ord)),
 q AS (SELECT *, left(regexp_replace(text, '\\A[{T.SPACE}]+', ''), 1) AS first, right(before, 1) AS last, left(before, 1) AS began FROM l),
-o AS (SELECT *, (last IN ('「', '『')) OR (began IN ('「') AND last <> '」') OR (began = '『') OR (began = '“' AND last <> '”') OR (began = '‘') OR (began = '《') OR (began = '〈') OR (began = '〝' AND last <> '〞') AS open FROM q)
+o AS (SELECT *, (last IN ('「', '『')) OR (began IN ('「') AND last <> '」') OR (began = '『') OR (began = '“' AND last <> '”') OR (began = '‘') OR (began = '《') OR (began = '〈') OR began = '〝' AS open FROM q)
 SELECT work_id, ord, CASE WHEN mid AND st THEN 'open-sentence' WHEN first <> '' AND first NOT IN ({_list(seams.OPENERS)[1:-1]}) AND open THEN 'open-quotation' WHEN mid AND regexp_matches(text, '{T.STARTS_ON}') THEN 'continuation' WHEN mid THEN 'fresh-start' WHEN regexp_matches(before, '{T.ENDS_SENTENCE}') THEN 'finished-sentence' ELSE 'no-signal' END AS reason FROM o WHERE n > 1"""
 )
 def default_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
