@@ -17,7 +17,7 @@ from .packing import pack_documents
 from .pii import replace_private, session_key
 from .tokenfile import token_file_digest
 from .toxicity import score_toxicity
-from .warc import AUDIT_SQL, audit, damaged_replica, records
+from .warc import AUDIT_SQL, audit_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +35,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return audit(records(pages), records(damaged_replica(pages)))
+    return audit_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
