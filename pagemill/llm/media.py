@@ -6,20 +6,26 @@ and all quantisers are 1, so the 192 coefficients of one 8 x 8 unit with three c
 of scan. A restart marker after every unit keeps the first coefficients free of what went before. Frames are WIDTH x
 HEIGHT; the last one is filled up with byte 32, and the length of the payload stands in a chunk of its own.
 
-A reader takes the frames from the index chunk. Shots: the histogram of a frame's coefficients against the frame before;
-a cut where their difference exceeds the mean of the shot so far by DEVIATIONS standard deviations and LEAST_CHANGE.
-
-Null texts are empty texts. Equal bytes give equal files and features. Rows are handled one by one; an empty table gives an
-empty table.
+A reader takes the frames from the index chunk and decodes baseline JPEG of any size, tables, subsampling and restart
+interval: Huffman codes to coefficients, these (with the quantisers, by an inverse cosine transform) to samples. Frames of
+this module's own tables take a short cut to the same coefficients. Shots: the histogram of a frame's samples against the
+frame before; a cut where their difference exceeds the mean of the shot so far by DEVIATIONS standard deviations and
+LEAST_CHANGE.
+
+Sizes in RIFF have 32 bits, which is more than a Spark string or binary can hold. Null texts are empty texts. Equal bytes
+give equal files and features. Rows are handled one by one; an empty table gives an empty table. A video that can't be read
+is a row with its reason, frames that can't be decoded are counted and left out; other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -134,31 +140,218 @@ def read_avi(data: bytes) -> tuple[list[bytes], int, float]:
     return [data[a : a + n] for name, a, n in riff_chunks(data, movi[0] + 4, movi[0] + movi[1]) if name[2:] in (b"dc", b"db")], length, rate
 
 
-def decode_frame(picture: bytes) -> np.ndarray:
-    """Rows of 192 bytes of one picture that this module's tables describe."""
-    at = picture.find(b"\xff\xda")
-    if picture[:2] != b"\xff\xd8" or at < 0 or not picture.startswith(header()):
-        raise ValueError("not a picture with these tables")
+def _zigzag() -> np.ndarray:
+    """For each place along the zigzag its place in rows of 8: diagonals, upwards and downwards in turn."""
+    order = sorted(((x + y, x if (x + y) % 2 else y, 8 * x + y) for x in range(8) for y in range(8)), key=lambda t: t[:2])
+    return np.array([at for *_, at in order])
+
+
+@functools.cache
+def inverse_transform(quantisers: bytes) -> np.ndarray:
+    """The matrix from 64 coefficients along the zigzag to 64 samples in rows, quantisers included."""
+    k = np.arange(8)
+    cosine = np.cos((2 * k[:, None] + 1) * k[None] * np.pi / 16) * np.where(k == 0, np.sqrt(0.125), 0.5)  # sample, frequency
+    whole = np.einsum("yv,xu->vuyx", cosine, cosine).reshape(64, 64)  # place of the coefficient, of the sample
+    return (whole[_zigzag()] * np.frombuffer(quantisers, ">u2").astype(float)[:, None]).astype(np.float32)
+
+
+@dataclass
+class Picture:
+    """A JPEG's tables and geometry, and its scan."""
+
+    width: int = 0
+    height: int = 0
+    components: list[tuple[int, int, int, int]] = field(default_factory=list)  # id, horizontal, vertical, quantiser
+    quantisers: dict[int, bytes] = field(default_factory=dict)
+    codes: dict[int, tuple[list[int], list[int]]] = field(default_factory=dict)  # by class and id: length and symbol by 16 bits
+    restart: int = 0
+    tables: dict[int, int] = field(default_factory=dict)  # of the scan: component id -> its two tables
+    scan: bytes = b""
+
+    def blocks(self) -> list[tuple[int, int]]:
+        """Rows and columns of blocks of each component, whole units."""
+        high, wide = max(c[2] for c in self.components), max(c[1] for c in self.components)
+        down, across = -(-self.height // (8 * high)), -(-self.width // (8 * wide))
+        return [(down * v, across * h) for _, h, v, _ in self.components]
+
+
+def code_table(counts: bytes, symbols: bytes) -> tuple[list[int], list[int]]:
+    """For every 16 bits the length (0: none) and the symbol of the code they begin with."""
+    length, symbol, code, k = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+    for size, n in enumerate(counts, 1):
+        for s in symbols[k : k + n]:
+            at = code << 16 - size
+            length[at : at + (1 << 16 - size)], symbol[at : at + (1 << 16 - size)] = size, s
+            code += 1
+        k, code = k + n, code << 1
+    return length.tolist(), symbol.tolist()
+
+
+def parse_picture(data: bytes) -> Picture:
+    """Segments up to and with the scan of a baseline JPEG."""
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
+    out, at = Picture(), 2
+    while True:
+        if at + 4 > len(data) or data[at] != 0xFF:
+            raise ValueError("no scan")
+        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        body, at = data[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                values = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8)
+                out.quantisers[body[0] & 15] = values.astype(">u2").tobytes()
+                body = body[65 + 64 * wide :]
+        elif marker == 0xC4:
+            while body:
+                n = sum(body[1:17])
+                out.codes[body[0]] = code_table(body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif marker in (0xC0, 0xC1):
+            bits, out.height, out.width, n = struct.unpack_from(">BHHB", body)
+            if bits != 8 or not out.height or not out.width:
+                raise ValueError("not 8 bits a sample, or no size")
+            out.components = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * n, 3)]
+        elif 0xC2 <= marker <= 0xCF and marker != 0xC8:
+            raise ValueError("not a baseline JPEG")
+        elif marker == 0xDD:
+            out.restart = struct.unpack(">H", body[:2])[0]
+        elif marker == 0xDA:
+            out.tables = {body[k]: body[k + 1] for k in range(1, 1 + 2 * body[0], 2)}
+            if not out.components or set(out.tables) != {c[0] for c in out.components}:
+                raise ValueError("not one scan of all components")
+            out.scan = data[at:]
+            return out
+
+
+def intervals(scan: bytes) -> list[bytes]:
+    """The bits between restart markers, unstuffed, up to the end of the picture."""
+    end = next((m.start() for m in re.finditer(rb"\xff[^\x00\xd0-\xd7\xff]", scan)), len(scan))
+    return [part.replace(b"\xff\0", b"\xff") for part in re.split(rb"\xff[\xd0-\xd7]", scan[:end])]
+
+
+def entropy_decode(data: bytes, blocks: list[tuple[np.ndarray, int, tuple, tuple]]) -> None:
+    """Fills blocks (64 coefficients, component, DC codes, AC codes) in order from the bits of one interval."""
+    before: dict[int, int] = {}
+    bits, have, at, n = 0, 0, 0, len(data)
+    for block, component, dc, ac in blocks:
+        k, (lengths, symbols) = 0, dc
+        while k < 64:
+            while have < 32 and at < n + 8:  # the end is filled up with ones
+                bits, have, at = (bits << 8 | (data[at] if at < n else 255)) & 0xFFFFFFFFFF, have + 8, at + 1
+            first = bits >> have - 16 & 0xFFFF
+            size, symbol = lengths[first], symbols[first]
+            if not size or have < 32:
+                raise ValueError("a code that the tables do not have")
+            run, width = (0, symbol) if k == 0 else (symbol >> 4, symbol & 15)
+            have -= size
+            value = bits >> have - width & (1 << width) - 1 if width else 0
+            have -= width
+            if width and not value >> width - 1:
+                value -= (1 << width) - 1
+            if k == 0:
+                block[0] = before[component] = before.get(component, 0) + value
+                k, (lengths, symbols) = 1, ac
+                continue
+            if not width and run < 15:
+                break
+            k += run
+            if k > 63:
+                raise ValueError("too many coefficients")
+            block[k] = value
+            k += 1
+
+
+def decode_coefficients(data: bytes) -> tuple[Picture, list[np.ndarray]]:
+    """A picture and for each component its coefficients: rows and columns of blocks, each along the zigzag."""
+    if data.startswith(header()):
+        return own_picture(), own_coefficients(data)
+    picture = parse_picture(data)
+    try:
+        shapes = picture.blocks()
+        out = [np.zeros((*shape, 64), np.int32) for shape in shapes]
+        codes = [(picture.codes[picture.tables[c[0]] >> 4], picture.codes[16 + (picture.tables[c[0]] & 15)]) for c in picture.components]
+    except (KeyError, ZeroDivisionError, IndexError):
+        raise ValueError("a table is missing") from None
+    units = []
+    if len(out) == 1:  # one component: its blocks one after another, only those that the picture needs
+        down, across = -(-picture.height // 8), -(-picture.width // 8)
+        units = [[(out[0][y, x], 0, *codes[0])] for y in range(down) for x in range(across)]
+    else:
+        _, h, v, _ = picture.components[0]
+        for y in range(shapes[0][0] // v):
+            for x in range(shapes[0][1] // h):
+                units.append([(out[i][y * cv + dy, x * ch + dx], i, *codes[i]) for i, (_, ch, cv, _) in enumerate(picture.components) for dy in range(cv) for dx in range(ch)])
+    step = picture.restart or len(units)
+    parts = intervals(picture.scan)
+    if len(parts) < -(-len(units) // step):
+        raise ValueError("the picture is cut off")
+    for part, k in zip(parts, range(0, len(units), step)):
+        entropy_decode(part, [b for unit in units[k : k + step] for b in unit])
+    return picture, out
+
+
+@functools.cache
+def own_picture() -> Picture:
+    return parse_picture(header())
+
+
+def own_coefficients(picture: bytes) -> list[np.ndarray]:
+    """The short cut for frames of this module: every code is one bit and the byte itself."""
     scan = picture[len(header()) : -2]
     size = UNIT * 9 // 8
     if len(scan) % (size + 2) == size and b"\xff\0" not in scan:  # no byte is stuffed: all units have their place
         rows = np.frombuffer(scan + b"\xff\xd0", np.uint8).reshape(-1, size + 2)[:, :size]
-        return unscanned(np.ascontiguousarray(rows))
-    rows, start = [], 0
-    marks = [k for k in range(len(scan) - 1) if scan[k] == 0xFF and 0xD0 <= scan[k + 1] <= 0xD7]
-    for end in [*marks, len(scan)]:
-        rows.append(np.frombuffer(scan[start:end].replace(b"\xff\0", b"\xff"), np.uint8))
-        start = end + 2
-    return unscanned(np.stack(rows))
-
-
-def shots(pictures: np.ndarray) -> list[tuple[int, int, float]]:
-    """(first frame, frames, change at its start) of each run of alike frames; pictures: a row of bytes for each frame."""
-    n = len(pictures)
-    bins = np.zeros((n, 32))
-    flat = (pictures >> 3).astype(np.int64) + 32 * np.arange(n)[:, None]
-    bins += np.bincount(flat.ravel(), minlength=32 * n).reshape(n, 32) / max(1, pictures.shape[1])
-    change = np.r_[0.0, np.abs(np.diff(bins, axis=0)).sum(1) / 2]
+    else:
+        rows = np.stack([np.frombuffer(p, np.uint8) for p in intervals(scan + b"\xff\xd9")])
+    values = unscanned(np.ascontiguousarray(rows)).astype(np.int32)
+    values -= 255 * (values < 128)
+    down, across = HEIGHT // 8, WIDTH // 8
+    return [values[:, k : k + 64].reshape(down, across, 64) for k in range(0, UNIT, 64)]
+
+
+def payload_of(coefficients: list[np.ndarray]) -> bytes:
+    """The bytes that a frame of this module holds."""
+    units = np.concatenate([c.reshape(-1, 64) for c in coefficients], axis=1)
+    return (units + 255 * (units < 0)).astype(np.uint8).tobytes()
+
+
+def block_samples(picture: Picture, coefficients: list[np.ndarray]) -> list[np.ndarray]:
+    """Samples (0 to 255) of each component's blocks."""
+    out = []
+    for (*_, table), own in zip(picture.components, coefficients, strict=True):
+        if table not in picture.quantisers:
+            raise ValueError("a table is missing")
+        values = own.reshape(-1, 64).astype(np.float32) @ inverse_transform(picture.quantisers[table])
+        out.append(np.clip(np.rint(values + 128), 0, 255).astype(np.uint8))
+    return out
+
+
+def decode_frame(data: bytes) -> np.ndarray:
+    """height x width x components: luminance and, in full size, colour differences."""
+    picture, coefficients = decode_coefficients(data)
+    wide, high = max(c[1] for c in picture.components), max(c[2] for c in picture.components)
+    planes = []
+    for (_, h, v, _), own, samples in zip(picture.components, coefficients, block_samples(picture, coefficients), strict=True):
+        down, across = own.shape[:2]
+        plane = samples.reshape(down, across, 8, 8).swapaxes(1, 2).reshape(8 * down, 8 * across)
+        planes.append(plane.repeat(high // v, 0).repeat(wide // h, 1)[: picture.height, : picture.width])
+    return np.stack(planes, axis=2)
+
+
+BINS = 32
+
+
+def histogram(samples: list[np.ndarray]) -> np.ndarray:
+    """Shares of BINS ranges of samples, component by component."""
+    return np.concatenate([np.bincount((s >> 3).ravel(), minlength=BINS) / max(1, s.size) for s in samples]) / max(1, len(samples))
+
+
+def shots(histograms: np.ndarray) -> list[tuple[int, int, float]]:
+    """(first frame, frames, change at its start) of each run of alike frames; a row for each frame."""
+    n = len(histograms)
+    change = np.r_[0.0, np.abs(np.diff(histograms, axis=0)).sum(1) / 2]
     out, start, seen, at_start = [], 0, [], 0.0
     for k in range(1, n):
         c = float(change[k])
@@ -178,26 +371,68 @@ def store(text: str) -> tuple[int, bytes, bytes]:
     return len(raw), payload, write_avi(payload)
 
 
-def clip_rows(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> a row for each shot: doc_id, clip, start_s, end_s, first_frame, frames, change."""
+def document_videos(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, media: each text stored as a video."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                pictures, _, rate = read_avi(store(text)[2])
-                for k, (first, n, change) in enumerate(shots(np.stack([decode_frame(p).ravel() for p in pictures]))):
-                    rows.append((doc_id, k, first / rate, (first + n) / rate, first, n, change))
-            names = ["doc_id", "clip", "start_s", "end_s", "first_frame", "frames", "change"]
-            types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
+            for part in slices(batch, limit=4_000_000):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([store(t)[2] for t in part.column("text").to_pylist()], pa.binary())], names=["doc_id", "media"])
+
+    return doc_text(docs).mapInArrow(run, "doc_id long, media binary")
+
+
+def timed_clips(media: bytes) -> tuple[str, list[tuple]]:
+    """What is wrong with a video (empty: nothing), and (start_s, end_s, first frame, frames, change, width, height) of its shots; frames count as they stand in the index."""
+    try:
+        pictures, _, rate = read_avi(media)
+    except (ValueError, struct.error) as e:
+        return str(e), []
+    rows, at, size = [], [], (0, 0)
+    for k, data in enumerate(pictures):
+        try:
+            picture, coefficients = decode_coefficients(data)
+            rows.append(histogram(block_samples(picture, coefficients)))
+        except (ValueError, struct.error, IndexError):
+            continue
+        at.append(k)
+        size = (picture.width, picture.height)
+    if not rows:
+        return "no picture can be decoded", []
+    width = max(map(len, rows))
+    found = shots(np.stack([np.pad(r, (0, width - len(r))) for r in rows]))
+    clips = [(at[a] / rate, (at[a + n - 1] + 1) / rate, at[a], n, change, *size) for a, n, change in found]
+    return "" if len(at) == len(pictures) else f"{len(pictures) - len(at)} of {len(pictures)} pictures can't be decoded", clips
+
+
+def clip_rows(videos: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
+    """videos(key, media: AVI files) -> a row for each shot: key, clip, start_s, end_s, first_frame, frames, change, width, height, problem; a video without one has a row with its problem."""
+    names = ["clip", "start_s", "end_s", "first_frame", "frames", "change", "width", "height", "problem"]
+    types = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
+    key_type = videos.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, media, limit=8_000_000):
+                rows, owner = [], []
+                for i, data in enumerate(part.column(media).to_pylist()):
+                    problem, clips = timed_clips(data or b"")
+                    own = [(k, *c, problem or None) for k, c in enumerate(clips)] or [(None,) * 8 + (problem,)]
+                    rows += own
+                    owner += [i] * len(own)
+                cols = [part.column(key).take(pa.array(owner, pa.int64()))] + [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, *names])
+
+    return videos.select(key, media).mapInArrow(run, f"`{key}` {key_type}, clip int, start_s double, end_s double, first_frame int, frames int, change double, width int, height int, problem string")
+
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, clip int, start_s double, end_s double, first_frame int, frames int, change double")
+CLIPS = "array<struct<start_s:double,end_s:double,first_frame:int,frames:int,change:double>>"
 
 
 def media_round_trip(docs: DataFrame, keep: bool = True) -> DataFrame:
-    """docs(doc_id, text) -> sizes and hashes of the payload read back and of its file, a feature, and with keep the file."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep
+    """docs(doc_id, text) -> sizes and hashes of the payload read back and of its file, a feature, the clips, and with keep the file."""
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips {CLIPS}" + ", media binary" * keep
+    clip = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("change", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,11 +441,17 @@ def media_round_trip(docs: DataFrame, keep: bool = True) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     n, _, media = store(text)
                     pictures, length, rate = read_avi(media)
-                    frames = np.stack([decode_frame(p).ravel() for p in pictures])
-                    back = frames.tobytes()[:length]
-                    clips = ";".join(f"{a / rate:.2f}-{(a + k) / rate:.2f}:{c:.4f}" for a, k, c in shots(frames))
-                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(pictures)} shots={clips}", media))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * keep
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types))], names=[c.split()[0] for c in schema.split(", ")])
+                    payload, seen = [], []
+                    for data in pictures:  # one decoding gives the bytes and the samples
+                        picture, coefficients = decode_coefficients(data)
+                        payload.append(payload_of(coefficients))
+                        seen.append(histogram(block_samples(picture, coefficients)))
+                    back = b"".join(payload)[:length]
+                    clips = [{"start_s": a / rate, "end_s": (a + k) / rate, "first_frame": a, "frames": k, "change": round(c, 6)} for a, k, c in shots(np.stack(seen))]
+                    said = ";".join(f"{c['start_s']:.2f}-{c['end_s']:.2f}:{c['change']:.4f}" for c in clips)
+                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(pictures)} shots={said}", clips, media))
+                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip] + [pa.binary()] * keep
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"] + ["media"] * keep
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types))], names=names)
 
     return doc_text(docs).mapInArrow(run, schema)
