@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import settled
 from .regions import TRANSLATED
 
 SLACK = 0.01
@@ -36,19 +37,21 @@ def _cut(rows: DataFrame, axis: str, slack: float, backwards: bool) -> DataFrame
 
 
 def parts(regions: DataFrame, *, direction: str = "rtl", slack: float = SLACK, passes: int = PASSES) -> DataFrame:
-    """Adds path, the same for regions of one part, in reading order; fails if a page would still be cut after the passes."""
+    """Adds path, the same for regions of one part, in reading order, drawn, and settled: false for pages that further passes would cut.
+
+    A page of n regions needs n passes at most: each but the first makes a part more, or nothing is left to cut.
+    """
     slack = max(0.0, slack)
     rows = rectangles(regions).repartition("page_id").withColumn("path", F.lit(""))
     area = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
     rows = rows.withColumn("drawn", F.max(area.cast("int")).over(Window.partitionBy("page_id")) == 1)
     for k in range(passes):
         rows = _cut(rows, "yx"[k % 2], slack, direction == "rtl" and k % 2 == 1)
-    settled = rows.withColumn("__path", F.col("path"))
+    further = rows.withColumn("__path", F.col("path"))
     for axis in "yx":
-        settled = _cut(settled, axis, slack, False)
-    more = F.max(F.substring("path", -12, 12)).over(Window.partitionBy("page_id", "__path")) != "0" * 12
-    path = F.when(F.col("drawn") & more, F.raise_error(F.lit("a page needs more passes")).cast("string")).otherwise(F.when(F.col("drawn"), F.col("__path")).otherwise(""))
-    return settled.withColumn("path", path).drop("__path")
+        further = _cut(further, axis, slack, False)
+    more = F.max(F.substring("path", -12, 12)).over(Window.partitionBy("page_id")) != "0" * 12
+    return further.withColumns({"settled": ~(F.col("drawn") & more), "path": F.when(F.col("drawn"), F.col("__path")).otherwise("")}).drop("__path")
 
 
 def _leaf_order(direction: str) -> list[Column]:
@@ -58,17 +61,30 @@ def _leaf_order(direction: str) -> list[Column]:
 
 
 def reading_order(regions: DataFrame, *, direction: str = "rtl", slack: float = SLACK, passes: int = PASSES) -> DataFrame:
-    """Adds proposed (reading rank from 0) and panel (part number from 0)."""
+    """Adds proposed (reading rank from 0), panel (part number from 0) and settled (whether the passes were enough; see `exact_order`)."""
     page = Window.partitionBy("page_id")
     rows = parts(regions, direction=direction, slack=slack, passes=passes)
     out = rows.withColumn("proposed", F.row_number().over(page.orderBy(*_leaf_order(direction))) - 1).withColumn("panel", F.dense_rank().over(page.orderBy("path")) - 1)
     return out.drop("path", "drawn", "x0", "y0", "x1", "y1")
 
 
+def exact_order(regions: DataFrame, *, direction: str = "rtl", slack: float = SLACK, passes: int = PASSES) -> DataFrame:
+    """reading_order with as many passes as each page needs: pages that aren't settled are ordered again with twice as many, and only they."""
+    done, rows = None, regions
+    while True:
+        found = reading_order(rows, direction=direction, slack=slack, passes=passes)
+        open_ = settled(found.filter("not settled").select("page_id").distinct())
+        closed = found if open_.isEmpty() else found.filter("settled")
+        done = closed if done is None else done.unionByName(closed)
+        if open_.isEmpty():
+            return done
+        rows, passes = regions.join(open_, "page_id", "left_semi"), 2 * passes
+
+
 def check(regions: DataFrame, *, slack: float = SLACK, passes: int = PASSES) -> DataFrame:
     """Per page: regions whose rank differs from the proposed one, and whether the order is that of the other direction."""
-    rtl = reading_order(regions, direction="rtl", slack=slack, passes=passes).withColumnRenamed("proposed", "rtl").drop("panel")
-    both = reading_order(rtl, direction="ltr", slack=slack, passes=passes).withColumnRenamed("proposed", "ltr").drop("panel")
+    rtl = reading_order(regions, direction="rtl", slack=slack, passes=passes).withColumnRenamed("proposed", "rtl").drop("panel", "settled")
+    both = reading_order(rtl, direction="ltr", slack=slack, passes=passes).withColumnRenamed("proposed", "ltr").drop("panel", "settled")
     now = F.row_number().over(Window.partitionBy("page_id").orderBy("ord", "list_pos")) - 1
     drawn = F.max(((F.col("w") > 0) & (F.col("h") > 0)).cast("int")) == 1
     per = both.withColumn("now", now).groupBy("page_id").agg(F.count("*").alias("regions"), F.count_if(F.col("now") != F.col("rtl")).alias("off"), F.bool_and(F.col("now") == F.col("ltr")).alias("as_ltr"), F.bool_and(F.col("ltr") == F.col("rtl")).alias("alike"), drawn.alias("drawn"))

@@ -59,7 +59,7 @@ RTL, LTR = order_sql("rtl", "rtl"), order_sql("ltr", "ltr")
 
 @query(f"WITH {REGIONS_SQL}, {RTL} SELECT page_id, list_pos, proposed FROM rtl")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.reading_order(regions_of(spark, sf_dir)).select("page_id", "list_pos", "proposed")
+    return layout.exact_order(regions_of(spark, sf_dir)).select("page_id", "list_pos", "proposed")
 
 
 @query(f"WITH {REGIONS_SQL}, {LTR} SELECT page_id, list_pos, proposed FROM ltr")

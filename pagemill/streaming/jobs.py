@@ -34,7 +34,7 @@ def _stateful(stream: DataFrame, step: Callable, out: str, state: str, idle_ms:
 
 
 def strikes(stream: DataFrame, *, pause_at: int = PAUSE_AT, idle_ms: int | None = None) -> DataFrame:
-    """Failures in a row for each work (T-5); with idle_ms a work that is still for so long is forgotten, and the query never rests."""
+    """Failures in a row for each work as of its last event (T-5); with idle_ms a work that is still for so long is forgotten, and the query never rests."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -47,20 +47,21 @@ def strikes(stream: DataFrame, *, pause_at: int = PAUSE_AT, idle_ms: int | None
         state.update((count,))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"work_id": [key[0]], "strikes": [count], "pause": [count >= pause_at]})
+        yield pd.DataFrame({"work_id": [key[0]], "event_id": [int(rows["event_id"].iloc[-1])], "strikes": [count], "pause": [count >= pause_at]})
 
-    return _stateful(stream, step, "work_id long, strikes int, pause boolean", "strikes int", idle_ms)
+    return _stateful(stream, step, "work_id long, event_id long, strikes int, pause boolean", "strikes int", idle_ms)
 
 
 def live_text(stream: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
-    """The text of each work so far: committed and open parts as state (T-4)."""
+    """The text of each work as of its last event: committed and open parts as state (T-4)."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         done, open_ = state.get if state.exists else ("", "")
-        for kind, payload in pd.concat(list(parts)).sort_values("event_id")[["type", "payload"]].itertuples(index=False):
+        rows = pd.concat(list(parts)).sort_values("event_id")
+        for kind, payload in rows[["type", "payload"]].itertuples(index=False):
             if kind == "delta":
                 open_ += payload or ""
             elif kind == "chunk":
@@ -72,9 +73,9 @@ def live_text(stream: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
         state.update((done, open_))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"work_id": [key[0]], "text": [done + open_]})
+        yield pd.DataFrame({"work_id": [key[0]], "event_id": [int(rows["event_id"].iloc[-1])], "text": [done + open_]})
 
-    return _stateful(stream, step, "work_id long, text string", "done string, open string", idle_ms)
+    return _stateful(stream, step, "work_id long, event_id long, text string", "done string, open string", idle_ms)
 
 
 def queue_dedup(stream: DataFrame, *, key: list[str]) -> DataFrame:
