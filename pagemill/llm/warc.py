@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, scratch
+from .common import parts_for, save, scratch
 
 FAN = 16
 PER_FILE = 1000
@@ -38,6 +38,8 @@ DATE = "1970-01-01T00:00:00Z"
 LEVEL = 1
 #: Bytes of a file that a task holds at once; a longer record is hashed in pieces.
 WINDOW = 4 << 20
+#: Bytes of pages or files that a task is meant to write or read.
+TASK_BYTES = 64 << 20
 #: A longer header is no header.
 LONGEST_HEAD = 1 << 20
 END = b"\r\n\r\n"
@@ -102,7 +104,8 @@ def write_warc(pages: DataFrame, folder: str, per_file: int = PER_FILE) -> DataF
         each = ((f, gzip_member(r.as_buffer())) for b in batches for f, r in zip(b.column("file").to_pylist(), b.column("record").cast(pa.binary()), strict=True))
         yield from _listed(write_files(each, folder))
 
-    ordered = rows.repartition("file").sortWithinPartitions("file", "slot", "record")
+    # by a number, so that files don't end in a few tasks for being small
+    ordered = rows.repartition(parts_for(pages.withColumn("text", F.col("html")), TASK_BYTES), "file").sortWithinPartitions("file", "slot", "record")
     return save(ordered.mapInArrow(run, "path string, size long"), "warc-files")
 
 
@@ -239,6 +242,13 @@ def warc_rows(file, size: int, keep: bool = False) -> Iterator[tuple]:
         yield damaged()
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """Files in as many partitions as their bytes ask for, a partition for each shuffle partition at least, but not more than there are files."""
+    n, total = files.agg(F.count("*"), F.sum("size")).first()
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(max(1, min(n, max(least, -(-(total or 0) // TASK_BYTES)))), "path")
+
+
 READ = "path string, ordinal long, offset long, length long, stored_offset long, stored_length long, type string, record_id string, uri string, digest string"
 ROWS = 2000
 
@@ -264,7 +274,7 @@ def read_warc(files: DataFrame, keep: bool = False) -> DataFrame:
                             rows = []
                     yield batch(rows)
 
-    return files.repartition("path").mapInArrow(run, READ + ", content binary" * keep)
+    return dealt(files).mapInArrow(run, READ + ", content binary" * keep)
 
 
 def records(read: DataFrame, per_file: int = PER_FILE) -> DataFrame:
@@ -369,7 +379,7 @@ def copied(files: DataFrame, folder: str, change: Callable[[int, bytes], bytes |
                 file = int(re.search(r"(-?\d+)\.warc", path)[1])
                 yield from _listed(write_files(stored(path, size), folder))
 
-    return save(files.repartition("path").mapInArrow(run, "path string, size long"), "warc-files")
+    return save(dealt(files).mapInArrow(run, "path string, size long"), "warc-files")
 
 
 def spoil(page_id: int, record: bytes, flip: int = 97, lose: int = 389) -> bytes | None:
