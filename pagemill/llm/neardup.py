@@ -252,7 +252,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, hot: int = HOT_GROUP, rows: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable); with rows also hash, xxhash64 of the text."""
+    """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable); with rows also hash, xxhash64 of the text, and component, which tells components apart that share a doc_id."""
     marked = save(shingle_fingerprints(docs, words, rows), "fingerprints")
     named = marked.filter("doc_id is not null")
     distinct = save(named.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
@@ -260,23 +260,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, hot: int =
     found = connected_components(link_stars(distinct.select("fp", F.col("fp").alias("id")), radius, hot))
     reached = distinct.join(found.withColumnRenamed("id", "node"), F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
     least = reached.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_fp = reached.join(least, "component").select("fp", "component_id")
+    by_fp = reached.join(least, "component").select("fp", "component", "component_id")
     joined = marked.join(by_fp, "fp", "left")
-    hash_ = ["hash"] if rows else []
+    hash_ = ["hash", "component"] if rows else []
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *hash_)
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of docs for each component of found(doc_id, hash, component_id): that of the smallest doc_id, of equal ones that of the smallest hash.
+    """One row of docs for each component of found(doc_id, hash, component): that of the smallest doc_id, of equal ones that of the smallest hash.
 
     hash is xxhash64 of the text, so that different texts under one doc_id are rows of their own; of rows alike in both one
     stays. Rows without doc_id stay. All columns stay as they are, whatever their names. Only rows that go, and rows that
     occur more than once, are joined to the texts.
     """
     named = found.filter("doc_id is not null")
-    rows = save(named.groupBy("doc_id", "hash").agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "rows")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
-    judged = rows.join(first, "component_id").withColumn("goes", F.struct("doc_id", "hash") != F.col("first"))
+    rows = save(named.groupBy("doc_id", "hash").agg(F.min("component").alias("component"), F.count("*").alias("copies")), "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    judged = rows.join(first, "component").withColumn("goes", F.struct("doc_id", "hash") != F.col("first"))
     judged = save(judged.filter("goes or copies > 1").select("doc_id", "hash", "goes"), "judged")
     own_id, own_hash, doc_id = unused("own_id", docs), unused("own_hash", docs), unused("judged_id", docs)
     marked = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64(F.coalesce("text", F.lit("")))})
@@ -407,7 +407,7 @@ def group_links(batches: Iterator[pa.RecordBatch], words: int, similarity: float
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, split: int = SPLIT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, hash, component_id (the smallest doc_id that pairs of alike texts reach); rows without doc_id have none.
+    """docs(doc_id, text) -> doc_id, hash, component_id (the smallest doc_id that pairs of alike texts reach); rows without doc_id have none; component tells components apart that share a doc_id.
 
     What is linked are distinct sets of shingles (nodes). A node is held against the head (first member) that most of its
     bands' groups have; then against the heads of its other groups that this has not brought it together with; only groups
@@ -448,8 +448,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, split:
     found = connected_components(edges.unionByName(more)).withColumnRenamed("id", "node")
     reached = distinct.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = reached.join(least, "component").select("node", "component_id")
-    return marked.join(by_node, "node", "left").select("doc_id", "hash", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    by_node = reached.join(least, "component").select("node", "component", "component_id")
+    return marked.join(by_node, "node", "left").select("doc_id", "hash", "component", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_unlike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
