@@ -53,8 +53,14 @@ def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+#: A session over one small file may ask for its rows in so many partitions; unset, tables come as their files do.
+PARTITIONS = "spark.pagemill.inputPartitions"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    asked = spark.conf.get(PARTITIONS, None)
+    return rows.repartition(int(asked)) if asked else rows
 
 
 def unused(name: str, *frames: DataFrame) -> str:

@@ -1,6 +1,7 @@
 """The ten operators against plain versions, round trips and planted cases, on small tables with odd rows."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -61,6 +62,15 @@ def test_bpe_speculation_is_exact_for_all_tokens():
     assert (alone <= fine)[own].all() and (fine & ~alone).sum() <= 3  # the few are tokens that no text gives
 
 
+def test_long_words_are_the_librarys():
+    rng = np.random.default_rng(9)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = bpe.Encoder(bpe.vocabulary(name))
+        for n, letters in ((513, "abcdefghijklmnopqrstuvwxyz"), (3000, "aab"), (200_000, "etaoinshrdlué"), (1000, "a"), (5000, "日本語テキ"), (700, "0"), (700, "-=")):
+            text = "".join(rng.choice(list(letters), n))
+            assert enc.encode(pa.array([text]))[0].tolist() == enc.library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_rows(odd):
     got = bpe.bpe_round_trip(odd)
     assert got.count() == odd.count() and bpe.bpe_round_trip(empty(odd)).count() == 0
@@ -98,6 +108,49 @@ def test_permuted_tables_find_all_in_radius(spark):
     assert got == {k: v for k, v in want.items() if v <= 3}
 
 
+def test_fingerprint_report_counts_rows_in_radius(spark, docs, odd, monkeypatch):
+    """Against all pairs; with every key of the permuted tables split."""
+    rows = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") * 100).alias("doc_id"), "text"))
+    monkeypatch.setattr(fingerprints, "HOT_KEY", 2)
+    got = fingerprints.fingerprint_report(rows).collect()
+    codes = np.array([np.unpackbits(np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8)) for r in got])
+    for k, r in enumerate(got):
+        asked = r.doc_id is not None and r.doc_id % 100 == 0
+        assert r.n_within == (int(((codes != codes[k]).sum(1) <= 3).sum()) if asked else None)
+    assert fingerprints.fingerprint_report(empty(odd)).count() == 0
+
+
+def test_one_doc_id_fills_several_ranges(spark):
+    rows = spark.createDataFrame([(7 if k % 4 else None if k % 8 else k, f"text {k} of many words {k * k}") for k in range(400)], "doc_id long, text string")
+    got = fingerprints.edited_fingerprints(rows).collect()
+    assert len(got) == 400
+    data = sorted(((-(2**63) if r.doc_id is None else r.doc_id, -h, r.text) for r, h in ((r, r.h) for r in rows.withColumn("h", F.xxhash64("text")).collect())), reverse=True)
+    want = {}
+    for (_, _, t), (_, _, u) in zip(data, data[1:] + data[:1]):
+        want[hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()] = fingerprints.likeness(fingerprints.simhash(pa.array([t])), fingerprints.simhash(pa.array([u])))[0]
+    assert {r.edited_sha256: r.near_next for r in got} == want
+
+
+def test_runs_of_one_value_are_shared_by_checksum():
+    bounds = np.array([3, 5, 5, 5, 9])
+    ids, sums = np.repeat([1, 3, 4, 5, 7, 9, 12], 100), np.tile(np.arange(100) << 25, 7)
+    runs = tokenfile.run_of(bounds, ids, sums)
+    order = np.lexsort((sums, ids))
+    assert (np.diff(runs[order]) >= 0).all() and len(np.unique(runs[ids == 5])) == 4 and len(np.unique(runs[ids == 4])) == 1
+
+
+def test_files_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """One doc_id with most rows does not end in one file, and starts go on over it."""
+    monkeypatch.setattr(tokenfile, "FILE_BYTES", 2000)
+    rows = spark.createDataFrame([(7 if k % 3 else k, f"text {k} of some words") for k in range(600)], "doc_id long, text string")
+    manifest = tokenfile.write_tokens(rows, f"file://{tmp_path}/c")
+    got = sorted(tokenfile.read_tokens(spark, manifest).collect(), key=lambda r: r.start)
+    assert len(manifest) > 5 and max(m["documents"] for m in manifest) < 300
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in rows.collect())
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    assert not list((tmp_path / "c").glob(".part-*"))
+
+
 def plain_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
@@ -156,7 +209,8 @@ def similar_pairs(rows, least=0.8):
     return {(a, b) for a, b in found if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
 
 
-def test_near_copies_are_all_pairs_at_four_fifths(spark, docs, odd):
+@pytest.mark.parametrize("split", [neardup.SPLIT, 2])
+def test_near_copies_are_all_pairs_at_four_fifths(spark, docs, odd, split):
     """Copies with edited words, from nearly equal to just below the limit, and a chain whose ends are unlike."""
     rng = np.random.default_rng(8)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10_000).alias("doc_id"), "text")).filter("doc_id is not null").distinct().collect()]
@@ -170,7 +224,7 @@ def test_near_copies_are_all_pairs_at_four_fifths(spark, docs, odd):
     rows += [(30_000 + k, " ".join([*chain[4 * k :], *(f"d{x}" for x in range(4 * k))])) for k in range(6)]
     want = sorted(similar_pairs(rows))
     assert len(want) > 200
-    got = {r.doc_id: r.component_id for r in neardup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), split=split).collect()}
     place = {i: k for k, i in enumerate(sorted(i for i, _ in rows))}
     label = neardup.components(len(rows), *(np.array([place[p[j]] for p in want]) for j in (0, 1)))
     ids = sorted(place)
@@ -236,6 +290,27 @@ def test_language(spark, docs, odd):
     assert langid.keep_identified(docs).count() == docs.count()
 
 
+def test_texts_of_left_out_languages_are_rejected(spark):
+    """Without any row of a language its texts are mostly rejected, and those of the others mostly not; a dirty label column is bounded."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for out in ("de", "fr", "es"):
+        model = langid.fit(docs.filter(F.col("lang") != out))
+        got = langid.predict_language(docs, model=model).join(docs.select("doc_id", "lang"), "doc_id")
+        r = got.agg(F.avg(F.when(F.col("lang") == out, F.col("rejected").cast("int"))).alias("strangers"), F.avg(F.when(F.col("lang") != out, F.col("rejected").cast("int"))).alias("known")).first()
+        assert r.strangers > 0.9 and r.known < 0.01, (out, r)
+    dirty = docs.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    assert langid.fit(dirty, most_languages=4).languages == ["de", "en", "es", "fr"]
+    few = langid.fit(docs, sample_chars=20_000)
+    assert langid.predict_language(docs, model=few).join(docs.select("doc_id", "lang"), "doc_id").filter("lang_pred <> lang").count() < 30
+
+
+def test_limits_lie_between_fitting_and_strange_texts():
+    ce = np.array([[1.0, 4.0], [1.2, 4.2], [5.0, 1.1], [5.2, 1.3]])
+    got = langid.limits(ce, np.array([0, 0, 1, 1]), 2)
+    assert 1.2 < got[0] < 5.2 and 1.3 < got[1] < 4.2
+    assert np.isfinite(langid.limits(ce[:2, :1], np.array([0, 0]), 1)).all() and langid.limits(ce[:2], np.array([0, 0]), 2)[1] == np.inf
+
+
 def test_kneser_ney_sums_to_one():
     words = ["ab", "abc", "ba", "bca", "cab"]
     m = langid.Model(["x"], [(words, np.array([3, 2, 4, 1, 1]))])
@@ -284,14 +359,27 @@ def test_packing(docs, odd):
 
 
 def test_packing_rounds(spark, monkeypatch):
+    """Several rounds, each with fewer sequences, and certificates that hold."""
     monkeypatch.setattr(packing, "GROUP_PIECES", 1000)
     rng = np.random.default_rng(2)
-    sizes = [int(x) for x in rng.integers(1, 1025, 3000)]
+    sizes = [int(x) for x in rng.integers(1, 1025, 3000)] + [1024] * 20
     rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
     got = packing.pack(rows).collect()
     assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(sizes))
-    n, bound = len({r.sequence_id for r in got}), packing.lower_bound(np.array(sizes))
-    assert bound <= n <= bound * 1.02
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    assert all(sum(r.length for r in own) <= 1024 and sorted(r.offset for r in own)[0] == 0 for own in by_seq.values())
+    bound = packing.lower_bound(np.array(sizes))
+    assert bound <= len(by_seq) <= bound * 1.02
+    assert all(r.group_bound <= r.group_sequences for r in got) and max(r.round for r in got if r.round < packing.WHOLE) >= 1
+    assert sum(r.round == packing.WHOLE for r in got) >= 20 and all(r.length == 1024 for r in got if r.round == packing.WHOLE)
+
+
+def test_packing_ends_where_nothing_is_gained(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 10)
+    rows = spark.createDataFrame([(k, 600) for k in range(300)], "doc_id long, length long")
+    assert len({r.sequence_id for r in packing.pack(rows).collect()}) == 300
 
 
 @pytest.mark.parametrize("sizes", [[600] * 10, [1024] * 3, [513] * 4 + [511] * 4, [342] * 9, []])
@@ -310,21 +398,128 @@ def test_media(odd):
     assert len({(r.media_sha256, r.feature) for r in got if r.doc_id == 5}) == 1
     data = bytes(np.random.default_rng(0).integers(0, 256, 192 * 37, dtype=np.uint8)) + b"\xff" * 192 * 5
     frames, length, _ = media.read_avi(media.write_avi(data))
-    assert np.stack([media.decode_frame(f).ravel() for f in frames]).tobytes()[:length] == data
-    assert media.clip_rows(odd).groupBy("doc_id").agg(F.sum("frames")).count() > 0 and media.media_round_trip(empty(odd)).count() == 0
+    assert b"".join(media.payload_of(media.decode_coefficients(f)[1]) for f in frames)[:length] == data
+    assert media.media_round_trip(empty(odd)).count() == 0 and media.clip_rows(empty(media.document_videos(odd))).count() == 0
+    clips = media.clip_rows(media.document_videos(odd)).groupBy("doc_id").agg(F.sum("frames").alias("n"), F.count("problem").alias("p")).collect()
+    assert len(clips) == len({r.doc_id for r in odd.collect()}) and not any(r.p for r in clips)
+    one = [r for r in got if r.doc_id == 15][0]
+    assert sum(c.frames for c in one.clips) == len(media.read_avi(bytes(one.media))[0])
 
 
 def test_shots_are_cut_where_the_picture_changes():
-    dark, light = np.full((5, 3072), 20, np.uint8), np.full((4, 3072), 220, np.uint8)
+    dark, light = (np.stack([media.histogram([np.full(100, v, np.uint8)])] * n) for v, n in ((20, 5), (220, 4)))
     assert [(a, n) for a, n, _ in media.shots(np.concatenate([dark, light]))] == [(0, 5), (5, 4)]
 
 
+def write_jpeg(planes, factors, quantiser, restart=0, grey=False):
+    """A plain baseline encoder: planes (samples) of components with sampling factors, codes made for the symbols that occur."""
+    high, wide = max(v for _, v in factors), max(h for h, _ in factors)
+    height, width = planes[0].shape
+    units_y, units_x = -(-height // (8 * high)), -(-width // (8 * wide))
+    k = np.arange(8)
+    cosine = np.cos((2 * k[:, None] + 1) * k[None] * np.pi / 16) * np.where(k == 0, np.sqrt(0.125), 0.5)
+    zigzag, blocks = media._zigzag(), []
+    for plane, (h, v) in zip(planes, factors):
+        full = np.zeros((units_y * v * 8, units_x * h * 8))
+        full[:] = np.pad(plane, ((0, max(0, full.shape[0] - plane.shape[0])), (0, max(0, full.shape[1] - plane.shape[1]))), mode="edge")[: full.shape[0], : full.shape[1]]
+        cut = full.reshape(units_y * v, 8, units_x * h, 8).swapaxes(1, 2) - 128
+        freq = np.einsum("yv,abyx,xu->abvu", cosine, cut, cosine).reshape(units_y * v, units_x * h, 64)
+        blocks.append(np.rint(freq[:, :, zigzag] / quantiser).astype(int))
+    symbols, before, number = [], [0] * len(planes), 0
+    order = [(0, y, x) for y in range(-(-height // 8)) for x in range(-(-width // 8))] if grey else [(i, uy * v + dy, ux * h + dx) for uy in range(units_y) for ux in range(units_x) for i, (h, v) in enumerate(factors) for dy in range(v) for dx in range(h)]
+    per_unit = 1 if grey else sum(h * v for h, v in factors)
+    for n, (i, y, x) in enumerate(order):
+        if restart and n and n % (restart * per_unit) == 0:
+            symbols.append(None)
+            before = [0] * len(planes)
+        own = blocks[i][y, x]
+        diff, before[i] = own[0] - before[i], own[0]
+        symbols.append((0, abs(int(diff)).bit_length(), int(diff)))
+        last = max(np.flatnonzero(own[1:]) + 1, default=0)
+        run = 0
+        for v in own[1 : last + 1].tolist():
+            if v == 0:
+                run += 1
+                continue
+            while run > 15:
+                symbols.append((1, 0xF0, 0))
+                run -= 16
+            symbols.append((1, run << 4 | abs(v).bit_length(), v))
+            run = 0
+        if last < 63:
+            symbols.append((1, 0, 0))
+    tables, code = [], []
+    for c in (0, 1):
+        used = sorted({s for t in symbols if t and t[0] == c for s in [t[1]]})
+        size = max(2, len(used).bit_length() + 1)
+        counts = [0] * 16
+        counts[size - 1] = len(used)
+        tables.append(bytes(counts) + bytes(used))
+        code.append({s: f"{j:0{size}b}" for j, s in enumerate(used)})
+    parts, bits = [], ""
+    for t in [*symbols, None]:
+        if t is None:
+            bits += "1" * (-len(bits) % 8)
+            parts.append(bytes(int(bits[j : j + 8], 2) for j in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0"))
+            bits = ""
+            continue
+        c, symbol, value = t
+        width_ = symbol & 15 if c else symbol
+        bits += code[c][symbol] + (f"{value if value > 0 else value + (1 << width_) - 1:0{width_}b}" if width_ else "")
+    scan = b"".join(p + (bytes([0xFF, 0xD0 + j % 8]) if j + 1 < len(parts) else b"") for j, p in enumerate(parts))
+    comps = b"".join(bytes([j + 1, h << 4 | v, 0]) for j, (h, v) in enumerate(factors))
+    head = media.segment(0xDB, b"\0" + bytes(quantiser.astype(np.uint8))) + media.segment(0xC4, b"\x00" + tables[0] + b"\x10" + tables[1]) + media.segment(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(factors)]) + comps)
+    head += media.segment(0xDD, restart.to_bytes(2, "big")) if restart else b""
+    return b"\xff\xd8" + head + media.segment(0xDA, bytes([len(factors)]) + b"".join(bytes([j + 1, 0]) for j in range(len(factors))) + b"\0\x3f\0") + scan + b"\xff\xd9"
+
+
+def smooth(rng, height, width):
+    y, x = np.mgrid[0:height, 0:width]
+    return 128 + 60 * np.sin(x / rng.uniform(5, 9)) + 50 * np.cos(y / rng.uniform(4, 8))
+
+
+@pytest.mark.parametrize(("factors", "restart", "grey"), [([(1, 1)], 0, True), ([(2, 2)], 3, True), ([(1, 1)] * 3, 0, False), ([(2, 2), (1, 1), (1, 1)], 2, False), ([(2, 1), (1, 1), (1, 1)], 0, False)])
+def test_any_baseline_picture_is_decoded(factors, restart, grey):
+    rng = np.random.default_rng(6)
+    height, width = 37, 45
+    high, wide = max(v for _, v in factors), max(h for h, _ in factors)
+    planes = [smooth(rng, -(-height * v // high), -(-width * h // wide)) for h, v in factors]
+    got = media.decode_frame(write_jpeg(planes, factors, np.arange(1, 65) // 16 + 1, restart, grey))
+    assert got.shape == (height, width, len(factors))
+    for k, ((h, v), plane) in enumerate(zip(factors, planes)):
+        full = plane.repeat(high // v, 0).repeat(wide // h, 1)[:height, :width]
+        assert np.abs(got[:, :, k] - np.clip(full, 0, 255)).max() <= 8
+
+
+def test_the_short_cut_gives_the_same_coefficients():
+    data = bytes(np.random.default_rng(3).integers(0, 256, 3072, dtype=np.uint8))
+    frame = media.read_avi(media.write_avi(data))[0][0]
+    other = frame.replace(b"JFIF", b"JFXX")  # no longer this module's header
+    assert all((a == b).all() for a, b in zip(media.decode_coefficients(frame)[1], media.decode_coefficients(other)[1]))
+
+
+def test_real_videos_and_damaged_ones(spark):
+    rng = np.random.default_rng(4)
+    quant = np.full(64, 2)
+    first, second = smooth(rng, 24, 32) * 0.3, 255 - smooth(rng, 24, 32) * 0.3
+    frames = [write_jpeg([(first if k < 4 else second) + rng.normal(0, 1, first.shape)], [(1, 1)], quant, grey=True) for k in range(9)]
+    frames[2] = b"\xff\xd8 no picture"
+    body = b"".join(media.chunk(b"00dc", f) for f in frames)
+    avi = lambda b: b"RIFF" + (len(b) + 4).to_bytes(4, "little") + b"AVI " + b
+    rows = [(1, bytearray(avi(media.listed(b"movi", body)))), (2, bytearray(b"no video")), (3, None), (4, bytearray(avi(media.listed(b"movi", b""))))]
+    got = media.clip_rows(spark.createDataFrame(rows, "id int, file binary"), "id", "file").orderBy("id", "clip").collect()
+    assert [(r.id, r.first_frame, r.frames, r.width, r.height) for r in got if r.id == 1] == [(1, 0, 3, 32, 24), (1, 4, 5, 32, 24)]
+    assert got[0].problem == "1 of 9 pictures can't be decoded" and abs(got[1].start_s - 4 / 25) < 1e-9
+    assert [(r.id, r.clip, bool(r.problem)) for r in got[2:]] == [(2, None, True), (3, None, True), (4, None, True)]
+
+
+KEY = "a key of the tests"
 PRIVATE = "mail bosbt.42@mail8.example.com from 42.144.35.254, call +1 (692) 555-7228, card 4539578763621486, ssn 555-12-3456. Anna Müller met Иван Петров; Anna Müller paid."
 
 
 def test_surrogates(spark, odd):
     rows = spark.createDataFrame([(1, PRIVATE, "x"), (2, PRIVATE.replace("Anna", "Mary"), "y"), (3, "The and attion to 12 345.", "z"), (4, None, None), (None, PRIVATE, "w")], "doc_id long, text string, surrogate string")
-    got = {r.doc_id: r for r in pii.replace_private(rows).collect()}
+    got = {r.doc_id: r for r in pii.replace_private(rows, KEY).collect()}
     text = got[1].text
     for value in ("bosbt.42@mail8.example.com", "42.144.35.254", "555-7228", "4539578763621486", "555-12-3456", "Müller", "Петров"):
         assert value not in text
@@ -335,19 +530,47 @@ def test_surrogates(spark, odd):
     assert first == third and first.split()[0] in pii.FIRST_NAMES["latin f"] and got[1]._pii_entities[6].surrogate.split()[0] in pii.FIRST_NAMES["cyrillic m"]
     card = got[1]._pii_entities[3].surrogate
     assert pii.check_digit(card[:-1]) == card[-1] and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1]._pii_entities[2].surrogate)
-    assert pii.replace_private(odd).count() == odd.count() and pii.replace_private(empty(odd)).count() == 0
+    assert pii.replace_private(odd, KEY).count() == odd.count() and pii.replace_private(empty(odd), KEY).count() == 0
 
 
 def test_surrogates_are_permutations_and_clashes_are_redrawn(spark):
     for kind, values in (("phone", [f"555-{a:03d}-{b:04d}" for a in range(20) for b in range(100)]), ("card", [f"{k:016d}" for k in range(3000)]), ("ip", [f"10.0.{a}.{b}" for a in range(20) for b in range(99)]), ("email", [f"a{k}@b.org" for k in range(10)])):
-        assert len({pii.surrogate(kind, v) for v in values}) == len(values)
+        assert len({pii.surrogate(kind, v, KEY) for v in values}) == len(values)
     values = [f"a{k}@b.org" for k in range(10)] + [f"e{k}@c.org" for k in range(10)]
     rows = spark.createDataFrame([(k, f"write to {v} now") for k, v in enumerate(values)], "doc_id long, text string")
-    clash = pii.surrogate("email", values[0])
+    clash = pii.surrogate("email", values[0], KEY)
+    assert clash not in values
     rows = rows.unionByName(spark.createDataFrame([(99, f"and {clash} too")], rows.schema))
-    got = {r.doc_id: r.text.split()[-2] for r in pii.replace_private(rows).collect()}
+    got = {r.doc_id: r.text.split()[-2] for r in pii.replace_private(rows, KEY).collect()}
     assert len(set(got.values())) == len({*values, clash}) and not set(got.values()) & {*values, clash}
-    assert got[99] == got[values.index(clash)] if clash in values else got[99] not in list(got.values())[:-1]
+
+
+def test_redraws_keep_a_surname_together(spark):
+    """The surname that one name would get is in the corpus, so it is drawn again, for every name that has it."""
+    taken = pii.surrogate("name", "Frau Müller", KEY).split()[1]
+    texts = ["Anna Müller is here", "Frau Müller is here", "Hans Müller is here", f"Frau {taken} is here"]
+    got = [r.text.split() for r in pii.replace_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    assert got[0][1] == got[1][1] == got[2][1] not in ("Müller", taken) and got[3][1] not in (taken, got[0][1])
+
+
+def test_no_entity_stays_in_any_script(spark):
+    values = ["Dr 山田", "Dr Ωmega", "Dr ვანო", "Frau Ǆabc", "山@例え.jp", "한국@서울.kr", "юрий@ямал.рф", "token=東京東京東京東京", "Sr Ñandú"]
+    got = {r.doc_id: r for r in pii.replace_private(spark.createDataFrame([(k, f"so {v} it") for k, v in enumerate(values)], "doc_id long, text string"), KEY).collect()}
+    for k, v in enumerate(values):
+        words = [w for w in re.split(r"[ @=.]", v) if w not in ("Dr", "Frau", "Sr", "token", "jp", "kr", "рф")]
+        assert got[k]._pii_entities and not any(w in got[k].text for w in words), (v, got[k].text)
+    assert re.search("[一-鿿]{2}", got[0].text) and re.search("[가-힣]{2}@[가-힣]{2}", got[5].text)
+
+
+def test_values_are_sealed_in_the_shared_folder(spark):
+    found = pii.found_values(spark.createDataFrame([(1, PRIVATE)], "doc_id long, text string"), KEY).collect()
+    assert {r.kind for r in found} == {"email", "ip", "phone", "card", "ssn", "name", "surname"}
+    opened = {pii.opened(r.value, KEY) for r in found}
+    assert {"555-12-3456", "Anna Müller", "Müller"} <= opened
+    assert not any(v.encode() in bytes(r.value) + bytes(r.surrogate) + b"".join(map(bytes, r.words)) for r in found for v in opened)
+    assert pii.sealed("a", KEY) == pii.sealed("a", KEY) != pii.sealed("a", "other")
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_private(spark.createDataFrame([(1, PRIVATE)], "doc_id long, text string"), "")
 
 
 def test_full_formats_get_longer_surrogates(spark):
@@ -356,18 +579,19 @@ def test_full_formats_get_longer_surrogates(spark):
     mails = [f"{a}@b.org" for a in "aeiou"] + [f"{a}@{b}.org" for a in "aeiou" for b in "cdfghjklmnpqrstvwxyz"]
     values = [*names, *mails, "1.2.3.4", "01.2.3.4", "Dr 田中"] + [f"+1 {a:02d} {b:02d}" for a in range(100) for b in range(100)]
     rows = spark.createDataFrame([(k, f"so ; {v} ; it is @") for k, v in enumerate(values)], "doc_id long, text string")
-    got = {r.doc_id: r.text.split(" ; ")[1] for r in pii.replace_private(rows).collect()}
+    got = {r.doc_id: r.text.split(" ; ")[1] for r in pii.replace_private(rows, KEY).collect()}
     assert len(set(got.values())) == len(values) and not set(got.values()) & set(values)
     assert all(got[k].startswith("Dr ") for k in range(8)) and "田" not in "".join(got.values())
 
 
 def test_clashes_that_stay_fail_the_job(spark, monkeypatch):
-    monkeypatch.setattr(pii, "surrogate", lambda kind, value, key=pii.KEY, draw=0: "Dr Same")
-    same = spark.createDataFrame([("name", "Dr A", "Dr Same"), ("name", "Dr B", "Dr Same")], "kind string, value string, surrogate string")
+    monkeypatch.setattr(pii, "surrogate", lambda kind, value, key, draws=(): "Dr Same")
+    seal = lambda v: bytearray(pii.sealed(v, KEY))
+    same = spark.createDataFrame([("name", seal(f"Dr {x}"), seal("Dr Same"), [seal(x)]) for x in "AB"], "kind string, value binary, surrogate binary, words array<binary>")
     monkeypatch.setattr(pii, "MOST_DRAWS", 1)
-    monkeypatch.setattr(pii, "LONGER_DRAWS", 1, raising=False)
+    monkeypatch.setattr(pii, "LONGER_DRAWS", 1)
     with pytest.raises(RuntimeError, match="0 surrogates equal other values and 2 are shared"):
-        pii.redraws(same)
+        pii.redraws(same, KEY)
 
 
 def generated_values(rng, count):
@@ -404,7 +628,7 @@ def test_hint_leaves_out_no_text_with_private_data():
 def test_values_in_other_digits_and_without_other_hints_are_replaced(spark):
     values = ["+45 12 34 56 78", "٠١٢-٣٤٥-٦٧٨٩", "४५३९५७८७६३६२१४८६", "٣.٤.٥.٦", "DE12 ABCD EFGH IJKL"]
     rows = spark.createDataFrame([(k, f"so {v} it is") for k, v in enumerate(values)] + [(90 + k, f"so {v} it is, 123456") for k, v in enumerate(values)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.replace_private(rows).collect()}
+    got = {r.doc_id: r.text for r in pii.replace_private(rows, KEY).collect()}
     assert all(v not in got[k] and got[90 + k] == f"{got[k]}, 123456" for k, v in enumerate(values))
     card = got[2].split()[1]
     assert {ord(c) - 0x966 for c in card} <= set(range(10)) and len(card) == 16
@@ -432,24 +656,108 @@ def test_token_files(spark, odd, docs, tmp_path):
         tokenfile.read_tokens(spark, manifest).count()
 
 
-def test_warc_audit(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(None, "u", "h"), (3, None, None), (100_000, "v", "w")], "page_id long, url string, html string"))
-    assert warc.audit(warc.records(pages), warc.records(pages.orderBy(F.desc("page_id")))).count() == 0
-    other = pages.filter("page_id is null or page_id <> 8").withColumn("html", F.when(F.col("page_id") == 5, "changed").otherwise(F.col("html"))).unionByName(spark.createDataFrame([(250_000, "x", "y")], pages.schema))
-    got = {(r.page_id, r.status) for r in warc.audit(warc.records(pages), warc.records(other)).collect()}
-    assert got == {(5, "changed"), (8, "missing"), (250_000, "extra")}
-    assert warc.audit(warc.records(empty(pages)), warc.records(empty(pages))).count() == 0
+def replica(spark, pages, folder, per_file=16):
+    return warc.records(warc.read_warc(warc.write_warc(pages, f"file://{folder}", per_file)), per_file)
+
+
+def test_warc_audit(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(60).unionByName(spark.createDataFrame([(None, "u", "h"), (None, None, None), (3, None, None), (2**60 + 1, "v", "w"), (-5, "neg", "x" * 200_000)], "page_id long, url string, html string"))
+    same = warc.audit(replica(spark, pages, tmp_path / "a"), replica(spark, pages.orderBy(F.desc("page_id")), tmp_path / "b"), 16)
+    assert same.count() == 0
+    other = pages.filter("page_id is null or page_id <> 8").withColumn("html", F.when(F.col("page_id") == 5, "changed").when(F.col("page_id") == 2**60 + 1, "W").otherwise(F.col("html"))).unionByName(spark.createDataFrame([(250_000, "x", "y")], pages.schema))
+    got = {(r.page_id, r.status) for r in warc.audit(replica(spark, pages, tmp_path / "c"), replica(spark, other, tmp_path / "d"), 16).collect()}
+    assert got == {(5, "changed"), (2**60 + 1, "changed"), (8, "missing"), (250_000, "extra")}
+    assert warc.audit(replica(spark, empty(pages), tmp_path / "e"), replica(spark, empty(pages), tmp_path / "f"), 16).count() == 0
+    assert warc.audit(replica(spark, pages, tmp_path / "g"), replica(spark, empty(pages), tmp_path / "h"), 16).filter("status <> 'missing'").count() == 0
+
+
+def test_the_root_covers_offsets_and_all_files(spark, tmp_path):
+    recs = spark.createDataFrame([(f, s, s, 10, f"{f * 100 + s:064x}") for f in (-3, 0, 40) for s in range(20)], "file long, slot long, page_id long, length long, digest string")
+    levels = warc.widths(20, 44)
+    roots = [warc.tree(r.withColumn("file", F.col("file") + 3), levels)[-1].collect() for r in (recs, recs.withColumn("length", F.when(F.col("slot") == 3, 11).otherwise(F.when(F.col("slot") == 4, 9).otherwise(10))), recs.filter("file <> -3 or slot <> 7"))]
+    assert [len(r) for r in roots] == [1, 1, 1] and len({r[0].hash for r in roots}) == 3 and roots[0][0].length == roots[1][0].length == 600
+
+
+def test_damage_in_a_stored_file_is_located(spark, tmp_path):
+    """One bit, bytes between records, a file cut off: the records beside stay sound."""
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"<p>{k * 7919}</p>" * 50) for k in range(40)], "page_id long, url string, html string")
+    sound = replica(spark, pages, tmp_path / "a", 100)
+    for name, spoil, want in (
+        ("bit", lambda d, at: d[: at[7] + 40] + bytes([d[at[7] + 40] ^ 16]) + d[at[7] + 41 :], {(7, "changed")}),
+        ("head", lambda d, at: d[: at[9]] + b"\0" + d[at[9] + 1 :], {(9, "changed")}),
+        ("between", lambda d, at: d[: at[12]] + b"some bytes" + d[at[12] :], {(12, "changed")}),
+        ("cut", lambda d, at: d[: at[39] - 5], {(38, "changed"), (39, "missing")}),
+        ("lost", lambda d, at: d[: at[20]] + d[at[21] :], {(20, "missing")}),
+        ("start", lambda d, at: b"x" * 9 + d, {(0, "changed")}),
+    ):
+        folder = tmp_path / name
+        warc.write_warc(pages, f"file://{folder}", 100)
+        path = folder / "0.warc.gz"
+        data = path.read_bytes()
+        at = [r[3] for r in warc.warc_rows(path.open("rb"), len(data))]
+        path.write_bytes(spoil(data, at))
+        got = warc.audit(sound, warc.records(warc.read_warc(warc.warc_files(spark, str(folder))), 100), 100).collect()
+        assert {(r.page_id if r.page_id is not None else r.slot, r.status) for r in got} == want, name
 
 
 def test_warc_files(spark, tmp_path):
     text = warc.record_text(F.col("id"), F.col("u"), F.col("h"))
     rows = [bytes(r.t, "utf-8") for r in spark.createDataFrame([(1, "http://a/é", "<p>ü</p>"), (2, "http://b", "")], "id long, u string, h string").select(text.alias("t")).collect()]
-    (tmp_path / "a.warc").write_bytes(b"".join(rows) + b"broken")
-    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(warc.gzip_member, rows)))
-    got = sorted(warc.read_warc(spark, str(tmp_path)).collect(), key=lambda r: (r.path.endswith("gz"), r.slot))
-    assert [r.type for r in got] == ["response", "response", "damaged", "response", "response"]
-    assert {r.digest for r in got if r.type == "response"} == {hashlib.sha256(r).hexdigest() for r in rows}
-    assert got[1].offset == len(rows[0]) and got[0].uri == "http://a/é"
+    (tmp_path / "1.warc").write_bytes(rows[0] + b"broken" + rows[1] + rows[0][:-1])
+    (tmp_path / "2.warc.gz").write_bytes(warc.gzip_member(rows[0]) + warc.gzip_member(b"no record") + warc.gzip_member(rows[1]))
+    got = sorted(warc.read_warc(warc.warc_files(spark, str(tmp_path)), keep=True).collect(), key=lambda r: (r.path.endswith("gz"), r.ordinal))
+    assert [r.type for r in got] == ["response", "damaged", "response", "damaged"] + ["response", "damaged", "response"]
+    assert {r.digest for r in got if r.type == "response"} == {hashlib.sha256(r).hexdigest() for r in rows} and [r.content for r in got if r.type == "response"] == rows * 2
+    assert (got[2].offset, got[2].stored_offset) == (len(rows[0]) + 6,) * 2 and got[0].uri == "http://a/é" and got[1].content == b"broken"
+
+
+def test_warc_reading_is_linear(tmp_path, monkeypatch):
+    """Records over several windows, and twice the file in about twice the time."""
+    import time
+
+    monkeypatch.setattr(warc, "WINDOW", 1000)
+    record = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 5000\r\n\r\n" + b"y" * 5000 + b"\r\n\r\n"
+    for stored in (record, warc.gzip_member(record)):
+        (tmp_path / "big").write_bytes(stored * 3 + b"junk" * 900 + stored)
+        got = list(warc.warc_rows((tmp_path / "big").open("rb"), (tmp_path / "big").stat().st_size))
+        assert [r[5] for r in got] == ["x", "x", "x", "damaged", "x"] and {r[8] for r in got if r[5] == "x"} == {hashlib.sha256(record).hexdigest()}
+    monkeypatch.setattr(warc, "WINDOW", 4 << 20)
+    seconds = []
+    for n in (4000, 16000):
+        (tmp_path / "long").write_bytes(record * n)
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.warc_rows((tmp_path / "long").open("rb"), len(record) * n)) == n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 12 * seconds[0] + 1
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and long texts, repeated rows and ids, clashing names, and no rows at all, stage by stage."""
+    import corpus_pipeline
+
+    clash = odd.withColumns({"own_id": F.lit(1), "own_hash": F.lit(2), "judged_id": F.lit(3), "_first": F.lit(4), "component_id": F.lit(5), "hash": F.lit(6), "node": F.lit(7)})
+    rows = clash.unionByName(clash.filter("doc_id = 5").withColumn("text", F.lit("another text of the same doc_id, with more words")))
+    wide = {"toxicity": 24, "language ID": None, "SimHash near-dedup": None, "PII": 24}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rows, SF)
+        assert got.dtypes == rows.dtypes, name
+        assert wide[name] is None or got.count() == rows.count(), name
+        assert stage(spark, empty(rows), SF).count() == 0, name
+    kept = corpus_pipeline.near_dedup(spark, rows, SF)
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len([t for t in texts if t[0] == 5]) == 2 and len([t for t in texts if t[0] is None]) == 2 and 6 not in dict(texts)
+    packed = corpus_pipeline.packing(spark, rows, SF)
+    assert packed.filter("length <> size(ids)").count() == 0 and corpus_pipeline.packing(spark, empty(rows), SF).count() == 0
+
+
+def test_what_stages_leave_is_deleted(spark):
+    from pagemill.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    mark = common.made()
+    a, b = common.save(spark.range(5), "one"), common.save(spark.range(6), "two")
+    common.discard(spark, mark, keep=1)
+    assert b.count() == 6 and common.made() == mark + 1 and a.inputFiles() and not [f for f in a.inputFiles() if os.path.exists(f.removeprefix("file://"))] and os.path.isdir(folder)
 
 
 def test_pipeline(spark):
