@@ -3,11 +3,12 @@
 Each language has a model of order ORDER over lower-cased words (runs of letters between a start and an end mark). Below
 the highest order, counts are continuation counts; each order gives D of every count to the order below. All languages
 share one sorted array of n-gram hashes per order, with a column of values for each language, so that one binary search
-serves them all. A text's cross-entropy is the mean over all its characters; the lowest wins. A text is rejected if even
-that lies above what fitting texts of the language show, or if it has no letter.
+serves them all. A text's cross-entropy is the mean over all its characters; the lowest wins. A text without a letter is
+rejected, and one whose lowest cross-entropy lies nearer to that of texts in languages left out of the comparison than to
+that of fitting texts (`limits`).
 
-Learning takes at most `per_language` documents of each language, chosen by hash of doc_id among rows with doc_id, text
-and lang whose crc32(doc_id as text) mod 4 is not 2; a fifth of them sets thresholds and the score's temperature.
+Learning takes at most `per_language` documents and about `sample_chars` characters of each of the `most_languages` commonest
+languages, chosen by hash of doc_id among rows with doc_id, text and lang whose crc32(doc_id as text) mod 4 is not 2; a fifth of them sets thresholds and the score's temperature.
 Null or letterless texts: `und`, score 0, rejected. Without any row to learn from, all texts are `und`. Ties go to the
 language first in order. Rows are handled one by one; an empty table gives an empty table.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, held, slices
@@ -30,8 +31,14 @@ PER_LANGUAGE = 600
 HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"
 CACHE_WORDS = 400_000
 LETTERS = regex.compile(r"\p{L}+|\n")
-#: A text is rejected beyond this quantile of fitting texts' cross-entropy, plus the margin in nats.
-REJECT_QUANTILE, REJECT_MARGIN = 0.999, 1.0
+#: Languages that are learned at most, the commonest first; the label column may be dirty.
+MOST_LANGUAGES = 500
+#: Characters that are learned of each language at most, in whole documents.
+SAMPLE_CHARS = 8_000_000
+#: A text is rejected this share of the way from this quantile of fitting texts' cross-entropy to that of texts of left-out languages.
+WAY, REJECT_QUANTILE, STRANGE_QUANTILE = 0.7, 0.999, 0.01
+#: Where no other language is known, or they don't part: nats above the fitting texts' quantile.
+REJECT_MARGIN = 0.5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START, STOP = 1, 2
 LONGEST = 64
@@ -144,14 +151,38 @@ class Model:
         return np.where(total > 0, -(sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(total, 1), np.inf)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def limits(ce: np.ndarray, truth: np.ndarray, n_lang: int) -> np.ndarray:
+    """The cross-entropy beyond which a text given to each language is rejected.
+
+    Texts of each language are judged by the others' models, as those of a language that no one taught. The limit lies
+    WAY of the way from what fitting texts reach at most to what such strangers reach at least.
+    """
+    out = np.full(n_lang, np.inf)
+    without = ce.copy()
+    without[np.arange(len(ce)), truth] = np.inf
+    taken, strange = without.argmin(1), without.min(1)
+    for k in range(n_lang):
+        own, other = ce[truth == k, k], strange[(taken == k) & (truth != k) & np.isfinite(strange)]
+        if not len(own):
+            continue
+        fit_most = np.quantile(own, REJECT_QUANTILE)
+        strange_least = np.quantile(other, STRANGE_QUANTILE) if len(other) else fit_most
+        out[k] = max(fit_most + WAY * (strange_least - fit_most), fit_most + (0 if strange_least > fit_most else REJECT_MARGIN))
+    return out
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, sample_chars: int = SAMPLE_CHARS) -> Model | None:
     rows = docs.filter(f"not ({HELD_OUT}) and text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return None
     slots = 1 << 30
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(slots, slots * per_language // n))]), F.col("lang"))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share).toArrow().combine_chunks().sort_by("doc_id")
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    # at most about per_language rows of each language; of these, in order of chance, whole texts up to the bound
+    sofar = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("__c", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    sample = rows.withColumn("__c", chance).filter(F.col("__c") < share).withColumn("__s", F.coalesce(sofar, F.lit(0))).filter(F.col("__s") < sample_chars)
+    chosen = sample.drop("__c", "__s").toArrow().combine_chunks().sort_by("doc_id")
     languages = sorted(counts)
     lang = np.array(chosen["lang"].to_pylist(), dtype=object)
     words, index, offsets = letter_words(chosen["text"].combine_chunks())
@@ -171,10 +202,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     ce = model.entropies(index, offsets, model.word_scores(words), size)
     truth = np.array([languages.index(x) for x in lang])
     fine = np.isfinite(ce).all(1) & (apart if apart.any() else True)
-    for k in range(len(languages)):
-        own = ce[fine & (truth == k), k]
-        if len(own):
-            model.limits[k] = np.quantile(own, REJECT_QUANTILE) + REJECT_MARGIN
+    model.limits = limits(ce[fine], truth[fine], len(languages))
     best = np.inf
     for t in np.geomspace(0.5, 200, 25):  # the temperature under which held documents are likeliest
         z = -t * (ce[fine] - ce[fine].min(1, keepdims=True))
