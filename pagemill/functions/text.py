@@ -53,9 +53,13 @@ SINGLE = {c: n for c, n in COMPATIBLE.items() if len(n) == 1}
 SEVERAL = {c: n for c, n in COMPATIBLE.items() if len(n) > 1}
 
 
-def strip(c: Column) -> Column:
-    """Without white space at both ends, wide and control spaces included."""
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+#: The characters of SPACE.
+SPACES = "".join(chr(k) for a, b in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for k in range(a, b + 1))
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space at both ends, wide and control spaces included; looks at the ends only."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank(c: Column) -> Column:

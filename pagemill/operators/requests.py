@@ -29,7 +29,7 @@ def chunk(chapters: DataFrame, *, key: list[str], paragraphs: str = "paragraphs"
     held = chapters.select(*key, F.col(paragraphs).alias("__p"), F.aggregate(sizes, start, step).alias("__f"))
     begins = F.col("__f.begins")
     cuts = F.zip_with(begins, F.array_append(F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0))), F.col("__f.at")), lambda a, b: F.slice(F.col("__p"), a + 1, b - a))
-    return held.filter(F.size("__p") > 0).select(*key, F.posexplode(cuts).alias("chunk_no", "paragraphs"))
+    return held.select(*key, F.posexplode(F.when(F.size("__p") > 0, cuts)).alias("chunk_no", "paragraphs"))
 
 
 def continuity_tail(lines: DataFrame, *, key: list[str], order: str, n: int = 3) -> DataFrame:

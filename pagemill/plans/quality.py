@@ -110,9 +110,9 @@ judged AS (
 
 @query(f"WITH {verdict_sql('documents', 'doc_id', 'text')} SELECT doc_id, coalesce(string_agg(b, chr(10) ORDER BY place) FILTER (verdict <> 'remove'), '') AS clean, count(*) FILTER (verdict = 'remove') AS removed, count(*) FILTER (verdict = 'report') AS suspicious FROM judged GROUP BY doc_id")
 def chatter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks.strip_chatter(table(spark, sf_dir, "documents"), key=["doc_id"], rules=CHATTER, between=LINE, glue="\n")
-    some = (F.col("clean") != "") | (F.size("removed") > 0)  # texts with a block
-    return found.filter(some).select("doc_id", "clean", F.size("removed").cast("long").alias("removed"), F.size("suspicious").cast("long").alias("suspicious"))
+    texts = table(spark, sf_dir, "documents").filter(~T.blank(F.col("text")))
+    found = leaks.strip_chatter(texts, key=["doc_id"], rules=CHATTER, between=LINE, glue="\n")
+    return found.select("doc_id", "clean", F.size("removed").cast("long").alias("removed"), F.size("suspicious").cast("long").alias("suspicious"))
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
