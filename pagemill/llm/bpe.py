@@ -285,6 +285,8 @@ class Merges:
 class Encoder:
     """Texts to ids as the tokenizers library gives them, for the two kinds of file described in the README."""
 
+    most_words = CACHE_WORDS
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -333,7 +335,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the offsets by text."""
-        if len(self.row) > CACHE_WORDS:
+        if len(self.row) > self.most_words:
             self._empty()
         words = Words(texts) if self.by_word else pieces(texts)
         flat, ends = self._split(words.unique)

@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary
+from .bpe import CACHE_WORDS, encoder, vocabulary
 from .common import doc_text, held, save, slices
 
 CAPACITY = 1024
 #: Pieces that a task packs at once.
 GROUP_PIECES = 100_000
 #: Ids that a task holds at once where pieces carry them.
-GROUP_IDS = 8_000_000
+GROUP_IDS = 4_000_000
 #: The round that pieces of full length are said to be packed in; its groups are not numbered.
 WHOLE = 127
 #: Rounds in a row without gain, each dealt otherwise, after which packing ends.
@@ -46,8 +46,9 @@ def pieces_of(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 2,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary(name))
+        enc.most_words = CACHE_WORDS // 2 if keep else CACHE_WORDS  # ids that go out need memory of their own
         for batch in batches:
-            for part in slices(batch, limit=4_000_000):
+            for part in slices(batch, limit=2_000_000 if keep else 4_000_000):
                 ids, offsets = enc.encode(part.column("text"))
                 ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 starts = offsets + np.arange(len(offsets))  # each document has its end id now
