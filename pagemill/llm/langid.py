@@ -36,7 +36,7 @@ MOST_LANGUAGES = 500
 #: Characters that are learned of each language at most, in whole documents.
 SAMPLE_CHARS = 8_000_000
 #: A text is rejected this share of the way from this quantile of fitting texts' cross-entropy to that of texts of left-out languages.
-WAY, REJECT_QUANTILE, STRANGE_QUANTILE = 0.7, 0.999, 0.01
+WAY, REJECT_QUANTILE, STRANGE_QUANTILE = 0.85, 0.9995, 0.02
 #: Where no other language is known, or they don't part: nats above the fitting texts' quantile.
 REJECT_MARGIN = 0.5
 BASE = np.uint64(0x9E3779B97F4A7C15)
