@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_WORDS, encoder, vocabulary
-from .common import doc_text, held, save, slices
+from .common import SLICE_CHARS, doc_text, held, save, slices
 
 CAPACITY = 1024
 #: Pieces that a task packs at once.
@@ -48,7 +48,7 @@ def pieces_of(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 2,
         enc = encoder(vocabulary(name))
         enc.most_words = CACHE_WORDS // 2 if keep else CACHE_WORDS  # ids that go out need memory of their own
         for batch in batches:
-            for part in slices(batch, limit=2_000_000 if keep else 4_000_000):
+            for part in slices(batch, limit=2_000_000 if keep else SLICE_CHARS):
                 ids, offsets = enc.encode(part.column("text"))
                 ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 starts = offsets + np.arange(len(offsets))  # each document has its end id now
