@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .common import documents
 from .fingerprints import fingerprint_report
+from .jaccard import jaccard_components
 from .langid import predict_language
 from .media import media_round_trip
 from .neardup import near_duplicates
+from .negatives import NEGATIVES_SQL, mine_negatives
 from .packing import pack_documents
 from .pii import replace_private, session_key
 from .tokenfile import token_file_digest
@@ -63,5 +65,15 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_bpe, op3_toxicity, op4_warc_audit, op5_language_id, op6_packing, op7_media, op8_surrogates, op9_near_dedup, op10_token_file)}
-ORACLES: dict[str, str] = {"op4_warc_audit": AUDIT_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows.withColumn("label", moved), "vec_id % 100 = 0")
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_bpe, op3_toxicity, op4_warc_audit, op5_language_id, op6_packing, op7_media, op8_surrogates, op9_near_dedup, op10_token_file, op11_hard_negatives, op12_jaccard_join)}
+ORACLES: dict[str, str] = {"op4_warc_audit": AUDIT_SQL, "op11_hard_negatives": NEGATIVES_SQL}
