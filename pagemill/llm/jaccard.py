@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +53,8 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """For each text the hashes of its distinct shingles, sorted."""
     import xxhash
 
-    found = Words(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    each = np.fromiter((xxhash.xxh64_intdigest(w) for w in found.unique), np.uint64, len(found.unique))
+    found = Words(texts)
+    each = np.fromiter((xxhash.xxh64_intdigest(w.encode().lower()) for w in found.unique), np.uint64, len(found.unique))  # bytes: A-Z only
     flat, offsets = each[found.index], found.offsets
     whole = mixed(flat)
     for k in range(1, words):

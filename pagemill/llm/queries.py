@@ -17,6 +17,7 @@ from .neardup import near_duplicates
 from .negatives import NEGATIVES_SQL, mine_negatives
 from .packing import pack_documents
 from .pii import replace_private, session_key
+from .repair import damaged, repair_conversations
 from .tokenfile import token_file_digest
 from .toxicity import score_toxicity
 from .warc import AUDIT_SQL, audit_pages
@@ -75,5 +76,10 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_bpe, op3_toxicity, op4_warc_audit, op5_language_id, op6_packing, op7_media, op8_surrogates, op9_near_dedup, op10_token_file, op11_hard_negatives, op12_jaccard_join)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_conversations(damaged(rows), rows)
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_fingerprints, op2_bpe, op3_toxicity, op4_warc_audit, op5_language_id, op6_packing, op7_media, op8_surrogates, op9_near_dedup, op10_token_file, op11_hard_negatives, op12_jaccard_join, op13_conversation_repair)}
 ORACLES: dict[str, str] = {"op4_warc_audit": AUDIT_SQL, "op11_hard_negatives": NEGATIVES_SQL}
