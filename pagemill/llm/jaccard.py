@@ -39,7 +39,8 @@ SPLIT = 2048
 SALT = 512
 #: Bits of the smallest and the largest parity bitmap.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Odd numbers without a pattern, one for each place in a shingle.
+_FACTORS = np.random.default_rng(42).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,20 +57,19 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     found = Words(texts)
     each = np.fromiter((xxhash.xxh64_intdigest(w.encode().lower()) for w in found.unique), np.uint64, len(found.unique))  # bytes: A-Z only
     flat, offsets = each[found.index], found.offsets
-    whole = mixed(flat)
-    for k in range(1, words):
-        whole = mixed(whole[: max(0, len(flat) - k)] * _FACTOR + flat[k:]) if len(flat) > k else whole[:0]
+
+    def combined(size: int, at: slice) -> np.ndarray:
+        """A hash of each run of `size` words: a sum of the words' hashes, each with a factor for its place."""
+        own = flat[at]
+        total = np.full(max(0, len(own) - size + 1), size, np.uint64)
+        for k in range(size):
+            total += own[k : k + len(total)] * _FACTORS[k]
+        return mixed(total)
+
+    whole = combined(words, slice(None))
     out = []
     for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-        if b - a >= words:
-            out.append(np.unique(whole[a : b - words + 1]))
-        elif b > a:
-            one = mixed(flat[a : a + 1])
-            for k in range(a + 1, b):
-                one = mixed(one * _FACTOR + flat[k])
-            out.append(one)
-        else:
-            out.append(flat[:0])
+        out.append(np.unique(whole[a : b - words + 1]) if b - a >= words else combined(b - a, slice(a, b)) if b > a else flat[:0])
     return out
 
 
@@ -134,10 +134,10 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, hash (xxhash64 of the text), n, node (hash of the set), prefix, bits."""
+    """docs(doc_id, text) -> doc_id, hash (xxhash64 of the text), n, node (hash of the set), group (hash of prefix and n), prefix, bits."""
     context = docs.sparkSession.sparkContext
     order = context.broadcast(frequent_shingles(docs, words))
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("group", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -148,10 +148,11 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 own = shingle_sets(part.column("text"), words)
                 nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in own), np.uint64, len(own))
                 first = [prefix(s, frequent, counts, percent).view(np.int64) for s in own]
-                cols = [part.column("doc_id"), part.column("hash"), pa.array([len(s) for s in own], pa.int64()), pa.array(nodes.view(np.int64)), pa.array(first, schema.field("prefix").type), pa.array([parity_bits(s) for s in own], pa.binary())]
+                groups = np.fromiter((xxhash.xxh64_intdigest(f.tobytes(), len(s)) for f, s in zip(first, own, strict=True)), np.uint64, len(own))
+                cols = [part.column("doc_id"), part.column("hash"), pa.array([len(s) for s in own], pa.int64()), pa.array(nodes.view(np.int64)), pa.array(groups.view(np.int64)), pa.array(first, schema.field("prefix").type), pa.array([parity_bits(s) for s in own], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return doc_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, n long, node long, prefix array<long>, bits binary")
+    return doc_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, n long, node long, group long, prefix array<long>, bits binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -243,27 +244,35 @@ def left_pairs(lists: DataFrame, percent: int, split: int = SPLIT) -> DataFrame:
     return dealt.mapInArrow(lambda it: list_pairs(it, percent), "u long, v long").distinct()
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes(node, n, bits) that their sizes and bitmaps allow to be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (np.asarray(batch.column(c)) for c in ("n", "v_n"))
+            good = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            a, b = batch.column("bits"), batch.column("v_bits")
+            for k in np.flatnonzero(good).tolist():
+                apart = least_difference(np.frombuffer(a[k].as_buffer(), np.uint64), np.frombuffer(b[k].as_buffer(), np.uint64)[None])[0]
+                good[k] = (100 + percent) * apart <= (100 - percent) * (n[k] + m[k])
+            yield batch.select(["u", "v"]).filter(pa.array(good))
+
+    own = nodes.select(F.col("node").alias("u"), "n", "bits")
+    other = nodes.select(F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("bits").alias("v_bits"))
+    return pairs.join(own, "u").join(other, "v").mapInArrow(run, "u long, v long")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     marked = save(sketches(docs, words, percent), "sketches")
     named = marked.filter("doc_id is not null and n > 0")
-    first = F.first(F.struct("prefix", "bits"))
-    nodes = named.groupBy("node", "n").agg(F.min(F.struct("doc_id", "hash")).alias("own"), first.alias("it"))
-    nodes = save(nodes.select("node", "n", "own.*", "it.*", F.xxhash64("n", F.col("it.prefix")).alias("group")), "nodes")
-    groups = nodes.groupBy("group", "n").agg(F.min("node").alias("head"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    groups = save(groups, "groups")
-    posted = groups.select("group", "n", "head", "members", F.posexplode("prefix").alias("place", "key"))
-    under = posted.groupBy("key").agg(F.count("*").alias("groups"), F.min(F.struct("n", "head")).alias("first")).filter("groups > 1")
-    posted = save(posted.join(under, "key").select("key", "group", "n", "head", "place", F.col("first.head").alias("v"), F.col("first.n").alias("v_n")), "posted")
-
-    inner = nodes.join(groups.filter("members > 1").select("group", F.col("head").alias("v")), "group").filter("node <> v").select(F.col("node").alias("u"), "v")
-    outer = posted.filter((F.col("head") != F.col("v")) & (100 * F.col("v_n") >= percent * F.col("n"))).groupBy(F.col("head").alias("u"), "v").agg(F.count("*").alias("shared"))
-    outer = save(outer, "outer")
-    best = outer.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
-    touched = posted.select(F.col("head").alias("node")).union(inner.select("u")).union(inner.select("v")).distinct()
-    several = nodes.join(posted.select("group").distinct(), "group", "left_semi").select("node").union(touched).distinct()
-    sets = save(whole_sets(docs, nodes.join(several, "node", "left_semi").select("node", "doc_id", "hash"), words), "sets")
-    edges = save(verified(inner.unionByName(best), sets, percent), "links")
+    nodes = save(named.groupBy("node", "n", "group").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("bits").alias("bits")).select("node", "n", "group", "own.*", "bits"), "nodes")
+    heads = save(nodes.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("members")), "heads")
+    # a posting holds a group by its head, and size and place in one number, as most postings are the only ones of their shingle
+    first = named.groupBy("group", "n").agg(F.first("prefix").alias("prefix")).join(heads.select("group", "head"), "group")
+    posted = first.select("head", "n", F.posexplode("prefix").alias("place", "key")).select("key", "head", (F.shiftleft(F.col("n"), 32) + F.col("place")).alias("at"))
+    under = posted.groupBy("key").agg(F.min("head").alias("v"), F.max("head").alias("other")).filter("v <> other").select("key", "v")
+    posted = save(posted.join(under, "key").select("key", "head", "v", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("place")), "posted")
 
     def labels(found: DataFrame) -> DataFrame:
         return save(connected_components(found).select(F.col("id").alias("node"), F.col("component").alias("label")), "labels")
@@ -271,19 +280,31 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     def labelled(frame: DataFrame, node: str, name: str, found: DataFrame) -> DataFrame:
         return frame.join(found.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
+    def fetched(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        return save(whole_sets(docs, nodes.join(ends, "node", "left_semi").select("node", "doc_id", "hash"), words), "sets")
+
+    # stars: members of a group with its head, groups under a shingle with one of them, the most shared one first
+    inner = nodes.join(heads.filter("members > 1"), "group").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"), F.lit(0).alias("shared"))
+    outer = posted.filter("head <> v").groupBy(F.col("head").alias("u"), "v").agg(F.count("*").alias("shared"))
+    outer = save(possible(outer.select("u", "v"), nodes, percent).join(outer, ["u", "v"]).unionByName(inner.join(possible(inner.select("u", "v"), nodes, percent), ["u", "v"])), "outer")
+    sets = fetched(outer)
+    best = outer.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+    edges = save(verified(best, sets, percent), "links")
     now = labels(edges)
     others = labelled(labelled(outer.select("u", "v"), "u", "a", now), "v", "b", now).filter("a <> b").select("u", "v")
-    edges = save(edges.unionByName(verified(others, sets, percent)), "links")
+    edges = save(edges.unionByName(verified(others.join(best, ["u", "v"], "left_anti"), sets, percent)), "links")
 
     # what the stars left apart: members of a group among themselves, and of all groups under a shingle
-    placed = labelled(nodes.select("node", "n", "group", "bits"), "node", "label", labels(edges))
-    within = placed.join(groups.filter("members > 1").select("group"), "group", "left_semi").select(F.col("group").alias("key"), "node", "label", "n", F.lit(0).alias("place"), "bits")
-    apart = labelled(posted.select("key", "group", "place", F.col("head").alias("node")), "node", "label", now)
-    mixed_groups = placed.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_keys = apart.select("key", "group", "place").join(mixed_groups, "group").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("key")
-    across = apart.select("key", "group", "place").join(open_keys, "key").join(placed, "group").select("key", "node", "label", "n", "place", "bits")
-    more = verified(save(left_pairs(within.unionByName(across), percent), "pairs"), sets, percent)
-    found = connected_components(edges.unionByName(more)).withColumnRenamed("id", "node")
+    placed = save(labelled(nodes.select("node", "n", "group", "bits"), "node", "label", labels(edges)).join(heads.select("group", "head", "members"), "group"), "placed")
+    within = placed.filter("members > 1").select(F.col("group").alias("key"), "node", "label", "n", F.lit(0).alias("place"), "bits")
+    low_high = placed.groupBy("head").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    listed = posted.select("key", "head", "place")
+    open_keys = listed.join(low_high, "head").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("key")
+    across = listed.join(open_keys, "key").join(placed, "head").select("key", "node", "label", "n", "place", "bits")
+    pairs = save(left_pairs(within.unionByName(across), percent), "pairs")
+    more = edges.unionByName(verified(pairs, fetched(pairs), percent))
+    found = connected_components(more).withColumnRenamed("id", "node")
 
     reached = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
