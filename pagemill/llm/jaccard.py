@@ -4,8 +4,8 @@ Two sets of sizes a and b with 100 * intersection >= percent * union share at le
 one order of shingles each has a shingle of the other among its first n - ceil(percent * n / 100) + 1. The order puts rare
 shingles first. Documents with equal sets are one node; nodes with equal prefixes and sizes are one group, and only groups
 are posted under the shingles of their prefix. Groups under a shingle are held against one of them first, members of a
-group against its head; what these stars leave in several components is paired there (pairs are filtered by size, by place
-in the prefix and by parity bitmaps, which bound the difference of two sets from below), and each pair that stays is
+group against its head; what these stars leave in several components is paired there (pairs are filtered by size and by
+parity bitmaps, which bound the difference of two sets from below), and each pair that stays is
 verified on the whole sets. No list is expanded to all its pairs, and none is cut short.
 
 The order of shingles comes from all documents: the slices of text in which a shingle is in several documents count it,
@@ -39,6 +39,8 @@ SPLIT = 2048
 SALT = 512
 #: Bits of the smallest and the largest parity bitmap.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Bits of a bitmap that goes out to all tasks: 32 MB.
+MOST_MARKS = 1 << 28
 #: Odd numbers without a pattern, one for each place in a shingle.
 _FACTORS = np.random.default_rng(42).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -155,18 +157,39 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return doc_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, n long, node long, group long, prefix array<long>, bits binary")
 
 
+def bitmap(rows: DataFrame, number: str) -> tuple[int, np.ndarray]:
+    """How many bits, and bytes with the bits set on which the numbers of rows fall; 64 bits a row up to MOST_MARKS."""
+    size = min(MOST_MARKS, 1 << max(15, (64 * rows.count()).bit_length()))
+    at = F.pmod(F.col(number), F.lit(size))
+    parts = rows.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(32767)).alias("bits")).collect()  # 4 KB each, `size` bits in all at most
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for row in parts:
+        out[row.part] = np.frombuffer(row.bits, np.uint8)
+    return size, out.ravel()
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The sets of wanted(node, doc_id, hash) -> node, own (sorted hashes, 8 bytes each)."""
-    # the same plan at every size: texts are dealt by doc_id, not held against a list that may be small enough to go out
-    texts = doc_text(docs).withColumn("hash", F.xxhash64("text")).join(wanted.hint("merge"), ["doc_id", "hash"]).dropDuplicates(["node"]).select("node", "text")
+    """The sets of wanted(node, doc_id, hash) -> node, own (sorted hashes, 8 bytes each).
+
+    Texts don't go through a shuffle: where each is read, a bitmap of the wanted ones of bounded size says which may be
+    wanted, their sets are made there, and a join keeps those that are. A bitmap that has become too full for its bound
+    only lets more sets through to the join.
+    """
+    named = wanted.withColumn("number", F.xxhash64("doc_id", "hash"))
+    size, bits = bitmap(named, "number")
+    marks = docs.sparkSession.sparkContext.broadcast(bits)
+    texts = doc_text(docs).withColumn("hash", F.xxhash64("text")).withColumn("mark", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(size)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            at = np.asarray(batch.column("mark"))
+            some = batch.filter(pa.array((marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for part in slices(some):
                 own = shingle_sets(part.column("text"), words)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array([s.tobytes() for s in own], pa.binary())], names=["doc_id", "hash", "own"])
 
-    return texts.mapInArrow(run, "node long, own binary")
+    made = texts.mapInArrow(run, "doc_id long, hash long, own binary")
+    return made.join(wanted, ["doc_id", "hash"]).select("node", "own").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +215,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def list_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, block, asks, major, node, label, n, place, bits), whole (key, block) in a task, members before those that ask -> pairs (u, v).
+    """Rows (key, block, asks, major, node, label, n, bits), whole (key, block) in a task, members before those that ask -> pairs (u, v).
 
     One that asks meets each member of the block that is of another component: the ones of the list's major component, and
     of the others those of a larger node, so that a pair is met once.
@@ -206,18 +229,17 @@ def list_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
                 key, held, members = (row["key"], row["block"]), None, []
             bits = np.frombuffer(row["bits"], np.uint64)
             if not row["asks"]:
-                members.append((row["node"], row["label"], row["n"], row["place"], row["major"], bits))
+                members.append((row["node"], row["label"], row["n"], row["major"], bits))
                 continue
             if held is None:
-                held = [np.array(x) for x in zip(*(m[:5] for m in members), strict=True)] if members else []
-                widths = np.array([len(m[5]) for m in members])
-                shelf = {int(w): (np.flatnonzero(widths == w), np.stack([m[5] for m in members if len(m[5]) == w])) for w in np.unique(widths)}
+                held = [np.array(x) for x in zip(*(m[:4] for m in members), strict=True)] if members else []
+                widths = np.array([len(m[4]) for m in members])
+                shelf = {int(w): (np.flatnonzero(widths == w), np.stack([m[4] for m in members if len(m[4]) == w])) for w in np.unique(widths)}
             if not held:
                 continue
-            node, label, n, place, major = held
-            rest = np.minimum(n - place, row["n"] - row["place"]) + np.minimum(place, row["place"])  # at most so many are shared
+            node, label, n, major = held
             total = n + row["n"]
-            fine = (label != row["label"]) & (major.astype(bool) | (node > row["node"])) & (100 * np.minimum(n, row["n"]) >= percent * np.maximum(n, row["n"])) & ((100 + percent) * rest >= percent * total)
+            fine = (label != row["label"]) & (major.astype(bool) | (node > row["node"])) & (100 * np.minimum(n, row["n"]) >= percent * np.maximum(n, row["n"]))
             for at, words in shelf.values():
                 some = np.flatnonzero(fine[at])
                 if len(some):
@@ -228,18 +250,19 @@ def list_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*u, np.zeros(0, np.int64)])), pa.array(np.concatenate([*v, np.zeros(0, np.int64)]))], names=["u", "v"])
 
 
-def left_pairs(lists: DataFrame, percent: int, split: int = SPLIT) -> DataFrame:
-    """lists(key, node, label, n, place, bits) -> distinct pairs (u, v) under one key and of different labels that pass the filters.
+def left_pairs(lists: DataFrame, nodes: DataFrame, percent: int, split: int = SPLIT) -> DataFrame:
+    """lists(key, node, label), nodes(node, n, bits) -> distinct pairs (u, v) under one key and of different labels that sizes and bitmaps allow.
 
-    Of a key's components the largest asks nothing: its members meet the others' questions, dealt to blocks of about `split`.
+    Of lists with the same members one counts. Of a key's components the largest asks nothing: its members meet the others'
+    questions, dealt to blocks of about `split`.
     """
     counted = lists.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     apart = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("members"), F.sum("who").alias("who"), F.count("*").alias("labels")).filter("labels > 1")
-    apart = apart.groupBy("members", "who", "most").agg(F.min("key").alias("key"))  # of lists with the same members one
-    rows = lists.join(apart.select("key", "most", F.ceil(F.col("members") / split).cast("int").alias("parts")), "key").withColumn("major", F.col("label") == F.col("most"))
-    place = [F.col(c) for c in ("major", "node", "label", "n", "place", "bits")]
-    members = rows.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"), F.lit(False).alias("asks"), *place)
-    asking = rows.filter("not major").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(True).alias("asks"), *place)
+    apart = apart.groupBy("members", "who", "most").agg(F.min("key").alias("key"))
+    rows = save(lists.join(apart.select("key", "most", F.ceil(F.col("members") / split).cast("int").alias("parts")), "key"), "lists").join(nodes.select("node", "n", "bits"), "node").withColumn("major", F.col("label") == F.col("most"))
+    kept = [F.col(c) for c in ("major", "node", "label", "n", "bits")]
+    members = rows.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"), F.lit(False).alias("asks"), *kept)
+    asking = rows.filter("not major").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(True).alias("asks"), *kept)
     dealt = members.unionByName(asking).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
     return dealt.mapInArrow(lambda it: list_pairs(it, percent), "u long, v long").distinct()
 
@@ -268,11 +291,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = marked.filter("doc_id is not null and n > 0")
     nodes = save(named.groupBy("node", "n", "group").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("bits").alias("bits")).select("node", "n", "group", "own.*", "bits"), "nodes")
     heads = save(nodes.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("members")), "heads")
-    # a posting holds a group by its head, and size and place in one number, as most postings are the only ones of their shingle
-    first = named.groupBy("group", "n").agg(F.first("prefix").alias("prefix")).join(heads.select("group", "head"), "group")
-    posted = first.select("head", "n", F.posexplode("prefix").alias("place", "key")).select("key", "head", (F.shiftleft(F.col("n"), 32) + F.col("place")).alias("at"))
-    under = posted.groupBy("key").agg(F.min("head").alias("v"), F.max("head").alias("other")).filter("v <> other").select("key", "v")
-    posted = save(posted.join(under, "key").select("key", "head", "v", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("place")), "posted")
+    # most postings are the only ones of their shingle: they are two numbers each, and go before anything is joined to them
+    every = named.groupBy("group").agg(F.first("prefix").alias("prefix")).select("group", F.explode("prefix").alias("key"))
+    under = every.groupBy("key").agg(F.min("group").alias("star"), F.max("group").alias("other")).filter("star <> other").select("key", "star")
+    posted = save(every.join(under, "key"), "posted")
 
     def labels(found: DataFrame) -> DataFrame:
         return save(connected_components(found).select(F.col("id").alias("node"), F.col("component").alias("label")), "labels")
@@ -286,7 +308,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     # stars: members of a group with its head, groups under a shingle with one of them, the most shared one first
     inner = nodes.join(heads.filter("members > 1"), "group").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"), F.lit(0).alias("shared"))
-    outer = posted.filter("head <> v").groupBy(F.col("head").alias("u"), "v").agg(F.count("*").alias("shared"))
+    met = posted.filter("group <> star").groupBy("group", "star").agg(F.count("*").alias("shared"))
+    outer = met.join(heads.select("group", F.col("head").alias("u")), "group").join(heads.select(F.col("group").alias("star"), F.col("head").alias("v")), "star").select("u", "v", "shared")
     outer = save(possible(outer.select("u", "v"), nodes, percent).join(outer, ["u", "v"]).unionByName(inner.join(possible(inner.select("u", "v"), nodes, percent), ["u", "v"])), "outer")
     sets = fetched(outer)
     best = outer.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
@@ -296,13 +319,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     edges = save(edges.unionByName(verified(others.join(best, ["u", "v"], "left_anti"), sets, percent)), "links")
 
     # what the stars left apart: members of a group among themselves, and of all groups under a shingle
-    placed = save(labelled(nodes.select("node", "n", "group", "bits"), "node", "label", labels(edges)).join(heads.select("group", "head", "members"), "group"), "placed")
-    within = placed.filter("members > 1").select(F.col("group").alias("key"), "node", "label", "n", F.lit(0).alias("place"), "bits")
-    low_high = placed.groupBy("head").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    listed = posted.select("key", "head", "place")
-    open_keys = listed.join(low_high, "head").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("key")
-    across = listed.join(open_keys, "key").join(placed, "head").select("key", "node", "label", "n", "place", "bits")
-    pairs = save(left_pairs(within.unionByName(across), percent), "pairs")
+    placed = save(labelled(nodes.select("node", "group"), "node", "label", labels(edges)), "placed")
+    low_high = placed.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    within = placed.join(low_high.filter("low <> high"), "group").select(F.col("group").alias("key"), "node", "label")
+    listed = posted.select("key", "group")
+    open_keys = listed.join(low_high, "group").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("key")
+    across = save(listed.join(open_keys, "key").join(placed, "group").select("key", "node", "label").unionByName(within), "across")
+    pairs = save(left_pairs(across, nodes, percent), "pairs")
     more = edges.unionByName(verified(pairs, fetched(pairs), percent))
     found = connected_components(more).withColumnRenamed("id", "node")
 

@@ -98,6 +98,7 @@ def near_family(start, n, words, edits):
 
 def test_jaccard_components_are_the_plain_ones(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SALT", 7)
+    monkeypatch.setattr(jaccard, "MOST_MARKS", 1 << 15)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows += near_family(10_000, 40, 120, 1) + near_family(20_000, 40, 100, 2) + near_family(30_000, 30, 100, 1)  # linked, at the limit, mixed
     passage = " ".join(f"common{k}" for k in range(60))
@@ -112,7 +113,7 @@ def test_jaccard_components_are_the_plain_ones(spark, monkeypatch):
 def test_filters_of_lists_lose_no_pair():
     """Members of a list in their own components: every alike pair is among the pairs that blocks give."""
     family = [jaccard.shingle_sets(pa.array([t for _, t in near_family(1, 60, 150, 2) + near_family(1, 20, 150, 1)]), 4)][0]
-    rows = [{"key": 1, "block": 0, "major": False, "node": k, "label": k, "n": len(s), "place": 0, "bits": jaccard.parity_bits(s)} for k, s in enumerate(family)]
+    rows = [{"key": 1, "block": 0, "major": False, "node": k, "label": k, "n": len(s), "bits": jaccard.parity_bits(s)} for k, s in enumerate(family)]
     batch = pa.RecordBatch.from_pylist([r | {"asks": False} for r in rows] + [r | {"asks": True} for r in rows])
     found = {(u, v) for out in jaccard.list_pairs(iter([batch]), 85) for u, v in zip(*(c.to_pylist() for c in out.columns))}
     good = {(a, b) for a, b in itertools.combinations(range(len(family)), 2) if jaccard.alike(family[a], family[b], 85)}
