@@ -12,11 +12,17 @@ def tolerant_bool(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c)).isin("true", "1", "yes"), F.lit(False))
 
 
+def whole_json(c: Column) -> Column:
+    """A text that is one JSON value and nothing else, as a variant; null where it is not (Spark's own parser takes what follows a value)."""
+    held = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(F.size(F.try_variant_get(held, "$", "array<variant>")) == 1, F.try_variant_get(held, "$[0]", "variant"))
+
+
 def tolerant_notes(c: Column) -> Column:
-    """A JSON array of notes, or one note, as an array of strings without blanks; whatever else there is gives none."""
+    """A JSON array of notes, or one note, as an array of strings without blanks; an object gives none, and what only begins like an array is one note."""
     one = F.array(strip(c))
-    many = F.transform(F.from_json(c, "array<string>"), lambda n: strip(n))
-    found = F.when(c.rlike(r"\A\s*\["), many).when(c.isNotNull() & ~c.rlike(r"\A\s*\{"), one)
+    many = F.transform(F.try_variant_get(whole_json(c), "$", "array<string>"), lambda n: strip(n))
+    found = F.coalesce(F.when(c.rlike(r"\A\s*\["), many), F.when(c.isNotNull() & ~c.rlike(r"\A\s*\{"), one))
     return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda n: n != "")
 
 
@@ -34,8 +40,9 @@ def tolerant_int(c: Column, default: Column) -> Column:
 
 
 def normal_pronoun(c: Column) -> Column:
+    """he, she or they, as a model proposes it; anything else is none. What a person typed stays as it is and does not come here."""
     word = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return F.when(word.isin("she", "her", "female", "f"), "she").when(word.isin("he", "him", "male", "m"), "he").when(word.isin("they", "them"), "they").otherwise("")
+    return F.when(word.isin("he", "she", "they"), word).otherwise("")
 
 
 def safe_label(c: Column, most: int = 80) -> Column:

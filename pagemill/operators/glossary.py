@@ -23,9 +23,9 @@ SENT_OUT = 500_000
 
 
 def spellings(entries: DataFrame, key: list[str]) -> DataFrame:
-    """Source, variants and reading of each entry in that order, blanks and repeats dropped: key, rank, spelling."""
+    """Source, variants and reading of each entry in that order, stripped, blanks and repeats dropped: key, rank, spelling."""
     every = F.concat(F.array("source"), F.coalesce("variants", F.array().cast("array<string>")), F.array("reading"))
-    clean = F.array_distinct(F.filter(every, lambda s: s.isNotNull() & (strip(s) != "")))
+    clean = F.array_distinct(F.filter(F.transform(every, lambda s: strip(F.coalesce(s, F.lit("")))), lambda s: s != ""))
     return entries.select(*key, F.posexplode(clean).alias("rank", "spelling"))
 
 
@@ -122,18 +122,27 @@ def decide(entries: DataFrame, pending: DataFrame, decisions: DataFrame) -> tupl
 
 
 def add_variants(entries: DataFrame, variants: DataFrame) -> DataFrame:
-    """variants(of, source) joined into the entries' arrays, each spelling once."""
-    new = variants.select(F.col("of").alias("__of"), F.col("source").alias("__v")).groupBy("__of").agg(F.sort_array(F.collect_set("__v")).alias("__new"))
-    joined = entries.join(new, F.col("source") == F.col("__of"), "left")
-    return joined.withColumn("variants", F.array_union(F.coalesce("variants", F.array().cast("array<string>")), F.coalesce("__new", F.array().cast("array<string>")))).drop("__of", "__new")
+    """variants(of, source): further spellings of the entries named by source, or by English where they have none; each spelling once, none that the entry has already."""
+    new = variants.select(F.col("of").alias("__of"), strip(F.col("source")).alias("__v")).filter("__v <> ''").groupBy("__of").agg(F.sort_array(F.collect_set("__v")).alias("__new"))
+    joined = entries.join(new, F.coalesce(F.nullif("source", F.lit("")), F.col("english")) == F.col("__of"), "left")
+    has = F.array_union(F.array("source", F.coalesce("reading", F.lit(""))), F.coalesce("variants", F.array().cast("array<string>")))
+    added = F.array_except(F.coalesce("__new", F.array().cast("array<string>")), F.transform(has, lambda s: strip(s)))
+    return joined.withColumn("variants", F.concat(F.coalesce("variants", F.array().cast("array<string>")), added)).drop("__of", "__new")
 
 
 def report(entries: DataFrame, *, ties: list[str]) -> DataFrame:
-    """The listing as lines: section (the type), place, line; place 0 is the section's heading.
+    """The listing as lines: section (the type), place, line with English, all spellings, hints and note; place 0 is the section's heading.
 
     One row for each line, so that no section has to fit into one task; written in order of section and place it is the report.
     """
-    line = F.concat(F.lit("- "), F.coalesce("source", F.lit("")), F.lit(": "), F.coalesce("english", F.lit("")))
+    some = lambda c: F.nullif(F.coalesce(F.col(c) if c in entries.columns else F.lit(None).cast("string"), F.lit("")), F.lit(""))
+    every = F.concat(F.array("source"), F.coalesce("variants", F.array().cast("array<string>")), F.array("reading"))
+    spelled = F.array_join(F.array_distinct(F.filter(F.transform(every, lambda s: strip(F.coalesce(s, F.lit("")))), lambda s: s != "")), " / ")
+    hints = F.array_join(F.array_compact(F.array(some("pronoun"), F.concat(F.lit("says "), some("first_person")), some("register"))), ", ")
+    line = F.concat(
+        F.lit("- **"), F.coalesce(some("english"), F.lit("?")), F.lit("** — "), F.coalesce(F.nullif(spelled, F.lit("")), F.lit("(English only)")),
+        F.when(hints != "", F.concat(F.lit(" ("), hints, F.lit(")"))).otherwise(""), F.coalesce(F.concat(F.lit(" — "), some("note")), F.lit("")),
+    )
     rows = ordered(entries, ties=ties, by=["type"]).select(F.col("type").alias("section"), "place", line.alias("line"))
     heads = entries.select("type").distinct().select(F.col("type").alias("section"), F.lit(0).cast("long").alias("place"), F.concat(F.lit("## "), "type").alias("line"))
     return heads.unionByName(rows)

@@ -92,7 +92,7 @@ def findings(clean: Column, rules: ResidueRules = ResidueRules()) -> Column:
         hits = [("shape", 2, shape)] + [(n, w, (core if on_core else run).rlike(p)) for n, w, p, on_core in rules.signals()]
         score = sum((F.when(hit, w).otherwise(0) for _, w, hit in hits), F.lit(0))
         score = F.when(core == "", 0).otherwise(score)
-        return F.struct((line + 1).alias("line"), place.alias("place"), run.alias("run"), score.alias("score"), F.array_compact(F.array(*[F.when(hit, n) for n, _, hit in hits])).alias("reasons"))
+        return F.struct((line + 1).alias("line"), place.alias("place"), strip(run).alias("run"), score.alias("score"), F.array_compact(F.array(*[F.when(hit, n) for n, _, hit in hits])).alias("reasons"))
 
     def of_line(text: Column, line: Column) -> Column:
         runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

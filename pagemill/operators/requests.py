@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import whole_json
 from ..functions.text import blank, nonspace_length, strip
+from . import leaks
 from .ledger import MONEY, usage_by_key
 
 TERMS_MARK = "===NEW_TERMS==="
-TERM = "array<struct<source string, english string, type string>>"
+#: What a proposed term may say of itself; variants are a list besides.
+TERM_FIELDS = ("source", "english", "type", "note", "pronoun", "register", "first_person", "reading")
+FENCE = r"\A\s*```\w*\s*\z"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -49,37 +53,83 @@ def should_retry(missing: Column, expected: Column, received: Column, share: flo
     return F.coalesce((received == 0) | (missing / expected > share), F.lit(False))
 
 
-def parse_prose(responses: DataFrame, *, key: list[str], raw: str = "raw") -> DataFrame:
-    """raw -> body, terms, warnings; never fails."""
-    at = F.instr(F.col(raw), TERMS_MARK)
-    text = F.coalesce(F.col(raw), F.lit(""))
-    body = strip(F.when(at > 0, F.substring_index(text, TERMS_MARK, 1)).otherwise(text))
-    tail = F.when(at > 0, F.substring_index(text, TERMS_MARK, -1))
+def split_terms(raw: Column) -> tuple[Column, Column, Column]:
+    """A response -> what stands before the first mark, what stands after it (null without one), and whether there is one."""
+    text = F.coalesce(raw, F.lit(""))
+    at = F.instr(text, TERMS_MARK)
+    body = F.when(at > 0, F.substring_index(text, TERMS_MARK, 1)).otherwise(text)
+    return body, F.when(at > 0, F.substr(text, at + len(TERMS_MARK))), at > 0
+
+
+def read_terms(tail: Column) -> tuple[Column, dict[str, Column]]:
+    """The text after a mark -> (terms that have a source, warnings by name): the JSON array from the first [ to the last ].
+
+    A term is an object; whatever else the array holds is left out, and so are terms without source. Fields are texts,
+    stripped and empty where they are lacking; variants are a list of them; the type is in lower case, `other` unless said.
+    """
     listed = F.regexp_extract(tail, r"(?s)\[.*\]", 0)
-    terms = F.when(listed != "", F.from_json(listed, TERM))
-    some = F.exists(F.coalesce(terms, F.array().cast(TERM)), lambda t: strip(F.coalesce(t["source"], F.lit(""))) == "")
-    warnings = {"no-terms-mark": F.coalesce(at, F.lit(0)) == 0, "terms-unreadable": (at > 0) & (terms.isNull() | (listed == "")), "blank-term": some, "no-text": body == ""}
-    kept = F.filter(F.coalesce(terms, F.array().cast(TERM)), lambda t: strip(F.coalesce(t["source"], F.lit(""))) != "")
-    return responses.select(*key, body.alias("body"), kept.alias("terms"), F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), n) for n, hit in warnings.items()])).alias("warnings"))
+    found = F.try_variant_get(whole_json(F.nullif(listed, F.lit(""))), "$", "array<variant>")
+
+    def text(term: Column, field: str) -> Column:
+        return strip(F.coalesce(F.try_variant_get(term, f"$.{field}", "string"), F.lit("")))
+
+    def term(t: Column) -> Column:
+        variants = F.transform(F.coalesce(F.try_variant_get(t, "$.variants", "array<string>"), F.array().cast("array<string>")), lambda v: strip(F.coalesce(v, F.lit(""))))
+        own = {c: text(t, c) for c in TERM_FIELDS}
+        own["type"] = F.coalesce(F.nullif(F.lower(own["type"]), F.lit("")), F.lit("other"))
+        return F.struct(*[v.alias(c) for c, v in own.items()], F.filter(variants, lambda v: v != "").alias("variants"))
+
+    objects = F.filter(found, lambda t: F.schema_of_variant(t).startswith("OBJECT"))
+    every = F.transform(F.coalesce(objects, F.array().cast("array<variant>")), term)
+    warnings = {"no-terms-array": tail.isNotNull() & (listed == ""), "terms-unreadable": (listed != "") & found.isNull(), "blank-term": F.exists(every, lambda t: t["source"] == "")}
+    return F.filter(every, lambda t: t["source"] != ""), warnings
+
+
+def named(warnings: dict[str, Column]) -> Column:
+    """The names of those that hold, in order."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), n) for n, hit in warnings.items()]))
+
+
+def parse_prose(responses: DataFrame, *, key: list[str], raw: str = "raw", chatter: leaks.ChatterRules = leaks.ChatterRules(), between: str = leaks.BLANK_LINE, glue: str = "\n\n") -> DataFrame:
+    """raw -> body, terms, warnings; never fails.
+
+    The body is what stands before the first mark, without commentary that can go safely; blocks that mix it with prose
+    stay and are warned of. Terms keep all their fields.
+    """
+    before, tail, marked = split_terms(F.col(raw))
+    rows = responses.select(*key, before.alias("__before"), tail.alias("__tail"), marked.alias("__marked"))
+    rows = rows.withColumn("__blocks", leaks.judged_blocks(F.col("__before"), chatter, between))
+
+    def of(*verdicts: str) -> Column:
+        return F.transform(F.filter("__blocks", lambda x: x["verdict"].isin(*verdicts)), lambda x: x["block"])
+
+    body = strip(F.array_join(of("keep", "report"), glue))
+    terms, warned = read_terms(F.col("__tail"))
+    warnings = {"no-terms-mark": ~F.col("__marked"), "commentary-removed": F.size(of("remove")) > 0, "commentary-mixed": F.size(of("report")) > 0, **warned, "no-text": body == ""}
+    return rows.select(*key, body.alias("body"), terms.alias("terms"), named(warnings).alias("warnings"))
 
 
-def parse_records(responses: DataFrame, expected: DataFrame, *, key: list[str], raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """Tab-separated records (id, speaker, English; or id, English) of each response -> (lines, defects).
+def parse_records(responses: DataFrame, expected: DataFrame, *, key: list[str], raw: str = "raw") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tab-separated records (id, speaker, English; or id, English) of each response -> (lines, defects, terms).
 
-    English may hold tabs. Rows without a tab are ignored, unexpected ids refused, of repeated ids the first counts, and
-    blank English is missing.
+    Records stand before the first mark, terms after it. English may hold tabs. Blank rows and fences are nothing, rows
+    without a tab are ignored, unexpected ids refused; a record without English delivers nothing, and of those of one id
+    that have some the first counts. terms: key, terms, warnings; no commentary is looked for, as a record is no prose.
     """
-    rows = responses.select(*key, F.posexplode(F.split(F.coalesce(F.col(raw), F.lit("")), LINE_BREAK)).alias("pos", "__row")).filter(~blank(F.col("__row")))
+    before, tail, marked = split_terms(F.col(raw))
+    held = responses.select(*key, before.alias("__before"), tail.alias("__tail"), marked.alias("__marked"))
+    found, warned = read_terms(F.col("__tail"))
+    terms = held.select(*key, found.alias("terms"), named({"no-terms-mark": ~F.col("__marked"), **warned}).alias("warnings"))
+    rows = held.select(*key, F.posexplode(F.split("__before", LINE_BREAK)).alias("pos", "__row")).filter(~blank(F.col("__row")) & ~F.col("__row").rlike(FENCE))
     cells = F.split("__row", "\t", 3)
     two = F.size(cells) == 2
     rows = rows.withColumns({"id": strip(F.get(cells, F.lit(0))), "speaker": F.when(two, "").otherwise(strip(F.get(cells, F.lit(1)))), "english": strip(F.when(two, F.get(cells, F.lit(1))).otherwise(F.get(cells, F.lit(2))))})
     records = rows.filter(F.instr("__row", "\t") > 0)
-    known = records.join(expected, [*key, "id"], "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*key, "id").orderBy("pos")))
-    first = known.filter("__n = 1")
-    lines = first.filter("english <> ''").select(*key, "id", "speaker", "english")
+    delivered = records.filter("english <> ''").join(expected, [*key, "id"], "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*key, "id").orderBy("pos")))
+    lines = delivered.filter("__n = 1").select(*key, "id", "speaker", "english")
     parts = {
         "unexpected": records.join(expected, [*key, "id"], "left_anti"),
-        "duplicate": known.filter("__n > 1"),
+        "duplicate": delivered.filter("__n > 1"),
         "ignored": rows.filter(F.instr("__row", "\t") == 0),
         "missing": expected.join(lines, [*key, "id"], "left_anti"),
     }
@@ -88,7 +138,7 @@ def parse_records(responses: DataFrame, expected: DataFrame, *, key: list[str],
         one = part.select(*key, F.lit(name).alias("__d"))
         tagged = one if tagged is None else tagged.unionByName(one)
     defects = tagged.groupBy(*key).agg(*[F.count_if(F.col("__d") == n).alias(n) for n in parts])
-    return lines, expected.select(*key).distinct().join(defects, key, "left").fillna(0, list(parts))
+    return lines, expected.select(*key).distinct().join(defects, key, "left").fillna(0, list(parts)), terms
 
 
 def retry_union(first: DataFrame, again: DataFrame, *, key: list[str]) -> DataFrame:
@@ -141,8 +191,8 @@ def reader(chapters: DataFrame, accepted: DataFrame, audit: DataFrame, *, key: l
 
 #: What goes round a request's words; every text of a request is a parameter of `user_message`.
 WORDS = {
-    "chunk": "This is part {index} of {total}. Part {previous} came before.", "tail": "For context, the end of the part before:", "title": "Chapter title: ",
-    "notes": "Additional instructions for this work: ", "body": "Translate the following:",
+    "chunk": "Part {index} of {total}; done up to part {previous}.", "tail": "How the last part ended:", "title": "Title: ",
+    "notes": "Wishes for this work: ", "body": "Text:",
 }
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import box_drawable, normal_pronoun, tolerant_bool, tolerant_box, tolerant_int, tolerant_notes
+from ..functions.scalars import box_drawable, tolerant_bool, tolerant_box, tolerant_int, tolerant_notes
 from ..functions.text import blank, sha
 from . import glossary, incremental, layout, lines, regions, requests, seams
 from .regions import TRANSLATED
 
-# How the two parts of a glossary block begin.
-LOCKED = "Locked terms — use these English spellings exactly:"
-KNOWN = "Names already established in English — match these spellings:"
+#: How the two parts of a glossary block begin.
+LOCKED = "Terms of this text and what each is called in English:"
+KNOWN = "Further names in use so far:"
 
 def load_pages(stored: DataFrame, *, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Stored readings (JSON) with defaults for whatever has the wrong type -> (regions with furniture marked anew, page meta).
@@ -105,7 +105,7 @@ def prompt_block(entries: DataFrame, hits: DataFrame, *, key: list[str], entry:
 
     hits: key x entry. A text with terms gets both parts; texts without any get the names alone where they are joined.
     """
-    hint = F.array_compact(F.array(F.nullif(normal_pronoun(F.coalesce("pronoun", F.lit(""))), F.lit("")), *[F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(said), F.col(c))) for c, said in (("first_person", "refers to self as "), ("register", "")) if c in entries.columns]))
+    hint = F.array_compact(F.array(F.nullif(F.coalesce("pronoun", F.lit("")), F.lit("")), *[F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(said), F.col(c))) for c, said in (("first_person", "refers to self as "), ("register", "")) if c in entries.columns]))
     named = glossary.spellings(entries, entry).groupBy(*entry).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "spelling"))), lambda s: s["spelling"]), " / ").alias("__s"))
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("  ("), "note", F.lit(")"))).otherwise("") if "note" in entries.columns else F.lit("")
     line = F.concat(F.lit("  "), "__s", F.lit(" = "), "english", F.when(F.size(hint) > 0, F.concat(F.lit("  ["), F.array_join(hint, "; "), F.lit("]"))).otherwise(""), note)

@@ -70,7 +70,7 @@ def allow_list_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.sha2("clean", 256).alias("clean_sha256"), F.length("clean").cast("long").alias("n"))
 
 
-@query(f"WITH {clean_sql('documents', 'doc_id', 'text')}, {RUN_SQL % {'key': 'doc_id'}} SELECT doc_id, line, place, run, score FROM scored WHERE score >= {RESIDUE.flag_at}")
+@query(f"WITH {clean_sql('documents', 'doc_id', 'text')}, {RUN_SQL % {'key': 'doc_id'}} SELECT doc_id, line, place, {STRIP % 'run'} AS run, score FROM scored WHERE score >= {RESIDUE.flag_at}")
 def leak_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.report(_clean_documents(spark, sf_dir), key=["doc_id"], rules=RESIDUE)[0].drop("reasons")
 
@@ -80,7 +80,7 @@ def report_sql(key: str, rules: leaks.ResidueRules = RESIDUE) -> str:
 reported AS (
   SELECT {key}, round_even(CASE WHEN {NONSPACE % 'clean'} = 0 THEN 0 ELSE len(regexp_extract_all(clean, '[{rules.measured}]')) / {NONSPACE % 'clean'} END, 4) AS residual_fraction,
     coalesce(n, 0) AS findings, coalesce(n, 0) > 0 AS flagged, worst, worst_line
-  FROM cleaned LEFT JOIN (SELECT {key}, count(*) AS n, first(run ORDER BY score DESC, line, place) AS worst, first(line ORDER BY score DESC, line, place) AS worst_line FROM found GROUP BY ALL) USING ({key})
+  FROM cleaned LEFT JOIN (SELECT {key}, count(*) AS n, first({STRIP % 'run'} ORDER BY score DESC, line, place) AS worst, first(line ORDER BY score DESC, line, place) AS worst_line FROM found GROUP BY ALL) USING ({key})
 )"""
 
 

@@ -75,7 +75,12 @@ def records_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = F.concat(F.lit("l"), t.cast("string"))
     row = F.when(t % 6 == 4, F.concat_ws("\t", name, english)).when(t % 6 == 5, F.concat_ws("\t", name, "role", F.lit(" "))).when(t % 6 == 3, F.concat(F.lit("so "), english)).when(t % 6 == 2, F.concat_ws("\t", F.lit("zz"), "role", english)).otherwise(F.concat(F.concat_ws("\t", name, "role", english), F.lit("\textra")))
     again = F.when(t % 6 == 0, F.concat_ws("\t", name, "role", F.lit("again")))
-    made = rows.select("conv_id", t.alias("k"), F.concat_ws("\n", row, again).alias("r")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda s: s["r"]), "\r\n").alias("raw"))
+    empty = F.when(t % 6 == 1, F.concat_ws("\t", name, "role", F.lit(" "))).when(t % 6 == 2, F.lit(" ```tsv "))  # delivers nothing; a fence
+    body = rows.select("conv_id", t.alias("k"), F.concat_ws("\n", empty, row, again).alias("r")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda s: s["r"]), "\r\n").alias("body"))
+    c = F.col("conv_id")
+    term = F.concat(F.lit('{"source": " s'), c.cast("string"), F.lit(' ", "english": "E", "type": "Name", "pronoun": "it", "variants": ["v", " ", 7], "note": 5}'))
+    tail = F.when(c % 4 == 0, F.concat(F.lit("so:\n["), term, F.lit(', "junk", {"source": ""}]\nl0\trole\tlate'))).when(c % 4 == 1, "[{]").when(c % 4 == 2, "none")
+    made = body.select("conv_id", F.concat_ws(f"\n{requests.TERMS_MARK}", "body", tail).alias("raw"))
     expected = rows.select("conv_id", name.alias("id"))
     return made, expected
 
@@ -92,11 +97,20 @@ def expected_vs_received(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.parse_records(*records_of(spark, sf_dir), key=["conv_id"])[1]
 
 
+@query("""SELECT DISTINCT conv_id, CASE WHEN conv_id % 4 = 0 THEN 's' || conv_id || '|E|name|5|it||||v,7' ELSE '' END AS terms,
+  CASE conv_id % 4 WHEN 0 THEN ['blank-term'] WHEN 1 THEN ['terms-unreadable'] WHEN 2 THEN ['no-terms-array'] ELSE ['no-terms-mark'] END AS warnings FROM conversations""")
+def record_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms after the mark of record responses, with all their fields."""
+    found = requests.parse_records(*records_of(spark, sf_dir), key=["conv_id"])[2]
+    line = F.transform("terms", lambda t: F.array_join(F.concat(F.array(*[t[c] for c in requests.TERM_FIELDS]), F.array(F.array_join(t["variants"], ","))), "|"))
+    return found.select("conv_id", F.array_join(line, ";").alias("terms"), "warnings")
+
+
 @query("SELECT conv_id, count(*) FILTER (turn % 6 IN (0, 1, 4)) = 0 OR count(*) FILTER (turn % 6 IN (2, 3, 5)) / count(*) > 0.4 AS retry FROM conversations GROUP BY conv_id")
 def retry_worthy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses worth a second attempt."""
     raw, expected = records_of(spark, sf_dir)
-    lines, defects = requests.parse_records(raw, expected, key=["conv_id"])
+    lines, defects, _ = requests.parse_records(raw, expected, key=["conv_id"])
     n = expected.groupBy("conv_id").agg(F.count("*").alias("expected")).join(lines.groupBy("conv_id").agg(F.count("*").alias("received")), "conv_id", "left").join(defects, "conv_id")
     return n.select("conv_id", requests.should_retry(F.col("missing"), F.col("expected"), F.coalesce("received", F.lit(0)), 0.4).alias("retry"))
 
@@ -124,9 +138,9 @@ def retry_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {CHUNK_SQL}, n AS (SELECT doc_id, count(*) AS total FROM chunks GROUP BY doc_id)
-SELECT doc_id, chunk_no, sha256(CASE WHEN total > 1 THEN 'This is part ' || (chunk_no + 1) || ' of ' || total || '. Part ' || greatest(1, chunk_no) || ' came before.' || chr(10) || chr(10) ELSE '' END
-  || CASE WHEN chunk_no % 2 = 1 THEN 'For context, the end of the part before:' || chr(10) || chr(10) || 't' || chunk_no || chr(10) || chr(10) ELSE '' END || CASE WHEN chunk_no = 0 THEN 'Chapter title: T' || doc_id || chr(10) || chr(10) ELSE '' END
-  || CASE WHEN doc_id % 3 = 0 THEN 'Additional instructions for this work: keep names' || chr(10) || chr(10) ELSE '' END || 'Translate the following:' || chr(10) || chr(10) || array_to_string(paragraphs, chr(10) || chr(10))) AS message,
+SELECT doc_id, chunk_no, sha256(CASE WHEN total > 1 THEN 'Part ' || (chunk_no + 1) || ' of ' || total || '; done up to part ' || greatest(1, chunk_no) || '.' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN chunk_no % 2 = 1 THEN '{requests.WORDS["tail"]}' || chr(10) || chr(10) || 't' || chunk_no || chr(10) || chr(10) ELSE '' END || CASE WHEN chunk_no = 0 THEN '{requests.WORDS["title"]}T' || doc_id || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 3 = 0 THEN '{requests.WORDS["notes"]}keep names' || chr(10) || chr(10) ELSE '' END || '{requests.WORDS["body"]}' || chr(10) || chr(10) || array_to_string(paragraphs, chr(10) || chr(10))) AS message,
   CASE WHEN doc_id % 5 = 0 THEN 'only text' ELSE '{requests.CONTRACT}' END AS contract FROM chunks JOIN n USING (doc_id)"""
 )
 def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,16 +153,23 @@ def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT item_id, {STRIP % 'text'} AS body, CASE WHEN item_id % 4 = 0 THEN 1 WHEN item_id % 4 = 1 THEN 1 ELSE 0 END AS terms,
-  list_filter([CASE WHEN item_id % 4 = 3 THEN 'no-terms-mark' END, CASE WHEN item_id % 4 = 2 THEN 'terms-unreadable' END, CASE WHEN item_id % 4 = 1 THEN 'blank-term' END], lambda x: x IS NOT NULL) AS warnings FROM benchmark"""
+    f"""SELECT item_id, {STRIP % 'text'} || CASE WHEN item_id % 3 = 1 THEN chr(10) || chr(10) || 'Let me translate this chapter. Then Aoi folded the letter and went out into the rain.' ELSE '' END AS body, CASE WHEN item_id % 5 < 2 THEN 1 ELSE 0 END AS terms,
+  CASE WHEN item_id % 5 < 2 THEN 'she|Low|v' ELSE '' END AS said, list_filter([CASE WHEN item_id % 5 = 3 THEN 'no-terms-mark' END, CASE WHEN item_id % 3 = 0 THEN 'commentary-removed' END, CASE WHEN item_id % 3 = 1 THEN 'commentary-mixed' END,
+    CASE WHEN item_id % 5 = 4 THEN 'no-terms-array' END, CASE WHEN item_id % 5 = 2 THEN 'terms-unreadable' END, CASE WHEN item_id % 5 = 1 THEN 'blank-term' END], lambda x: x IS NOT NULL) AS warnings FROM benchmark"""
 )
 def parse_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose responses with their terms, unreadable terms, and none."""
-    one = F.concat(F.lit('[{"source":"s'), F.col("item_id").cast("string"), F.lit('","english":"E"}'))
-    k = F.col("item_id") % 4
-    raw = F.concat(F.lit("\n"), "text", F.when(k == 3, "\n").otherwise("\n===NEW_TERMS===\n"), F.when(k == 0, F.concat(one, F.lit("] "))).when(k == 1, F.concat(one, F.lit(',{"source":" "}]'))).when(k == 2, "[{").otherwise(""))
+    """Prose responses with commentary that goes or stays, with their terms, unreadable terms, none, and a second mark after the first."""
+    one = F.concat(F.lit('[{"source":"s'), F.col("item_id").cast("string"), F.lit('","english":"E","pronoun":" she","note":"Low","variants":["v",""]}'))
+    k, said = F.col("item_id") % 5, F.col("item_id") % 3
+    before = F.when(said == 0, "Let me translate.\n\n").otherwise("")
+    after = F.when(said == 1, "\n\nLet me translate this chapter. Then Aoi folded the letter and went out into the rain.").otherwise("")
+    mark = F.when(k == 3, "\n").otherwise(f"\n{requests.TERMS_MARK}\n")
+    tail = F.when(k == 0, F.concat(one, F.lit(f'] {requests.TERMS_MARK} more'))).when(k == 1, F.concat(one, F.lit(',"junk",{"source":" "}]'))).when(k == 2, "[{]").otherwise("")
+    raw = F.concat(F.lit("\n"), before, "text", after, mark, tail)
     found = requests.parse_prose(table(spark, sf_dir, "benchmark").select("item_id", raw.alias("raw")), key=["item_id"])
-    return found.withColumn("terms", F.size("terms"))
+    first = F.get("terms", F.lit(0))
+    said_of = F.coalesce(F.concat_ws("|", first["pronoun"], first["note"], F.nullif(F.array_join(first["variants"], ","), F.lit(""))), F.lit(""))
+    return found.select("item_id", "body", F.size("terms").alias("terms"), said_of.alias("said"), "warnings")
 
 
 @query("SELECT doc_id, text IS NOT NULL AND length(text) % 3 <> 0 AS readable, count(*) OVER () AS audited FROM documents WHERE length(text) % 3 <> 0")

@@ -23,7 +23,7 @@ def entries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.array_join(F.slice(words, 5, 2), " "), F.lit("")).alias("variants"),
         F.element_at(F.array(*map(F.lit, KINDS)), (F.col("item_id") % 4 + 1).cast("int")).alias("type"),
         F.when(F.col("item_id") % 5 == 0, F.array_join(F.slice(words, 1, 4), " ")).otherwise("").alias("reading"),
-        F.lit("she").alias("pronoun"),
+        F.when(F.col("item_id") % 4 == 0, "it").otherwise("she").alias("pronoun"),
     )
 
 
@@ -69,7 +69,7 @@ def proposed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", " ")
     source = F.when(F.col("item_id") % 11 == 0, " ").when(F.col("item_id") % 2 == 0, F.array_join(F.slice(words, 1, 4), " ")).otherwise(F.concat(F.element_at(words, 1), F.lit("-x")))
     english = F.concat(F.lit("NAME "), F.element_at(words, 2), F.lit(" "), F.element_at(words, 3), F.lit(" "), (F.col("item_id") % 50 + (F.col("item_id") % 3) * 7).cast("string"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), source.alias("source"), english.alias("english"), F.lit("thing").alias("type"), F.lit(" Female").alias("pronoun"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), source.alias("source"), english.alias("english"), F.lit("thing").alias("type"), F.when(F.col("item_id") % 4 == 1, " Female").otherwise(" She").alias("pronoun"))
 
 
 PROPOSED_SQL = f"""{ENTRIES_SQL}, proposed AS (
@@ -88,7 +88,7 @@ def _admitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return glossary.admit(rows, pending, entries_of(spark, sf_dir))
 
 
-@query(f"WITH {PROPOSED_SQL} SELECT min(seq) AS seq, source, arg_min(english, seq) AS english, 'thing' AS type, 'she' AS pronoun FROM fresh WHERE lower(english) NOT IN (SELECT e FROM first_entry) GROUP BY source")
+@query(f"WITH {PROPOSED_SQL} SELECT min(seq) AS seq, source, arg_min(english, seq) AS english, 'thing' AS type, CASE WHEN min(seq) % 4 = 1 THEN '' ELSE 'she' END AS pronoun FROM fresh WHERE lower(english) NOT IN (SELECT e FROM first_entry) GROUP BY source")
 def glossary_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _admitted(spark, sf_dir)[0]
 
@@ -119,14 +119,15 @@ def glossary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ENTRIES_SQL}, pending AS (SELECT * FROM named WHERE item_id % 3 = 2),
-approved AS (SELECT * FROM pending WHERE item_id % 2 = 0), kept AS (
-  SELECT * FROM entries WHERE item_id % 6 <> 0 AND source NOT IN (SELECT source FROM approved WHERE source <> '') AND NOT (source = '' AND lower(english) IN (SELECT lower(english) FROM approved WHERE source <> ''))
-  UNION ALL SELECT * FROM approved WHERE source <> '')
-SELECT item_id, source, english FROM kept UNION ALL SELECT item_id, source, english FROM approved WHERE source = '' AND lower(english) NOT IN (SELECT lower(english) FROM kept)"""
+    f"""WITH {ENTRIES_SQL}, pending AS (SELECT * FROM named WHERE item_id % 3 = 2), said AS (SELECT source, item_id FROM named WHERE source <> ''),
+yes AS (SELECT source FROM said WHERE item_id % 3 = 2 AND item_id % 2 = 0), no AS (SELECT source FROM said WHERE item_id % 3 = 2 AND item_id % 4 = 1), gone AS (SELECT source FROM said WHERE item_id % 6 = 0),
+approved AS (SELECT * FROM pending WHERE source IN (FROM yes)), kept AS (
+  SELECT * FROM entries WHERE source NOT IN (FROM gone) AND source NOT IN (SELECT source FROM approved) AND NOT (source = '' AND lower(english) IN (SELECT lower(english) FROM approved))
+  UNION ALL SELECT * FROM approved)
+SELECT item_id, source, english, 'entry' AS place FROM kept UNION ALL SELECT item_id, source, english, 'pending' FROM pending WHERE source NOT IN (FROM yes) AND source NOT IN (FROM no)"""
 )
 def glossary_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending terms approved and rejected, entries removed."""
+    """Pending terms approved, rejected and left, entries removed."""
     words = F.split("text", " ")
     entries = entries_of(spark, sf_dir)
     later = table(spark, sf_dir, "benchmark").filter("item_id % 3 = 2")
@@ -135,13 +136,24 @@ def glossary_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Name "), F.element_at(words, 2), F.lit(" "), F.element_at(words, 3), F.lit(" "), (F.col("item_id") % 50).cast("string")).alias("english"),
         F.array(F.array_join(F.slice(words, 5, 2), " ")).alias("variants"), F.lit("thing").alias("type"), F.lit("").alias("reading"), F.lit("she").alias("pronoun"),
     )
-    approved = pending.filter("item_id % 2 = 0")
-    kept = entries.filter("item_id % 6 <> 0")
-    return glossary.upsert(kept, approved).select("item_id", "source", "english")
+    action = F.when(F.col("item_id") % 2 == 0, "approve").when(F.col("item_id") % 4 == 1, "reject")
+    decisions = pending.select("source", action.alias("action")).unionByName(entries.filter("item_id % 6 = 0").select("source", F.lit("remove").alias("action")))
+    held, left = glossary.decide(entries, pending, decisions.filter("source <> '' and action is not null").distinct())
+    rows = held.withColumn("place", F.lit("entry")).select("item_id", "source", "english", "place")
+    return rows.unionByName(left.withColumn("place", F.lit("pending")).select("item_id", "source", "english", "place"))
 
 
 @query(
-    f"""WITH {ENTRIES_SQL} SELECT type AS section, row_number() OVER (PARTITION BY type ORDER BY coalesce(nullif(english, ''), source), item_id) AS place, '- ' || source || ': ' || english AS line FROM entries
+    f"""WITH {PROPOSED_SQL}, fresh_of AS (SELECT source AS v, arg_min(o, seq) AS o FROM fresh JOIN first_entry ON e = lower(english) GROUP BY source)
+SELECT item_id, variants || coalesce((SELECT list(v ORDER BY v) FROM fresh_of WHERE o = coalesce(nullif(entries.source, ''), english) AND v NOT IN (SELECT unnest(variants || [entries.source, reading]))), []) AS variants FROM entries"""
+)
+def glossary_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings that answers brought for names already known, joined to their entries."""
+    return glossary.add_variants(entries_of(spark, sf_dir), _admitted(spark, sf_dir)[1]).select("item_id", "variants")
+
+
+@query(
+    f"""WITH {ENTRIES_SQL} SELECT type AS section, row_number() OVER (PARTITION BY type ORDER BY coalesce(nullif(english, ''), source), item_id) AS place, '- **' || english || '** — ' || coalesce(sp, '(English only)') || CASE WHEN item_id % 4 = 0 THEN ' (it)' ELSE ' (she)' END AS line FROM entries LEFT JOIN (SELECT item_id, string_agg(spelling, ' / ' ORDER BY r) AS sp FROM spelled GROUP BY item_id) USING (item_id)
 UNION ALL SELECT DISTINCT type, 0, '## ' || type FROM entries"""
 )
 def glossary_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def resting_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {ENTRIES_SQL}, s AS (SELECT item_id, string_agg(spelling, ' / ' ORDER BY r) AS sp FROM spelled GROUP BY item_id),
-l AS (SELECT item_id % 5 AS k, type, source, '  ' || sp || ' = ' || english || '  [she]' AS line FROM entries JOIN s USING (item_id) WHERE source <> ''),
+l AS (SELECT item_id % 5 AS k, type, source, '  ' || sp || ' = ' || english || CASE WHEN item_id % 4 = 0 THEN '  [it]' ELSE '  [she]' END AS line FROM entries JOIN s USING (item_id) WHERE source <> ''),
 n AS (SELECT string_agg('  ' || english, chr(10) ORDER BY type, english) AS names FROM entries WHERE source = '')
 SELECT k, '{views.LOCKED}' || chr(10) || string_agg(line, chr(10) ORDER BY type, source, line) || CASE WHEN names IS NULL THEN '' ELSE chr(10) || chr(10) || '{views.KNOWN}' || chr(10) || names END AS block FROM l, n GROUP BY k, names"""
 )

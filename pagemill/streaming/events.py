@@ -95,6 +95,21 @@ def outcome(prior: Column, result: Column) -> Column:
     return F.when(result.isin("aborted", "refused"), prior).when(result == "rate-limited", F.when(done, prior).otherwise("queued")).when(result == "failed", F.when(done, prior).otherwise("failed")).when(result == "skipped", prior).otherwise("validated")
 
 
+def totals_at_rest(events: DataFrame, *, terminal: tuple[str, ...] = ("done", "paused")) -> DataFrame:
+    """A row for each terminal event: results of its work by kind up to there (T-9)."""
+    before = Window.partitionBy("work_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumns({n: F.sum((F.col("type") == t).cast("long")).over(before) for n, t in (("done", "item"), ("failed", "failed"))})
+    return rows.filter(F.col("type").isin(*terminal)).select("work_id", "event_id", "type", "done", "failed")
+
+
+def outcomes(results: DataFrame, items: DataFrame, *, key: list[str]) -> DataFrame:
+    """results(key, event_id, result) over items(key, status): each item's status after all its results in order (T-10)."""
+    came = results.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("event_id", "result"))).alias("__came"))
+    both = items.join(came, key, "full").withColumn("status", F.coalesce("status", F.lit("new")))
+    folded = F.aggregate(F.coalesce("__came", F.array().cast("array<struct<event_id bigint, result string>>")), F.col("status"), lambda status, r: outcome(status, r["result"]))
+    return both.withColumn("status", folded).drop("__came")
+
+
 def terminal_totals(events: DataFrame) -> DataFrame:
     """Per work: results by kind, and the last event (T-9)."""
     return events.groupBy("work_id").agg(F.count_if(F.col("type") == "item").alias("done"), F.count_if(F.col("type") == "failed").alias("failed"), F.max("event_id").alias("last_event"))

@@ -44,7 +44,7 @@ def test_text_expressions(spark):
     assert one(spark, T.furniture_kind(F.col("x")), x="12") is None
     assert one(spark, T.furniture_kind(F.col("x")), x="see example.com now") is None
     assert one(spark, scalars.resume_seconds(F.col("x"), F.lit(None).cast("int")), x=20) == 3600.0
-    assert one(spark, scalars.normal_pronoun(F.col("x")), x=" Female ") == "she"
+    assert [one(spark, scalars.normal_pronoun(F.col("x")), x=p) for p in (" She ", "Female", "her", "M", "THEY", "it", "")] == ["she", "", "", "", "they", "", ""]
 
 
 def test_segments(spark):
@@ -222,7 +222,7 @@ def test_openers_of_pages(spark):
 
 def test_tolerant_casts(spark):
     cell = lambda c, x: one(spark, c(F.col("x")), x=x)
-    assert [cell(scalars.tolerant_notes, x) for x in ('["a", " ", 3]', " one ", "", "{}")] == [["a", "3"], ["one"], [], []]
+    assert [cell(scalars.tolerant_notes, x) for x in ('["a", " ", 3]', " one ", "", "{}", "[faint scan] left", "[]")] == [["a", "3"], ["one"], [], [], ["[faint scan] left"], []]
     assert tuple(cell(scalars.tolerant_box, ["1", "2.5", "3", "4"])) == (1.0, 2.5, 3.0, 4.0) and tuple(cell(scalars.tolerant_box, ["1", "x", "3", "4"])) == (0.0,) * 4 and tuple(cell(scalars.tolerant_box, ["1"])) == (0.0,) * 4
     sides = [F.lit(v) for v in (0.25, 0.5, 0.1, 0.2)]
     assert tuple(one(spark, scalars.box_to_pixels(*sides, F.lit(800), F.lit(600)), x=1)) == (200.0, 300.0, 80.0, 120.0)
@@ -253,7 +253,7 @@ def test_glossary(spark):
     chapters = spark.createDataFrame([(1, "とうきょうへ"), (2, "大木さん"), (3, "木さん"), (4, None)], "k int, text string")
     hits = glossary.relevant(chapters, glossary.spellings(entries, ["source"]), key=["k"], entry=["source"])
     assert sorted(map(tuple, hits.collect())) == [(1, "東京"), (3, "木")]
-    proposed = spark.createDataFrame([(1, "アンナ", "ANNA", "person", "f"), (2, "東京", "x", "place", ""), (3, "新", "New", "thing", "m"), (4, "新", "Other", "thing", ""), (5, None, "y", "thing", "")], "seq int, source string, english string, type string, pronoun string")
+    proposed = spark.createDataFrame([(1, "アンナ", "ANNA", "person", "f"), (2, "東京", "x", "place", ""), (3, "新", "New", "thing", " HE "), (4, "新", "Other", "thing", ""), (5, None, "y", "thing", "")], "seq int, source string, english string, type string, pronoun string")
     queued, variants, rejected = glossary.admit(proposed, proposed.filter("false").select("source"), entries)
     assert [(r.source, r.pronoun) for r in queued.collect()] == [("新", "he")]
     assert [tuple(r) for r in variants.collect()] == [("Anna", "アンナ")]
@@ -261,12 +261,29 @@ def test_glossary(spark):
 
 
 def test_records(spark):
-    raw = "Sure!\n1:r0\tAnn\tHello\tthere\n1:r1\tHi\n1:r1\tBo\tagain\n9:r9\tX\ty\n1:r2\tC\t "
-    rows = spark.createDataFrame([(1, raw), (2, None)], "k int, raw string")
-    expected = spark.createDataFrame([(1, f"1:r{i}") for i in range(4)] + [(2, "z")], "k int, id string")
-    got, defects = requests.parse_records(rows, expected, key=["k"])
-    assert sorted((r.id, r.speaker, r.english) for r in got.collect()) == [("1:r0", "Ann", "Hello\tthere"), ("1:r1", "", "Hi")]
-    assert {r.k: (r.unexpected, r.duplicate, r.ignored, r.missing) for r in defects.collect()} == {1: (1, 1, 1, 2), 2: (0, 0, 0, 1)}
+    raw = "Sure!\n```tsv\n1:r0\tAnn\tHello\tthere\n1:r1\tHi\n1:r1\tBo\tagain\n9:r9\tX\ty\n1:r2\tC\t \n1:r2\tC\tlate\n```\n===NEW_TERMS===\n[{\"source\": \" 葵 \", \"english\": \"Aoi\", \"pronoun\": \"Female\", \"variants\": [\"あおい\", \" \"], \"note\": 3}, \"junk\", {\"english\": \"No source\"}]\n1:r3\tno\tline\nplain"
+    rows = spark.createDataFrame([(1, raw), (2, None), (3, "l1\tA\t\nl1\tA\tHello"), (4, "x\ty\n===NEW_TERMS===\n[{]"), (5, "===NEW_TERMS=== none ===NEW_TERMS=== []")], "k int, raw string")
+    expected = spark.createDataFrame([(1, f"1:r{i}") for i in range(4)] + [(2, "z"), (3, "l1"), (4, "x"), (5, "q")], "k int, id string")
+    got, defects, terms = requests.parse_records(rows, expected, key=["k"])
+    assert sorted((r.k, r.id, r.speaker, r.english) for r in got.collect()) == [(1, "1:r0", "Ann", "Hello\tthere"), (1, "1:r1", "", "Hi"), (1, "1:r2", "C", "late"), (3, "l1", "A", "Hello"), (4, "x", "", "y")]
+    assert {r.k: (r.unexpected, r.duplicate, r.ignored, r.missing) for r in defects.collect()} == {1: (1, 1, 1, 1), 2: (0, 0, 0, 1), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0), 5: (0, 0, 0, 1)}
+    found = {r.k: r for r in terms.collect()}
+    assert [t.asDict() for t in found[1].terms] == [{"source": "葵", "english": "Aoi", "type": "other", "note": "3", "pronoun": "Female", "register": "", "first_person": "", "reading": "", "variants": ["あおい"]}]
+    assert {k: r.warnings for k, r in found.items()} == {1: ["blank-term"], 2: ["no-terms-mark"], 3: ["no-terms-mark"], 4: ["terms-unreadable"], 5: []}
+
+
+def test_prose_responses(spark):
+    raw = {
+        1: "Let me translate.\n\nRain fell.\n\n***\n\nShe slept.\n===NEW_TERMS===\n[{\"source\": \"雨\", \"type\": \"Term\", \"reading\": \"あめ\"}] ===NEW_TERMS=== [1]",
+        2: "Rain.", 3: "Let me translate this chapter. Then Haru closed the shutters and lay down.\n===NEW_TERMS===\n", 4: "A===NEW_TERMS===[\"junk\", {\"source\": \"s\", \"english\": \"E\"}, 5]", 5: None, 6: "A\n===NEW_TERMS===\n{\"a\": [1}",
+    }
+    rows = spark.createDataFrame(list(raw.items()), "k int, raw string")
+    got = {r.k: r for r in requests.parse_prose(rows, key=["k"]).collect()}
+    assert {k: r.body for k, r in got.items()} == {1: "Rain fell.\n\nShe slept.", 2: "Rain.", 3: "Let me translate this chapter. Then Haru closed the shutters and lay down.", 4: "A", 5: "", 6: "A"}
+    assert {k: r.warnings for k, r in got.items()} == {1: ["commentary-removed", "terms-unreadable"], 2: ["no-terms-mark"], 3: ["commentary-mixed", "no-terms-array"], 4: [], 5: ["no-terms-mark", "no-text"], 6: ["no-terms-array"]}
+    assert [(t.source, t.english, t.type) for t in got[4].terms] == [("s", "E", "other")]
+    one = spark.createDataFrame([(1, 'A===NEW_TERMS===[{"source": "雨", "type": "Term", "reading": "あめ"}] done')], "k int, raw string")
+    assert [(t.source, t.type, t.reading) for t in requests.parse_prose(one, key=["k"]).first().terms] == [("雨", "term", "あめ")]
 
 
 def test_files(spark):
@@ -303,110 +320,6 @@ def test_plausible_decoding(spark):
         assert files.decode(data) == (text, "cp932")
 
 
-def test_sinks(spark, tmp_path):
-    rows = spark.createDataFrame([("w1", 1, True, "a"), ("w1", 2, False, "b"), ("w2", 1, True, "c")], "work_id string, idx int, ok boolean, text string")
-    files.write_accepted(rows, str(tmp_path / "read"), str(tmp_path / "audit"))
-    files.write_accepted(rows.filter("work_id = 'w1'").withColumn("text", F.lit("z")), str(tmp_path / "read"), str(tmp_path / "audit"))
-    assert {(r.work_id, r.idx, r.text) for r in spark.read.parquet(str(tmp_path / "read")).collect()} == {("w1", 1, "z"), ("w2", 1, "c")} and spark.read.parquet(str(tmp_path / "audit")).count() == 3
-    for version, text in ((1, "a"), (2, "b"), (3, "c"), (3, "d")):
-        files.write_version(spark.createDataFrame([(1, text)], "idx int, text string"), str(tmp_path / "v"), version=version)
-    assert {r.slot: r.text for r in files.keep_two_versions(spark, str(tmp_path / "v"), key=["idx"]).collect()} == {"current": "d", "previous": "b"}
-    spark.createDataFrame([("b", "t2", 2), ("a", "t1", 1), ("", "no", 0), (None, "no", 0)], "id string, title string, created_at int").write.json(str(tmp_path / "works"))
-    assert [r.id for r in files.read_library(spark, str(tmp_path / "works"), "id string, title string, created_at int").collect()] == ["a", "b"]
-
-
-LOG = [(1, 1, "delta", "a"), (1, 2, "chunk", ""), (1, 3, "delta", "b"), (1, 4, "reset", ""), (1, 5, "delta", "c"), (2, 6, "delta", "x"), (2, 7, "failed", ""), (2, 8, "clear", ""), (2, 9, "delta", "y"), (2, 10, "failed", ""), (1, 11, "failed", ""), (1, 12, "item", "")]
-
-
-def test_streams_equal_their_batch_twins(spark, tmp_path):
-    schema = "work_id long, event_id long, type string, payload string"
-    log = spark.createDataFrame(LOG, schema)
-    for k in range(3):  # three micro-batches in order
-        log.filter(f"event_id > {4 * k} and event_id <= {4 * k + 4}").coalesce(1).write.json(str(tmp_path / "in" / str(k)))
-    texts = {r.work_id: r.text for r in E.live_text(log).collect()}
-    assert texts == {1: "ac", 2: "y"}
-    last = {r.work_id: r.strikes for r in E.strikes(log).groupBy("work_id").agg(F.max_by("strikes", "event_id").alias("strikes")).collect()}
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
-    for name, job in (("texts", jobs.live_text), ("strikes", jobs.strikes)):
-        q = job(stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        assert q.awaitTermination(90)
-    seen = {r.work_id: r.text for r in spark.sql("SELECT work_id, max_by(text, event_id) AS text FROM texts GROUP BY work_id").collect()}
-    counts = {r.work_id: r.strikes for r in spark.sql("SELECT work_id, max_by(strikes, event_id) AS strikes FROM strikes GROUP BY work_id").collect()}
-    assert seen == texts and counts == last == {1: 0, 2: 2}
-
-
-ITEMS = [(1, 1, "queued", 5), (1, 2, "queued", 5), (1, 3, "item", 5), (1, 4, "queued", 5), (2, 5, "queued", 5), (1, 6, "queued", 7), (1, 7, "item", 5), (2, 8, "progress", 5), (1, 9, "queued", 7), (2, 10, "queued", 6), (1, 11, "done", 0), (2, 12, "delta", 1)]
-
-
-def item_stream(spark, folder):
-    log = spark.createDataFrame(ITEMS, "work_id long, event_id long, type string, item long").withColumn("ts", F.timestamp_seconds("event_id"))
-    for k in range(3):
-        log.filter(f"event_id > {4 * k} and event_id <= {4 * k + 4}").coalesce(1).write.json(str(folder / "in" / str(k)))
-    return log, spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).json(str(folder / "in" / "*"))
-
-
-def in_memory(stream, name, folder, mode, **trigger):
-    return stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(folder / name)).trigger(**trigger).start()
-
-
-def test_queues_over_streams(spark, tmp_path):
-    log, stream = item_stream(spark, tmp_path)
-    assert in_memory(jobs.queue_dedup(stream, key=["work_id", "item"]), "taken", tmp_path, "append", availableNow=True).awaitTermination(90)
-    want = {(r.work_id, r.item, r.event_id) for r in E.queue_dedup(log, key=["work_id", "item"]).collect()}
-    assert {(r.work_id, r.item, r.event_id) for r in spark.table("taken").collect()} == want == {(1, 5, 1), (1, 5, 4), (2, 5, 5), (1, 7, 6), (2, 6, 10)}
-    assert in_memory(jobs.current_state(stream), "now", tmp_path, "update", availableNow=True).awaitTermination(90)
-    got = {r.work_id: (r.event_id, r.s.type, r.s.pending) for r in spark.sql("SELECT work_id, max(event_id) AS event_id, max_by(struct(type, pending), event_id) AS s FROM now GROUP BY work_id").collect()}
-    assert got == {r.work_id: (r.event_id, r.type, r.pending) for r in E.current_state(log, key=["item"]).collect()} == {1: (11, "done", 1), 2: (12, "delta", 2)}
-
-
-def test_progress_and_repeats_over_streams(spark, tmp_path):
-    log, stream = item_stream(spark, tmp_path)
-    both = log.withColumns({"type": F.lit("progress"), "payload": F.col("item").cast("string")}), stream.withColumns({"type": F.lit("progress"), "payload": F.col("item").cast("string")})
-    assert in_memory(jobs.progress(both[1], every="5 seconds", late="0 seconds"), "steps", tmp_path, "append", availableNow=True).awaitTermination(90)
-    key = lambda r: (r.work_id, r.start, r.event_id, r.payload, r.updates)
-    want = {key(r) for r in E.coalesce_progress(both[0], every="5 seconds").collect()}
-    got = {key(r) for r in spark.table("steps").collect()}
-    assert got and got <= want and len(want) - len(got) <= 2  # the last windows are open yet
-    assert in_memory(jobs.queued(stream, key=["work_id", "item"]), "first", tmp_path, "append", availableNow=True).awaitTermination(90)
-    assert {(r.work_id, r.item) for r in spark.table("first").collect()} == {(1, 5), (2, 5), (1, 7), (2, 6)}
-
-
-def test_a_timer_gives_abandoned_items_back(spark, tmp_path):
-    import time
-
-    log, stream = item_stream(spark, tmp_path)
-    query = in_memory(jobs.abandoned(stream, idle_ms=4000), "back", tmp_path, "update", processingTime="500 milliseconds")
-    try:
-        began = time.monotonic()
-        while spark.table("back").count() < 3 and time.monotonic() - began < 80:
-            time.sleep(0.5)
-    finally:
-        query.stop()
-    none = log.filter("false").select("work_id")
-    assert {(r.work_id, r.item) for r in spark.table("back").collect()} == {(r.work_id, r.item) for r in E.abandoned(log, none, key=["item"]).collect()} == {(1, 7), (2, 5), (2, 6)}
-
-
-def test_the_log_and_late_results(spark, tmp_path):
-    """What is recorded survives a repeat; a person's skip outlasts a result that comes later."""
-    log, stream = item_stream(spark, tmp_path)
-    for turn in range(2):  # the second run has nothing new
-        query = jobs.record(stream, str(tmp_path / "log"), str(tmp_path / "record"), availableNow=True)
-        assert query.awaitTermination(90)
-    held = spark.read.parquet(str(tmp_path / "log")).drop("batch")
-    assert {r.event_id for r in held.collect()} == {r[1] for r in ITEMS if r[2] not in ("progress", "delta")}
-    assert {(r.work_id, r.event_id) for r in jobs.replay(held, n=3).collect()} == {(1, 7), (1, 9), (1, 11), (2, 5), (2, 10)}
-    late = held.unionByName(spark.createDataFrame([(1, 20, "item", 7)], "work_id long, event_id long, type string, item long").withColumn("ts", F.current_timestamp()))
-    assert not jobs.replay(late).filter("event_id = 20").count()
-    pages = spark.createDataFrame([(5, "reading", True), (6, "reading", True), (7, "reading", False)], "page_id long, status string, has_read boolean")
-    pages.write.parquet(str(tmp_path / "pages" / "batch=-1"))
-    results = stream.filter("type = 'queued'").selectExpr("item AS page_id", "'ok' AS status", "event_id")
-    said = lambda: spark.createDataFrame([(6, "skipped")], "page_id long, status string")
-    assert jobs.merge_results(results, said, str(tmp_path / "pages"), str(tmp_path / "merge"), availableNow=True).awaitTermination(90)
-    rows = spark.read.parquet(str(tmp_path / "pages"))
-    last = rows.agg(F.max("batch")).first()[0]
-    assert {r.page_id: r.status for r in rows.filter(F.col("batch") == last).collect()} == {5: "ok", 6: "skipped", 7: "ok"} and last == 2
-
-
 def test_extractors(spark):
     """Assembly takes text and heading from wherever it is told."""
     pages = spark.createDataFrame([(1, 1, 1, 1, "ok", "raw", {"t": "One"}), (1, 2, 2, 2, "ok", "raw", {"t": "Two", "h": "Part 2"})], "work_id int, ord int, seq int, page_id int, status string, text string, read map<string,string>")
