@@ -68,23 +68,31 @@ def reading_order(regions: DataFrame, *, direction: str = "rtl", slack: float =
     return out.drop("path", "drawn", "x0", "y0", "x1", "y1")
 
 
+BOX = ("page_id", "list_pos", "x", "y", "w", "h")
+
+
 def exact_order(regions: DataFrame, *, direction: str = "rtl", slack: float = SLACK, passes: int = PASSES) -> DataFrame:
-    """reading_order with as many passes as each page needs: pages that aren't settled are ordered again with twice as many, and only they."""
-    done, rows = None, regions
+    """Adds proposed and panel with as many passes as each page needs: pages that aren't settled are ordered again with twice as many, and only they.
+
+    Boxes alone are ordered and written down, words are joined to them by place (page_id, list_pos: one region each).
+    """
+    boxes = regions.select(*BOX)
+    done, rows = None, boxes
     while True:
-        found = reading_order(rows, direction=direction, slack=slack, passes=passes)
-        open_ = settled(found.filter("not settled").select("page_id").distinct())
-        closed = found if open_.isEmpty() else found.filter("settled")
+        found = settled(reading_order(rows, direction=direction, slack=slack, passes=passes))
+        open_ = found.filter("not settled").select("page_id").distinct()
+        closed = found.filter("settled").select("page_id", "list_pos", "proposed", "panel")
         done = closed if done is None else done.unionByName(closed)
         if open_.isEmpty():
-            return done
-        rows, passes = regions.join(open_, "page_id", "left_semi"), 2 * passes
+            return regions.join(done, ["page_id", "list_pos"])
+        rows, passes = boxes.join(open_, "page_id", "left_semi"), 2 * passes
 
 
 def check(regions: DataFrame, *, slack: float = SLACK, passes: int = PASSES) -> DataFrame:
-    """Per page: regions whose rank differs from the proposed one, and whether the order is that of the other direction."""
-    rtl = reading_order(regions, direction="rtl", slack=slack, passes=passes).withColumnRenamed("proposed", "rtl").drop("panel", "settled")
-    both = reading_order(rtl, direction="ltr", slack=slack, passes=passes).withColumnRenamed("proposed", "ltr").drop("panel", "settled")
+    """Per page: regions whose rank differs from the proposed one, and whether the order is that of the other direction; exact at any depth."""
+    rows = regions.select(*BOX, "ord")
+    both = exact_order(rows, direction="rtl", slack=slack, passes=passes).withColumnRenamed("proposed", "rtl").drop("panel")
+    both = exact_order(both, direction="ltr", slack=slack, passes=passes).withColumnRenamed("proposed", "ltr").drop("panel")
     now = F.row_number().over(Window.partitionBy("page_id").orderBy("ord", "list_pos")) - 1
     drawn = F.max(((F.col("w") > 0) & (F.col("h") > 0)).cast("int")) == 1
     per = both.withColumn("now", now).groupBy("page_id").agg(F.count("*").alias("regions"), F.count_if(F.col("now") != F.col("rtl")).alias("off"), F.bool_and(F.col("now") == F.col("ltr")).alias("as_ltr"), F.bool_and(F.col("ltr") == F.col("rtl")).alias("alike"), drawn.alias("drawn"))

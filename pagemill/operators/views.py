@@ -70,7 +70,7 @@ def delete_ids(rows: DataFrame, ids: DataFrame, *, key: list[str]) -> tuple[Data
 
 def page_payload(rows: DataFrame, stored: DataFrame, **how) -> DataFrame:
     """Regions with their lines, state, panel and whether they can be drawn."""
-    ordered = layout.panel_numbers(layout.reading_order(rows, **how))
+    ordered = layout.panel_numbers(layout.exact_order(rows, **how))
     fresh = lines.freshness(rows, stored).select("page_id", "region_id", "state", "english")
     out = ordered.join(fresh, ["page_id", "region_id"], "left")
     return out.withColumn("drawable", box_drawable(*[F.col(c) for c in "xywh"]))
@@ -78,7 +78,7 @@ def page_payload(rows: DataFrame, stored: DataFrame, **how) -> DataFrame:
 
 def script_lines(rows: DataFrame, **how) -> DataFrame:
     """Translatable lines in reading order with panel and hash."""
-    ordered = layout.panel_numbers(layout.reading_order(rows, **how)).filter(F.col("kind").isin(*TRANSLATED) & ~blank(F.col("text")))
+    ordered = layout.panel_numbers(layout.exact_order(rows, **how)).filter(F.col("kind").isin(*TRANSLATED) & ~blank(F.col("text")))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("ord", "list_pos")) - 1
     return ordered.select("page_id", "region_id", "kind", "text", "number", place.alias("place"), lines.region_hash(F.col("text")).alias("source_hash"))
 
@@ -157,15 +157,25 @@ def reconcile(rows: DataFrame, stored: DataFrame, incoming: DataFrame, pages: Da
     return merged, lines.apply_reads(pages, results.withColumns({c: F.lit(None) for c in ("work_id", "usage", "cost_usd") if c not in results.columns}), ordered)[0]
 
 
-def build_pages(rows: DataFrame, corrections: DataFrame, pages: DataFrame, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Readings to chapters and runs: furniture, corrections with their headings, page text, seams, assembly."""
-    marked, _ = lines.apply_corrections(regions.mark_furniture(rows).drop("changed"), corrections)
+def build_pages(rows: DataFrame, corrections: DataFrame, pages: DataFrame, *, saved: DataFrame | None = None, old: DataFrame | None = None, **how) -> dict[str, DataFrame]:
+    """Readings to chapters and runs (R4) -> chapters, spans, warnings, notes (page_id, note).
+
+    Furniture is marked, the order that people saved is laid over the machine's words, then their corrections with the
+    headings that follow them; from the pages' text come seams, chapters and runs. old(work_id, page_ids, status): a run of
+    exactly the same pages keeps its status. notes say which orders and corrections no longer fit.
+    """
+    found = regions.mark_furniture(rows).drop("changed")
+    orders = saved if saved is not None else rows.filter("false").select("page_id", F.lit(0).alias("rank"), "text", F.col("region_id").alias("region_id_hint"))
+    ordered, bad = lines.apply_order(found, orders)
+    marked, lost = lines.apply_corrections(ordered, corrections)
     text = seams.flatten(marked)
     full = lines.correct_headings(pages, marked).join(text, "page_id", "left")
     proposed = seams.propose(full.filter("status <> 'skipped'"), **how)
     merged = seams.merge(full, proposed)
     chapters, warnings = seams.chapters(merged)
-    return chapters, seams.spans(merged)[0], warnings
+    runs = seams.spans(merged)[0]
+    notes = bad.select("page_id", F.lit("order-lost").alias("note")).unionByName(lost.select("page_id", F.lit("correction-lost").alias("note")).distinct())
+    return {"chapters": chapters, "spans": runs if old is None else seams.carry_status(old, runs), "warnings": warnings, "notes": notes}
 
 
 def find(rows: DataFrame, asked: DataFrame, on: list[str], order: list[str]) -> DataFrame:

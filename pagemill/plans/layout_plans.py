@@ -64,12 +64,12 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REGIONS_SQL}, {LTR} SELECT page_id, list_pos, proposed FROM ltr")
 def reading_order_ltr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.reading_order(regions_of(spark, sf_dir), direction="ltr").select("page_id", "list_pos", "proposed")
+    return layout.exact_order(regions_of(spark, sf_dir), direction="ltr").select("page_id", "list_pos", "proposed")
 
 
 @query(f"WITH {REGIONS_SQL}, {RTL} SELECT page_id, list_pos, panel FROM rtl")
 def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.reading_order(regions_of(spark, sf_dir)).select("page_id", "list_pos", "panel")
+    return layout.exact_order(regions_of(spark, sf_dir)).select("page_id", "list_pos", "panel")
 
 
 CHECK_SQL = f"""{REGIONS_SQL}, {RTL}, {LTR}, now AS (SELECT page_id, list_pos, row_number() OVER (PARTITION BY page_id ORDER BY ord, list_pos)::INT - 1 AS now FROM regions),
@@ -78,6 +78,31 @@ per AS (SELECT page_id, count(*) AS regions, count(*) FILTER (now <> rtl.propose
   FROM now JOIN rtl USING (page_id, list_pos) JOIN ltr USING (page_id, list_pos) GROUP BY page_id)"""
 
 
+#: Pages of boxes that halve what is left, down and across in turn: a page of n boxes needs n passes.
+NESTED_SQL = "nested AS (SELECT doc_id AS page_id, n, unnest(range(n)) AS k FROM (SELECT doc_id, 1 + length(coalesce(text, '')) % 18 AS n FROM documents))"
+
+
+def nested_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = 1 + F.length(F.coalesce("text", F.lit(""))) % 18
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.explode(F.sequence(F.lit(0), n - 1)).alias("list_pos"))
+    k = F.col("list_pos")
+    down, across = F.pow(F.lit(0.5), F.ceil(k / 2)), F.pow(F.lit(0.5), F.floor(k / 2))
+    even = k % 2 == 0
+    return rows.select("page_id", "list_pos", (1 - across).alias("x"), (1 - down).alias("y"), F.when(even, across).otherwise(across / 2).alias("w"), F.when(even, down / 2).otherwise(down).alias("h"), k.alias("ord"))
+
+
+@query(f"WITH {NESTED_SQL} SELECT page_id, k::INT AS list_pos, (CASE WHEN k % 2 = 0 THEN k // 2 ELSE n - 1 - k // 2 END)::INT AS proposed, (CASE WHEN k % 2 = 0 THEN k // 2 ELSE n - 1 - k // 2 END)::INT AS panel FROM nested")
+def nested_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading order of pages cut up to eighteen times (W1, W2): what is below comes after, what is to the right before."""
+    return layout.exact_order(nested_of(spark, sf_dir), slack=0).select("page_id", "list_pos", "proposed", "panel")
+
+
+@query(f"WITH {NESTED_SQL} SELECT page_id, count(*) AS regions, count(*) FILTER (k <> CASE WHEN k % 2 = 0 THEN k // 2 ELSE n - 1 - k // 2 END) AS disagreement, n >= 3 AS reversed FROM nested GROUP BY page_id, n")
+def nested_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order check of such pages (A12, W11): their given order is that from left to right."""
+    return layout.check(nested_of(spark, sf_dir), slack=0)
+
+
 @query(f"WITH {CHECK_SQL} SELECT page_id, regions, disagreement FROM per")
 def order_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.check(regions_of(spark, sf_dir)).drop("reversed")
@@ -98,7 +123,7 @@ numbered AS (SELECT page_id, list_pos, region_id, kind, text, ord, CASE WHEN f I
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.panel_numbers(layout.reading_order(regions_of(spark, sf_dir)))
+    return layout.panel_numbers(layout.exact_order(regions_of(spark, sf_dir)))
 
 
 @query(f"WITH {NUMBER_SQL} SELECT page_id, list_pos, number FROM numbered")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import leaks, lines, regions, views
@@ -216,22 +216,54 @@ def build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("work_id").agg(F.count("*").alias("pages"), F.count_if(used).alias("used"), F.count_if(F.col("status") == "skipped").alias("skipped"))
 
 
-@query(
-    f"""WITH {P.BASE_SQL}, r AS (SELECT *, CASE WHEN list_pos % 3 = 1 THEN 'right ' || list_pos ELSE text END AS now FROM regions WHERE kind IN {regions.PROSE}),
-t AS (SELECT page_id, string_agg(now, chr(10) || chr(10) ORDER BY ord, list_pos) AS text FROM r GROUP BY page_id),
-p AS (SELECT page_id, page_id // 8 AS work_id, text, page_id % 8 = 4 AS cut FROM t WHERE page_id % 9 <> 4),
-g AS (SELECT *, sum((cut OR n = 1)::INT) OVER (PARTITION BY work_id ORDER BY page_id)::INT AS idx FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY page_id) AS n FROM p))
-SELECT work_id, idx, sha256(string_agg(text, chr(10) || chr(10) ORDER BY page_id)) AS text, count(*) AS pages FROM g GROUP BY work_id, idx"""
-)
-def page_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings to chapters in one plan (R4): corrections laid over, seams proposed where no person set one, a user's seam begins a chapter."""
+BUILD_SQL = f"""{P.BASE_SQL}, o AS (SELECT *, CASE WHEN page_id % 5 = 2 THEN row_number() OVER (PARTITION BY page_id ORDER BY -list_pos) - 1 ELSE ord END AS place FROM regions),
+r AS (SELECT *, CASE WHEN list_pos % 3 = 1 THEN 'right ' || list_pos ELSE text END AS now FROM o WHERE kind IN {regions.PROSE}),
+t AS (SELECT page_id, string_agg(now, chr(10) || chr(10) ORDER BY place, list_pos) AS text FROM r GROUP BY page_id),
+every AS (SELECT DISTINCT page_id, page_id // 8 AS work_id, page_id % 8 = 4 AS cut FROM regions WHERE page_id % 9 <> 4), p AS (SELECT * FROM every JOIN t USING (page_id))"""
+
+
+def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Pages of readings with corrections, orders that people saved, and their seams."""
     rows = P.regions_of(spark, sf_dir).withColumns({"join_prev": F.lit(""), "join_glue": F.lit("none")})
     k = F.col("page_id")
     cut = k % 8 == 4
     flags = {c: F.lit(False) for c in ("ends_mid_word", "ends_mid_sentence", "starts_mid_sentence")}
-    pages = rows.select("page_id").distinct().select("page_id", F.floor(k / 8).cast("long").alias("work_id"), k.alias("ord"), k.alias("seq"), F.when(k % 9 == 4, "skipped").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("heading"), F.when(cut, "chapter").otherwise("").alias("join_prev"), F.lit("none").alias("join_glue"), F.when(cut, "user").otherwise("model").alias("join_prev_source")).withColumns(flags)
+    pages = rows.select("page_id").distinct().select(
+        "page_id", F.floor(k / 8).cast("long").alias("work_id"), k.alias("ord"), k.alias("seq"), F.when(k % 9 == 4, "skipped").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("heading"),
+        F.when(cut, "chapter").otherwise("").alias("join_prev"), F.lit("none").alias("join_glue"), F.when(cut, "user").otherwise("model").alias("join_prev_source"), *[v.alias(c) for c, v in flags.items()],
+    )
     fixed = rows.filter("list_pos % 3 = 1").select("page_id", "region_id", F.col("text").alias("from_text"), F.concat(F.lit("right "), F.col("list_pos").cast("string")).alias("to_text"))
-    return views.build_pages(rows, fixed, pages)[0].select("work_id", "idx", F.sha2("text", 256).alias("text"), "pages")
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(-F.col("list_pos"))) - 1
+    saved = rows.filter(k % 5 == 2).select("page_id", rank.alias("rank"), "text", F.col("region_id").alias("region_id_hint"))
+    lost = rows.filter((k % 5 == 3) & (F.col("list_pos") > 0)).select("page_id", F.col("list_pos").alias("rank"), "text", F.col("region_id").alias("region_id_hint"))
+    begins = F.sum(cut.cast("int")).over(Window.partitionBy("work_id").orderBy("page_id"))
+    runs = pages.filter("status <> 'skipped'").withColumn("g", begins).groupBy("work_id", "g").agg(F.sort_array(F.collect_list("page_id")).alias("page_ids"))
+    old = runs.select("work_id", F.when(F.col("work_id") % 2 == 0, F.col("page_ids")).otherwise(F.slice("page_ids", 2, 100)).alias("page_ids"), F.lit("done").alias("status"))
+    return views.build_pages(rows, fixed, pages, saved=saved.unionByName(lost), old=old)
+
+
+@query(
+    f"""WITH {BUILD_SQL}, g AS (SELECT *, sum((cut OR n = 1)::INT) OVER (PARTITION BY work_id ORDER BY page_id)::INT AS idx FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY page_id) AS n FROM p))
+SELECT work_id, idx, sha256(string_agg(text, chr(10) || chr(10) ORDER BY page_id)) AS text, count(*) AS pages FROM g GROUP BY work_id, idx"""
+)
+def page_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings to chapters in one plan (R4): saved orders and corrections laid over, seams proposed where no person set one, a user's seam begins a chapter."""
+    return _built(spark, sf_dir)["chapters"].select("work_id", "idx", F.sha2("text", 256).alias("text"), "pages")
+
+
+@query(
+    f"""WITH {BUILD_SQL}, g AS (SELECT *, sum((cut OR n = 1)::INT) OVER (PARTITION BY work_id ORDER BY page_id)::INT AS idx FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY page_id) AS n FROM every))
+SELECT work_id, idx, min(page_id) AS start_seq, max(page_id) AS end_seq, count(*) AS pages, CASE WHEN work_id % 2 = 0 THEN 'done' ELSE 'new' END AS status FROM g GROUP BY work_id, idx"""
+)
+def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the same build with the status of an old run of exactly the same pages."""
+    return _built(spark, sf_dir)["spans"].select("work_id", "idx", "start_seq", "end_seq", F.size("page_ids").cast("long").alias("pages"), "status")
+
+
+@query(f"WITH {P.BASE_SQL} SELECT DISTINCT page_id, 'order-lost' AS note FROM regions WHERE page_id % 5 = 3")
+def build_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What people saved and no longer fits (R4, J9): orders that leave a region out."""
+    return _built(spark, sf_dir)["notes"]
 
 
 @query(f"WITH {L.CHECK_SQL} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'skipped' ELSE 'ok' END AS status, disagreement FROM per")
