@@ -39,6 +39,8 @@ SPLIT = 2048
 SALT = 512
 #: Bits of the smallest and the largest parity bitmap.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Characters of text that a task turns into sets at once, and shingles that it counts together.
+SLICE, COUNTED = 3_000_000, 1 << 21
 #: Bits of a bitmap that goes out to all tasks: 32 MB.
 MOST_MARKS = 1 << 28
 #: Odd numbers without a pattern, one for each place in a shingle.
@@ -78,13 +80,20 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 def frequent_shingles(docs: DataFrame, words: int = WORDS, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of at most `most` shingles: those counted most often, down to a power of two."""
 
+    def counted_once(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        several = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(values[several].view(np.int64)), pa.array(counts[several].astype(np.int64))], names=["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            for part in slices(batch):
-                own = shingle_sets(part.column("text"), words)
-                values, counts = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
-                several = counts > 1
-                yield pa.RecordBatch.from_arrays([pa.array(values[several].view(np.int64)), pa.array(counts[several].astype(np.int64))], names=["shingle", "n"])
+            for part in slices(batch, limit=SLICE):
+                held += shingle_sets(part.column("text"), words)
+                if sum(map(len, held)) >= COUNTED:
+                    yield counted_once(held)
+                    held = []
+        yield counted_once(held)
 
     counted = save(doc_text(docs).select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "counts")
     sizes = {r.power: r.shingles for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("shingles")).collect()}
@@ -146,7 +155,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
         frequent, counts = order.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 own = shingle_sets(part.column("text"), words)
                 nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in own), np.uint64, len(own))
                 first = [prefix(s, frequent, counts, percent).view(np.int64) for s in own]
@@ -184,7 +193,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             at = np.asarray(batch.column("mark"))
             some = batch.filter(pa.array((marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            for part in slices(some):
+            for part in slices(some, limit=SLICE):
                 own = shingle_sets(part.column("text"), words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array([s.tobytes() for s in own], pa.binary())], names=["doc_id", "hash", "own"])
 
@@ -214,44 +223,80 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long")
 
 
+class Block:
+    """Members of one block of a list: node, label, n, major (of the list's largest component), keys (the lists a node is in), bits."""
+
+    def __init__(self, rows: list[dict], key: int, percent: int):
+        self.key, self.percent = key, percent
+        self.node, self.label, self.n = (np.array([r[c] for r in rows]) for c in ("node", "label", "n"))
+        self.major = np.array([r["major"] for r in rows], bool)
+        self.keys = [np.array(r["keys"]) for r in rows]
+        bits = [np.frombuffer(r["bits"], np.uint64) for r in rows]
+        widths = np.array([len(b) for b in bits])
+        self.shelves = [(np.flatnonzero(widths == w), np.stack([b for b in bits if len(b) == w])) for w in np.unique(widths)]
+
+    def partners(self, row: dict) -> np.ndarray:
+        """Members that may be alike with one that asks: those of the major component, and of other ones those of a larger node; each pair under the first list that both are in only."""
+        total = self.n + row["n"]
+        fine = (self.label != row["label"]) & (self.major | (self.node > row["node"])) & (100 * np.minimum(self.n, row["n"]) >= self.percent * np.maximum(self.n, row["n"]))
+        bits, found = np.frombuffer(row["bits"], np.uint64), [np.zeros(0, np.int64)]
+        for at, words in self.shelves:
+            some = np.flatnonzero(fine[at])
+            if len(some):
+                apart = least_difference(bits, words[some])
+                found.append(at[some[(100 + self.percent) * apart <= (100 - self.percent) * total[at[some]]]])
+        keys = np.array(row["keys"])
+        met = [k for k in np.concatenate(found).tolist() if np.intersect1d(self.keys[k], keys, assume_unique=True)[0] == self.key]
+        return self.node[met]
+
+
 def list_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, block, asks, major, node, label, n, bits), whole (key, block) in a task, members before those that ask -> pairs (u, v).
+    """Rows (key, block, asks, major, node, label, n, keys, bits), whole (key, block) in a task, members before those of other blocks that ask -> pairs (u, v), each once.
 
-    One that asks meets each member of the block that is of another component: the ones of the list's major component, and
-    of the others those of a larger node, so that a pair is met once.
+    Members that are not of the list's major component ask within their own block, too.
     """
-    key, held, members = None, None, []
+    key, members, block = None, [], None
     for batch in batches:
-        u: list[np.ndarray] = []
-        v: list[np.ndarray] = []
+        u: list[np.ndarray] = [np.zeros(0, np.int64)]
+        v: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+        def ask(row: dict) -> None:
+            found = block.partners(row)
+            u.append(np.full(len(found), row["node"], np.int64))
+            v.append(found)
+
+        def close() -> None:
+            nonlocal block, members
+            if members:
+                block = Block(members, key[0], percent)
+                for row in members:
+                    if not row["major"]:
+                        ask(row)
+                members = []
+
         for row in batch.to_pylist():
             if (row["key"], row["block"]) != key:
-                key, held, members = (row["key"], row["block"]), None, []
-            bits = np.frombuffer(row["bits"], np.uint64)
+                close()
+                key, block = (row["key"], row["block"]), None
             if not row["asks"]:
-                members.append((row["node"], row["label"], row["n"], row["major"], bits))
-                continue
-            if held is None:
-                held = [np.array(x) for x in zip(*(m[:4] for m in members), strict=True)] if members else []
-                widths = np.array([len(m[4]) for m in members])
-                shelf = {int(w): (np.flatnonzero(widths == w), np.stack([m[4] for m in members if len(m[4]) == w])) for w in np.unique(widths)}
-            if not held:
-                continue
-            node, label, n, major = held
-            total = n + row["n"]
-            fine = (label != row["label"]) & (major.astype(bool) | (node > row["node"])) & (100 * np.minimum(n, row["n"]) >= percent * np.maximum(n, row["n"]))
-            for at, words in shelf.values():
-                some = np.flatnonzero(fine[at])
-                if len(some):
-                    apart = least_difference(bits, words[some])
-                    some = some[(100 + percent) * apart <= (100 - percent) * total[at[some]]]
-                    u.append(np.full(len(some), row["node"], np.int64))
-                    v.append(node[at[some]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*u, np.zeros(0, np.int64)])), pa.array(np.concatenate([*v, np.zeros(0, np.int64)]))], names=["u", "v"])
+                members.append(row)
+            else:
+                close()
+                if block:
+                    ask(row)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if members:
+        block = Block(members, key[0], percent)
+        for row in members:
+            if not row["major"]:
+                v.append(block.partners(row))
+                u.append(np.full(len(v[-1]), row["node"], np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
 
 def left_pairs(lists: DataFrame, nodes: DataFrame, percent: int, split: int = SPLIT) -> DataFrame:
-    """lists(key, node, label), nodes(node, n, bits) -> distinct pairs (u, v) under one key and of different labels that sizes and bitmaps allow.
+    """lists(key, node, label), nodes(node, n, bits) -> pairs (u, v) under one key and of different labels that sizes and bitmaps allow, each once.
 
     Of lists with the same members one counts. Of a key's components the largest asks nothing: its members meet the others'
     questions, dealt to blocks of about `split`.
@@ -259,12 +304,14 @@ def left_pairs(lists: DataFrame, nodes: DataFrame, percent: int, split: int = SP
     counted = lists.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     apart = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("members"), F.sum("who").alias("who"), F.count("*").alias("labels")).filter("labels > 1")
     apart = apart.groupBy("members", "who", "most").agg(F.min("key").alias("key"))
-    rows = save(lists.join(apart.select("key", "most", F.ceil(F.col("members") / split).cast("int").alias("parts")), "key"), "lists").join(nodes.select("node", "n", "bits"), "node").withColumn("major", F.col("label") == F.col("most"))
-    kept = [F.col(c) for c in ("major", "node", "label", "n", "bits")]
-    members = rows.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"), F.lit(False).alias("asks"), *kept)
-    asking = rows.filter("not major").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(True).alias("asks"), *kept)
+    rows = save(lists.join(apart.select("key", "most", F.ceil(F.col("members") / split).cast("int").alias("parts")), "key"), "lists")
+    within = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a node is in as many lists as its prefix has shingles at most
+    rows = rows.join(nodes.select("node", "n", "bits").join(within, "node"), "node").withColumns({"major": F.col("label") == F.col("most"), "own": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")})
+    kept = [F.col(c) for c in ("major", "node", "label", "n", "keys", "bits")]
+    members = rows.select("key", F.col("own").alias("block"), F.lit(False).alias("asks"), *kept)
+    asking = rows.filter("not major and parts > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("block <> own").select("key", "block", F.lit(True).alias("asks"), *kept)
     dealt = members.unionByName(asking).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
-    return dealt.mapInArrow(lambda it: list_pairs(it, percent), "u long, v long").distinct()
+    return dealt.mapInArrow(lambda it: list_pairs(it, percent), "u long, v long")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

@@ -113,11 +113,16 @@ def test_jaccard_components_are_the_plain_ones(spark, monkeypatch):
 def test_filters_of_lists_lose_no_pair():
     """Members of a list in their own components: every alike pair is among the pairs that blocks give."""
     family = [jaccard.shingle_sets(pa.array([t for _, t in near_family(1, 60, 150, 2) + near_family(1, 20, 150, 1)]), 4)][0]
-    rows = [{"key": 1, "block": 0, "major": False, "node": k, "label": k, "n": len(s), "bits": jaccard.parity_bits(s)} for k, s in enumerate(family)]
-    batch = pa.RecordBatch.from_pylist([r | {"asks": False} for r in rows] + [r | {"asks": True} for r in rows])
-    found = {(u, v) for out in jaccard.list_pairs(iter([batch]), 85) for u, v in zip(*(c.to_pylist() for c in out.columns))}
+    rows = [{"key": 1, "block": 0, "asks": False, "major": k == 0, "node": k, "label": k, "n": len(s), "keys": [1, 5], "bits": jaccard.parity_bits(s)} for k, s in enumerate(family)]
+    other = [r | {"block": 1, "asks": r["node"] % 2 == 0} for r in rows]
+    other += [r | {"key": 5, "block": 0} for r in rows[:9]]  # the same ones in another list: not once more
+    batch = pa.RecordBatch.from_pylist(rows + sorted(other, key=lambda r: (r["key"], r["asks"])))
+    pairs = [p for out in jaccard.list_pairs(iter([batch.slice(0, 7), batch.slice(7)]), 85) for p in zip(*(c.to_pylist() for c in out.columns))]
+    found = {tuple(sorted(p)) for p in pairs}
+    alone = [p for out in jaccard.list_pairs(iter([pa.RecordBatch.from_pylist(rows)]), 85) for p in zip(*(c.to_pylist() for c in out.columns))]
+    assert {tuple(sorted(p)) for p in alone} == found and len(alone) == len(found)
     good = {(a, b) for a, b in itertools.combinations(range(len(family)), 2) if jaccard.alike(family[a], family[b], 85)}
-    assert good and good <= {tuple(sorted(p)) for p in found} and len(found) < len(family) * (len(family) - 1) // 2
+    assert good and good <= found and len(found) < len(family) * (len(family) - 1) // 2
     a, b = family[0], family[5]
     assert jaccard.least_difference(np.frombuffer(jaccard.parity_bits(a), np.uint64), np.frombuffer(jaccard.parity_bits(b), np.uint64)[None])[0] <= len(np.setxor1d(a, b))
 
