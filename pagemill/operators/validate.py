@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ELLIPSIS_RUN
+from ..functions.text import ELLIPSIS_RUN, script_fraction
 from . import leaks
 from .metrics import measures
 from .segment import paragraphs
@@ -36,14 +36,14 @@ def _is(value: str) -> Callable[[Column], Column]:
 
 
 def pairs(rows: DataFrame, *, key: list[str], script: str, residue: leaks.ResidueRules = leaks.ResidueRules(), chatter: leaks.ChatterRules = leaks.ChatterRules(), rules: PairRules = PairRules(), between: str = leaks.BLANK_LINE, terms: DataFrame | None = None) -> DataFrame:
-    """rows(key, source, output), one per key -> measures, failures, warnings, ok. All within the row; only terms are joined to it."""
+    """rows(key, source, output), one per key -> measures (the fraction of the source's script as it stands and without kept terms), findings, failures, warnings, ok. All within the row; only terms are joined to it."""
     counts = ("paragraph_count", "dialogue_count", "char_count")
     blocks = leaks.judged_blocks(F.col("output"), chatter, between)
     held = rows.select(*key, "output", paragraphs(F.col("source"), between).alias("__source"), paragraphs(F.col("output"), between).alias("__output"), F.transform(blocks, lambda b: b["verdict"]).alias("__verdicts"))
     held = leaks.reported(leaks.subtract(held, text="output", rules=residue, terms=terms, key=key), residue)
     sides = {f"{name}_{c}": measures(F.col(f"__{name}"), script=script)[c] for name in ("source", "output") for c in counts}
     number = {f"__{v}": F.size(F.filter("__verdicts", _is(v))) for v in ("remove", "report")}
-    both = held.withColumns({**sides, **number}).select(*key, "output", *sides, *number, "residual_fraction", "flagged")
+    both = held.withColumns({**sides, **number}).select(*key, "output", *sides, *number, "residual_fraction", "flagged", F.col("found").alias("findings"), F.bround(script_fraction(F.col("output"), residue.measured), 4).alias("output_source_fraction"))
     source, out = F.col("source_char_count"), F.col("output_char_count")
     ratio = F.when(source > 0, out / source).otherwise(0.0)
     allowed = F.greatest(F.lit(rules.paragraphs_off), F.bround(F.col("source_paragraph_count") * rules.paragraphs_share, 0).cast("int"))

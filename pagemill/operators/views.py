@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import box_drawable, tolerant_bool, tolerant_box, tolerant_int, tolerant_notes
 from ..functions.text import blank, sha
-from . import glossary, incremental, layout, lines, regions, requests, seams
+from . import glossary, incremental, layout, leaks, lines, regions, requests, seams, validate
+from .ranks import settled
 from .regions import TRANSLATED
 
 #: How the two parts of a glossary block begin.
@@ -118,29 +119,43 @@ def prompt_block(entries: DataFrame, hits: DataFrame, *, key: list[str], entry:
     return both.select(*key, F.array_join(parts, "\n\n").alias("block"))
 
 
-def merge_responses(attempts: DataFrame, *, key: list[str], judged: DataFrame, state: DataFrame | None = None, pending: DataFrame | None = None, entries: DataFrame | None = None, now: Column | None = None) -> dict[str, DataFrame]:
-    """attempts(key, attempt, raw, usage, cost_usd, content_hash), judged(key, attempt, n_failures) -> accepted, audit, terms, ledger, state, pending (R2).
+def judge_responses(attempts: DataFrame, sources: DataFrame, *, key: list[str], script: str, terms: DataFrame | None = None, between: str = leaks.BLANK_LINE, glue: str = "\n\n", chatter: leaks.ChatterRules = leaks.ChatterRules(), **rules) -> DataFrame:
+    """attempts(key, attempt, raw), sources(key, source) -> key, attempt, body, terms, said (what parsing warns of), and the verdict of validation: measures, failures, warnings, findings, n_failures (A11 over S11).
 
-    The best attempt counts, every attempt is paid for. Only accepted ones are readable and give terms; new terms wait in
-    pending (source, english, type, pronoun, seq). State gets status, attempts and hash over what it had.
+    terms(rank, spelling) are what may stay in the source's words. An attempt without a source is judged against an empty one.
     """
+    each = [*key, "attempt"]
+    parsed = requests.parse_prose(attempts, key=each, chatter=chatter, between=between, glue=glue).withColumnRenamed("warnings", "said")
+    rows = parsed.select(*each, F.col("body").alias("output")).join(sources.select(*key, "source"), key, "left").withColumn("source", F.coalesce("source", F.lit("")))
+    judged = validate.pairs(rows, key=each, script=script, chatter=chatter, between=between, terms=terms, **rules)
+    return parsed.join(judged.withColumn("n_failures", F.size("failures")), each)
+
+
+def merge_responses(attempts: DataFrame, sources: DataFrame, *, key: list[str], script: str, state: DataFrame | None = None, pending: DataFrame | None = None, entries: DataFrame | None = None, now: Column | None = None, **rules) -> dict[str, DataFrame]:
+    """attempts(key, attempt, raw, usage, cost_usd), sources(key, source, content_hash) -> accepted, audit, terms, ledger, state, pending, variants (R2).
+
+    Each attempt is parsed and validated here; the best one counts, every one is paid for. Only one without failures is
+    readable and gives terms, with all they say of themselves; new terms wait in pending, and what names an entry's English
+    in another spelling comes back as a variant. State gets status, attempts and hash over what it had. The glossary's
+    spellings may stay in the output.
+    """
+    terms = None if entries is None else glossary.spellings(entries, ["source"]).groupBy("spelling").agg(F.min("rank").alias("rank"))
+    judged = settled(judge_responses(attempts, sources, key=key, script=script, terms=terms, **rules))
     best = requests.best_attempt(judged, key=key)
-    parsed = requests.parse_prose(attempts.join(best, [*key, "attempt"]), key=[*key, "attempt", "n_failures"])
-    audit = parsed.withColumn("ok", F.col("n_failures") == 0)
+    audit = best.withColumn("ok", F.col("n_failures") == 0)
     accepted, _ = requests.route(audit)
-    terms = accepted.select(*key, F.explode("terms").alias("t")).select(*key, "t.source", "t.english", F.coalesce("t.type", F.lit("thing")).alias("type"))
-    out = {"accepted": accepted.drop("ok", "terms"), "audit": audit.drop("terms"), "terms": terms}
+    proposed = accepted.select(*key, F.posexplode("terms").alias("place", "t")).select(*key, "place", *[f"t.{c}" for c in (*requests.TERM_FIELDS, "variants")])
+    out = {"accepted": accepted.select(*key, "attempt", "body"), "audit": audit.drop("terms"), "terms": proposed}
     if "usage" in attempts.columns:
-        out["ledger"] = attempts.join(judged.select(*key).distinct(), key, "left_semi").select(*key, "usage", "cost_usd")
+        out["ledger"] = attempts.select(*key, "attempt", "usage", "cost_usd")
     if state is not None:
-        tries = attempts.groupBy(*key).agg(F.count("*").alias("attempts"), F.max_by("content_hash", "attempt").alias("source_hash"))
+        tries = attempts.groupBy(*key).agg(F.count("*").alias("attempts"))
         status = F.when(F.col("ok"), "validated").otherwise("needs-review")
-        delta = audit.select(*key, status.alias("status")).join(tries, key)
+        delta = audit.select(*key, status.alias("status")).join(tries, key).join(sources.select(*key, F.col("content_hash").alias("source_hash")), key, "left")
         out["state"] = incremental.overlay(state, delta.select(*key, *[c for c in ("status", "source_hash", "attempts") if c in state.columns]), keys=key, now=now)
     if pending is not None and entries is not None:
-        proposed = terms.withColumns({"pronoun": F.lit(""), "seq": F.monotonically_increasing_id()})
-        queued, variants, _ = glossary.admit(proposed, pending, entries)
-        out |= {"pending": queued, "variants": variants}
+        queued, variants, _ = glossary.admit(proposed.withColumn("seq", F.struct(*key, "place")), pending, entries)
+        out |= {"pending": queued.drop("seq", "place"), "variants": variants}
     return out
 
 

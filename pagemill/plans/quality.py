@@ -130,23 +130,28 @@ def _side(name: str) -> str:
     return f"len({p})::BIGINT AS {name}_paragraph_count, len(list_filter({p}, lambda p: regexp_matches(p, '[{T.QUOTES}]')))::BIGINT AS {name}_dialogue_count, {NONSPACE % f'array_to_string({p}, chr(10))'}::BIGINT AS {name}_char_count"
 
 
-@query(
-    f"""WITH turns AS (SELECT conv_id, turn, role, text AS source, lead(role) OVER w AS nxt, lead(text) OVER w AS output FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-p AS (SELECT conv_id * 1000 + turn AS k, conv_id, turn, source, output FROM turns WHERE role = 'user' AND nxt = 'assistant'),
-m AS (SELECT k, conv_id, turn, output, {_side('source')}, {_side('output')} FROM p),
-{clean_sql('p', 'k', 'output')}, {REPORT_SQL % {'key': 'k'}}, {verdict_sql('p', 'k', 'output')},
+def pairs_sql(p: str = "p") -> str:
+    """CTEs from p(k, conv_id, turn, source, output) to f: measures, failures and what warnings are made of."""
+    return f"""m AS (SELECT k, conv_id, turn, output, {_side('source')}, {_side('output')}, round_even(CASE WHEN {NONSPACE % 'output'} = 0 THEN 0 ELSE len(regexp_extract_all(output, '[{RESIDUE.measured}]')) / {NONSPACE % 'output'} END, 4) AS output_source_fraction FROM {p}),
+{clean_sql(p, 'k', 'output')}, {REPORT_SQL % {'key': 'k'}}, {verdict_sql(p, 'k', 'output')},
 v AS (SELECT k, count(*) FILTER (verdict = 'remove') AS removed, count(*) FILTER (verdict = 'report') AS suspicious FROM judged GROUP BY k),
-j AS (SELECT m.*, residual_fraction, flagged, coalesce(removed, 0) AS removed, coalesce(suspicious, 0) AS suspicious, CASE WHEN source_char_count > 0 THEN output_char_count / source_char_count ELSE 0 END AS ratio FROM m JOIN reported USING (k) LEFT JOIN v USING (k)),
+j AS (SELECT m.*, residual_fraction, flagged, findings, coalesce(removed, 0) AS removed, coalesce(suspicious, 0) AS suspicious, CASE WHEN source_char_count > 0 THEN output_char_count / source_char_count ELSE 0 END AS ratio FROM m JOIN reported USING (k) LEFT JOIN v USING (k)),
 f AS (SELECT *, source_char_count > 0 AND (ratio < 0.5 OR ratio > 2.0) AS off,
   list_filter([CASE WHEN suspicious > 0 THEN 'commentary' END, CASE WHEN residual_fraction > 0.1 THEN 'wholesale' WHEN flagged THEN 'residue' END,
-    CASE WHEN abs(output_paragraph_count - source_paragraph_count) > greatest(2, round_even(source_paragraph_count * 0.05, 0)) THEN 'paragraphs' END], lambda x: x IS NOT NULL) AS failures FROM j)
-SELECT conv_id, turn, source_paragraph_count, source_dialogue_count, source_char_count, output_paragraph_count, output_dialogue_count, output_char_count, residual_fraction, round(ratio, 3) AS length_ratio, failures,
+    CASE WHEN abs(output_paragraph_count - source_paragraph_count) > greatest(2, round_even(source_paragraph_count * 0.05, 0)) THEN 'paragraphs' END], lambda x: x IS NOT NULL) AS failures FROM j)"""
+
+
+@query(
+    f"""WITH turns AS (SELECT conv_id, turn, role, text AS source, lead(role) OVER w AS nxt, lead(text) OVER w AS output FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id * 1000 + turn AS k, conv_id, turn, source, output FROM turns WHERE role = 'user' AND nxt = 'assistant'), {pairs_sql()}
+SELECT conv_id, turn, source_paragraph_count, source_dialogue_count, source_char_count, output_paragraph_count, output_dialogue_count, output_char_count, residual_fraction, output_source_fraction, findings, round(ratio, 3) AS length_ratio, failures,
   list_filter([CASE WHEN removed > 0 THEN 'removed' END, CASE WHEN source_char_count = 0 THEN 'uncounted' END, CASE WHEN off THEN 'ratio' END, CASE WHEN abs(output_dialogue_count - source_dialogue_count) > 3 THEN 'dialogue' END,
     CASE WHEN regexp_matches(output, '{T.ELLIPSIS_RUN}') THEN 'ellipsis-dots' END, CASE WHEN contains(output, '…') THEN 'ellipsis-character' END, CASE WHEN regexp_matches(output, '[「」『』]') THEN 'corner-quotes' END,
     CASE WHEN output_dialogue_count > 0 AND contains(output, '"') AND NOT regexp_matches(output, '[“”]') THEN 'straight-quotes' END], lambda x: x IS NOT NULL) AS warnings, len(failures) = 0 AS ok FROM f"""
 )
 def validate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.pairs(turn_pairs(spark, sf_dir), key=["conv_id", "turn"], script=ACCENTED, residue=RESIDUE, chatter=CHATTER, rules=RULES, between=LINE)
+    found = validate.pairs(turn_pairs(spark, sf_dir), key=["conv_id", "turn"], script=ACCENTED, residue=RESIDUE, chatter=CHATTER, rules=RULES, between=LINE)
+    return found.withColumn("findings", F.size("findings").cast("long"))
 
 
 @query(

@@ -10,6 +10,7 @@ from . import layout_plans as L
 from . import lines_plans as P
 from . import pages_plans as G
 from . import quality as Q
+from .corpus import ACCENTED, STRIP
 from .registry import ORACLES, query, table
 from .terms import ENTRIES_SQL, entries_of
 
@@ -123,28 +124,36 @@ def glossary_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every turn of a conversation as an attempt at its first one; terms come after the text, some with commentary before it."""
     rows = table(spark, sf_dir, "conversations").withColumnRenamed("turn", "attempt")
-    term = F.concat(F.lit('[{"source":"s'), (F.col("conv_id") % 40).cast("string"), F.lit('","english":"E'), F.col("conv_id").cast("string"), F.lit('"}]'))
+    c = F.col("conv_id").cast("string")
+    term = F.concat(F.lit('[{"source":"s'), (F.col("conv_id") % 40).cast("string"), F.lit('","english":"'), F.when(F.col("conv_id") % 7 == 2, "known").otherwise(F.concat(F.lit("E"), c)), F.lit('","pronoun":"'), F.when(F.col("conv_id") % 2 == 0, "She").otherwise("Female"), F.lit('","note":"n'), c, F.lit('"}]'))
     usage = F.create_map(F.lit("tokens"), F.length("text").cast("long"))
-    attempts = rows.select("conv_id", "attempt", F.concat("text", F.lit("\n===NEW_TERMS===\n"), term).alias("raw"), usage.alias("usage"), F.lit(0.5).cast("decimal(18,6)").alias("cost_usd"), F.sha2(F.col("conv_id").cast("string"), 256).alias("content_hash"))
-    judged = rows.select("conv_id", "attempt", (F.length("text") % 3).alias("n_failures"))
+    before = F.when(F.col("attempt") % 3 == 1, F.lit("### done\n")).otherwise("")
+    attempts = rows.select("conv_id", "attempt", F.concat(before, "text", F.lit("\n===NEW_TERMS===\n"), term).alias("raw"), usage.alias("usage"), F.lit(0.5).cast("decimal(18,6)").alias("cost_usd"))
+    sources = rows.filter("attempt = 0").select("conv_id", F.col("text").alias("source"), F.sha2("text", 256).alias("content_hash"))
     old = F.lit("2024-01-01").cast("timestamp")
     state = rows.filter("conv_id % 2 = 0").select("conv_id").distinct().withColumns({"status": F.lit("prepared"), "source_hash": F.lit("old"), "attempts": F.lit(0).cast("long"), "created_at": old, "updated_at": old})
     entries = spark.createDataFrame([("s3", "Known", [], "thing", "")], "source string, english string, variants array<string>, type string, reading string")
     pending = spark.createDataFrame([("s5",)], "source string")
-    return views.merge_responses(attempts, key=["conv_id"], judged=judged, state=state, pending=pending, entries=entries, now=F.lit("2024-02-01").cast("timestamp"))
+    rules = {"residue": Q.RESIDUE, "chatter": Q.CHATTER, "rules": Q.RULES, "between": Q.LINE, "glue": "\n"}
+    return views.merge_responses(attempts, sources, key=["conv_id"], script=ACCENTED, state=state, pending=pending, entries=entries, now=F.lit("2024-02-01").cast("timestamp"), **rules)
 
 
-BEST_SQL = "best AS (SELECT conv_id, arg_min(turn, (length(text) % 3) * 1000000 + turn) AS attempt, min(length(text) % 3) = 0 AS ok, count(*) AS n FROM conversations GROUP BY conv_id)"
+BEST_SQL = f"""raws AS (SELECT conv_id * 1000 + turn AS k, conv_id, turn, text FROM conversations),
+bodies AS (WITH {Q.verdict_sql('raws', 'k', 'text')} SELECT k, {STRIP % "coalesce(string_agg(b, chr(10) ORDER BY place) FILTER (verdict <> 'remove'), '')"} AS output FROM raws LEFT JOIN judged USING (k) GROUP BY k),
+p AS (SELECT k, conv_id, turn, coalesce((SELECT text FROM conversations c WHERE c.conv_id = raws.conv_id AND c.turn = 0), '') AS source, output FROM raws JOIN bodies USING (k)), {Q.pairs_sql()},
+best AS (SELECT conv_id, arg_min(turn, len(failures) * 1000000 + turn) AS attempt, min(len(failures)) AS n_failures, min(len(failures)) = 0 AS ok, count(*) AS n FROM f GROUP BY conv_id)"""
 
 
-@query(f"WITH {BEST_SQL} SELECT conv_id, attempt, ok FROM best")
+@query(f"WITH {BEST_SQL} SELECT best.conv_id, attempt, ok, n_failures::INT AS n_failures, sha256(f.output) AS body, f.failures, f.residual_fraction, f.findings FROM best JOIN f ON f.conv_id = best.conv_id AND f.turn = best.attempt")
 def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best attempt of each conversation, parsed and audited (R2)."""
-    return _responses(spark, sf_dir)["audit"].select("conv_id", "attempt", "ok")
+    """The best attempt of each conversation, parsed, validated and audited (R2)."""
+    found = _responses(spark, sf_dir)["audit"]
+    return found.select("conv_id", "attempt", "ok", "n_failures", F.sha2("body", 256).alias("body"), "failures", "residual_fraction", F.size("findings").cast("long").alias("findings"))
 
 
-@query(f"WITH {BEST_SQL} SELECT conv_id, CASE WHEN ok THEN 'validated' ELSE 'needs-review' END AS status, sha256(conv_id::VARCHAR) AS source_hash, n AS attempts, CASE WHEN conv_id % 2 = 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS created_at FROM best")
+@query(f"WITH {BEST_SQL} SELECT best.conv_id, CASE WHEN ok THEN 'validated' ELSE 'needs-review' END AS status, sha256(source) AS source_hash, n AS attempts, CASE WHEN best.conv_id % 2 = 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS created_at FROM best JOIN p ON p.conv_id = best.conv_id AND p.turn = 0")
 def response_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State rows after the merge (R2)."""
     return _responses(spark, sf_dir)["state"].drop("updated_at")
@@ -156,10 +165,16 @@ def response_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _responses(spark, sf_dir)["ledger"].agg(F.sum(F.col("usage")["tokens"]).alias("tokens"), F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"))
 
 
-@query(f"WITH {BEST_SQL} SELECT DISTINCT 's' || (conv_id % 40) AS source FROM best WHERE ok AND conv_id % 40 NOT IN (3, 5)")
+@query(f"WITH {BEST_SQL}, t AS (SELECT 's' || (conv_id % 40) AS source, min(conv_id) AS c FROM best WHERE ok AND conv_id % 40 NOT IN (3, 5) AND conv_id % 7 <> 2 GROUP BY ALL) SELECT source, 'E' || c AS english, CASE WHEN c % 2 = 0 THEN 'she' ELSE '' END AS pronoun, 'n' || c AS note, 'other' AS type FROM t")
 def response_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New terms of accepted answers wait for a decision; known and waiting ones don't come again (R2)."""
-    return _responses(spark, sf_dir)["pending"].select("source")
+    """New terms of accepted answers wait for a decision with what they say of themselves; known and waiting ones don't come again (R2)."""
+    return _responses(spark, sf_dir)["pending"].select("source", "english", "pronoun", "note", "type")
+
+
+@query(f"WITH {BEST_SQL} SELECT DISTINCT 's3' AS \"of\", 's' || (conv_id % 40) AS source FROM best WHERE ok AND conv_id % 40 NOT IN (3, 5) AND conv_id % 7 = 2")
+def response_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms whose English an entry has already, in another spelling."""
+    return _responses(spark, sf_dir)["variants"]
 
 
 @query("SELECT doc_id AS asked, (SELECT min(doc_id) FROM documents e WHERE e.text = d.text) AS found FROM documents d WHERE doc_id % 7 = 0 AND text IS NOT NULL")
