@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,13 @@ FENCE = r"\A\s*```\w*\s*\z"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def chunk(chapters: DataFrame, *, key: list[str], paragraphs: str = "paragraphs", threshold: int = 12_000) -> DataFrame:
-    """Paragraphs filled into chunks in order up to `threshold` characters that are no white space; a longer one stands alone.
+def chunk(chapters: DataFrame, *, key: list[str], paragraphs: str = "paragraphs", threshold: int = 12_000, text: Callable[[Column], Column] = lambda p: p) -> DataFrame:
+    """Paragraphs filled into chunks in order up to `threshold` characters that are no white space; a longer one stands alone (W18). text: that of a paragraph, where it is not all of it.
 
     The sum starts anew with each chunk, so it is a fold over the ordered paragraphs, not a window. The fold keeps the size
     of the open chunk and where chunks begin, the paragraphs are cut out afterwards.
     """
-    sizes = F.transform(paragraphs, nonspace_length)
+    sizes = F.transform(paragraphs, lambda p: nonspace_length(text(p)))
     start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
 
     def step(s: Column, n: Column) -> Column:

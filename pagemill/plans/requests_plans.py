@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import glossary, intake, requests, segment
+from ..operators import glossary, intake, regions, requests, scripts, segment
+from ..operators.ranks import settled
 from ..sources import files
+from . import layout_plans as L
 from .corpus import NONSPACE, PARAS, STRIP
 from .registry import query, table
 from .terms import ENTRIES_SQL, entries_of
@@ -54,6 +56,52 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return due.withColumn("body", F.sha2("body", 256))
 
 
+SCRIPT_THRESHOLD, SCRIPT_TAIL = 300, 2
+SCRIPT_SQL = f"""{L.NUMBER_SQL}, line AS (SELECT page_id // 6 AS work_id, page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord, list_pos) AS place, page_id || ':' || list_pos AS id, list_pos, kind, text, number,
+  lag(number) OVER (PARTITION BY page_id ORDER BY ord, list_pos) AS before FROM numbered WHERE kind IN {regions.TRANSLATED}),
+blk AS (SELECT work_id, page_id, row_number() OVER (PARTITION BY work_id ORDER BY page_id) AS n, string_agg(CASE WHEN before IS DISTINCT FROM number THEN 'Page ' || page_id || CASE WHEN number > 0 THEN ', panel ' || number ELSE '' END || chr(10) ELSE '' END || id || chr(9) || '[' || kind || ']' || chr(9) || text, chr(10) ORDER BY place) AS block FROM line GROUP BY work_id, page_id),
+sized_blk AS (SELECT *, {NONSPACE % 'block'}::BIGINT AS s FROM blk),
+fill AS (SELECT work_id, page_id, n, block, s, 0::BIGINT AS chunk_no, s AS size FROM sized_blk WHERE n = 1
+  UNION ALL SELECT z.work_id, z.page_id, z.n, z.block, z.s, CASE WHEN w.size + z.s > {SCRIPT_THRESHOLD} THEN w.chunk_no + 1 ELSE w.chunk_no END, CASE WHEN w.size + z.s > {SCRIPT_THRESHOLD} THEN z.s ELSE w.size + z.s END FROM fill w JOIN sized_blk z ON z.work_id = w.work_id AND z.n = w.n + 1),
+chunked AS (SELECT work_id, chunk_no, min(page_id) AS first_page, string_agg(block, chr(10) || chr(10) ORDER BY n) AS body, count(*) OVER (PARTITION BY work_id) AS total FROM fill GROUP BY work_id, chunk_no),
+told AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY page_id, place) AS no, text || CASE WHEN list_pos % 4 = 3 THEN '' ELSE chr(9) || '->' || chr(9) || 'E' || list_pos || ' ' || text END AS both_ FROM line),
+ended AS (SELECT c.work_id, c.chunk_no, string_agg(t.both_, chr(10) ORDER BY t.no) AS tail FROM chunked c JOIN (SELECT work_id, page_id, min(no) AS no FROM told GROUP BY ALL) f ON f.work_id = c.work_id AND f.page_id = c.first_page
+  JOIN told t ON t.work_id = c.work_id AND t.no BETWEEN f.no - {SCRIPT_TAIL} AND f.no - 1 WHERE c.chunk_no > 0 GROUP BY ALL)"""
+
+
+def script_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("page_id").orderBy("ord", "list_pos")
+    rows = L.numbered(spark, sf_dir).filter(F.col("kind").isin(*regions.TRANSLATED))
+    id_ = F.concat_ws(":", F.col("page_id").cast("string"), F.col("list_pos").cast("string"))
+    return rows.select(F.floor(F.col("page_id") / 6).cast("long").alias("work_id"), F.col("page_id").alias("page_seq"), F.row_number().over(order).alias("place"), id_.alias("id"), "kind", "text", F.col("number").alias("panel"))
+
+
+def _answers(lines: DataFrame, due: DataFrame) -> DataFrame:
+    """What a model might answer: most lines, some noise, and another chunk's line, which does not count."""
+    pos = F.split("id", ":")[1].cast("int")
+    line = F.when(pos % 4 == 3, F.concat("id", F.lit("\t\t"))).otherwise(F.concat_ws("\t", "id", F.lit("who"), F.concat(F.lit("E"), pos.cast("string"), F.lit(" "), F.col("text"))))
+    rows = due.select("work_id", "chunk_no", F.posexplode("ids").alias("k", "id")).join(lines.select("work_id", "id", "text"), ["work_id", "id"])
+    made = rows.groupBy("work_id", "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("r")))), lambda x: x["r"]), "\n").alias("r"))
+    return made.select("work_id", "chunk_no", F.concat(F.lit("Sure.\n0:0\twho\tnot asked\n"), "r", F.lit(f"\n{requests.TERMS_MARK}\n[]")).alias("raw"))
+
+
+@query(
+    f"""WITH RECURSIVE {SCRIPT_SQL} SELECT work_id, chunk_no::INT AS chunk_no, chunk_no::INT AS round, sha256(coalesce(tail, '')) AS tail, sha256(CASE WHEN total > 1 THEN 'Part ' || (chunk_no + 1) || ' of ' || total || '; done up to part ' || greatest(1, chunk_no) || '.' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN tail IS NOT NULL THEN '{scripts.WORDS["tail"]}' || chr(10) || chr(10) || tail || chr(10) || chr(10) ELSE '' END || CASE WHEN chunk_no = 0 THEN '{scripts.WORDS["title"]}W' || work_id || chr(10) || chr(10) ELSE '' END || CASE WHEN work_id % 2 = 1 THEN '{scripts.WORDS["notes"]}short' || chr(10) || chr(10) ELSE '' END
+  || '{scripts.WORDS["body"]}' || chr(10) || chr(10) || body) AS message, sha256(CASE WHEN work_id % 3 = 0 THEN 'terms of ' || work_id || chr(10) || chr(10) ELSE '' END || '{scripts.CONTRACT}') AS system FROM chunked LEFT JOIN ended USING (work_id, chunk_no)"""
+)
+def script_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests for scripts, asked and answered round by round until nothing is due, with message, glossary block and tail."""
+    lines = settled(script_of(spark, sf_dir))  # read in every round
+    works = lines.select("work_id").distinct()
+    w = F.col("work_id")
+    about = works.select("work_id", F.concat(F.lit("W"), w.cast("string")).alias("title"), F.when(w % 2 == 1, "short").alias("notes"))
+    blocks = works.filter(w % 3 == 0).select("work_id", F.concat(F.lit("terms of "), w.cast("string")).alias("block"))
+    none = spark.createDataFrame([], "work_id long, chunk_no int, raw string")
+    asked, _ = scripts.rounds(lambda responses: scripts.due_scripts(lines, responses, key=["work_id"], threshold=SCRIPT_THRESHOLD, tail=SCRIPT_TAIL, about=about, blocks=blocks), lambda due: _answers(lines, due), none)
+    return asked.select("work_id", "chunk_no", "round", F.sha2("tail", 256).alias("tail"), F.sha2("message", 256).alias("message"), F.sha2("system", 256).alias("system"))
+
+
 @query("SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
 def continuity_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.continuity_tail(table(spark, sf_dir, "conversations"), key=["conv_id"], order="turn").select("conv_id", "turn")
