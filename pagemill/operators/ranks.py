@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """The rows as they came out once, in the folder of spark.checkpoint.dir (on one machine a new one, where it is unset)."""
-    context = rows.sparkSession.sparkContext
-    folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of spark.checkpoint.dir (on one machine a new one, where it is unset)."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return folder or context.getCheckpointDir()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows as they came out once, in the shared folder."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

@@ -292,46 +292,47 @@ def replay(log: DataFrame, *, n: int = 1000, terminal: tuple[str, ...] = ("done"
     return replay_tail(open_, n=n, leave=())
 
 
+def merge_result_batch(pages: Buckets, batch: DataFrame, decisions: DataFrame, *, version: int) -> None:
+    """One batch of results (page_id, status, event_id) into the table, after the decisions (page_id, status, decided) that are not in it yet."""
+    since = pages.mark(before=version)
+    said = decisions.filter(F.lit(True) if since is None else F.col("decided") > since)
+    upto = said.agg(F.max("decided")).first()[0]
+    said = said if upto is None else said.filter(F.col("decided") <= upto)
+    newest = said.groupBy("page_id").agg(F.max_by("status", "decided").alias("status"))
+    last = batch.groupBy("page_id").agg(F.max_by("status", "event_id").alias("status"))
+    touched = last.select("page_id").unionByName(newest.select("page_id"))
+    pages.merge(touched, lambda old: lines.merge_pages(lines.decide_pages(old, newest)[0], last), version=version, mark=upto)
+
+
 def merge_results(stream: DataFrame, decisions: Callable[[], DataFrame], pages: Buckets, checkpoint: str, **trigger):
     """Results of reads (page_id, status, event_id) into a keyed table of pages (T-8): a micro-batch rewrites the buckets of its pages and of new decisions, and no others.
 
     `decisions` gives what people have decided by then (page_id, status, decided: a number that grows); a page that one of
     them skipped stays so, however late the result comes. The table's mark is the last decision that is in it. A batch that
-    comes again starts from the version before it and takes the decisions since then.
+    comes again starts from the version before it and takes the decisions since then. Version 0 is where the table begins.
     """
+    return merge_batches(stream, lambda batch, number: merge_result_batch(pages, batch, decisions(), version=number + 1), checkpoint, **trigger)
+
+
+def merge_outcome_batch(items: Buckets, batch: DataFrame, *, version: int) -> None:
+    """One batch of results (key, event_id, result) into the table of items (key, status, applied)."""
+    key = list(items.key)
+    came = batch.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("event_id", "result"))).alias("__came"))
 
-    def merge(batch: DataFrame, number: int) -> None:
-        version = number + 1  # version 0 is where the table begins
-        since = pages.mark(before=version)
-        said = decisions().filter(F.lit(True) if since is None else F.col("decided") > since)
-        upto = said.agg(F.max("decided")).first()[0]
-        said = said if upto is None else said.filter(F.col("decided") <= upto)
-        newest = said.groupBy("page_id").agg(F.max_by("status", "decided").alias("status"))
-        last = batch.groupBy("page_id").agg(F.max_by("status", "event_id").alias("status"))
-        touched = last.select("page_id").unionByName(newest.select("page_id"))
-        pages.merge(touched, lambda old: lines.merge_pages(lines.decide_pages(old, newest)[0], last), version=version, mark=upto)
+    def change(old: DataFrame) -> DataFrame:
+        now = came.join(old, key, "left").withColumns({"status": F.coalesce("status", F.lit("new")), "applied": F.coalesce("applied", F.lit(-1).cast("long"))})
+        fresh = F.filter("__came", lambda r: r["event_id"] > F.col("applied"))
+        folded = F.aggregate(fresh, F.col("status"), lambda status, r: outcome(status, r["result"]))
+        done = now.withColumns({"status": folded, "applied": F.greatest("applied", F.array_max(F.transform("__came", lambda r: r["event_id"])))})
+        return upsert(old, done.select(*items.schema.names), items.key)
 
-    return merge_batches(stream, merge, checkpoint, **trigger)
+    items.merge(came, change, version=version)
 
 
 def merge_outcomes(stream: DataFrame, items: Buckets, checkpoint: str, **trigger):
-    """Results (key, event_id, result) into a keyed table of items with a status (T-10): done work is never downgraded, and each result counts once.
+    """Results into a keyed table of items with a status (T-10): done work is never downgraded, and each result counts once.
 
     An item's results in a batch are folded in the order of event_id; `applied`, the last event in the row, keeps results
     that come again from counting again. Items that the table does not have begin as `new`.
     """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        key = list(items.key)
-        came = batch.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("event_id", "result"))).alias("__came"))
-
-        def change(old: DataFrame) -> DataFrame:
-            now = came.join(old, key, "left").withColumns({"status": F.coalesce("status", F.lit("new")), "applied": F.coalesce("applied", F.lit(-1).cast("long"))})
-            fresh = F.filter("__came", lambda r: r["event_id"] > F.col("applied"))
-            folded = F.aggregate(fresh, F.col("status"), lambda status, r: outcome(status, r["result"]))
-            done = now.withColumns({"status": folded, "applied": F.greatest("applied", F.array_max(F.transform("__came", lambda r: r["event_id"])))})
-            return upsert(old, done.select(*items.schema.names), items.key)
-
-        items.merge(came, change, version=number + 1)
-
-    return merge_batches(stream, merge, checkpoint, **trigger)
+    return merge_batches(stream, lambda batch, number: merge_outcome_batch(items, batch, version=number + 1), checkpoint, **trigger)
