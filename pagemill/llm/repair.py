@@ -1,10 +1,10 @@
 """Conversation repair: the cheapest edits that make a conversation's roles a system turn at most and then user and assistant in turn.
 
-A depth-first branch-and-bound search with an explicit stack decides each conversation. A prefix of edits is given up where
+A depth-first branch-and-bound search with an explicit stack decides each conversation, below the cost of a first guess. A prefix of edits is given up where
 its cost and the suffix's lower bound reach the incumbent, or where the table of its node (row, state) has a prefix as cheap;
 edits are tried in ASCII order, so that of prefixes as cheap the first one met is the ASCII-least, and the incumbent
-(cost, audit) is proved optimal when the stack is empty. The bound adds, over the rows left, what each costs by itself and 2
-for each disjoint pair of neighbours of one role, whatever is done to them.
+(cost, audit) is proved optimal when the stack is empty. The bound is the cost of what is left where every few rows may begin
+in the state that suits them best.
 
 A conversation of any length is worked on in segments of SEGMENT rows, whose rows are coded in a byte each: each segment has
 a table of its cheapest costs between states, tables are chained backwards to what the rest of the conversation costs from
@@ -39,7 +39,8 @@ OTHER, FALLEN, TRUNCATED = 3, 4, 8
 NEXT = ({0: 1, 1: 2}, {1: 2}, {2: 3}, {1: 2})
 #: States in which a conversation may end.
 ENDS = (0, 3)
-SEGMENT = 256
+#: Rows that a search decides at once, and rows after which its bound counts every state as the cheapest one.
+SEGMENT, RELAXED = 128, 8
 FAR = 1 << 40
 SPACES, ENDINGS = "\x20\x09\x0a\x0b\x0c\x0d", ".!?"
 
@@ -90,7 +91,7 @@ def row_table(code: int) -> np.ndarray:
     return times(INSERTS, table)
 
 
-_TABLES = {code: row_table(code) for code in range(16)}
+_TABLES = {code: row_table(code).tolist() for code in range(16)}
 
 
 def segment_table(codes: bytes) -> np.ndarray:
@@ -98,7 +99,7 @@ def segment_table(codes: bytes) -> np.ndarray:
     table = np.full((4, 4), FAR)
     np.fill_diagonal(table, 0)
     for code in codes:
-        table = times(table, _TABLES[code])
+        table = times(table, np.array(_TABLES[code]))
     return table
 
 
@@ -107,38 +108,38 @@ def end_costs() -> list[int]:
     return [int(min(INSERTS[a, b] for b in ENDS)) for a in range(4)]
 
 
-def lower_bounds(codes: bytes) -> tuple[list[int], list[int]]:
-    """For each place: rows from there on cost at least so much where rows have been kept before, and where none has."""
-    n = len(codes)
-    started, fresh = [0] * (n + 1), [0] * (n + 1)
-    pairs, beyond = [0] * (n + 1), [0] * (n + 1)  # disjoint pairs of neighbours, and the same beyond the next row that stays
-    after, after_at = None, n
-    for i in range(n - 1, -1, -1):
-        code = codes[i]
-        if code & FALLEN:
-            cost, pairs[i] = DELETE, pairs[i + 1]
-        else:
-            initial = code & 3
-            cost = (CUT if code & TRUNCATED else 0) + (RENAME if initial in (0, OTHER) else 0)
-            same = initial in (1, 2) and after == initial
-            pairs[i] = max(pairs[i + 1], 1 + pairs[after_at + 1] if same else 0)
-            after, after_at = initial, i
-        beyond[i] = beyond[i + 1] + cost
-        started[i] = beyond[i] + INSERT * pairs[i]
-    systems = 0
-    for i in range(n - 1, -1, -1):
-        systems |= not codes[i] & FALLEN and codes[i] & 3 == 0
-        fresh[i] = started[i] - (RENAME if systems else 0)  # one system turn may stay
-    return started, fresh
+def lower_bounds(codes: bytes, rest: Sequence[int]) -> list[list[int]]:
+    """For each place and state: the rows from there on, and what comes after them, cost at least so much.
+
+    Exact to the next multiple of RELAXED rows, where every state counts as the cheapest one; so the bound falls short by
+    what joining these pieces costs, and no more.
+    """
+    bounds = [list(rest)]
+    for i in range(len(codes) - 1, -1, -1):
+        after, table = bounds[-1], _TABLES[codes[i]]
+        if (len(codes) - i - 1) % RELAXED == 0 and i < len(codes) - 1:
+            after = [min(after)] * 4
+        bounds.append([min(x + y for x, y in zip(row, after, strict=True)) for row in table])
+    return bounds[::-1]
+
+
+def first_cost(codes: bytes, state: int, bounds: list[list[int]], last: bool) -> int:
+    """What it costs to take the edit of the least bound each time."""
+    i, cost, n = 0, 0, len(codes)
+    while i < n or (last and state not in ENDS):
+        moves = [(c, i + 1, to) for _, c, to in (row_moves(codes[i], state) if i < n else [])] + [(c, i, to) for c, to in insert_moves(state)]
+        c, i, state = min(moves, key=lambda m: (m[0] + bounds[m[1]][m[2]], -m[1]))
+        cost += c
+    return cost + (0 if last else bounds[n][state])
 
 
 def search(codes: bytes, state: int, rest: Sequence[int], last: bool) -> tuple[int, str, int] | None:
     """(cost, audit, state after) of the cheapest, of these the ASCII-least edits from a state, where `rest` is what the conversation costs from each state after; last: inserts may end it."""
     n = len(codes)
-    started, fresh = lower_bounds(codes)
-    after = min(rest)
+    bounds = lower_bounds(codes, rest)
     table: dict[tuple[int, int], int] = {}
     incumbent: tuple[int, str, int] | None = None
+    limit = first_cost(codes, state, bounds, last) + 1  # what is as cheap as the first guess may have a lesser audit
     audit: list[str] = []
     stack: list[tuple[int, int, int, int, str]] = [(0, state, 0, 0, "")]  # row, state, cost, depth, edit
     while stack:
@@ -146,16 +147,15 @@ def search(codes: bytes, state: int, rest: Sequence[int], last: bool) -> tuple[i
         del audit[max(0, depth - 1) :]
         if edit:
             audit.append(edit)
-        bound = cost + (started[i] if at else fresh[i]) + after
-        if incumbent and bound >= incumbent[0]:
+        if cost + bounds[i][at] >= limit:
             continue
         if table.get((i, at), FAR) <= cost:
             continue
         table[i, at] = cost
         if i == n and (not last or at in ENDS):
             total = cost + (0 if last else rest[at])
-            if total < FAR and (incumbent is None or total < incumbent[0]):
-                incumbent = (total, "".join(audit), at)
+            if total < limit:
+                incumbent, limit = (total, "".join(audit), at), total
             if not last:
                 continue
         moves = [(edit, i + 1, c, to) for edit, c, to in (row_moves(codes[i], at) if i < n else [])]

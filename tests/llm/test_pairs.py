@@ -161,14 +161,18 @@ def coded(rows):
 def test_search_is_the_plain_one():
     for _ in range(1500):
         rows = [(str(rng.choice(list("suax"), p=[0.1, 0.4, 0.4, 0.1])), bool(rng.random() < 0.15), bool(rng.random() < 0.2)) for _ in range(int(rng.integers(0, 14)))]
-        got = repair.search(coded(rows), 0, [0 if s in repair.ENDS else 9 for s in range(4)], True)
+        got = repair.search(coded(rows), 0, repair.end_costs(), True)
         assert got[:2] == plain_repair(rows), rows
 
 
 def test_bounds_are_below_and_long_ones_end():
     rows = [(str(rng.choice(list("sua"), p=[0.05, 0.5, 0.45])), bool(rng.random() < 0.2), bool(rng.random() < 0.3)) for _ in range(256)]
-    assert repair.search(coded(rows), 0, [0, 9, 9, 0], True)[:2] == plain_repair(rows)
-    assert repair.lower_bounds(coded(rows))[1][0] <= plain_repair(rows)[0]
+    assert repair.search(coded(rows), 0, repair.end_costs(), True)[:2] == plain_repair(rows)
+    bounds = repair.lower_bounds(coded(rows), repair.end_costs())
+    assert bounds[0][0] <= plain_repair(rows)[0] and bounds[-1] == repair.end_costs()
+    for i in (0, 100, 250):  # each state's bound is below what the rest costs from it
+        exact = repair.search(coded(rows)[i:], 2, repair.end_costs(), True)[0]
+        assert exact - 40 <= bounds[i][2] <= exact
 
 
 def plain_query(rows):
