@@ -1,14 +1,18 @@
 """WARC files and a Merkle audit of replicas.
 
 An archive's files hold its pages as response records, one gzip member each, a fixed run of page ids to a file. The audit
-reads the files of two replicas back and hashes them into trees. A leaf is a slot (the place of a page id in its file): the
-digests and bytes of its records. A node is an ordered range: the hash of its FAN children in order, each with its offset in
+reads the files of two replicas back and hashes them into trees. A leaf is a slot (the place of a page id in its file): of each of its
+records the bytes as they lie in the file, their length, and which record lies before it, so that a byte changed anywhere, in
+a member's header too, and records in another order are differences. A node is an ordered range: the hash of its FAN children in order, each with its offset in
 the range and its length; above the slots of a file come the file, ranges of files, and one root for the archive. The audit
 compares the roots and goes down only where two nodes differ, so that records of sound branches are never compared.
 
 What is no record (a broken member, bytes between records, a file cut off) is a range of type `damaged`, and reading goes on
 at the next record that is whole. It lies in the slot after the record before it, so that a lost record's slot differs by
-what is in its place. Offsets and lengths are those of the plain bytes; those in the file stand beside them.
+what is in its place. The tree's offsets and lengths are those in the file; what the audit returns are those of the plain bytes.
+
+Files are known by their path below the archive's folder. Records of other archives, which have no page id, lie in slots by
+the hash of their record id.
 
 Null urls and texts are empty. Records of one page_id (repeated rows) share a slot; the leaf then holds their number, the
 sum of their digests and the outermost two, whatever their order. Rows without page_id lie in NO_ID_FILES files with
@@ -17,6 +21,7 @@ negative numbers, in slots by the hash of their url. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import gzip
 import hashlib
 import re
@@ -27,6 +32,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as Windowed
 from pyspark.sql import functions as F
 
 from .common import parts_for, save, scratch
@@ -215,15 +221,21 @@ def read_member(window: Window, at: int, keep: bool) -> tuple[int, Record] | Non
 
 
 def warc_rows(file, size: int, keep: bool = False) -> Iterator[tuple]:
-    """(ordinal, offset, length, stored offset, stored length, type, record id, uri, digest, plain bytes with keep) of each record and damaged range, in one pass."""
+    """(ordinal, offset, length, stored offset, stored length, type, record id, uri, digest, digest of the stored bytes, plain bytes with keep) of each record and damaged range, in one pass."""
     window, at, offset, ordinal, bad = Window(file, size), 0, 0, 0, -1
 
+    def stored_digest(begin: int, length: int) -> str:
+        digest = hashlib.sha256()
+        for part in window.pieces(begin, length):
+            digest.update(part)
+        return digest.hexdigest()
+
     def damaged() -> tuple:
         digest, parts = hashlib.sha256(), []
         for part in window.pieces(bad, at - bad):
             digest.update(part)
             parts += [bytes(part)] if keep else []
-        return ordinal, offset, at - bad, bad, at - bad, "damaged", "", "", digest.hexdigest(), b"".join(parts) if keep else None
+        return ordinal, offset, at - bad, bad, at - bad, "damaged", "", "", digest.hexdigest(), digest.hexdigest(), b"".join(parts) if keep else None
 
     while at < size:
         found = (read_member if window.get(at, 2) == b"\x1f\x8b" else read_plain)(window, at, keep)
@@ -236,7 +248,7 @@ def warc_rows(file, size: int, keep: bool = False) -> Iterator[tuple]:
             ordinal, offset, bad = ordinal + 1, offset + at - bad, -1
         stored, record = found
         fields = record.fields
-        yield ordinal, offset, record.size, at, stored, fields.get("warc-type", ""), fields.get("warc-record-id", ""), fields.get("warc-target-uri", ""), record.digest.hexdigest(), b"".join(record.parts) if keep else None
+        yield ordinal, offset, record.size, at, stored, fields.get("warc-type", ""), fields.get("warc-record-id", ""), fields.get("warc-target-uri", ""), record.digest.hexdigest(), stored_digest(at, stored), b"".join(record.parts) if keep else None
         at, offset, ordinal = at + stored, offset + record.size, ordinal + 1
     if bad >= 0:
         yield damaged()
@@ -249,7 +261,7 @@ def dealt(files: DataFrame) -> DataFrame:
     return files.repartition(max(1, min(n, max(least, -(-(total or 0) // TASK_BYTES)))), "path")
 
 
-READ = "path string, ordinal long, offset long, length long, stored_offset long, stored_length long, type string, record_id string, uri string, digest string"
+READ = "path string, ordinal long, offset long, length long, stored_offset long, stored_length long, type string, record_id string, uri string, digest string, stored_digest string"
 ROWS = 2000
 
 
@@ -277,21 +289,39 @@ def read_warc(files: DataFrame, keep: bool = False) -> DataFrame:
     return dealt(files).mapInArrow(run, READ + ", content binary" * keep)
 
 
-def records(read: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """What read_warc gives for an archive's files -> file, slot, page_id, length, digest of each record or damaged range."""
+def records(read: DataFrame, per_file: int = PER_FILE, root: str | None = None) -> DataFrame:
+    """What read_warc gives for an archive's files -> file, slot, page_id, length, digest, stored_length, stored_digest, before of each record or damaged range.
+
+    file is the path below `root` (without it the last part), whatever its form. The slot is the page id's place; a record of
+    another archive has that of its record id's hash, or its uri's. before names the record that lies before it in the file.
+    """
     number = F.nullif(F.regexp_extract("record_id", r"urn:page:(-?\d+)", 1), F.lit("")).cast("long")
-    rows = read.select(F.regexp_extract("path", r"(-?\d+)\.warc(?:\.gz)?\z", 1).cast("long").alias("file"), "ordinal", "type", number.alias("page_id"), "uri", "length", "digest")
-    _, slot = places(F.col("page_id"), F.col("uri"), per_file)
+    name = F.regexp_extract("path", r"([^/]*)\z", 1) if root is None else F.substring_index("path", root.rstrip("/").removeprefix("file://") + "/", -1)
+    rows = read.select(name.alias("file"), "ordinal", "type", number.alias("page_id"), "record_id", "uri", "length", "digest", "stored_length", "stored_digest")
+    _, slot = places(F.col("page_id"), F.coalesce(F.nullif("record_id", F.lit("<urn:page:>")), F.col("uri")), per_file)
+    slot = F.when(F.col("record_id").startswith("<urn:page:"), places(F.col("page_id"), F.col("uri"), per_file)[1]).otherwise(slot)
     rows = rows.withColumn("slot", F.when(F.col("type") != "damaged", slot))
     after = F.expr("coalesce(last(slot, true) over (partition by file order by ordinal rows between unbounded preceding and 1 preceding), -1) + 1")
-    return rows.withColumn("slot", F.coalesce("slot", F.least(after, F.lit(per_file - 1)))).drop("ordinal", "type", "uri")
+    before = F.expr("coalesce(lag(concat_ws(' ', type, record_id, uri)) over (partition by file order by ordinal), '')")
+    rows = rows.withColumns({"slot": F.coalesce("slot", F.least(after, F.lit(per_file - 1))), "before": before})
+    return rows.drop("ordinal", "type", "uri", "record_id")
 
 
 def leaves(recs: DataFrame) -> DataFrame:
-    """A row for each slot: its bytes and the hash over its records, in any order."""
-    part = F.conv(F.substring("digest", 1, 15), 16, 10).cast("decimal(20,0)")
-    own = recs.groupBy("file", "slot").agg(F.count("*").alias("records"), F.min("page_id").alias("page_id"), F.sum("length").alias("length"), F.sum(part).alias("total"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-    return own.select("file", "slot", "page_id", "length", F.col("low").alias("digest"), F.sha2(F.concat_ws(":", "records", "length", F.col("total").cast("string"), "low", "high"), 256).alias("hash"))
+    """A row for each slot, over its records in any order: own (their plain bytes), kept (their bytes in the file) and hash (these with what lies before each)."""
+
+    def over(token: Column, name: str) -> list[Column]:
+        part = F.conv(F.substring(token, 1, 15), 16, 10).cast("decimal(20,0)")
+        return [F.sum(part).alias(f"{name}_total"), F.min(token).alias(f"{name}_low"), F.max(token).alias(f"{name}_high")]
+
+    laid = F.sha2(F.concat_ws(":", "stored_digest", "before"), 256)
+    sums = [x for token, name in ((F.col("digest"), "own"), (F.col("stored_digest"), "kept"), (laid, "laid")) for x in over(token, name)]
+    made = recs.groupBy("file", "slot").agg(F.count("*").alias("records"), F.min("page_id").alias("page_id"), F.sum("length").alias("length"), F.sum("stored_length").alias("stored"), *sums)
+
+    def hashed(name: str, size: str) -> Column:
+        return F.sha2(F.concat_ws(":", "records", size, F.col(f"{name}_total").cast("string"), f"{name}_low", f"{name}_high"), 256)
+
+    return made.select("file", "slot", "page_id", "length", "stored", F.col("own_low").alias("digest"), hashed("own", "length").alias("own"), hashed("kept", "stored").alias("kept"), hashed("laid", "stored").alias("hash"))
 
 
 def above(width: int) -> tuple[Column, Column]:
@@ -300,9 +330,9 @@ def above(width: int) -> tuple[Column, Column]:
 
 
 def parents(nodes: DataFrame, width: int) -> DataFrame:
-    """Nodes one level up: the hash of at most FAN children in order, each with the offset and length of its range, and their bytes."""
+    """Nodes one level up: the hash of at most FAN children in order, each with the offset and length of its range of stored bytes, and their sum."""
     file, slot = above(width)
-    child = F.struct((F.col("slot") if width > 1 else F.col("file")).alias("child"), "length", "hash")
+    child = F.struct((F.col("slot") if width > 1 else F.col("file")).alias("child"), F.col("stored").alias("length"), "hash")
     own = nodes.select(file.alias("file"), slot.alias("slot"), child.alias("c")).groupBy("file", "slot").agg(F.array_sort(F.collect_list("c")).alias("c"))
     start = F.struct(F.lit(0).cast("long").alias("offset"), F.lit("").alias("said"))
 
@@ -311,7 +341,7 @@ def parents(nodes: DataFrame, width: int) -> DataFrame:
         return F.struct((so_far["offset"] + c["length"]).alias("offset"), F.concat(so_far["said"], said, F.lit(",")).alias("said"))
 
     folded = own.withColumn("f", F.aggregate("c", start, add))
-    return folded.select("file", "slot", F.col("f.offset").alias("length"), F.sha2("f.said", 256).alias("hash"))
+    return folded.select("file", "slot", F.col("f.offset").alias("stored"), F.sha2("f.said", 256).alias("hash"))
 
 
 def widths(per_file: int, files: int) -> list[int]:
@@ -334,13 +364,23 @@ def tree(recs: DataFrame, levels: list[int]) -> list[DataFrame]:
     return out
 
 
+def numbered_files(*replicas: DataFrame) -> DataFrame:
+    """name, file: the files of all replicas in order of their names, from 0; a row for each file."""
+    names = functools.reduce(DataFrame.unionByName, [r.select(F.col("file").alias("name")) for r in replicas]).distinct()
+    order = F.row_number().over(Windowed.orderBy(F.length(F.regexp_extract("name", r"\A(\d*)", 1)), "name"))  # numbers in their own order
+    return names.select("name", (order - 1).cast("long").alias("file"))
+
+
 def audit(first: DataFrame, second: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """Two tables of records -> the slots where they differ: file, slot, page_id, offset in the first, bytes, digests, status."""
-    one, two = save(first, "records"), save(second, "records")
-    ends = one.select("file").unionByName(two.select("file")).agg(F.min("file").alias("a"), F.max("file").alias("b")).first()
-    lowest, files = (0, 1) if ends["a"] is None else (ends["a"], ends["b"] - ends["a"] + 1)
-    levels = widths(per_file, files)
-    a, b = (tree(r.withColumn("file", F.col("file") - lowest), levels) for r in (one, two))  # from 0, so that one root spans all
+    """Two tables of records -> the slots where they differ: file, slot, page_id, offset in the first, bytes, digests, status.
+
+    status: missing, extra; changed (the records themselves), stored (the same records in other bytes), moved (the same bytes
+    after another record).
+    """
+    names = save(numbered_files(first, second), "files")
+    one, two = (save(r.withColumnRenamed("file", "name").join(names, "name").drop("name"), "records") for r in (first, second))
+    levels = widths(per_file, max(1, names.count()))
+    a, b = tree(one, levels), tree(two, levels)
     bad: DataFrame | None = None
     for k in range(len(levels), -1, -1):
         x, y = a[k], b[k]
@@ -351,11 +391,11 @@ def audit(first: DataFrame, second: DataFrame, per_file: int = PER_FILE) -> Data
         bad = save(marked.filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("file", "slot"), "differ")
     within = a[0].join(bad.select("file").distinct(), "file", "left_semi")  # offsets of files with a difference
     place = within.withColumn("offset", F.expr("sum(length) over (partition by file order by slot) - length"))
-    left = place.select("file", "slot", F.col("page_id").alias("pa"), "offset", F.col("length").alias("first_bytes"), F.col("digest").alias("first_digest"))
-    right = b[0].select("file", "slot", F.col("page_id").alias("pb"), F.col("length").alias("second_bytes"), F.col("digest").alias("second_digest"))
-    found = bad.join(left, ["file", "slot"], "left").join(right, ["file", "slot"], "left")
-    status = F.when(F.col("second_bytes").isNull(), "missing").when(F.col("first_bytes").isNull(), "extra").otherwise("changed")
-    return found.select((F.col("file") + lowest).alias("file"), "slot", F.coalesce("pa", "pb").alias("page_id"), "offset", "first_bytes", "second_bytes", "first_digest", "second_digest", status.alias("status"))
+    left = place.select("file", "slot", F.col("page_id").alias("pa"), "offset", F.col("length").alias("first_bytes"), F.col("digest").alias("first_digest"), F.col("own").alias("oa"), F.col("kept").alias("ka"))
+    right = b[0].select("file", "slot", F.col("page_id").alias("pb"), F.col("length").alias("second_bytes"), F.col("digest").alias("second_digest"), F.col("own").alias("ob"), F.col("kept").alias("kb"))
+    found = bad.join(left, ["file", "slot"], "left").join(right, ["file", "slot"], "left").join(names, "file")
+    status = F.when(F.col("second_bytes").isNull(), "missing").when(F.col("first_bytes").isNull(), "extra").when(F.col("oa") != F.col("ob"), "changed").when(F.col("ka") != F.col("kb"), "stored").otherwise("moved")
+    return found.select(F.col("name").alias("file"), "slot", F.coalesce("pa", "pb").alias("page_id"), "offset", "first_bytes", "second_bytes", "first_digest", "second_digest", status.alias("status"))
 
 
 def copied(files: DataFrame, folder: str, change: Callable[[int, bytes], bytes | None]) -> DataFrame:
@@ -365,7 +405,7 @@ def copied(files: DataFrame, folder: str, change: Callable[[int, bytes], bytes |
         def stored(path: str, size: int) -> Iterator[tuple[int, bytes]]:
             store, at = fs.FileSystem.from_uri(path)
             with store.open_input_file(at) as f, store.open_input_file(at) as raw:
-                for _, _, _, begin, length, _, name, _, _, plain in warc_rows(f, size, keep=True):
+                for _, _, _, begin, length, _, name, _, _, _, plain in warc_rows(f, size, keep=True):
                     number = re.search(r"urn:page:(-?\d+)", name)
                     new = change(int(number[1]), plain) if number else plain
                     if new is plain:
@@ -413,9 +453,9 @@ WITH replica AS (
     || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
   FROM (SELECT 1 AS which, page_id, url, html FROM pages UNION ALL SELECT 2, page_id, url, html FROM replica)
 ), a AS (
-  SELECT *, sha256(rec) AS digest, strlen(rec) AS bytes, (sum(strlen(rec)) OVER (PARTITION BY file ORDER BY slot) - strlen(rec))::BIGINT AS start FROM recs WHERE which = 1
-), b AS (SELECT *, sha256(rec) AS digest, strlen(rec) AS bytes FROM recs WHERE which = 2)
-SELECT a.file, a.slot, a.page_id, a.start AS "offset", a.bytes AS first_bytes, b.bytes AS second_bytes, a.digest AS first_digest, b.digest AS second_digest,
-  CASE WHEN b.page_id IS NULL THEN 'missing' ELSE 'changed' END AS status
-FROM a LEFT JOIN b USING (page_id) WHERE b.page_id IS NULL OR a.digest <> b.digest
+  SELECT *, sha256(rec) AS digest, strlen(rec) AS bytes, (sum(strlen(rec)) OVER w - strlen(rec))::BIGINT AS start, lag(page_id) OVER w AS before FROM recs WHERE which = 1 WINDOW w AS (PARTITION BY file ORDER BY slot)
+), b AS (SELECT *, sha256(rec) AS digest, strlen(rec) AS bytes, lag(page_id) OVER (PARTITION BY file ORDER BY slot) AS before FROM recs WHERE which = 2)
+SELECT a.file || '.warc.gz' AS file, a.slot, a.page_id, a.start AS "offset", a.bytes AS first_bytes, b.bytes AS second_bytes, a.digest AS first_digest, b.digest AS second_digest,
+  CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.digest <> b.digest THEN 'changed' ELSE 'moved' END AS status
+FROM a LEFT JOIN b USING (page_id) WHERE b.page_id IS NULL OR a.digest <> b.digest OR a.before IS DISTINCT FROM b.before
 """
