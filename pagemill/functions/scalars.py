@@ -109,7 +109,7 @@ TRIAGE = [
     ("vendor-error", True, 502, "vendor"),
     ("rate-limited", False, 429, "name = 'RateLimited' OR low LIKE '%usage limit%' OR low LIKE '%rate limit%'"),
     ("start-timeout", True, 503, "low LIKE '%control request timeout%' OR low LIKE '%initialize timeout%'"),
-    ("engine-missing", False, 503, "name = 'CLINotFoundError' OR low LIKE '%code not found%' OR low LIKE '%enoent%'"),
+    ("engine-missing", False, 503, "name = 'CLINotFoundError' OR low LIKE '%{engine} not found%' OR low LIKE '%enoent%'"),
     ("engine-connection", True, 502, "name IN ('CLIConnectionError', 'ProcessError') OR low LIKE '%cli connection%'"),
     ("disk-full", True, 507, "name IN ('OSError', 'IOError', 'PermissionError') AND (low LIKE '%no space%' OR low LIKE '%errno 28%')"),
     ("file-locked", True, 500, "name = 'PermissionError' OR low LIKE '%winerror 32%' OR low LIKE '%being used by another%'"),
@@ -120,6 +120,35 @@ TRIAGE = [
 ]
 
 
-def triage_code(ladder: list = TRIAGE) -> Column:
-    """The code for columns name, low (message in lower case), vendor, http: that of the first rule that holds."""
-    return F.expr("CASE " + " ".join(f"WHEN {cond} THEN '{code}'" for code, _, _, cond in ladder) + " ELSE 'unknown' END")
+def triage_code(ladder: list = TRIAGE, *, engine: str = "engine") -> Column:
+    """The code for columns name, low (message in lower case), vendor, http: that of the first rule that holds. engine: what messages call the program that answers."""
+    word = engine.lower().replace("'", "''")
+    return F.expr("CASE " + " ".join(f"WHEN {cond.replace('{engine}', word)} THEN '{code}'" for code, _, _, cond in ladder) + " ELSE 'unknown' END")
+
+
+def failure_facts(name: Column, module: Column, message: Column, response_status: Column, status_code: Column, *, vendors: tuple[str, ...]) -> list[Column]:
+    """What triage asks of a failure: name, low, vendor, http.
+
+    It is the vendor's if its module begins with one of `vendors`, or if it carries a response with a status, which no other
+    client's failures do. The status is the response's, else the failure's own, if it is a whole number.
+    """
+    begins = F.lit(False)
+    for prefix in vendors:
+        begins = begins | F.coalesce(module, F.lit("")).startswith(prefix)
+    status = F.coalesce(response_status.cast("string"), status_code.cast("string"))
+    whole = F.when(status.rlike(r"\A\s*[+-]?\d+\s*\z"), strip(status).try_cast("int"))
+    return [name.alias("name"), F.lower(F.coalesce(message, F.lit(""))).alias("low"), (begins | response_status.isNotNull()).alias("vendor"), whole.alias("http")]
+
+
+# Codes of refusals by their HTTP status, and the statuses worth a second try.
+HTTP_CODES = {400: "bad-request", 401: "not-connected", 403: "forbidden", 404: "not-found", 409: "conflict", 413: "too-large", 429: "rate-limited"}
+HTTP_AGAIN = (401, 429, 502, 503)
+
+
+def http_refusal(detail: Column, status: Column) -> Column:
+    """struct(code, title, retryable) of a refusal: what its detail says of itself if that is an object with a code, else by status, the detail as title (C11)."""
+    said = whole_json(detail)
+    own = F.try_variant_get(said, "$.code", "string")
+    by_status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in HTTP_CODES.items() for x in pair]), status), F.lit("request-failed"))
+    again = F.when(own.isNull(), status.isin(*HTTP_AGAIN)).otherwise(F.coalesce(F.try_variant_get(said, "$.retryable", "boolean"), F.lit(False)))
+    return F.struct(F.coalesce(own, by_status).alias("code"), F.when(own.isNull(), F.coalesce(detail, F.lit(""))).otherwise(F.coalesce(F.try_variant_get(said, "$.title", "string"), F.lit(""))).alias("title"), F.coalesce(again, F.lit(False)).alias("retryable"))

@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def strip_format(c: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Compatibility forms as plain ones (NFKC character by character; marks of their own are not joined to letters), for decisions only."""
+    """Compatibility forms as plain ones (NFKC character by character; marks of their own are not joined to letters), for decisions only. Works within arrays, too; `nfkc` is exact."""
     text = F.coalesce(c, F.lit(""))
     plain = F.replace(F.replace(F.translate(text, "".join(SINGLE), "".join(SINGLE.values())), F.lit("…"), F.lit("...")), F.lit("‥"), F.lit(".."))
     table = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
@@ -87,6 +88,17 @@ def folded(c: Column) -> Column:
     return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(plain.rlike(f"[{_class(SEVERAL.keys() - {'…', '‥'})}]"), spelled).otherwise(plain)
 
 
+@F.pandas_udf("string")
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC, exactly. Only texts beyond ASCII leave the JVM: the order and composition of marks and of Hangul are beyond a table of characters."""
+    text = F.coalesce(c, F.lit(""))
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
 def _class(chars: Iterable[str]) -> str:
     """The body of a bracket expression for characters, neighbours as ranges."""
     runs: list[list[int]] = []
@@ -137,7 +149,7 @@ def unclosed_quote(c: Column, pairs: tuple = QUOTE_PAIRS) -> Column:
 
 def furniture_kind(c: Column) -> Column:
     """`page-number`, `watermark` or null, from the text alone."""
-    plain = strip(folded(c))
+    plain = strip(nfkc(c))
     joined = F.lower(F.array_join(F.transform(F.split(plain, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip), ""))
     return F.when(plain == "", None).when(plain.rlike(PAGE_NUMBER), "page-number").when(joined.rlike(WEB_ADDRESS), "watermark")
 

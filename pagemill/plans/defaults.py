@@ -13,13 +13,13 @@ from .registry import query, table
 
 #: Set into lines one after another: kept terms, notices, names, and words that no one translated.
 JAPANESE_BITS = (
-    "もったいない", "「本日休業」", "彼女は窓の外を見ていた。", "田中・佐藤", "何してるの、君は。", "https://a.jp/x また来ますから", "令和三年", "<b>明日も雨です。</b>", "帰りたい", "読めないのだ", "`鍵を忘れた。`", "そんなことは言っていない", "", "カタカナ・タイトル", "ﾎﾝﾄｳか",
+    "もったいない", "「本日休業」", "犬は橋の下で眠っていた。", "田中・佐藤", "何してるの、君は。", "https://a.jp/x また来ますから", "令和三年", "<b>明日も雨です。</b>", "帰りたい", "読めないのだ", "`鍵を忘れた。`", "そんなことは言っていない", "", "カタカナ・タイトル", "ﾎﾝﾄｳか",
 )
 COMMENTS = (
-    "Let us go home and start over.", "Let me translate.", "Here is the translated text.", "The glossary lay open.", "“Let me redo it,” said Kei.", "I'll now provide the full translation.", "===NEW_TERMS===", "As an AI, no.", "* * *", "The rain went on.", "Re-reading the passage, Aya frowned.",
-    "Let me redo this line. The rain had not let up since the morning bell.", "Let's render…", "translator's note: a pun", "Let me write to you.", "Below is the translation.", "They spoke of romanization.",
+    "Let us go home and start over.", "Let me translate.", "Here is the translated text.", "The glossary lay open.", "“Let me redo it,” said Kei.", "I'll now provide the full translation.", "===NEW_TERMS===", "As an AI, no.", "* * *", "The rain went on.", "Re-reading the passage twice, Mio put the lamp out.",
+    "Let me redo this line. The rain had not let up since the morning bell.", "Let's render…", "translator's note: a pun", "Let me write to you.", "Below is the translation of it.", "They spoke of romanization.",
 )
-HEADINGS = ("第７話", "Chapter 12", "第3章　駅", "Episode 4: x", "プロローグ", "第三回目の会。", "一部の人は", "Chapters of it", "5回", "epilogue", "Part 2.")
+HEADINGS = ("第７話", "Chapter 12", "第3章　駅", "Episode 4: x", "プロローグ", "第三回目の会。", "一部だけ残った", "Chapters of it", "5回", "epilogue", "Part 2.")
 
 
 def _list(words: tuple[str, ...]) -> str:

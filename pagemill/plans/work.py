@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import queue_key, resume_seconds, triage_code
+from ..functions.scalars import HTTP_AGAIN, HTTP_CODES, failure_facts, http_refusal, queue_key, resume_seconds, triage_code
 from ..operators import ledger
 from ..streaming import events as E
 from .registry import query, table
@@ -76,9 +76,9 @@ def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.strikes(events_of(spark, sf_dir), pause_at=3).select("work_id", "event_id", "strikes", "pause")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT work_id, event_id FROM ev WHERE type NOT IN ('progress', 'delta') QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY event_id DESC) <= 1000")
+@query(f"WITH {EVENTS_SQL} SELECT work_id, event_id FROM ev WHERE type NOT IN ('progress', 'delta') QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY event_id DESC) <= 5")
 def replay_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.replay_tail(events_of(spark, sf_dir)).select("work_id", "event_id")
+    return E.replay_tail(events_of(spark, sf_dir), n=5).select("work_id", "event_id")
 
 
 @query(f"WITH {EVENTS_SQL} SELECT work_id, count(*) FILTER (type = 'item') AS done, count(*) FILTER (type = 'failed') AS failed, max(event_id) AS last_event FROM ev GROUP BY work_id")
@@ -97,14 +97,14 @@ def item_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = ("TaskAborted", "TaskRefused", "HttpError", "RateLimited", "OSError", "PermissionError", "ProcessError", "JSONDecodeError", "KeyError", "Odd", "CLINotFoundError", "FileNotFoundError")
-MESSAGES = ("usage limit reached", "No space left", "initialize timeout", "being used by another", "Expecting value", "plain")
-FAIL_SQL = f"""SELECT event_id, list_extract({list(NAMES)}, (event_id % {len(NAMES)} + 1)::INT) AS name, lower(list_extract({list(MESSAGES)}, (event_id // 3 % {len(MESSAGES)} + 1)::INT)) AS low, event_id % {len(NAMES)} = 2 AS vendor, list_extract([401, 404, 429, 500], (event_id // 5 % 4 + 1)::INT) AS http FROM events WHERE event_type = 'error'"""
+MESSAGES = ("usage limit reached", "No space left", "initialize timeout", "being used by another", "Expecting value", "plain", "Enginex not found", "status code not found")
+FAIL_SQL = f"""SELECT event_id, list_extract({list(NAMES)}, (event_id % {len(NAMES)} + 1)::INT) AS name, lower(list_extract({list(MESSAGES)}, (event_id // 3 % {len(MESSAGES)} + 1)::INT)) AS low, event_id % {len(NAMES)} = 2 OR event_id % 7 = 1 AS vendor, CASE WHEN event_id % 7 = 3 THEN NULL ELSE list_extract([401, 404, 429, 500], (event_id // 5 % 4 + 1)::INT) END AS http FROM events WHERE event_type = 'error'"""
 
 
 #: The ladder once more, written out for these names and messages, so that the twin does not repeat the table.
 TRIAGE_SQL = """CASE name WHEN 'TaskAborted' THEN 'stopped' WHEN 'TaskRefused' THEN 'refused' ELSE CASE
   WHEN vendor THEN CASE http WHEN 401 THEN 'vendor-auth-expired' WHEN 404 THEN 'vendor-not-found' WHEN 429 THEN 'vendor-rate-limited' ELSE 'vendor-error' END
-  WHEN name = 'RateLimited' OR contains(low, 'usage limit') THEN 'rate-limited' WHEN contains(low, 'initialize timeout') THEN 'start-timeout' WHEN name = 'CLINotFoundError' THEN 'engine-missing' WHEN name = 'ProcessError' THEN 'engine-connection'
+  WHEN name = 'RateLimited' OR contains(low, 'usage limit') THEN 'rate-limited' WHEN contains(low, 'initialize timeout') THEN 'start-timeout' WHEN name = 'CLINotFoundError' OR contains(low, 'enginex not found') THEN 'engine-missing' WHEN name = 'ProcessError' THEN 'engine-connection'
   WHEN name IN ('OSError', 'PermissionError') AND contains(low, 'no space') THEN 'disk-full' WHEN name = 'PermissionError' OR contains(low, 'being used by another') THEN 'file-locked' WHEN name = 'FileNotFoundError' THEN 'missing-file'
   WHEN name = 'JSONDecodeError' OR contains(low, 'expecting value') THEN 'corrupt-data' WHEN name = 'OSError' THEN 'file-error' WHEN name = 'KeyError' THEN 'bad-data' ELSE 'unknown' END END"""
 
@@ -113,21 +113,38 @@ def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
     e = F.col("event_id")
     rows = table(spark, sf_dir, "events").filter("event_type = 'error'")
-    return rows.select(F.col("user_id").alias("work_id"), "event_id", pick(NAMES, e).alias("name"), F.lower(pick(MESSAGES, F.floor(e / 3))).alias("low"), (e % len(NAMES) == 2).alias("vendor"), pick((401, 404, 429, 500), F.floor(e / 5)).alias("http"))
+    module = F.when(e % len(NAMES) == 2, "vendorapi.errors").otherwise("vendors.other")
+    code = pick((401, 404, 429, 500), F.floor(e / 5))
+    answered = F.when(e % 7 == 1, code)  # a response with a status is the vendor's, whatever the module
+    facts = failure_facts(pick(NAMES, e), module, pick(MESSAGES, F.floor(e / 3)), answered, F.when(e % 7 == 3, "none").otherwise(F.format_string(" %d ", code)), vendors=("vendorapi",))
+    return rows.select(F.col("user_id").alias("work_id"), "event_id", *facts)
 
 
 @query(f"SELECT code, count(*) AS n FROM (SELECT {TRIAGE_SQL} AS code FROM ({FAIL_SQL})) GROUP BY code")
 def failure_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures by the first rule that explains them (C11)."""
-    return _failures(spark, sf_dir).groupBy(triage_code().alias("code")).agg(F.count("*").alias("n"))
+    return _failures(spark, sf_dir).groupBy(triage_code(engine="enginex").alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN (event_id % 60000 + 60)::DOUBLE WHEN TRUE THEN least(3600.0, 300 * pow(2, greatest(0, event_id % 9 - 1))) END AS wait FROM events WHERE event_type = 'error' AND NOT (event_id % 4 = 0 AND event_id % 60000 > 43200)")
+@query(
+    f"""WITH r AS (SELECT event_id, list_extract([400, 401, 404, 409, 429, 500, 502], (event_id % 7 + 1)::INT) AS s, event_id % 5 = 0 AS own FROM events WHERE event_type = 'error')
+SELECT event_id, CASE WHEN own THEN 'own' ELSE CASE s {" ".join(f"WHEN {s} THEN '{c}'" for s, c in HTTP_CODES.items())} ELSE 'request-failed' END END AS code, CASE WHEN own THEN 'Its words' ELSE 'words ' || event_id END AS title, CASE WHEN own THEN event_id % 2 = 0 ELSE s IN {HTTP_AGAIN} END AS again FROM r"""
+)
+def http_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refusals by their status, or by what they say of themselves (C11)."""
+    e = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, (400, 401, 404, 409, 429, 500, 502))), (e % 7 + 1).cast("int"))
+    detail = F.when(e % 5 == 0, F.concat(F.lit('{"code": "own", "title": "Its words", "retryable": '), F.when(e % 2 == 0, "true").otherwise("false"), F.lit("}"))).otherwise(F.concat(F.lit("words "), e.cast("string")))
+    found = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", http_refusal(detail, status).alias("r"))
+    return found.select("event_id", "r.code", "r.title", F.col("r.retryable").alias("again"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 AND event_id * 7 % 60000 <= 43200 THEN (event_id * 7 % 60000 + 60)::DOUBLE ELSE least(3600.0, 300 * pow(2, greatest(0, event_id % 9 - 1))) END AS wait FROM events WHERE event_type = 'error'")
 def resume_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds until rate-limited work goes on."""
     e = F.col("event_id")
-    reset = F.when(e % 4 == 0, e % 60000)
-    rows = table(spark, sf_dir, "events").filter("event_type = 'error' and not (event_id % 4 = 0 and event_id % 60000 > 43200)")
+    reset = F.when(e % 4 == 0, e * 7 % 60000)
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'")
     return rows.select("event_id", resume_seconds(e % 9, reset).alias("wait"))
 
 
@@ -180,7 +197,7 @@ def operations_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth, outcomes, strikes, spend and error codes per work."""
     rows = events_of(spark, sf_dir)
     spend = rows.groupBy("work_id").agg(F.sum(F.col("value").cast(ledger.MONEY)).cast(ledger.MONEY).alias("spend"))
-    return E.operations(rows, spend, _failures(spark, sf_dir))
+    return E.operations(rows, spend, _failures(spark, sf_dir), engine="enginex")
 
 
 @query("""WITH j AS (SELECT user_id, max(ts) AS started, user_id % 3 <> 0 AS done FROM events GROUP BY user_id), n AS (SELECT *, row_number() OVER (PARTITION BY done ORDER BY started DESC, user_id DESC) AS k, count(*) OVER () AS c FROM j)

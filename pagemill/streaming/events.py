@@ -68,16 +68,16 @@ def evict_finished(jobs: DataFrame, *, over: int = 40, keep: int = 10) -> DataFr
     return kept.filter(~F.col("__many") | ~F.col("done") | F.coalesce("__new", F.lit(False))).drop("__many", "__new")
 
 
-def error_codes(failures: DataFrame) -> DataFrame:
+def error_codes(failures: DataFrame, *, engine: str = "engine") -> DataFrame:
     """failures(work_id, name, low, vendor, http) -> work_id, code, n."""
-    return failures.groupBy("work_id", triage_code().alias("code")).agg(F.count("*").alias("n"))
+    return failures.groupBy("work_id", triage_code(engine=engine).alias("code")).agg(F.count("*").alias("n"))
 
 
-def operations(events: DataFrame, spend: DataFrame, failures: DataFrame) -> DataFrame:
+def operations(events: DataFrame, spend: DataFrame, failures: DataFrame, *, engine: str = "engine") -> DataFrame:
     """Per work: enqueued, done and failed items, strikes now, spend, and failures by code (R8). spend: work_id, spend."""
     depth = events.groupBy("work_id").agg(*[F.count_if(F.col("type") == t).alias(n) for n, t in (("queued", "queued"), ("done", "item"), ("failed", "failed"))])
     last = strikes(events).groupBy("work_id").agg(F.max_by("strikes", "event_id").alias("strikes"))
-    codes = error_codes(failures).groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "n"))), lambda s: F.concat(s["code"], F.lit("="), s["n"].cast("string"))), ",").alias("codes"))
+    codes = error_codes(failures, engine=engine).groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "n"))), lambda s: F.concat(s["code"], F.lit("="), s["n"].cast("string"))), ",").alias("codes"))
     rows = depth.join(spend, "work_id", "left").join(last, "work_id", "left").join(codes, "work_id", "left")
     return rows.withColumns({"strikes": F.coalesce("strikes", F.lit(0)).cast("long"), "codes": F.coalesce("codes", F.lit(""))})
 

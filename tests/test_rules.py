@@ -1,5 +1,7 @@
 """Rules on small made-up rows: text, segments, leaks, layout, seams, lines, responses, files, streams."""
 
+import unicodedata
+import random
 import json
 import struct
 
@@ -25,7 +27,7 @@ def one(spark, column, **values):
     return spark.createDataFrame([Row(**values)]).select(column.alias("v")).first()["v"]
 
 
-HEADINGS = {"第7話 冬の橋": True, "第４５話": True, "五回目の手紙も届かない": False, "第四回目の検査は、長かった。": False, "Chapter 3": True, "Chapters of my life": False, "プロローグ": True, "一部の人は": False, "epilogue": True, "": False, "5回": True, "第⑫話": True, "第3話…": False}
+HEADINGS = {"第7話 冬の橋": True, "第４５話": True, "五回目の手紙も届かない": False, "第四回目の検査は、長かった。": False, "Chapter 3": True, "Chapters of my life": False, "プロローグ": True, "一部だけ残った": False, "epilogue": True, "": False, "5回": True, "第⑫話": True, "第3話…": False}
 
 
 def test_headings(spark):
@@ -172,10 +174,10 @@ STAYS = [  # prose that speaks like an announcement
 ]
 GOES = [
     "Let me translate.", "I'll now translate!", "let's render…", "Let me redo this.", "Let's re-do it.", "Let me carefully re-read it.", "Let me go ahead and start over.", "I will now provide the full translation.", "I'll just give you the rest of the chapter.",
-    "Here's your translation:", "Here is the translated text", "Below is the translation.", "The translation follows.", "The translation is as follows", "Translated chapter:", "===NEW_TERMS===", "As an AI, I can not say.", "translator's note: a pun", "* * *", "___",
+    "Here's your translation:", "Here is the translated text", "Below is the translation of it.", "The translation follows.", "The translation is as follows", "Translated chapter:", "===NEW_TERMS===", "As an AI, I can not say.", "translator's note: a pun", "* * *", "___",
 ]
 LOOKED_AT = [
-    "Aya looked the word up in the glossary.", "Re-reading the passage, Kei frowned at the window.", "They argued about romanization all night.", "Let me redo this line. The rain had not let up since the morning bell.",
+    "Aya looked the word up in the glossary.", "Re-reading the passage twice, Kei put the lamp out.", "They argued about romanization all night.", "Let me redo this line. The rain had not let up since the morning bell.",
     "I'll translate the chapter. Meanwhile, Kei ran across the wet platform.", "The original Japanese was ambiguous, the clerk said.",
 ]
 
@@ -185,7 +187,7 @@ def test_commentary_both_ways(spark):
     assert dict(zip(blocks, column_of(spark, leaks.verdict(F.col("x")), blocks))) == blocks
 
 
-LEAKS = ["彼女は窓の外を見ていた。", "何してるの、君は。", "The door shut.　明日また来ますから、待っていてください。", "https://a.jp/x彼は何も言わなかった。", "ｶﾀｶﾅは読めないのだ。", "彼\u200bは\u200b駅\u200bへ行った。", "そんなことは言っていない", "草原を走る彼が見えた。"]
+LEAKS = ["犬は橋の下で眠っていた。", "何してるの、君は。", "The door shut.　明日また来ますから、待っていてください。", "https://a.jp/x彼は何も言わなかった。", "ｶﾀｶﾅは読めないのだ。", "彼\u200bは\u200b駅\u200bへ行った。", "そんなことは言っていない", "草原を走る彼が見えた。"]
 NO_LEAKS = ["The sign read 本日休業.", "Tanaka・Sato・田中・佐藤・鈴木", "もったいない! she said.", "She left.", "令和三年五月", "東京・大阪・名古屋", "草 草草 lol", "お好み焼き", "もういい", "www www", "！？。", "", "see `彼は行った。` and <b title=彼は行った。>x</b>"]
 
 
@@ -228,6 +230,11 @@ def test_tolerant_casts(spark):
     assert tuple(one(spark, scalars.box_to_pixels(*sides, F.lit(800), F.lit(600)), x=1)) == (200.0, 300.0, 80.0, 120.0)
     assert tuple(one(spark, scalars.box_percent(*sides), x=1)) == (25.0, 50.0, 10.0, 20.0)
     assert one(spark, T.folded(F.col("x")), x="第１２話…㊤ﾊ①") == "第12話...上ハ1"
+    rng = random.Random(5)
+    pools = ["aeé\u0301\u0323\u0307 ", "ｶﾞﾊﾟハ\u3099㌔㍿①", "\u1112\u1161\u11ab한ㅎㅏ\uffa1", "ﬁ²½Å\u212b\u0345\u0300", "plain ASCII "]
+    made = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", "ASCII only", None]
+    got = column_of(spark, T.nfkc(F.col("x")), made)
+    assert got == [unicodedata.normalize("NFKC", t or "") for t in made]
 
 
 def test_assembly(spark):
