@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character classes (bodies of a bracket expression).
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -88,7 +89,7 @@ def folded(c: Column) -> Column:
     return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(plain.rlike(f"[{_class(SEVERAL.keys() - {'…', '‥'})}]"), spelled).otherwise(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
