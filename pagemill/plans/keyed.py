@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import nonspace_length
 from ..operators.ranks import shared_folder
-from ..sources.buckets import Buckets, keep_previous, replace_rows, write_accepted
+from ..sources.buckets import Buckets, keep_previous, refresh, replace_rows, write_accepted
 from ..streaming import events as E
 from ..streaming import jobs
+from .corpus import NONSPACE
 from .registry import query, table
 from .work import EVENTS_SQL, events_of
 
@@ -91,3 +93,19 @@ def totals_at_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals with each terminal event (T-9)."""
     rows = events_of(spark, sf_dir)
     return E.totals_at_rest(rows.withColumn("type", F.when(F.col("event_id") % 11 == 0, "done").otherwise(F.col("type"))))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' ELSE '' END || n_chars AS digest, {NONSPACE % "coalesce(text, '')"}::BIGINT AS chars, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 1 THEN 1 ELSE 0 END AS run FROM documents WHERE doc_id % 7 <> 2")
+def refreshed_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of works brought up to date (I3): some are new, some other than they were, some gone; the others keep what an earlier run made."""
+    rows = table(spark, sf_dir, "documents")
+    d = F.col("doc_id")
+    works = new_table(spark, "works", "doc_id long, digest string, chars long, run int", ("doc_id",))
+
+    def made(run: int):
+        return lambda asked: rows.join(asked, "doc_id").select("doc_id", "digest", nonspace_length(F.col("text")).alias("chars"), F.lit(run).alias("run"))
+
+    refresh(works, rows.filter(d % 5 != 1).select("doc_id", F.col("n_chars").cast("string").alias("digest")), made(0), version=0)
+    now = F.concat(F.when(d % 3 == 0, "new ").otherwise(""), F.col("n_chars").cast("string"))
+    refresh(works, rows.filter(d % 7 != 2).select("doc_id", now.alias("digest")), made(1), version=1)
+    return works.read()

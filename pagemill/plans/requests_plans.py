@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import glossary, intake, regions, requests, scripts, segment
-from ..operators.ranks import settled
+from ..operators.ranks import settled, shared_folder
 from ..sources import files
 from . import layout_plans as L
 from .corpus import NONSPACE, PARAS, STRIP
@@ -333,13 +335,13 @@ def flatten_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.flatten_documents(tabs.select("conv_id", raw.alias("raw")), key=["conv_id"])
 
 
-@query(
-    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars * 37 % 260000 ELSE n_chars % 60000 END AS w, doc_id % 999 + 1 AS h FROM documents)
+IMAGE_SQL = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars * 37 % 260000 ELSE n_chars % 60000 END AS w, doc_id % 999 + 1 AS h FROM documents)
 SELECT doc_id, ['png', 'gif', 'jpeg', 'pdf', 'unknown'][doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 5 > 2 OR w > 200000 THEN 0 ELSE w END AS width, CASE WHEN doc_id % 5 > 2 OR w > 200000 OR w = 0 THEN 0 ELSE h END AS height,
   CASE WHEN doc_id % 5 IN (0, 2) THEN NULL WHEN doc_id % 5 = 3 THEN 'not-an-image' ELSE 'unsupported' END AS refused FROM d"""
-)
-def image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds and sizes from image headers (S8); headers carry the sizes of documents, and a JPEG's comes after its text in long segments."""
+
+
+def images_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose headers carry the sizes of documents; a JPEG's comes after the document's text in long segments."""
     d = F.col("doc_id")
     w, h = F.when(d % 5 == 0, F.col("n_chars") * 37 % 260_000).otherwise(F.col("n_chars") % 60_000), d % 999 + 1
     be = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
@@ -350,5 +352,18 @@ def image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = F.array_join(F.transform(parts, lambda k: F.concat(F.lit("FFFE"), be(F.octet_length(F.unhex(F.substring(text, k * 120_000 + 1, F.lit(120_000)))) + 2, 2), F.substring(text, k * 120_000 + 1, F.lit(120_000)))), "")
     jpeg = F.concat(F.lit("FFD8"), notes, F.lit("FFC0000B08"), be(h, 2), be(w, 2), F.lit("03000000"))
     raw = F.element_at(F.array(png, F.concat(F.lit("474946383961"), le(w), le(h)), jpeg, F.lit("255044462D312E34"), F.lit("00010203")), (d % 5 + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.unhex(raw).alias("content"))
-    return files.image_inventory(rows, key="doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.unhex(raw).alias("content"))
+
+
+@query(IMAGE_SQL)
+def image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds and sizes from image headers."""
+    return files.image_inventory(images_of(spark, sf_dir), "doc_id")
+
+
+@query(IMAGE_SQL)
+def image_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from images in files, of which only what says their size is read."""
+    packed = settled(files.pack(images_of(spark, sf_dir), f"{shared_folder(spark).rstrip('/')}/images-{uuid.uuid4().hex}", "doc_id"))
+    return files.image_inventory(files.image_heads(packed, "doc_id").drop("bytes_read"), "doc_id")
+

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ranks import settled
+
 Merge = Callable[[DataFrame], DataFrame]
 
 
@@ -152,3 +154,19 @@ def keep_previous(table: Buckets, rows: DataFrame, *, version: int) -> None:
         return stays.unionByName(moved).unionByName(rows.withColumn("slot", F.lit("current")).select(*table.schema.names))
 
     table.merge(rows, change, version=version)
+
+
+def refresh(table: Buckets, digests: DataFrame, made: Callable[[DataFrame], DataFrame], *, version: int, digest: str = "digest") -> None:
+    """Bring what a table holds of each work up to date (I3): digests(key, digest) say what the works are now.
+
+    Works whose digest is not the stored one, and new ones, are made anew by `made`(their key and digest) -> rows of the
+    table's schema; works that are gone go. Of all others only key and digest are read, and their buckets keep their files.
+    """
+    key = list(table.key)
+    now = digests.select(*key, digest).distinct()
+    stored = table.read().select(*key, digest).distinct()
+    changed = now.join(stored, [*key, digest], "left_anti")
+    gone = stored.join(now, key, "left_anti").select(*key)
+    touched = settled(changed.select(*key, F.col(digest)).unionByName(gone.withColumn(digest, F.lit(None).cast(dict(now.dtypes)[digest]))))
+    again = touched.filter(F.col(digest).isNotNull())
+    table.merge(touched, lambda old: old.join(touched.select(*key), key, "left_anti").unionByName(made(again).select(*table.schema.names)), version=version)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,6 +172,86 @@ def image_inventory(files: DataFrame, key: str = "path") -> DataFrame:
     return every.withColumns({"__s": sane, "refused": refused}).withColumns({"width": F.when(F.col("__s"), F.col("width")).otherwise(0), "height": F.when(F.col("__s"), F.col("height")).otherwise(0)}).drop("__s")
 
 
+#: Bytes of a file that say what it is; a JPEG's frame header is looked for beyond them, segment by segment.
+HEAD = 64
+
+
+def _frame(read: Callable[[int, int], bytes], size: int) -> bytes:
+    """A JPEG cut down to its frame header: segments before it are passed over by their lengths."""
+    at = 2
+    while at + 9 < size:
+        head = read(at, 9)
+        if len(head) < 9 or head[0] != 0xFF:
+            break
+        marker = head[1]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return b"\xff\xd8" + head + bytes(9)
+        at += 2 + struct.unpack(">H", head[2:4])[0] if not 0xD0 <= marker <= 0xD9 else 2
+    return b"\xff\xd8\xff"
+
+
+def image_heads(places: DataFrame, key: str = "path") -> DataFrame:
+    """places(key, file, start, size): images in files, alone or many to a file -> key, content (as much as says what it is), bytes_read.
+
+    Ranges are read where they lie, through `pyarrow.fs`: HEAD bytes of each image, and of a JPEG nine bytes of each segment up
+    to the frame header. What `image_inventory` says of this content it says of the whole. A file that is gone or shorter
+    than said gives the bytes that are there.
+    """
+    kind = dict(places.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[str, object] = ("", None)
+        for batch in batches:
+            heads, counts = [], []
+            for file, start, size in zip(batch["file"], batch["start"], batch["size"], strict=True):
+                if held[0] != file:
+                    if held[1]:
+                        held[1].close()
+                    store, at = fs.FileSystem.from_uri(file)
+                    try:
+                        held = (file, store.open_input_file(at))
+                    except FileNotFoundError:
+                        held = (file, None)
+                taken = 0
+
+                def read(at: int, n: int, f=held[1], start=int(start), size=int(size)) -> bytes:
+                    nonlocal taken
+                    n = max(0, min(n, size - at))
+                    data = f.read_at(n, start + at) if f and n else b""
+                    taken += len(data)
+                    return data
+
+                head = read(0, HEAD)
+                heads.append(_frame(read, int(size)) if head.startswith(b"\xff\xd8\xff") else head)
+                counts.append(taken)
+            yield pd.DataFrame({key: batch[key], "content": heads, "bytes_read": counts})
+        if held[1]:
+            held[1].close()
+
+    return places.select(key, "file", "start", "size").mapInPandas(run, f"`{key}` {kind}, content binary, bytes_read long")
+
+
+def pack(contents: DataFrame, folder: str, key: str = "path") -> DataFrame:
+    """contents(key, content) -> places(key, file, start, size): a file in the folder for each partition, contents one after another. A task that is run again writes a file of its own."""
+    kind = dict(contents.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name, start = f"{uuid.uuid4().hex}.pack", 0
+        with store.open_output_stream(f"{root}/{name}") as out:
+            for batch in batches:
+                data = [x if x is not None else b"" for x in batch["content"]]
+                sizes = [len(x) for x in data]
+                starts = [start + x for x in itertools.accumulate(sizes, initial=0)][: len(sizes)]
+                for x in data:
+                    out.write(x)
+                start += sum(sizes)
+                yield pd.DataFrame({key: batch[key], "file": f"{folder}/{name}", "start": starts, "size": sizes})
+
+    return contents.select(key, "content").mapInPandas(run, f"`{key}` {kind}, file string, start long, size long")
+
+
 def parse_or_quarantine(rows: DataFrame, schema: str, *, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """(rows with `record`, quarantine: raw bytes under their hash). What does not parse is kept, never dropped."""
     parsed = rows.withColumn("record", F.from_json(raw, schema + ", __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))

@@ -211,3 +211,41 @@ def test_the_log_and_late_results(spark, tmp_path):
     own = spark.createDataFrame([(8,)], "page_id long").select(table.bucket()).first()[0]
     others = {r[0] for r in spark.createDataFrame([(5,), (6,), (7,)], "page_id long").select(table.bucket()).collect()}
     assert own in others or {f for f in before if f"bucket={own}/" in f} <= set(files_of(table.root))
+
+
+def test_refresh_reads_only_what_changed(spark, tmp_path):
+    table = buckets.Buckets(spark, str(tmp_path / "works"), schema_of(spark, "work string, digest string, text string"), ("work",), buckets=16)
+    asked = []
+
+    def made(works):
+        asked.append(sorted(r.work for r in works.collect()))
+        return works.withColumn("text", F.concat(F.lit("made of "), "digest"))
+
+    first = spark.createDataFrame([(f"w{k}", "a") for k in range(12)], "work string, digest string")
+    buckets.refresh(table, first, made, version=0)
+    before = files_of(table.root)
+    second = spark.createDataFrame([(f"w{k}", "b" if k == 3 else "a") for k in range(1, 13)], "work string, digest string")
+    buckets.refresh(table, second, made, version=1)
+    buckets.refresh(table, second, made, version=2)  # nothing to do
+    assert asked == [sorted(f"w{k}" for k in range(12)), ["w12", "w3"]]
+    assert {(r.work, r.text) for r in table.read().collect()} == {(f"w{k}", "made of b" if k == 3 else "made of a") for k in range(1, 13)}
+    touched = {r[0] for r in spark.createDataFrame([("w0",), ("w3",), ("w12",)], "work string").select(table.bucket()).collect()}
+    assert {f for f in before if int(f.split("bucket=")[1].split("/")[0]) not in touched} <= set(files_of(table.root))
+
+
+def test_image_heads_read_little(spark, tmp_path):
+    import struct
+
+    segment = b"\xff\xe1" + struct.pack(">H", 60_002) + b"x" * 60_000
+    jpeg = b"\xff\xd8" + segment * 20 + b"\xff\xc2" + struct.pack(">HBHH", 17, 8, 600, 800) + b"0" * 500_000
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 640, 9) + b"1" * 1_000_000
+    rows = [("a", jpeg), ("b", png), ("c", b""), ("d", jpeg[:70_000]), ("e", None), ("f", b"\xff\xd8\xff\xd8\xff"), ("g", b"GIF89a" + b"\1\0\2\0" + b"x" * 99)]
+    images = spark.createDataFrame(rows, "path string, content binary")
+    places = files.pack(images, f"file://{tmp_path}/packs").checkpoint()
+    heads = files.image_heads(places)
+    assert {r.path: r.bytes_read for r in heads.collect()} == {"a": 64 + 21 * 9, "b": 64, "c": 0, "d": 64 + 2 * 9, "e": 0, "f": 5, "g": 64}
+    say = lambda frame: {r.path: (r.kind, r.width, r.height, r.refused) for r in files.image_inventory(frame).collect()}
+    whole = say(images.filter("content is not null"))
+    assert {k: v for k, v in say(heads).items() if k != "e"} == whole and whole["a"] == ("jpeg", 800, 600, None)
+    gone = places.withColumn("file", F.concat("file", F.lit("-gone")))
+    assert {r.bytes_read for r in files.image_heads(gone).collect()} == {0}
