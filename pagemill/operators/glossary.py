@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_pronoun
 from ..functions.text import KANJI, strip
-from .ranks import numbered
+from .ranks import numbered, settled
 
 ANCHOR = 4
 #: One text of this many says how common grams are.
@@ -52,7 +52,8 @@ def relevant(chapters: DataFrame, names: DataFrame, *, key: list[str], text: str
 
     names: entry columns and spelling.
     """
-    anchored = anchors(chapters.select(text).filter(F.col(text).isNotNull()), names, text).select(*dict.fromkeys([*entry, "spelling", "gram"]))
+    # a row for each spelling, asked for four times below
+    anchored = settled(anchors(chapters.select(text).filter(F.col(text).isNotNull()), names, text).select(*dict.fromkeys([*entry, "spelling", "gram"])))
     chars = chapters.select(*key, F.col(text).alias("__text"))
     lengths = F.array_distinct(F.concat(*[grams(F.col("__text"), n) for n in range(1, ANCHOR)]))
     known = anchored.select("gram").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import incremental, metrics, segment
+from ..operators.ranks import settled
 from .registry import query, table
 
 #: The tables have no Japanese and no blank lines, so classes and separators are parameters here.
@@ -122,7 +123,7 @@ DONE_SQL = "(status IN ('validated', 'empty', 'english-source') AND source_hash
 
 
 def _with_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chapters = measured(spark, sf_dir).drop("title", "paragraphs")
+    chapters = settled(measured(spark, sf_dir).drop("title", "paragraphs"))  # numbers and hashes, for the state as well: texts are measured once
     return chapters, state_of(chapters, table(spark, sf_dir, "labels"))
 
 
