@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import glossary, intake, regions, requests, scripts, segment
+from ..operators import glossary, intake, regions, requests, scripts, segment, views
 from ..operators.ranks import settled, shared_folder
 from ..sources import files
 from . import layout_plans as L
@@ -38,24 +38,32 @@ def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUEST_SQL = f"""{CHUNK_SQL}, resp AS (SELECT doc_id, chunk_no, 'a' || chr(10) || 'b' || doc_id || chr(10) || 'c' || chunk_no || chr(10) || 'd' AS t FROM chunks WHERE doc_id % 2 = 0 AND chunk_no < doc_id % 4),
-{ENTRIES_SQL}, rel AS (SELECT doc_id, string_agg(DISTINCT english, chr(10) ORDER BY english) AS terms FROM documents d JOIN spelled s ON contains(d.text, s.spelling) JOIN entries e USING (item_id) GROUP BY doc_id)"""
+{ENTRIES_SQL}, hits AS (SELECT DISTINCT doc_id, item_id FROM documents d JOIN spelled s ON contains(d.text, s.spelling)), rel AS (SELECT doc_id, string_agg(DISTINCT english, chr(10) ORDER BY english) AS terms FROM hits JOIN entries e USING (item_id) GROUP BY doc_id),
+sp AS (SELECT item_id, string_agg(spelling, ' / ' ORDER BY r) AS sp FROM spelled GROUP BY item_id), bl AS (SELECT doc_id, string_agg('  ' || sp || ' = ' || english || CASE WHEN item_id % 4 = 0 THEN '  [it]' ELSE '  [she]' END, chr(10) ORDER BY type, source, '  ' || sp || ' = ' || english) AS terms_ FROM hits JOIN entries USING (item_id) JOIN sp USING (item_id) WHERE source <> '' GROUP BY doc_id),
+nm AS (SELECT string_agg('  ' || english, chr(10) ORDER BY type, english) AS names FROM entries WHERE source = ''),
+block AS (SELECT doc_id, '{views.LOCKED}' || chr(10) || terms_ || CASE WHEN names IS NULL THEN '' ELSE chr(10) || chr(10) || '{views.KNOWN}' || chr(10) || names END AS block FROM bl, nm), total AS (SELECT doc_id, count(*) AS total FROM chunks GROUP BY doc_id)"""
 
 
 @query(
-    f"""WITH RECURSIVE {REQUEST_SQL} SELECT c.doc_id, c.chunk_no, sha256(array_to_string(paragraphs, chr(10) || chr(10))) AS body, coalesce(terms, '') AS terms, CASE WHEN b.t IS NULL THEN '' ELSE 'b' || c.doc_id || chr(10) || 'c' || b.chunk_no || chr(10) || 'd' END AS tail
+    f"""WITH RECURSIVE {REQUEST_SQL}, asked AS (SELECT c.doc_id, c.chunk_no, array_to_string(paragraphs, chr(10) || chr(10)) AS body, coalesce(terms, '') AS terms, CASE WHEN b.t IS NULL THEN '' ELSE 'b' || c.doc_id || chr(10) || 'c' || b.chunk_no || chr(10) || 'd' END AS tail
 FROM chunks c LEFT JOIN resp b ON b.doc_id = c.doc_id AND b.chunk_no = c.chunk_no - 1 LEFT JOIN rel ON rel.doc_id = c.doc_id
-WHERE NOT EXISTS (FROM resp r WHERE r.doc_id = c.doc_id AND r.chunk_no = c.chunk_no) AND (c.chunk_no = 0 OR b.t IS NOT NULL)"""
+WHERE NOT EXISTS (FROM resp r WHERE r.doc_id = c.doc_id AND r.chunk_no = c.chunk_no) AND (c.chunk_no = 0 OR b.t IS NOT NULL))
+SELECT doc_id, chunk_no, sha256(body) AS body, terms, tail, sha256(CASE WHEN total > 1 THEN 'Part ' || (chunk_no + 1) || ' of ' || total || '; done up to part ' || greatest(1, chunk_no) || '.' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN tail <> '' THEN '{requests.WORDS["tail"]}' || chr(10) || chr(10) || tail || chr(10) || chr(10) ELSE '' END || '{requests.WORDS["body"]}' || chr(10) || chr(10) || body) AS message,
+  sha256(CASE WHEN block IS NULL THEN '' ELSE {STRIP % 'block'} || chr(10) || chr(10) END || '{requests.CONTRACT}') AS system FROM asked JOIN total USING (doc_id) LEFT JOIN block USING (doc_id)"""
 )
 def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests that can go out now, with their relevant terms and the tail before them."""
+    """Requests that can go out now, with their relevant terms, the tail before them, message and glossary block."""
     chunks = chunks_of(spark, sf_dir)
     text = F.concat(F.lit("a\nb"), F.col("doc_id").cast("string"), F.lit("\nc"), F.col("chunk_no").cast("string"), F.lit("\nd"))
     responses = chunks.filter("doc_id % 2 = 0 and chunk_no < doc_id % 4").select("doc_id", "chunk_no", text.alias("text"))
     entries = entries_of(spark, sf_dir)
     names = glossary.spellings(entries, ["item_id"]).select("item_id", "spelling")
-    hits = glossary.relevant(table(spark, sf_dir, "documents"), names, key=["doc_id"], entry=["item_id"]).join(entries.select("item_id", F.col("english").alias("term")), "item_id")
-    due = requests.due_requests(chunks, responses, hits.select("doc_id", "term"), key=["doc_id"])
-    return due.withColumn("body", F.sha2("body", 256))
+    hits = settled(glossary.relevant(table(spark, sf_dir, "documents"), names, key=["doc_id"], entry=["item_id"]))
+    due = requests.due_requests(chunks, responses, hits.join(entries.select("item_id", F.col("english").alias("term")), "item_id").select("doc_id", "term"), key=["doc_id"])
+    blocks = views.prompt_block(entries, hits, key=["doc_id"], entry=["item_id"])
+    made = scripts.with_messages(due.join(chunks.groupBy("doc_id").agg(F.count("*").alias("total")), "doc_id"), key=["doc_id"], blocks=blocks)
+    return made.select("doc_id", "chunk_no", F.sha2("body", 256).alias("body"), "terms", "tail", F.sha2("message", 256).alias("message"), F.sha2("system", 256).alias("system"))
 
 
 SCRIPT_THRESHOLD, SCRIPT_TAIL = 300, 2

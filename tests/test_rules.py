@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import scalars
 from pagemill.functions import text as T
-from pagemill.operators import glossary, incremental, layout, leaks, lines, metrics, ranks, regions, requests, seams, segment
+from pagemill.operators import glossary, incremental, layout, leaks, lines, metrics, ranks, regions, requests, scripts, seams, segment
 from pagemill.sources import files
 from pagemill.streaming import events as E
 from pagemill.streaming import jobs
@@ -344,3 +344,25 @@ def test_places_of_large_groups(spark):
         own = sorted((r for r in got if r.g == g), key=lambda r: r.place)
         assert [r.place for r in own] == list(range(1, len(own) + 1)) and [r.v for r in own] == sorted(r.v for r in own)
     assert [r.place for r in ranks.numbered(rows, by=[], order=[F.col("v")]).orderBy("v").collect()] == list(range(1, 501))
+
+
+def test_script_rounds(spark):
+    """Chunks go out one after another; a poor answer counts, one to what was not asked does not; the tail has English where there is some."""
+    lines = spark.createDataFrame([(1, p, k, f"{p}:r{k}", "bubble", f"word{p}{k} " * 3, k // 2) for p in (1, 2, 3) for k in range(3)] + [(2, 1, 0, "1:r0", "sfx", "BANG", None), (2, 1, 1, "1:r1", "sfx", " ", 1)], "work_id int, page_seq int, place int, id string, kind string, text string, panel int")
+    blocks = {(r.work_id, r.page_seq): (r.block, r.ids) for r in scripts.script_blocks(lines, key=["work_id"]).collect()}
+    assert blocks[1, 1] == ("Page 1\n1:r0\t[bubble]\tword10 word10 word10\n1:r1\t[bubble]\tword11 word11 word11\nPage 1, panel 1\n1:r2\t[bubble]\tword12 word12 word12", ["1:r0", "1:r1", "1:r2"])
+    assert blocks[2, 1] == ("Page 1\n1:r0\t[sfx]\tBANG", ["1:r0"])
+    none = spark.createDataFrame([], "work_id int, chunk_no int, raw string")
+
+    def respond(due):
+        raw = F.when(F.col("chunk_no") == 1, "no records").otherwise(F.concat(F.element_at("ids", -1), F.lit("\tWho\tEnglish\n9:r9\tx\ty")))
+        return due.select("work_id", "chunk_no", raw.alias("raw")).unionByName(spark.createDataFrame([(7, 0, "never asked"), (1, 99, "nor this")], none.schema))
+
+    due = lambda tail: lambda responses: scripts.due_scripts(lines, responses, key=["work_id"], threshold=90, tail=tail)
+    asked, responses = scripts.rounds(due(2), respond, none)
+    got = {(r.work_id, r.chunk_no): r for r in asked.collect()}
+    assert {k: r.round for k, r in got.items()} == {(1, 0): 0, (2, 0): 0, (1, 1): 1, (1, 2): 2} and {(r.work_id, r.chunk_no) for r in responses.collect()} == set(got)
+    assert got[1, 0].tail == "" and got[1, 1].tail == "word11 word11 word11\nword12 word12 word12\t->\tEnglish" and got[1, 2].tail == "word21 word21 word21\nword22 word22 word22"
+    assert got[1, 1].message.startswith("Part 2 of 3; done up to part 1.\n\nHow the last part ended:\n\nword11") and got[1, 1].system == scripts.CONTRACT and got[2, 0].message == "Lines, in this order:\n\nPage 1\n1:r0\t[sfx]\tBANG"
+    assert {r.tail for r in due(0)(none).collect()} == {""}
+    assert scripts.rounds(lambda r: scripts.due_scripts(lines.filter("false"), r, key=["work_id"]), respond, none)[0].count() == 0
