@@ -293,7 +293,7 @@ def records(read: DataFrame, per_file: int = PER_FILE, root: str | None = None)
     """What read_warc gives for an archive's files -> file, slot, page_id, length, digest, stored_length, stored_digest, before of each record or damaged range.
 
     file is the path below `root` (without it the last part), whatever its form. The slot is the page id's place; a record of
-    another archive has that of its record id's hash, or its uri's. before names the record that lies before it in the file.
+    another archive has that of its record id's hash, or its uri's. before is a hash of the names of the record that lies before it in the file.
     """
     number = F.nullif(F.regexp_extract("record_id", r"urn:page:(-?\d+)", 1), F.lit("")).cast("long")
     name = F.regexp_extract("path", r"([^/]*)\z", 1) if root is None else F.substring_index("path", root.rstrip("/").removeprefix("file://") + "/", -1)
@@ -302,7 +302,7 @@ def records(read: DataFrame, per_file: int = PER_FILE, root: str | None = None)
     slot = F.when(F.col("record_id").startswith("<urn:page:"), places(F.col("page_id"), F.col("uri"), per_file)[1]).otherwise(slot)
     rows = rows.withColumn("slot", F.when(F.col("type") != "damaged", slot))
     after = F.expr("coalesce(last(slot, true) over (partition by file order by ordinal rows between unbounded preceding and 1 preceding), -1) + 1")
-    before = F.expr("coalesce(lag(concat_ws(' ', type, record_id, uri)) over (partition by file order by ordinal), '')")
+    before = F.expr("coalesce(lag(xxhash64(type, record_id, uri)) over (partition by file order by ordinal), 0)")
     rows = rows.withColumns({"slot": F.coalesce("slot", F.least(after, F.lit(per_file - 1))), "before": before})
     return rows.drop("ordinal", "type", "uri", "record_id")
 
@@ -314,7 +314,7 @@ def leaves(recs: DataFrame) -> DataFrame:
         part = F.conv(F.substring(token, 1, 15), 16, 10).cast("decimal(20,0)")
         return [F.sum(part).alias(f"{name}_total"), F.min(token).alias(f"{name}_low"), F.max(token).alias(f"{name}_high")]
 
-    laid = F.sha2(F.concat_ws(":", "stored_digest", "before"), 256)
+    laid = F.sha2(F.concat_ws(":", "stored_digest", F.col("before").cast("string")), 256)
     sums = [x for token, name in ((F.col("digest"), "own"), (F.col("stored_digest"), "kept"), (laid, "laid")) for x in over(token, name)]
     made = recs.groupBy("file", "slot").agg(F.count("*").alias("records"), F.min("page_id").alias("page_id"), F.sum("length").alias("length"), F.sum("stored_length").alias("stored"), *sums)
 
