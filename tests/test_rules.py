@@ -366,3 +366,19 @@ def test_script_rounds(spark):
     assert got[1, 1].message.startswith("Part 2 of 3; done up to part 1.\n\nHow the last part ended:\n\nword11") and got[1, 1].system == scripts.CONTRACT and got[2, 0].message == "Lines, in this order:\n\nPage 1\n1:r0\t[sfx]\tBANG"
     assert {r.tail for r in due(0)(none).collect()} == {""}
     assert scripts.rounds(lambda r: scripts.due_scripts(lines.filter("false"), r, key=["work_id"]), respond, none)[0].count() == 0
+
+
+def test_replay_keeps_a_thousand_events_of_each_work(spark, tmp_path):
+    """The replay buffer is the newest 1,000 recorded events: a work with fewer keeps all, one with more loses its oldest."""
+    from pagemill.plans.work import replay_tail
+
+    base = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    work = F.when(F.col("id") < 1_100, F.lit(1)).otherwise(F.lit(2)).cast(base.schema["user_id"].dataType)
+    kind = F.when(F.col("id") % 10 == 0, "view").otherwise("purchase")
+    own = {"event_id": F.col("id").cast(base.schema["event_id"].dataType), "user_id": work, "event_type": kind, "props": F.lit('{"k": 1}')}
+    rows = spark.range(2_000).select(*[own.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in base.schema])
+    rows = rows.unionByName(rows.filter("user_id = 1").withColumns({"event_id": F.col("event_id") + 5_000}))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {k: sorted(r.event_id for r in replay_tail(spark, str(tmp_path)).filter(f"work_id = {k}").collect()) for k in (1, 2)}
+    recorded = [i for i in [*range(1_100), *range(5_000, 6_100)] if i % 10]
+    assert got == {1: recorded[-1_000:], 2: [i for i in range(1_100, 2_000) if i % 10]}
