@@ -11,9 +11,10 @@ have a fingerprint and no component, and link nothing. Repeated rows and equal t
 columns are not read, whatever their names. An empty table gives an empty table.
 
 `near_copies` is for similarity instead: pairs whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Such
-pairs differ by about ten of 64 bits, too many for blocks of bits, so that candidates are texts that share one of BANDS
-bands of ROWS minima (MinHash); each candidate is decided by the exact similarity of its texts. A band's group gives a star
-first; then only pairs of its members that the stars have not brought together are tried.
+pairs differ in 0.15 of their SimHash bits, too many for radius + 1 blocks of 64. So their fingerprints have WIDE bits, and
+each is dealt to the groups of permuted tables of few bits, of which a pair at the limit shares SHARED on average; in a
+group fingerprints are near within a radius over NEAR_BITS bits, and each candidate is decided by the exact similarity of
+its texts. Near members of a group give a star first; then only pairs that the stars have not brought together are tried.
 
 `keep_representatives` and `keep_unlike` keep one row of each component and every row without doc_id. Different texts under
 one doc_id are judged each by itself; of rows alike in doc_id and text one stays. Ties go to the smallest doc_id.
@@ -38,9 +39,17 @@ HOT_GROUP = 4096
 FAN = 8
 #: Query-member pairs that a task holds at once.
 PAIRS = 4_000_000
-#: Bands and minima in each: a pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9992.
-BANDS, ROWS = 18, 5
-#: Members of a band's group beyond which it is compared as pairs of blocks.
+#: Bits of the fingerprints of `near_copies`, and how many of them are compared in a table's group.
+WIDE, NEAR_BITS = 512, 128
+#: Bits of a table's keys, up to so many fingerprints; a bit more for each four times as many.
+KEY_BITS, FEW = 12, 1 << 18
+#: Tables that a pair at the limit of similarity shares on average: it shares none with probability exp(-SHARED), were all bits independent.
+SHARED = 12
+#: Sets of at most so many shingles differ in more bits (0.19 where they are 4 and 5, since even ones have ties) and are in twice as many tables.
+TINY = 5
+#: One fingerprint of this many says which groups are crowded.
+SAMPLED = 16
+#: Members of a group of candidates beyond which it is compared as pairs of blocks.
 SPLIT = 512
 
 
@@ -299,37 +308,137 @@ def keep_representatives(docs: DataFrame, words: int = 3, radius: int = 3) -> Da
     return keep_first(docs, found)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of distinct hashes under each of BANDS x ROWS orders."""
-    rng = np.random.default_rng(SEED)
-    factor, shift = rng.integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, len(hashes), 4096):
-        part = hashes[k : k + 4096, None] * (factor | np.uint64(1)) + shift
-        np.minimum(low, part.min(0), out=low)
-    return low
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of distinct hashes over WIDE bits: each is drawn out to WIDE bits (splitmix64), a bit is their majority; a tie is 0."""
+    votes = np.zeros(WIDE, np.int64)
+    step = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(0, len(hashes), 255):  # as many as a byte counts
+        x = hashes[k : k + 255, None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        votes += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(hashes)).view(np.int64)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, hash (xxhash64 of the text), node (hash of the set of shingles), keys (one for each band)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """docs(doc_id, text) -> doc_id, hash (xxhash64 of the text), node (hash of the set of shingles), size (of the set), fp (its fingerprint of WIDE bits; none without words)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fp", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for part in slices(batch):
-                nodes, keys = [], []
+                nodes, sizes, fps = [], [], []
                 for text in part.column("text").to_pylist():
                     own = np.unique(shingle_hashes(text, words).astype(np.uint64))
-                    low = minima(own)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                    keys.append([xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)] if len(own) else [])
-                signed = [np.array(k, np.uint64).view(np.int64) for k in keys]
-                cols = [part.column("doc_id"), part.column("hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(signed, schema.field("keys").type)]
+                    sizes.append(len(own))
+                    fps.append(wide_fingerprint(own) if len(own) else own.view(np.int64))
+                cols = [part.column("doc_id"), part.column("hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, schema.field("fp").type)]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return doc_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, node long, keys array<long>")
+    return doc_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, node long, size long, fp array<long>")
+
+
+def differing(similarity: float) -> float:
+    """The share of SimHash bits in which sets of this Jaccard similarity differ, by the largest angle that they can have."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def tables_for(n: int, similarity: float) -> tuple[int, int]:
+    """Bits of a key and number of tables for n fingerprints."""
+    bits = KEY_BITS + (max(0, -(-n // FEW) - 1).bit_length() + 1) // 2
+    return bits, int(np.ceil(SHARED / (1 - differing(similarity)) ** bits))
+
+
+def near_radius(similarity: float) -> int:
+    """The distance over NEAR_BITS bits: five standard deviations above that of pairs at this similarity, four below that of unlike texts."""
+    p = differing(similarity)
+    return int(NEAR_BITS * p + 5.2 * (NEAR_BITS * p * (1 - p)) ** 0.5)
+
+
+def deal_tables(fps: DataFrame, bits: int, tables: int) -> DataFrame:
+    """fps(node, size, fp) -> a row for each of the permuted tables: key (the table and `bits` bits of fp), node, a, b (NEAR_BITS bits of fp)."""
+    rng, whole = np.random.default_rng(SEED), WIDE // bits
+    places = np.concatenate([rng.permutation(WIDE)[: whole * bits] for _ in range(-(-2 * tables // whole))])
+
+    def deal(part: pa.RecordBatch, among: int) -> pa.RecordBatch:
+        fp = np.asarray(part.column("fp").flatten()).reshape(-1, WIDE // 64)
+        each = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)[:, places[: among * bits]].reshape(len(fp), among, bits)
+        key = each @ (1 << np.arange(bits)) + (np.arange(among) << bits)
+        cols = [key.ravel(), *(np.repeat(x, among) for x in (np.asarray(part.column("node")), fp[:, 0], fp[:, 1]))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tiny = np.asarray(batch.column("size")) <= TINY
+            for own, among in ((tiny, 2 * tables), (~tiny, tables)):
+                part = batch.filter(pa.array(own))
+                for at in range(0, part.num_rows, 1024):
+                    yield deal(part.slice(at, 1024), among)
+
+    return fps.mapInArrow(run, "key long, node long, a long, b long")
+
+
+def near_members(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """For each of a group's fingerprints (two halves): the first member of its component under distances within the radius."""
+    a, b, label = a.view(np.uint64), b.view(np.uint64), np.arange(len(a))
+    first = np.bitwise_count(a ^ a[0]) + np.bitwise_count(b ^ b[0]) <= radius
+    label[first] = 0
+    step = max(1, PAIRS // len(a))
+    for lo in range(0, len(a) if not first.all() else 0, step):
+        off = np.bitwise_count(a[lo : lo + step, None] ^ a) + np.bitwise_count(b[lo : lo + step, None] ^ b)
+        x, y = np.nonzero((off <= radius) & (label[lo : lo + step, None] < label))
+        label = components(len(a), x + lo, y, label) if len(x) else label
+    return label
+
+
+def near_groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, a, b) sorted by key, whole keys in a task -> (key, head, node) of each component of two members or more in a key's group."""
+
+    def near(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+        label = np.arange(len(key))
+        for k in np.flatnonzero(np.diff(edges) > 1):
+            lo, hi = edges[k], edges[k + 1]
+            label[lo:hi] = lo + near_members(a[lo:hi], b[lo:hi], radius)
+        some = np.bincount(label, minlength=len(key))[label] > 1
+        return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (key, node[label], node)], names=["key", "head", "node"])
+
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [np.asarray(batch.column(c)) for c in ("key", "node", "a", "b")]
+        if kept:
+            rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+        open_ = np.searchsorted(rows[0], rows[0][-1])  # the last key may go on in the next batch
+        if open_:
+            yield near(*(x[:open_] for x in rows))
+        kept = [x[open_:] for x in rows]
+    if kept:
+        yield near(*kept)
+
+
+def near_fingerprints(distinct: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """distinct(node, size, fp) -> key, node: groups of two or more whose fingerprints are near and share a table's key; a pair as similar as asked is in one with a high probability.
+
+    Groups above about `hot` members (by a sample, which only decides the plan) are compared as pairs of blocks.
+    """
+    fps = distinct.filter(F.size("fp") > 0).select("node", "size", "fp")
+    bits, tables = tables_for(distinct.count(), similarity)
+    rows = deal_tables(fps, bits, tables)
+    sample = deal_tables(fps.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0), bits, tables).groupBy("key").agg(F.count("*").alias("n"))
+    crowded = save(sample.filter(F.col("n") * SAMPLED > hot).select("key", F.ceil(F.col("n") * SAMPLED / hot).cast("int").alias("parts")), "crowded")
+    if not crowded.isEmpty():
+        split = rows.join(crowded, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+        rows = rows.join(crowded, "key", "left_anti").unionByName(split.select(pair.alias("key"), "node", "a", "b"))
+    radius = near_radius(similarity)
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_groups(it, radius), "key long, head long, node long")
+    return found.select(F.xxhash64("key", "head").alias("key"), "node")  # keys that fall together cost time, not results
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -406,18 +515,18 @@ def group_links(batches: Iterator[pa.RecordBatch], words: int, similarity: float
     yield close()
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, split: int = SPLIT) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, split: int = SPLIT, hot: int = HOT_GROUP) -> DataFrame:
     """docs(doc_id, text) -> doc_id, hash, component_id (the smallest doc_id that pairs of alike texts reach); rows without doc_id have none; component tells components apart that share a doc_id.
 
-    What is linked are distinct sets of shingles (nodes). A node is held against the head (first member) that most of its
-    bands' groups have; then against the heads of its other groups that this has not brought it together with; only groups
+    What is linked are distinct sets of shingles (nodes). Candidates are those with near SimHash fingerprints. A node is held
+    against the head (first member) that most of its groups have; then against the heads of its other groups that this has not brought it together with; only groups
     left in several components are compared pair by pair, of groups with the same members one, those above `split`
     members as pairs of blocks of about that many at most, each in a task of its own.
     """
     marked = save(sketches(docs, words), "sketches")
     named = marked.filter("doc_id is not null")
-    distinct = save(named.groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("keys").alias("keys")).select("node", "own.*", "keys"), "distinct")
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    distinct = save(named.groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("size").alias("size"), F.first("fp").alias("fp")).select("node", "own.*", "size", "fp"), "distinct")
+    keyed = save(near_fingerprints(distinct, similarity, hot), "near")
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).filter("members > 1")
     groups = save(keyed.join(heads, "key"), "groups")
     wanted = distinct.join(groups.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "hash")

@@ -234,6 +234,21 @@ def test_near_copies_are_all_pairs_at_four_fifths(spark, docs, odd, split):
     assert neardup.near_copies(empty(odd)).count() == 0
 
 
+def test_simhash_tables_hold_pairs_at_four_fifths(spark):
+    """Candidates of the stage come by SimHash: pairs at the limit are near and share a table, also where crowded groups are dealt as blocks; unlike ones are not."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        own = rng.integers(0, 2**64, 500, dtype=np.uint64)
+        rows += [(2 * k + j, len(s), neardup.wide_fingerprint(s).tolist()) for j, s in enumerate((own[:450], own[50:]))]
+    fps = spark.createDataFrame(rows, "node long, size long, fp array<long>")
+    for hot in (neardup.HOT_GROUP, 1):
+        held = {}
+        for r in neardup.near_fingerprints(fps, 0.8, hot).collect():
+            held.setdefault(r.key, set()).add(r.node)
+        assert {(min(g), max(g)) for g in held.values()} == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
 def test_the_stage_drops_near_copies(spark, odd):
     import corpus_pipeline
 
