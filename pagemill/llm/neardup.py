@@ -13,8 +13,9 @@ columns are not read, whatever their names. An empty table gives an empty table.
 `near_copies` is for similarity instead: pairs whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Such
 pairs differ in 0.15 of their SimHash bits, too many for radius + 1 blocks of 64. So their fingerprints have WIDE bits, and
 each is dealt to the groups of permuted tables of few bits, of which a pair at the limit shares SHARED on average; in a
-group fingerprints are near within a radius over NEAR_BITS bits, and each candidate is decided by the exact similarity of
-its texts. Near members of a group give a star first; then only pairs that the stars have not brought together are tried.
+group fingerprints are near within a radius over all WIDE bits (over few of them texts that share a passage are near by
+the many), and each candidate is decided by the exact similarity of its texts. Near members of a group give a star first;
+then only pairs that the stars have not brought together are tried.
 
 `keep_representatives` and `keep_unlike` keep one row of each component and every row without doc_id. Different texts under
 one doc_id are judged each by itself; of rows alike in doc_id and text one stays. Ties go to the smallest doc_id.
@@ -23,12 +24,12 @@ one doc_id are judged each by itself; of rows alike in doc_id and text one stays
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, doc_text, made, ragged, save, slices, unused
@@ -39,14 +40,16 @@ HOT_GROUP = 4096
 FAN = 8
 #: Query-member pairs that a task holds at once.
 PAIRS = 4_000_000
-#: Bits of the fingerprints of `near_copies`, and how many of them are compared in a table's group.
-WIDE, NEAR_BITS = 512, 128
+#: Bits of the fingerprints of `near_copies`.
+WIDE = 512
+WORDS = [f"fp{k}" for k in range(WIDE // 64)]
 #: Bits of a table's keys, up to so many fingerprints; a bit more for each four times as many.
 KEY_BITS, FEW = 12, 1 << 18
 #: Tables that a pair at the limit of similarity shares on average: it shares none with probability exp(-SHARED), were all bits independent.
 SHARED = 12
-#: Sets of at most so many shingles differ in more bits (0.19 where they are 4 and 5, since even ones have ties) and are in twice as many tables.
+#: Sets of at most so many shingles differ in more bits, up to TIES times (0.19 where they are 4 and 5, since even ones have ties), and are in twice as many tables.
 TINY = 5
+TIES = 1.3
 #: One fingerprint of this many says which groups are crowded.
 SAMPLED = 16
 #: Members of a group of candidates beyond which it is compared as pairs of blocks.
@@ -353,65 +356,74 @@ def tables_for(n: int, similarity: float) -> tuple[int, int]:
     return bits, int(np.ceil(SHARED / (1 - differing(similarity)) ** bits))
 
 
-def near_radius(similarity: float) -> int:
-    """The distance over NEAR_BITS bits: five standard deviations above that of pairs at this similarity, four below that of unlike texts."""
-    p = differing(similarity)
-    return int(NEAR_BITS * p + 5.2 * (NEAR_BITS * p * (1 - p)) ** 0.5)
+def near_radius(similarity: float, ties: float = 1) -> int:
+    """The distance over WIDE bits: five standard deviations above that of pairs at this similarity (times `ties`), twelve below that of unlike texts."""
+    p = differing(similarity) * ties
+    return int(WIDE * p + 5.2 * (WIDE * p * (1 - p)) ** 0.5)
 
 
 def deal_tables(fps: DataFrame, bits: int, tables: int) -> DataFrame:
-    """fps(node, size, fp) -> a row for each of the permuted tables: key (the table and `bits` bits of fp), node, a, b (NEAR_BITS bits of fp)."""
+    """fps(node, size, fp) -> a row for each of the permuted tables: key (the table and `bits` bits of fp), node, tiny (a set of TINY shingles or fewer), fp0, fp1 and so on (fp by words of 64 bits)."""
     rng, whole = np.random.default_rng(SEED), WIDE // bits
     places = np.concatenate([rng.permutation(WIDE)[: whole * bits] for _ in range(-(-2 * tables // whole))])
 
-    def deal(part: pa.RecordBatch, among: int) -> pa.RecordBatch:
+    def deal(part: pa.RecordBatch, among: int, tiny: bool) -> pa.RecordBatch:
         fp = np.asarray(part.column("fp").flatten()).reshape(-1, WIDE // 64)
         each = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)[:, places[: among * bits]].reshape(len(fp), among, bits)
         key = each @ (1 << np.arange(bits)) + (np.arange(among) << bits)
-        cols = [key.ravel(), *(np.repeat(x, among) for x in (np.asarray(part.column("node")), fp[:, 0], fp[:, 1]))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "a", "b"])
+        cols = [key.ravel(), np.repeat(np.asarray(part.column("node")), among), np.full(key.size, tiny), *(np.repeat(x, among) for x in fp.T)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "tiny", *WORDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tiny = np.asarray(batch.column("size")) <= TINY
-            for own, among in ((tiny, 2 * tables), (~tiny, tables)):
-                part = batch.filter(pa.array(own))
+            few = np.asarray(batch.column("size")) <= TINY
+            for tiny, among in ((True, 2 * tables), (False, tables)):
+                part = batch.filter(pa.array(few == tiny))
                 for at in range(0, part.num_rows, 1024):
-                    yield deal(part.slice(at, 1024), among)
+                    yield deal(part.slice(at, 1024), among, tiny)
 
-    return fps.mapInArrow(run, "key long, node long, a long, b long")
+    return fps.mapInArrow(run, "key long, node long, tiny boolean, " + ", ".join(f"{c} long" for c in WORDS))
 
 
-def near_members(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """For each of a group's fingerprints (two halves): the first member of its component under distances within the radius."""
-    a, b, label = a.view(np.uint64), b.view(np.uint64), np.arange(len(a))
-    first = np.bitwise_count(a ^ a[0]) + np.bitwise_count(b ^ b[0]) <= radius
+def near_members(codes: Sequence[np.ndarray], radius: int) -> np.ndarray:
+    """For each of a group's fingerprints (in words of 64 bits): the first member of its component under distances within the radius."""
+
+    def off(lo: int, hi: int) -> np.ndarray:
+        return functools.reduce(np.add, (np.bitwise_count(c[lo:hi, None] ^ c).astype(np.uint16) for c in codes))
+
+    n = len(codes[0])
+    label = np.arange(n)
+    first = off(0, 1)[0] <= radius
     label[first] = 0
-    step = max(1, PAIRS // len(a))
-    for lo in range(0, len(a) if not first.all() else 0, step):
-        off = np.bitwise_count(a[lo : lo + step, None] ^ a) + np.bitwise_count(b[lo : lo + step, None] ^ b)
-        x, y = np.nonzero((off <= radius) & (label[lo : lo + step, None] < label))
-        label = components(len(a), x + lo, y, label) if len(x) else label
+    step = max(1, PAIRS // n)
+    for lo in range(0, n if not first.all() else 0, step):
+        x, y = np.nonzero((off(lo, lo + step) <= radius) & (label[lo : lo + step, None] < label))
+        label = components(n, x + lo, y, label) if len(x) else label
     return label
 
 
-def near_groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, a, b) sorted by key, whole keys in a task -> (key, head, node) of each component of two members or more in a key's group."""
+def near_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows of `deal_tables` sorted by key, whole keys in a task -> nodes of each component of two members or more in a key's group, in order. A group with a tiny set has a wider radius."""
+    radius = [near_radius(similarity), near_radius(similarity, TIES)]
 
-    def near(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def near(key: np.ndarray, node: np.ndarray, tiny: np.ndarray, *codes: np.ndarray) -> pa.RecordBatch:
         edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
         label = np.arange(len(key))
         for k in np.flatnonzero(np.diff(edges) > 1):
             lo, hi = edges[k], edges[k + 1]
-            label[lo:hi] = lo + near_members(a[lo:hi], b[lo:hi], radius)
+            label[lo:hi] = lo + near_members([c[lo:hi] for c in codes], radius[int(tiny[lo:hi].any())])
         some = np.bincount(label, minlength=len(key))[label] > 1
-        return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (key, node[label], node)], names=["key", "head", "node"])
+        node, label = node[some], label[some]
+        order = np.lexsort((node, label))
+        node, label = node[order], label[order]
+        edges = np.flatnonzero(np.r_[True, label[1:] != label[:-1], True]) if len(label) else np.zeros(1)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(node))], names=["nodes"])
 
     kept: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [np.asarray(batch.column(c)) for c in ("key", "node", "a", "b")]
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "tiny")] + [np.asarray(batch.column(c)).view(np.uint64) for c in WORDS]
         if kept:
             rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
         open_ = np.searchsorted(rows[0], rows[0][-1])  # the last key may go on in the next batch
@@ -423,9 +435,9 @@ def near_groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
 
 
 def near_fingerprints(distinct: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """distinct(node, size, fp) -> key, node: groups of two or more whose fingerprints are near and share a table's key; a pair as similar as asked is in one with a high probability.
+    """distinct(node, size, fp) -> key, head (the first node), node, n: groups of two or more whose fingerprints are near and share a key in n tables; a pair as similar as asked is in one with a high probability.
 
-    Groups above about `hot` members (by a sample, which only decides the plan) are compared as pairs of blocks.
+    Groups with the same members are one. Groups of a key above about `hot` members (by a sample, which only decides the plan) are compared as pairs of blocks.
     """
     fps = distinct.filter(F.size("fp") > 0).select("node", "size", "fp")
     bits, tables = tables_for(distinct.count(), similarity)
@@ -435,10 +447,11 @@ def near_fingerprints(distinct: DataFrame, similarity: float, hot: int) -> DataF
     if not crowded.isEmpty():
         split = rows.join(crowded, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-        rows = rows.join(crowded, "key", "left_anti").unionByName(split.select(pair.alias("key"), "node", "a", "b"))
-    radius = near_radius(similarity)
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_groups(it, radius), "key long, head long, node long")
-    return found.select(F.xxhash64("key", "head").alias("key"), "node")  # keys that fall together cost time, not results
+        rows = rows.join(crowded, "key", "left_anti").unionByName(split.select(pair.alias("key"), "node", "tiny", *WORDS))
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_groups(it, similarity), "nodes array<long>")
+    groups = found.groupBy("nodes").agg(F.count("*").alias("n"))
+    # keys that fall together cost time, not results
+    return groups.select(F.xxhash64("nodes").alias("key"), F.col("nodes")[0].alias("head"), F.explode("nodes").alias("node"), "n")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -452,6 +465,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def star_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, split: int) -> DataFrame:
     """The pairs (u, v), v a head, whose texts(node, text) are alike, by their whole sets of shingles. A head with more than `split` members is held against them in several tasks."""
+    pairs = save(pairs, "pairs")  # read twice
     sizes = pairs.groupBy("v").agg(F.ceil(F.count("*") / split).cast("int").alias("parts"))
     salted = pairs.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"))
     heads = salted.select(F.col("v").alias("u"), "v", "salt").distinct()
@@ -520,36 +534,40 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, split:
 
     What is linked are distinct sets of shingles (nodes). Candidates are those with near SimHash fingerprints. A node is held
     against the head (first member) that most of its groups have; then against the heads of its other groups that this has not brought it together with; only groups
-    left in several components are compared pair by pair, of groups with the same members one, those above `split`
-    members as pairs of blocks of about that many at most, each in a task of its own.
+    left in several components are compared pair by pair, those above `split` members as pairs of blocks of about that many at most, each in a task of its own.
     """
     marked = save(sketches(docs, words), "sketches")
     named = marked.filter("doc_id is not null")
     distinct = save(named.groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("size").alias("size"), F.first("fp").alias("fp")).select("node", "own.*", "size", "fp"), "distinct")
-    keyed = save(near_fingerprints(distinct, similarity, hot), "near")
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).filter("members > 1")
-    groups = save(keyed.join(heads, "key"), "groups")
+    groups = save(near_fingerprints(distinct, similarity, hot), "groups")
     wanted = distinct.join(groups.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "hash")
     # the same plan at every size: texts are dealt by doc_id, not held against a list that may be small enough to go out
     texts = doc_text(docs).withColumn("hash", F.xxhash64("text")).join(wanted.hint("merge"), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])
     texts = save(texts.select("node", "text"), "texts")
-    stars = groups.filter("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
+    stars = groups.filter("node <> head").groupBy("node", "head").agg(F.sum("n").alias("n"))
     best = stars.groupBy("node").agg(F.max(F.struct("n", "head")).alias("best")).select(F.col("node").alias("u"), F.col("best.head").alias("v"))
     edges = save(star_links(best, texts, words, similarity, split), "links")
 
     def label(found: DataFrame) -> DataFrame:
         return save(connected_components(found).select(F.col("id").alias("node"), F.col("component").alias("label")), "labels")
 
-    def labelled(frame: DataFrame, node: str, name: str, labels: DataFrame) -> DataFrame:
-        return frame.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    def labelled(frame: DataFrame, labels: DataFrame) -> DataFrame:
+        return frame.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    labels = label(edges)
-    others = labelled(labelled(stars.select("node", "head"), "node", "a", labels), "head", "b", labels).filter("a <> b").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    # groups in one component are done; in the others the head's label is that of the group's row of the head
+    by_key = Window.partitionBy("key", "head")
+    tagged = labelled(groups, label(edges))
+    tagged = tagged.withColumns({"at_head": F.max(F.when(F.col("node") == F.col("head"), F.col("label"))).over(by_key), "least": F.min("label").over(by_key), "most": F.max("label").over(by_key)})
+    tagged = save(tagged.filter("least <> most").select("key", "head", "node", "label", "at_head"), "tagged")
+    others = tagged.filter("label <> at_head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     edges = save(edges.unionByName(star_links(others, texts, words, similarity, split)), "links")
-    tagged = labelled(groups, "node", "label", label(edges))
-    apart = tagged.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("members").alias("members"), F.first("who").alias("who")).filter("a <> b")
-    apart = apart.groupBy("members", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / split).cast("int").alias("parts"))
-    block = tagged.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # a label is a node of its component: the component now is found once for each label of a group
+    now = label(edges).select(F.col("node").alias("label"), F.col("label").alias("now"))
+    spans = save(tagged.groupBy("key", "label").agg(F.count("*").alias("n")).join(now, "label", "left").withColumn("now", F.coalesce("now", "label")), "spans")
+    apart = spans.groupBy("key").agg(F.min("now").alias("a"), F.max("now").alias("b"), F.ceil(F.sum("n") / split).cast("int").alias("parts")).filter("a <> b")
+    open_ = spans.join(apart, "key").select("key", "label", "now", "parts")
+    block = tagged.join(open_, ["key", "label"]).select("key", "node", F.col("now").alias("label"), "parts")
+    block = block.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     dealt = block.select(pair.alias("key"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label")
     rows = dealt.join(texts.hint("merge"), "node").select("key", "side", "node", "label", "text").repartition("key").sortWithinPartitions("key")

@@ -249,6 +249,16 @@ def test_simhash_tables_hold_pairs_at_four_fifths(spark):
         assert {(min(g), max(g)) for g in held.values()} == {(2 * k, 2 * k + 1) for k in range(40)}
 
 
+def test_a_common_passage_makes_no_candidates(spark):
+    """Texts that share a third are no candidates, and a pair that shares many tables is one group."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    sets = [np.r_[passage, rng.integers(0, 2**64, 150, dtype=np.uint64)] for _ in range(80)]
+    sets.append(np.r_[sets[0][:290], rng.integers(0, 2**64, 10, dtype=np.uint64)])
+    fps = spark.createDataFrame([(k, len(s), neardup.wide_fingerprint(s).tolist()) for k, s in enumerate(sets)], "node long, size long, fp array<long>")
+    assert sorted(r.node for r in neardup.near_fingerprints(fps, 0.8, neardup.HOT_GROUP).collect()) == [0, 80]
+
+
 def test_the_stage_drops_near_copies(spark, odd):
     import corpus_pipeline
 
