@@ -20,7 +20,7 @@ columns are not read, whatever their names. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,11 +144,13 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, hash (xxhash64 of the text), n, node (hash of the set), group (hash of prefix and n), prefix, bits."""
+def sketches(docs: DataFrame, words: int, percent: int, fingerprint: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, hash (xxhash64 of the text), n, node (hash of the set), group (hash of prefix and n), prefix, bits, and where it is asked for fp (the set's fingerprint as longs; none without words)."""
     context = docs.sparkSession.sparkContext
     order = context.broadcast(frequent_shingles(docs, words))
     schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("group", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+    if fingerprint:
+        schema = schema.append(pa.field("fp", pa.list_(pa.int64())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -161,9 +163,11 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 first = [prefix(s, frequent, counts, percent).view(np.int64) for s in own]
                 groups = np.fromiter((xxhash.xxh64_intdigest(f.tobytes(), len(s)) for f, s in zip(first, own, strict=True)), np.uint64, len(own))
                 cols = [part.column("doc_id"), part.column("hash"), pa.array([len(s) for s in own], pa.int64()), pa.array(nodes.view(np.int64)), pa.array(groups.view(np.int64)), pa.array(first, schema.field("prefix").type), pa.array([parity_bits(s) for s in own], pa.binary())]
+                if fingerprint:
+                    cols.append(pa.array([fingerprint(s) if len(s) else s.view(np.int64) for s in own], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return doc_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, n long, node long, group long, prefix array<long>, bits binary")
+    return doc_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, n long, node long, group long, prefix array<long>, bits binary" + ", fp array<long>" * bool(fingerprint))
 
 
 def bitmap(rows: DataFrame, number: str) -> tuple[int, np.ndarray]:
@@ -332,14 +336,18 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(own, "u").join(other, "v").mapInArrow(run, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    marked = save(sketches(docs, words, percent), "sketches")
-    named = marked.filter("doc_id is not null and n > 0")
-    nodes = save(named.groupBy("node", "n", "group").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("bits").alias("bits")).select("node", "n", "group", "own.*", "bits"), "nodes")
+def set_nodes(marked: DataFrame) -> DataFrame:
+    """sketches -> a row for each different set with shingles: node, n, group, doc_id and hash of one of its texts, bits, and fp where there is one."""
+    own = [F.first(c).alias(c) for c in ("bits", "fp") if c in marked.columns]
+    found = marked.filter("doc_id is not null and n > 0").groupBy("node", "n", "group").agg(F.min(F.struct("doc_id", "hash")).alias("own"), *own)
+    return save(found.select("node", "n", "group", "own.*", *[c for c in ("bits", "fp") if c in marked.columns]), "nodes")
+
+
+def set_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, words: int, percent: int, known: DataFrame | None = None, split: int = SPLIT) -> DataFrame:
+    """Edges (u, v) between alike sets that connect, with those of known(u, v), all that links connect; known ones are among them."""
     heads = save(nodes.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("members")), "heads")
     # most postings are the only ones of their shingle: they are two numbers each, and go before anything is joined to them
-    every = named.groupBy("group").agg(F.first("prefix").alias("prefix")).select("group", F.explode("prefix").alias("key"))
+    every = marked.filter("doc_id is not null and n > 0").groupBy("group").agg(F.first("prefix").alias("prefix")).select("group", F.explode("prefix").alias("key"))
     under = every.groupBy("key").agg(F.min("group").alias("star"), F.max("group").alias("other")).filter("star <> other").select("key", "star")
     posted = save(every.join(under, "key"), "posted")
 
@@ -349,6 +357,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     def labelled(frame: DataFrame, node: str, name: str, found: DataFrame) -> DataFrame:
         return frame.join(found.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        return labelled(labelled(pairs, "u", "a", found), "v", "b", found).filter("a <> b").drop("a", "b")
+
     def fetched(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         return save(whole_sets(docs, nodes.join(ends, "node", "left_semi").select("node", "doc_id", "hash"), words), "sets")
@@ -357,12 +368,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     inner = nodes.join(heads.filter("members > 1"), "group").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"), F.lit(0).alias("shared"))
     met = posted.filter("group <> star").groupBy("group", "star").agg(F.count("*").alias("shared"))
     outer = met.join(heads.select("group", F.col("head").alias("u")), "group").join(heads.select(F.col("group").alias("star"), F.col("head").alias("v")), "star").select("u", "v", "shared")
+    if known is not None:
+        now = labels(known)
+        inner, outer = apart(inner, now), apart(outer, now)
     outer = save(possible(outer.select("u", "v"), nodes, percent).join(outer, ["u", "v"]).unionByName(inner.join(possible(inner.select("u", "v"), nodes, percent), ["u", "v"])), "outer")
     sets = fetched(outer)
     best = outer.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
-    edges = save(verified(best, sets, percent), "links")
-    now = labels(edges)
-    others = labelled(labelled(outer.select("u", "v"), "u", "a", now), "v", "b", now).filter("a <> b").select("u", "v")
+    edges = verified(best, sets, percent)
+    edges = save(edges if known is None else edges.unionByName(known), "links")
+    others = apart(outer.select("u", "v"), labels(edges))
     edges = save(edges.unionByName(verified(others.join(best, ["u", "v"], "left_anti"), sets, percent)), "links")
 
     # what the stars left apart: members of a group among themselves, and of all groups under a shingle
@@ -372,10 +386,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     listed = posted.select("key", "group")
     open_keys = listed.join(low_high, "group").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("key")
     across = save(listed.join(open_keys, "key").join(placed, "group").select("key", "node", "label").unionByName(within), "across")
-    pairs = save(left_pairs(across, nodes, percent), "pairs")
-    more = edges.unionByName(verified(pairs, fetched(pairs), percent))
-    found = connected_components(more).withColumnRenamed("id", "node")
+    pairs = save(left_pairs(across, nodes, percent, split), "pairs")
+    return edges.unionByName(verified(pairs, fetched(pairs), percent))
+
 
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    marked = save(sketches(docs, words, percent), "sketches")
+    nodes = set_nodes(marked)
+    found = connected_components(set_links(docs, marked, nodes, words, percent)).withColumnRenamed("id", "node")
     reached = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = reached.join(least, "component").select("node", "component_id")

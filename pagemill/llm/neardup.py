@@ -12,10 +12,10 @@ columns are not read, whatever their names. An empty table gives an empty table.
 
 `near_copies` is for similarity instead: pairs whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Such
 pairs differ in 0.15 of their SimHash bits, too many for radius + 1 blocks of 64. So their fingerprints have WIDE bits, and
-each is dealt to the groups of permuted tables of few bits, of which a pair at the limit shares SHARED on average; in a
-group fingerprints are near within a radius over all WIDE bits (over few of them texts that share a passage are near by
-the many), and each candidate is decided by the exact similarity of its texts. Near members of a group give a star first;
-then only pairs that the stars have not brought together are tried.
+each is dealt to the groups of a few permuted tables; in a group fingerprints are near within a radius over all WIDE bits
+(over few of them texts that share a passage are near by the many), and each is held against one of its group by the exact
+similarity of their sets. That links most copies. Whatever it misses is found by the prefixes of the sets (`jaccard`), which
+no alike pair escapes, so that no link depends on a table or a radius.
 
 `keep_representatives` and `keep_unlike` keep one row of each component and every row without doc_id. Different texts under
 one doc_id are judged each by itself; of rows alike in doc_id and text one stays. Ties go to the smallest doc_id.
@@ -29,10 +29,10 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, doc_text, made, ragged, save, slices, unused
+from .common import discard, doc_text, made, save, slices, unused
 
 BITS, SEED = 64, 42
 #: Members of a group beyond which it is dealt again.
@@ -47,12 +47,14 @@ WORDS = [f"fp{k}" for k in range(WIDE // 64)]
 KEY_BITS, FEW = 12, 1 << 18
 #: Tables that a pair at the limit of similarity shares on average: it shares none with probability exp(-SHARED), were all bits independent.
 SHARED = 12
+#: The same for the first pass of `near_copies`, after which exact filters look for what it has not linked.
+FIRST = 1
 #: Sets of at most so many shingles differ in more bits, up to TIES times (0.19 where they are 4 and 5, since even ones have ties), and are in twice as many tables.
 TINY = 5
 TIES = 1.3
 #: One fingerprint of this many says which groups are crowded.
 SAMPLED = 16
-#: Members of a group of candidates beyond which it is compared as pairs of blocks.
+#: Members of a list beyond which it is compared as pairs of blocks.
 SPLIT = 512
 
 
@@ -324,36 +326,15 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > len(hashes)).view(np.int64)
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, hash (xxhash64 of the text), node (hash of the set of shingles), size (of the set), fp (its fingerprint of WIDE bits; none without words)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fp", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for part in slices(batch):
-                nodes, sizes, fps = [], [], []
-                for text in part.column("text").to_pylist():
-                    own = np.unique(shingle_hashes(text, words).astype(np.uint64))
-                    nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                    sizes.append(len(own))
-                    fps.append(wide_fingerprint(own) if len(own) else own.view(np.int64))
-                cols = [part.column("doc_id"), part.column("hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, schema.field("fp").type)]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
-
-    return doc_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, node long, size long, fp array<long>")
-
-
 def differing(similarity: float) -> float:
     """The share of SimHash bits in which sets of this Jaccard similarity differ, by the largest angle that they can have."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def tables_for(n: int, similarity: float) -> tuple[int, int]:
-    """Bits of a key and number of tables for n fingerprints."""
+def tables_for(n: int, similarity: float, shared: float = SHARED) -> tuple[int, int]:
+    """Bits of a key and number of tables for n fingerprints, of which a pair at the limit of similarity shares so many on average."""
     bits = KEY_BITS + (max(0, -(-n // FEW) - 1).bit_length() + 1) // 2
-    return bits, int(np.ceil(SHARED / (1 - differing(similarity)) ** bits))
+    return bits, int(np.ceil(shared / (1 - differing(similarity)) ** bits))
 
 
 def near_radius(similarity: float, ties: float = 1) -> int:
@@ -434,13 +415,13 @@ def near_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
         yield near(*kept)
 
 
-def near_fingerprints(distinct: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """distinct(node, size, fp) -> key, head (the first node), node, n: groups of two or more whose fingerprints are near and share a key in n tables; a pair as similar as asked is in one with a high probability.
+def near_fingerprints(distinct: DataFrame, similarity: float, hot: int, shared: float = SHARED) -> DataFrame:
+    """distinct(node, size, fp) -> key, head (the first node), node, n: groups of two or more whose fingerprints are near and share a key in n tables; a pair as similar as asked is in one with a probability that grows with `shared`.
 
     Groups with the same members are one. Groups of a key above about `hot` members (by a sample, which only decides the plan) are compared as pairs of blocks.
     """
     fps = distinct.filter(F.size("fp") > 0).select("node", "size", "fp")
-    bits, tables = tables_for(distinct.count(), similarity)
+    bits, tables = tables_for(distinct.count(), similarity, shared)
     rows = deal_tables(fps, bits, tables)
     sample = deal_tables(fps.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0), bits, tables).groupBy("key").agg(F.count("*").alias("n"))
     crowded = save(sample.filter(F.col("n") * SAMPLED > hot).select("key", F.ceil(F.col("n") * SAMPLED / hot).cast("int").alias("parts")), "crowded")
@@ -454,129 +435,30 @@ def near_fingerprints(distinct: DataFrame, similarity: float, hot: int) -> DataF
     return groups.select(F.xxhash64("nodes").alias("key"), F.col("nodes")[0].alias("head"), F.explode("nodes").alias("node"), "n")
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sets (sorted, distinct) have this Jaccard similarity or more."""
-    least, most = sorted((len(a), len(b)))
-    if least < similarity * most - 1e-9:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
-def star_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, split: int) -> DataFrame:
-    """The pairs (u, v), v a head, whose texts(node, text) are alike, by their whole sets of shingles. A head with more than `split` members is held against them in several tasks."""
-    pairs = save(pairs, "pairs")  # read twice
-    sizes = pairs.groupBy("v").agg(F.ceil(F.count("*") / split).cast("int").alias("parts"))
-    salted = pairs.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"))
-    heads = salted.select(F.col("v").alias("u"), "v", "salt").distinct()
-    rows = salted.unionByName(heads).join(texts.hint("merge").withColumnRenamed("node", "u"), "u").select("v", "salt", (F.col("u") != F.col("v")).alias("member"), "u", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        for batch in batches:
-            good = []
-            for member, text in zip(batch.column("member").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = np.unique(shingle_hashes(text, words))
-                if not member:  # a head comes before its members
-                    own = found
-                good.append(member and alike(found, own, similarity))
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    ordered = rows.repartition("v", "salt").sortWithinPartitions("v", "salt", "member")
-    return ordered.mapInArrow(run, "u long, v long")
-
-
-def links(members: list[tuple[int, int, int, np.ndarray]], similarity: float) -> tuple[list[int], list[int]]:
-    """Members (side, node, label, set) -> ends of links between alike members of different labels: of different sides where there are two, else any."""
-    side, ids, label = (np.array(x) for x in zip(*((s, i, k) for s, i, k, _ in members)))
-    size = np.array([len(own) for *_, own in members])
-    start = np.r_[0, np.cumsum(size)]
-    used, flat = np.unique(np.concatenate([own for *_, own in members]), return_inverse=True)
-    two, u, v = side.max() > side.min(), [], []
-    here = np.zeros(len(used), bool)
-    for k in range(len(ids) - 1):
-        rest = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
-        if two:
-            rest = rest[side[rest] != side[k]]
-        rest = rest[np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k]) - 1e-9]
-        if not len(rest):
-            continue
-        here[flat[start[k] : start[k + 1]]] = True
-        found, at = ragged(flat, start, rest)
-        both = np.add.reduceat(here[found].astype(np.int64), at[:-1])
-        here[flat[start[k] : start[k + 1]]] = False
-        for j in rest[both >= similarity * (size[rest] + size[k] - both) - 1e-9]:
-            if label[j] != label[k]:
-                u, v = [*u, ids[k]], [*v, ids[j]]
-                label[label == label[j]] = label[k]
-    return u, v
-
-
-def group_links(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, side, node, label, text) sorted by key, whole keys in a task -> links (u, v)."""
-    key, kept = None, []
-
-    def close() -> pa.RecordBatch:
-        u, v = links(kept, similarity) if kept else ([], [])
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    for batch in batches:
-        for one, side, node, label, text in zip(*(batch.column(c).to_pylist() for c in ("key", "side", "node", "label", "text")), strict=True):
-            if one != key:
-                yield close()
-                key, kept = one, []
-            kept.append((side, node, label, np.unique(shingle_hashes(text, words))))
-    yield close()
-
-
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, split: int = SPLIT, hot: int = HOT_GROUP) -> DataFrame:
     """docs(doc_id, text) -> doc_id, hash, component_id (the smallest doc_id that pairs of alike texts reach); rows without doc_id have none; component tells components apart that share a doc_id.
 
-    What is linked are distinct sets of shingles (nodes). Candidates are those with near SimHash fingerprints. A node is held
-    against the head (first member) that most of its groups have; then against the heads of its other groups that this has not brought it together with; only groups
-    left in several components are compared pair by pair, those above `split` members as pairs of blocks of about that many at most, each in a task of its own.
+    What is linked are distinct sets of shingles (nodes). A node is held first against the head (first member) that most of
+    its groups of near SimHash fingerprints have. The links that this finds don't decide what is linked, only how much is
+    left to do: every alike pair that they have not brought together meets under a shingle of its prefixes (`jaccard`).
     """
-    marked = save(sketches(docs, words), "sketches")
-    named = marked.filter("doc_id is not null")
-    distinct = save(named.groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("own"), F.first("size").alias("size"), F.first("fp").alias("fp")).select("node", "own.*", "size", "fp"), "distinct")
-    groups = save(near_fingerprints(distinct, similarity, hot), "groups")
-    wanted = distinct.join(groups.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "hash")
-    # the same plan at every size: texts are dealt by doc_id, not held against a list that may be small enough to go out
-    texts = doc_text(docs).withColumn("hash", F.xxhash64("text")).join(wanted.hint("merge"), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])
-    texts = save(texts.select("node", "text"), "texts")
+    from . import jaccard
+
+    percent = round(100 * similarity)
+    marked = save(jaccard.sketches(docs, words, percent, wide_fingerprint), "sketches")
+    nodes = jaccard.set_nodes(marked)
+    groups = near_fingerprints(nodes.select("node", F.col("n").alias("size"), "fp"), similarity, hot, FIRST)
     stars = groups.filter("node <> head").groupBy("node", "head").agg(F.sum("n").alias("n"))
-    best = stars.groupBy("node").agg(F.max(F.struct("n", "head")).alias("best")).select(F.col("node").alias("u"), F.col("best.head").alias("v"))
-    edges = save(star_links(best, texts, words, similarity, split), "links")
-
-    def label(found: DataFrame) -> DataFrame:
-        return save(connected_components(found).select(F.col("id").alias("node"), F.col("component").alias("label")), "labels")
-
-    def labelled(frame: DataFrame, labels: DataFrame) -> DataFrame:
-        return frame.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    # groups in one component are done; in the others the head's label is that of the group's row of the head
-    by_key = Window.partitionBy("key", "head")
-    tagged = labelled(groups, label(edges))
-    tagged = tagged.withColumns({"at_head": F.max(F.when(F.col("node") == F.col("head"), F.col("label"))).over(by_key), "least": F.min("label").over(by_key), "most": F.max("label").over(by_key)})
-    tagged = save(tagged.filter("least <> most").select("key", "head", "node", "label", "at_head"), "tagged")
-    others = tagged.filter("label <> at_head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    edges = save(edges.unionByName(star_links(others, texts, words, similarity, split)), "links")
-    # a label is a node of its component: the component now is found once for each label of a group
-    now = label(edges).select(F.col("node").alias("label"), F.col("label").alias("now"))
-    spans = save(tagged.groupBy("key", "label").agg(F.count("*").alias("n")).join(now, "label", "left").withColumn("now", F.coalesce("now", "label")), "spans")
-    apart = spans.groupBy("key").agg(F.min("now").alias("a"), F.max("now").alias("b"), F.ceil(F.sum("n") / split).cast("int").alias("parts")).filter("a <> b")
-    open_ = spans.join(apart, "key").select("key", "label", "now", "parts")
-    block = tagged.join(open_, ["key", "label"]).select("key", "node", F.col("now").alias("label"), "parts")
-    block = block.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = block.select(pair.alias("key"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label")
-    rows = dealt.join(texts.hint("merge"), "node").select("key", "side", "node", "label", "text").repartition("key").sortWithinPartitions("key")
-    more = rows.mapInArrow(lambda it: group_links(it, words, similarity), "u long, v long").distinct()
-    found = connected_components(edges.unionByName(more)).withColumnRenamed("id", "node")
-    reached = distinct.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    best = save(stars.groupBy(F.col("node").alias("u")).agg(F.max_by("head", F.struct("n", "head")).alias("v")), "stars")
+    wanted = nodes.join(best.select(F.col("u").alias("node")).union(best.select("v")).distinct(), "node", "left_semi").select("node", "doc_id", "hash")
+    known = save(jaccard.verified(best, save(jaccard.whole_sets(docs, wanted, words), "sets"), percent), "links")
+    found = connected_components(jaccard.set_links(docs, marked, nodes, words, percent, known, split)).withColumnRenamed("id", "node")
+    # texts without words are one node, which links have nothing to do with
+    ids = marked.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reached = ids.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = reached.join(least, "component").select("node", "component", "component_id")
-    return marked.join(by_node, "node", "left").select("doc_id", "hash", "component", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return marked.select("doc_id", "hash", "node").join(by_node, "node", "left").select("doc_id", "hash", "component", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_unlike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
