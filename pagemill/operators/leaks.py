@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HIRAGANA, JAPANESE, KANJI, QUOTES, SPACE, blank, script_fraction, strip, strip_format
+from ..functions.text import HIRAGANA, JAPANESE, KANJI, QUOTES, SPACE, blank, once, script_fraction, strip, strip_format
 from . import glossary
 
 BLANK_LINE = rf"\n[{SPACE}]*\n+"
@@ -49,10 +49,14 @@ class ResidueRules:
 
 def blanked(c: Column, pattern: str) -> Column:
     """Every match as spaces of its own length, so that places and lines stay."""
-    parts, found = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.transform(found, lambda m: F.repeat(F.lit(" "), F.length(m)))
-    joined = F.array_join(F.flatten(F.zip_with(parts, gaps, lambda p, g: F.array(p, F.coalesce(g, F.lit(""))))), "")
-    return F.when(c.rlike(pattern), joined).otherwise(c)
+
+    def apart(c: Column) -> Column:
+        parts, found = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+        gaps = F.transform(found, lambda m: F.repeat(F.lit(" "), F.length(m)))
+        joined = F.array_join(F.flatten(F.zip_with(parts, gaps, lambda p, g: F.array(p, F.coalesce(g, F.lit(""))))), "")
+        return F.when(c.rlike(pattern), joined).otherwise(c)
+
+    return once(c, apart)
 
 
 def without_terms(c: Column, terms: Column) -> Column:
@@ -90,9 +94,13 @@ def findings(clean: Column, rules: ResidueRules = ResidueRules()) -> Column:
     def judged(line: Column, place: Column, run: Column, core: Column) -> Column:
         shape = (F.length(core) >= rules.shape_chars) & core.rlike(a) & core.rlike(b)
         hits = [("shape", 2, shape)] + [(n, w, (core if on_core else run).rlike(p)) for n, w, p, on_core in rules.signals()]
-        score = sum((F.when(hit, w).otherwise(0) for _, w, hit in hits), F.lit(0))
-        score = F.when(core == "", 0).otherwise(score)
-        return F.struct((line + 1).alias("line"), place.alias("place"), strip(run).alias("run"), score.alias("score"), F.array_compact(F.array(*[F.when(hit, n) for n, _, hit in hits])).alias("reasons"))
+
+        def told(hit: Column) -> Column:
+            score = sum((F.when(hit[k], w).otherwise(0) for k, (_, w, _) in enumerate(hits)), F.lit(0))
+            score = F.when(core == "", 0).otherwise(score)
+            return F.struct((line + 1).alias("line"), place.alias("place"), strip(run).alias("run"), score.alias("score"), F.array_compact(F.array(*[F.when(hit[k], n) for k, (n, _, _) in enumerate(hits)])).alias("reasons"))
+
+        return once(F.array(*[hit for _, _, hit in hits]), told)
 
     def of_line(text: Column, line: Column) -> Column:
         runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -115,7 +123,9 @@ def reported(clean: DataFrame, rules: ResidueRules = ResidueRules()) -> DataFram
 def report(clean: DataFrame, *, key: list[str], rules: ResidueRules = ResidueRules()) -> tuple[DataFrame, DataFrame]:
     """(findings: key, line, place, run, score, reasons; per text: findings, flagged, worst, worst_line, residual_fraction)."""
     rows = reported(clean, rules)
-    return rows.select(*key, F.explode("found").alias("f")).select(*key, "f.*"), rows.select(*key, "residual_fraction", "findings", "worst", "worst_line", "flagged")
+    # an inner explode would work out all findings once more, to drop texts without any
+    each = rows.select(*key, F.explode_outer("found").alias("f")).filter("f is not null")
+    return each.select(*key, "f.*"), rows.select(*key, "residual_fraction", "findings", "worst", "worst_line", "flagged")
 
 
 # The words of announcements. Only these may stand between a promise and its verb; whatever else does is prose.

@@ -19,8 +19,18 @@ def twin_rows(spark, path, name, tables):
     return sorted(map(tuple, found.select(*expected.columns).collect()), key=repr), sorted(expected.fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["default_headings"])
+MARKED = ["`a`<b>https://x.jp/y `c`", "<b>`駅で待っていた。`</b>", "彼は駅で待っていた。もったいない。\nhttps://x.jp/彼は行った。", "[図](x) ![](y)彼を待つ。"]
+
+
+@pytest.mark.parametrize("name", ["default_headings", "default_findings", "default_residue"])
 def test_twins_on_odd_texts(spark, tmp_path, name):
-    rows = [(11 * k + k % 11 + j, t) for k, t in enumerate(TEXTS) for j in (0, 200, 403)]
+    rows = [(11 * k + k % 11 + j, t) for k, t in enumerate(TEXTS + MARKED * (name != "default_headings")) for j in (0, 200, 403)]
     found, expected = twin_rows(spark, tmp_path, name, {"documents": ("doc_id long, text string", rows)})
     assert found == expected
+
+
+@pytest.mark.parametrize("name", ["default_findings", "default_residue"])
+def test_each_step_of_cleaning_is_worked_out_once(spark, name):
+    """Three patterns and the runs are searched once each (and the counted script): nested uses and inferred filters would multiply the searches."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 4 + (name == "default_residue")
