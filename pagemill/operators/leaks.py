@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import HIRAGANA, JAPANESE, KANJI, QUOTES, SPACE, blank, once, script_fraction, strip, strip_format
 from . import glossary
+from .ranks import settled
 
 BLANK_LINE = rf"\n[{SPACE}]*\n+"
 #: Fixed value: the Japanese scripts without the middle dot, which holds kept terms together.
@@ -64,11 +65,11 @@ def without_terms(c: Column, terms: Column) -> Column:
     return F.aggregate(terms, c, lambda t, term: F.when(term == "", t).otherwise(F.replace(t, term, F.repeat(F.lit(" "), F.length(term)))))
 
 
-def subtract(texts: DataFrame, *, text: str = "text", rules: ResidueRules = ResidueRules(), terms: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
-    """Adds `clean`: the text without addresses, markup, set phrases and terms(rank, spelling).
+def subtract(texts: DataFrame, *, text: str = "text", rules: ResidueRules = ResidueRules(), terms: DataFrame | None = None, key: list[str] | None = None, drop: bool = False) -> DataFrame:
+    """Adds `clean`: the text without addresses, markup, set phrases and terms(rank, spelling). drop: the text itself goes.
 
-    Terms need the texts' key, one row each: those that a text holds come to it by the glossary's search (`relevant`), in
-    order of rank; all others would change nothing. A text's spellings are replaced one after another, so a term that
+    Terms need the texts' key, one row each: those that a text may hold come to it by the glossary's search (`candidates`), in
+    order of rank; all others would change nothing, so what does not hold is not sorted out first. A text's spellings are replaced one after another, so a term that
     only a removed one's neighbours form is not looked for.
     """
     clean = strip_format(F.col(text))
@@ -76,11 +77,13 @@ def subtract(texts: DataFrame, *, text: str = "text", rules: ResidueRules = Resi
         clean = blanked(clean, pattern)
     clean = without_terms(clean, F.array(*map(F.lit, rules.kept)).cast("array<string>"))
     rows = texts.withColumn("clean", clean)
+    rows = rows.drop(text) if drop else rows
     if terms is None:
         return rows
     if not key:
         raise ValueError("terms are brought to texts by key")
-    held = glossary.relevant(rows, terms, key=key, text="clean", entry=["rank", "spelling"], boundary=None)
+    rows = settled(rows)  # cleaned once; the search reads it twice, the result once more
+    held = glossary.candidates(rows.select(*key, "clean"), terms, key=key, text="clean", entry=["rank", "spelling"])
     own = held.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "spelling"))), lambda t: t["spelling"]).alias("__terms"))
     return rows.join(own, key, "left").withColumn("clean", without_terms(F.col("clean"), F.coalesce("__terms", F.array().cast("array<string>")))).drop("__terms")
 

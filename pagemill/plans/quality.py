@@ -66,7 +66,7 @@ TERMS_SQL = f"{ENTRIES_SQL}, terms AS (SELECT spelling, min(item_id * 100 + r -
 def allow_list_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without addresses, markup, set phrases and every glossary spelling, in order."""
     names = glossary.spellings(entries_of(spark, sf_dir), ["item_id"]).groupBy("spelling").agg(F.min(F.col("item_id") * 100 + F.col("rank")).alias("rank"))
-    clean = leaks.subtract(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=RESIDUE, terms=names, key=["doc_id"])
+    clean = leaks.subtract(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=RESIDUE, terms=names, key=["doc_id"], drop=True)
     return clean.select("doc_id", F.sha2("clean", 256).alias("clean_sha256"), F.length("clean").cast("long").alias("n"))
 
 
